@@ -50,10 +50,10 @@ class Band:
 #: whose measures scatter. Prose of a language keeps to its own narrow range; marks strewn in,
 #: capitals and tables break words into more tokens, and repetitive text has low entropy.
 BANDS = {
-    "en": Band(2.18, 6.5, 0.05, 5.5, 13.0),
-    "de": Band(2.22, 6.5, 0.05, 5.5, 13.0),
-    "fr": Band(2.00, 6.5, 0.05, 5.5, 13.0),
-    "es": Band(2.02, 6.5, 0.05, 5.5, 13.0),
+    "en": Band(2.28, 6.5, 0.05, 6.2, 13.0),
+    "de": Band(2.31, 6.5, 0.05, 6.1, 13.0),
+    "fr": Band(2.18, 6.5, 0.05, 6.0, 13.0),
+    "es": Band(2.08, 6.5, 0.05, 6.1, 13.0),
     "": Band(0.3, 8.0, 0.90, 2.0, 14.0),
 }
 STEADY = 600
