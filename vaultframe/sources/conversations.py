@@ -20,7 +20,7 @@ def read_exports(spark: SparkSession, path: str) -> DataFrame:
 
     Each line or file is parsed under every known shape; the first that gives messages counts.
     """
-    raw = spark.read.option("wholetext", True).text(path).select("value", F.col("_metadata.file_path").alias("file"))
+    raw = spark.read.text(path, wholetext=True).select("value", F.col("_metadata.file_path").alias("file"))
     line = "struct<type:string,role:string,timestamp:string,message:struct<role:string,content:string>,content:string,text:string>"
     by_line = raw.where(~F.trim("value").startswith("[") & F.trim("value").startswith("{") & F.col("value").contains("\n")).select("file", F.posexplode(F.split("value", "\n")).alias("turn", "l"))
     parsed = by_line.select("file", "turn", F.from_json("l", line).alias("j")).select("file", "turn", F.coalesce("j.message.role", "j.role", "j.type").alias("role"), F.coalesce("j.message.content", "j.content", "j.text").alias("text"), strict_timestamp("j.timestamp").alias("at"))

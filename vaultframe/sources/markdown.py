@@ -18,7 +18,7 @@ FRAGMENT_LEAST, FRAGMENT_MOST, FRAGMENTS = 50, 2000, 500
 
 def scan(spark: SparkSession, root: str, collection: str, pattern: str = "**/*.md") -> DataFrame:
     """(collection, path, text, hash, modified_at) of the files under root that the glob matches."""
-    files = spark.read.option("wholetext", True).option("recursiveFileLookup", True).text(root).select(F.col("value").alias("text"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_modification_time").alias("modified_at"))
+    files = spark.read.option("recursiveFileLookup", True).text(root, wholetext=True).select(F.col("value").alias("text"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_modification_time").alias("modified_at"))
     prefix = root.rstrip("/").split("://")[-1].lstrip("/") + "/"
     path = F.element_at(F.split("file", prefix, 2), -1)
     skip = F.col("path").rlike(r"(^|/)(" + "|".join(e.replace(".", r"\.") for e in EXCLUDED) + ")/")

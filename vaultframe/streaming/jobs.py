@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.types import BooleanType, LongType, StructField, StructType
 
 LATENESS = "10 minutes"
 
@@ -29,7 +30,7 @@ def duplicates_with_refresh(prompts: DataFrame, keys: list[str], seconds: int =
     A key's state is the time of its last sight, and expires with the watermark.
     """
     fields = event_time(prompts, "at")
-    schema = fields.schema.add("duplicate", "boolean")
+    schema = StructType([*fields.schema.fields, StructField("duplicate", BooleanType())])
     names = [f.name for f in schema.fields]
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -75,7 +76,7 @@ def idempotent_sink(path: str, key: str, layout: Callable[[DataFrame], DataFrame
 def turn_ids(lines: DataFrame, keys: list[str], opens: Column) -> DataFrame:
     """Adds turn: openers so far in the session. A session's state is one number."""
     fields = lines.withColumn("opens", opens)
-    schema = fields.schema.add("turn", "long")
+    schema = StructType([*fields.schema.fields, StructField("turn", LongType())])
     names = [f.name for f in schema.fields]
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
