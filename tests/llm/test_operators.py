@@ -401,15 +401,24 @@ def test_token_files(spark, docs, texts):
     assert token_store.read_digest(spark, empty, "doc_id").count() == 0
 
 
-def test_word_cache_is_exact_for_both_vocabularies():
-    from vaultframe.llm.tokenizers_cached import TextEncoder
+def test_encoder_is_exact_for_both_vocabularies(monkeypatch):
+    import pyarrow as pa
 
+    from vaultframe.llm import tokenizers_cached
+
+    monkeypatch.setattr(tokenizers_cached, "PARTS", 50)
     r = random.Random(4)
-    alphabet = "aA'sé \t\n\r\x0b\x1c\x85  　1²,.!中🙂"
+    alphabet = "aA'sé \t\n\r\x0b\x1c\x85 \u2003\u30001²,.!中🙂e\u0301<|>b\x00"
+    texts = ["".join(r.choice(alphabet) for _ in range(r.randrange(40))) for _ in range(3000)] + ["a<|endoftext|> b", "it's we'll  x", "x\n\ny \n z", "", None, "a" * 100]
     for name, keeps in (("byte_bpe_50k.json", True), ("word_bpe_49k.json", False)):
-        mine, theirs = TextEncoder(tokenizer_path(name), keeps), library(name)
-        for t in ["".join(r.choice(alphabet) for _ in range(r.randrange(40))) for _ in range(3000)] + ["a<|endoftext|> b", "it's we'll  x"]:
-            assert np.frombuffer(mine(t), "<u4").tolist() == theirs.encode(t, add_special_tokens=False).ids, t
+        mine, theirs = tokenizers_cached.TextEncoder(tokenizer_path(name), keeps), library(name)
+        for _ in range(2):
+            for lo in range(0, len(texts), 700):
+                part = texts[lo : lo + 700]
+                ids, bounds = mine.encode(*common.utf8_buffers(pa.array(part)))
+                for k, t in enumerate(part):
+                    assert ids[bounds[k] : bounds[k + 1]].tolist() == theirs.encode(t or "", add_special_tokens=False).ids, t
+            mine._clear()
 
 
 # 10
@@ -459,3 +468,87 @@ def test_sql(spark, name):
     columns = [c[0] for c in con.description]
     mine = [tuple(r) for r in queries()[name](spark, SF).select(*columns).collect()]
     assert sorted(mine, key=str) == sorted(found, key=str)
+
+
+# extra columns, repeated rows
+
+
+def test_clashing_columns_and_repeated_rows(spark, docs):
+    names = "rule verdict host path fp component_id start length ids_crc32 sequence_id offset shard tier shard_bytes row spans line removed_lines kept n_words n_tokens score rank id a b node root decoded ids __row text_of".split()
+    twice = docs.union(docs.limit(20)).withColumns({n: F.lit("x") for n in names})
+    n = twice.count()
+    path = tokenizer_path("piece_bpe_32k.model")
+    assert simhash.components(twice, "doc_id", "text").count() == n
+    assert simhash.keep_first(twice, "doc_id", "text").columns == twice.columns
+    assert packing.pack_documents(twice, "doc_id", "text", tokenizer_path("byte_bpe_50k.json")).select("doc_id").distinct().count() == docs.count()
+    assert sharding.shard_documents(twice, "doc_id").read().count() == n
+    assert line_dedup.dedup_lines(twice.drop("__row"), "doc_id", "text").count() == n
+    assert line_dedup.line_report(twice, "doc_id", "text").count() == n
+    assert suffix_dedup.remove_repeats(twice.drop("__row"), "doc_id", "text").columns == twice.drop("__row").columns
+    assert suffix_dedup.repeat_digest(twice, "doc_id", "text").count() == n
+    assert fertility.measure(twice, "doc_id", "text", "lang", path).count() == n
+    assert piece_codec.round_trip_digest(twice, "doc_id", "text", path).count() == n
+    assert token_store.read_digest(spark, token_store.write_store(twice, "doc_id", "text", tokenizer_path("word_bpe_49k.json"), 2), "doc_id").count() == n
+
+
+def test_null_ids(spark):
+    docs = spark.createDataFrame([(None, "a b c d e f g", "en", "s", 1), (None, None, None, None, None), (3, "a b c d e f g", "en", "s", 1)], SCHEMA)
+    path = tokenizer_path("piece_bpe_32k.model")
+    assert simhash.components(docs, "doc_id", "text").count() == 3
+    assert simhash.keep_first(docs, "doc_id", "text").count() >= 2
+    assert packing.pack_documents(docs, "doc_id", "text", tokenizer_path("byte_bpe_50k.json")).count() == 3
+    assert sharding.shard_documents(docs, "doc_id").read().count() == 3
+    assert {r.doc_id: r.n_removed for r in line_dedup.line_report(docs.where("text is not null"), "doc_id", "text").collect()} == {None: 0, 3: 1}
+    assert suffix_dedup.repeat_digest(docs, "doc_id", "text").count() == 3
+    assert fertility.measure(docs, "doc_id", "text", "lang", path).count() == 3
+    assert token_store.read_digest(spark, token_store.write_store(docs, "doc_id", "text", tokenizer_path("word_bpe_49k.json"), 2), "doc_id").count() == 3
+    vectors = spark.createDataFrame([(None, [1.0] * 64), (0, [1.0] * 64), (1, [2.0] * 64)], "vec_id long, embedding array<float>")
+    assert topk.top_k(vectors, "vec_id", "embedding", vectors).count() == 2
+
+
+def test_very_long_text(spark):
+    r = random.Random(9)
+    words = [f"w{r.randrange(10**5)}" for _ in range(150_000)]
+    long = " ".join(words)  # some 0.9 MB in one line
+    docs = spark.createDataFrame(rows_of([long, long[: len(long) // 2] + " end", "x" * 300_000]), SCHEMA)
+    want = plain_repeats([long, long[: len(long) // 2] + " end", "x" * 300_000], 400)
+    assert got(suffix_dedup.repeat_digest(docs, "doc_id", "text"), "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == [(i, *w) for i, w in enumerate(want)]
+    assert line_dedup.line_report(docs, "doc_id", "text").count() == 3
+    assert {x.doc_id: x.fp & (2**64 - 1) for x in simhash.fingerprints(docs, "doc_id", "text", 4).collect()} == {0: plain_fingerprint(long, 4), 1: plain_fingerprint(long[: len(long) // 2] + " end", 4), 2: plain_fingerprint("x" * 300_000, 4)}
+
+
+# the pipeline
+
+
+def test_pipeline_against_brute_force(spark, tmp_path):
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    r = random.Random(21)
+    source = duckdb.sql(f"SELECT text FROM '{SF}/documents.parquet' ORDER BY doc_id LIMIT 60").fetchall()
+    texts = [t for (t,) in source]
+    texts += [texts[3], texts[5].replace(" the ", " thee ", 1), None, ""] + [t[: r.randrange(500, 900)] for t in texts[10:20]]
+    rows = rows_of(texts)
+    spark.createDataFrame(rows, SCHEMA).write.parquet(f"{tmp_path}/documents.parquet")
+    out = [x.asDict() for x in corpus_pipeline.run(spark, str(tmp_path)).collect()]
+    # the same by hand
+    f = fertility.fertility(tokenizer_path("piece_bpe_32k.model"))
+    docs = {i: t for i, t, lang, _, _ in rows if fertility.verdict(f, t, lang, fertility.BANDS)[3]}
+    ids = sorted(docs)
+    gone = plain_lines([docs[i] for i in ids], 0.8, 5)
+    docs = {i: "\n".join(x for k, x in enumerate(docs[i].split("\n")) if k not in gone[n]) for n, i in enumerate(ids)}
+    fps = {i: plain_fingerprint(t, 5) for i, t in docs.items()}
+    parts = closure(fps, [(a, b) for a, b in itertools.combinations(fps, 2) if (fps[a] ^ fps[b]).bit_count() <= 4])
+    ids = [i for i in ids if parts[i] == i]
+    raws = [docs[i].encode() for i in ids]
+    count = Counter(x[k : k + 400] for x in raws for k in range(len(x) - 399))
+    tok, want = library("byte_bpe_50k.json"), {}
+    for i, x in zip(ids, raws, strict=True):
+        cut = {b for k in range(len(x) - 399) if count[x[k : k + 400]] > 1 for b in range(k, k + 400)}
+        left = bytes(b for k, b in enumerate(x) if k not in cut).decode("utf-8", "replace")
+        want[i] = [*tok.encode(left, add_special_tokens=False).ids, 0]
+    assert {x["doc_id"] for x in out} == set(want) and len(want) < len(texts)
+    for x in out:
+        part = want[x["doc_id"]][x["start"] : x["start"] + x["length"]]
+        assert len(part) == x["length"] and x["ids_crc32"] == zlib.crc32(np.array(part, "<u4").tobytes()) and x["doc_tokens"] == len(want[x["doc_id"]])
+    assert sum(x["length"] for x in out) == sum(map(len, want.values()))
+    first = {name for name, _ in corpus_pipeline.STAGES}
+    assert first == {"quality_rules", "line_dedup", "simhash_near_dedup", "suffix_dedup", "packing"}

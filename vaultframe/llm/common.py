@@ -100,6 +100,42 @@ def utf8_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
+#: Bytes of text that numpy takes apart at once.
+PART_BYTES = 2 << 20
+
+_PLACES = 32
+_LETTER_VALUES = (np.random.default_rng(20240521).integers(1, 2**63, _PLACES * 256, dtype=np.uint64) << np.uint64(1)) | np.uint64(1)
+
+
+def mix64(h: np.ndarray) -> np.ndarray:
+    h = h ^ (h >> np.uint64(31))
+    h = h * np.uint64(0x9E6C63D0876A9A47)
+    h ^= h >> np.uint64(29)
+    h *= np.uint64(0xD6E8FEB86659FD93)
+    return h ^ (h >> np.uint64(32))
+
+
+def segment_hashes(data: np.ndarray, starts: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """64-bit hash of each segment of bytes. starts: ascending, the first is 0; first: their flags."""
+    segment = np.cumsum(first, dtype=np.int32)
+    segment -= 1
+    place = np.arange(len(data), dtype=np.int32) - starts.astype(np.int32)[segment]
+    value = _LETTER_VALUES[((place & (_PLACES - 1)) << 8) | data]
+    far = np.flatnonzero(place >= _PLACES)
+    if len(far):
+        value[far] *= mix64((place[far] // _PLACES).astype(np.uint64)) | np.uint64(1)
+    return mix64(np.add.reduceat(value, starts))
+
+
+def text_parts(data: np.ndarray, offsets: np.ndarray, size: int = PART_BYTES) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """Runs of texts of about so many bytes: (number of the first text, bytes, offsets)."""
+    lo, last = 0, len(offsets) - 1
+    while lo < last:
+        hi = max(lo + 1, int(np.searchsorted(offsets, offsets[lo] + size, "right")) - 1)
+        yield lo, data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]
+        lo = hi
+
+
 class WordCache(dict):
     """word -> value, computed on a miss; bounded in entries and in word length.
 

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from vaultframe.llm.common import map_batches, materialise
+from vaultframe.llm.common import map_batches, materialise, utf8_buffers
 from vaultframe.llm.tokenizers_cached import crc32_of, encoder
 
 #: Each length's pieces are ranked in so many parts.
@@ -83,19 +83,16 @@ def pieces(docs: DataFrame, key: str, text: str, tokenizer: str, end_id: int, ca
     kind = docs.schema[key].dataType.simpleString()
 
     def batch(b: pa.RecordBatch) -> pa.RecordBatch:
-        encode, end = encoder(tokenizer, keeps_space, "<u4"), np.array([end_id], "<u4").tobytes()
-        at, start, length, crc, tokens = [], [], [], [], []
-        for i, t in enumerate(b.column(1).to_pylist()):
-            ids = memoryview(encode(t) + end)
-            n = len(ids) // 4
-            for s in range(0, n, capacity):
-                part = ids[4 * s : 4 * (s + capacity)]
-                at.append(i)
-                start.append(s)
-                length.append(len(part) // 4)
-                crc.append(crc32_of(part))
-                tokens.append(n)
-        return pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at, pa.int32())), *(pa.array(x, pa.int64()) for x in (start, length, crc, tokens))], [key, "start", "length", "ids_crc32", "doc_tokens"])
+        ids, bounds = encoder(tokenizer, keeps_space, "<u4").encode(*utf8_buffers(b.column(1)))
+        raw = memoryview(np.insert(ids, bounds[1:], end_id)).cast("B")
+        tokens = np.diff(bounds) + 1
+        n = -(-tokens // capacity)
+        at = np.repeat(np.arange(len(n)), n)
+        start = (np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)) * capacity
+        length = np.minimum(tokens[at] - start, capacity)
+        first = (np.cumsum(tokens) - tokens)[at] + start
+        crc = [crc32_of(raw[4 * a : 4 * b]) for a, b in zip(first.tolist(), (first + length).tolist(), strict=True)]
+        return pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at, pa.int32())), *(pa.array(x, pa.int64()) for x in (start, length, crc, tokens[at]))], [key, "start", "length", "ids_crc32", "doc_tokens"])
 
     return map_batches(docs, [key, text], batch, f"`{key}` {kind}, start long, length long, ids_crc32 long, doc_tokens long")
 

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from vaultframe.llm.common import scratch, tune, wide
+from vaultframe.llm.common import scratch, tune, utf8_buffers, wide
 from vaultframe.llm.tokenizers_cached import crc32_of, encoder
 
 SEQUENCE = 2048
@@ -124,19 +124,18 @@ def write_store(docs: DataFrame, key: str, text: str, tokenizer: str, end_id: in
 
         shard = TaskContext.get().partitionId()
         name = f"shard-{shard:06d}-{uuid.uuid4().hex}.arrow"
-        encode, end = encoder(tokenizer, keeps_space, dtype), np.array([end_id], dtype).tobytes()
-        width = np.dtype(dtype).itemsize
+        encode = encoder(tokenizer, keeps_space, dtype).encode
         out, at = None, 0
         for b in batches:
-            starts, counts = [], []
-            for t in b.column(1).to_pylist():
-                out = out or ShardWriter(f"{root}/{name}", dtype, sequence)
-                ids = encode(t) + end
-                out.add(ids)
-                starts.append(at)
-                counts.append(len(ids) // width)
-                at += counts[-1]
             n = b.num_rows
+            if not n:
+                continue
+            out = out or ShardWriter(f"{root}/{name}", dtype, sequence)
+            ids, bounds = encode(*utf8_buffers(b.column(1)))
+            out.add(np.insert(ids, bounds[1:], end_id).tobytes())
+            counts = np.diff(bounds) + 1
+            starts = at + np.cumsum(counts) - counts
+            at += int(counts.sum())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([shard] * n, pa.int32()), pa.array([name] * n), pa.array(starts, pa.int64()), pa.array(counts, pa.int64())], [key, "shard", "file", "local_start", "n_tokens"])
         if out:
             out.close()
