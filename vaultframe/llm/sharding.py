@@ -9,7 +9,8 @@ onto an existing version fails, so of two writers one has to start over. Readers
 and never see half a change. Files that no kept version names are deleted by ``vacuum``.
 
 Cases: an empty arrival commits a version without a shard. Repeated rows are kept as they are.
-All columns are stored; the arrival column, if named, must not be one of them twice.
+All columns are stored; ``read`` puts its own shard, shard_bytes and tier in place of columns of
+these names.
 """
 
 from __future__ import annotations
@@ -156,7 +157,7 @@ class ShardedTable:
         for i, s in enumerate(shards):
             names[s["path"]] = i
         table = self.spark.createDataFrame([(s["path"].rpartition("/data/")[2], i, s["shard_bytes"], s["tier"]) for i, s in enumerate(shards)], "__at string, shard int, shard_bytes long, tier int")
-        rows = self.spark.read.schema(self._schema(shards[0]["path"])).parquet(*(s["path"] for s in shards)).select("*", F.element_at(F.split("_metadata.file_path", "/data/"), -1).alias("__at"))
+        rows = self.spark.read.schema(self._schema(shards[0]["path"])).parquet(*(s["path"] for s in shards)).drop("shard", "shard_bytes", "tier").select("*", F.element_at(F.split("_metadata.file_path", "/data/"), -1).alias("__at"))
         return rows.join(F.broadcast(table) if len(shards) < 100_000 else table, "__at").drop("__at")
 
 

@@ -332,7 +332,7 @@ def repeated_spans(docs: DataFrame, key: str, text: str, length: int = LENGTH) -
 def remove_repeats(docs: DataFrame, key: str, text: str, length: int = LENGTH) -> DataFrame:
     """``docs`` with ``text`` freed of repeats; bytes that no longer form UTF-8 become replacement marks."""
     _, spans = repeated_spans(docs, key, text, length)
-    spans = materialise(spans, "suffix-spans")
+    spans = materialise(spans, "suffix-spans").withColumnsRenamed({"row": "__row", "spans": "__spans"})
 
     @F.arrow_udf("string")
     def without(texts: pa.Array, rows: pa.Array) -> pa.Array:
@@ -341,8 +341,8 @@ def remove_repeats(docs: DataFrame, key: str, text: str, length: int = LENGTH) -
             out.append(t if not items else cut_spans((t or "").encode(), [(i["a"], i["b"]) for i in items])[1].decode("utf-8", "replace"))
         return pa.array(out, pa.string())
 
-    joined = docs.withColumn("__row", _row(key, text)).join(spans.withColumnRenamed("row", "__row"), "__row", "left")
-    return joined.withColumn(text, without(text, "spans")).select(*docs.columns)
+    joined = docs.withColumn("__row", _row(key, text)).join(spans, "__row", "left")
+    return joined.withColumn(text, without(text, "__spans")).select(*docs.columns)
 
 
 def repeat_digest(docs: DataFrame, key: str, text: str, length: int = LENGTH) -> DataFrame:

@@ -12,8 +12,7 @@ bounds leave few possible members for every query, or all levels are done, the s
 the possible members are scored again exactly in integers. So a result never depends on the
 quantisation, and ties are broken exactly by the smaller id.
 
-Cases: null vectors, vectors of another length than the most common first one seen per shard,
-and vectors with null or non-finite components take no part, neither as query nor candidate. A
+Cases: null ids, null vectors, vectors of another length than ``dim`` and vectors with null or non-finite components take no part, neither as query nor candidate. A
 query's own row (by id) is no candidate; other rows with equal vectors are. Fewer candidates
 than k give fewer rows. An empty table gives an empty result. Other columns are not carried.
 """
@@ -40,7 +39,7 @@ FEW = 64
 def quantised(embeddings: DataFrame, key: str, vector: str, scale: int, dim: int) -> DataFrame:
     """(id, v): integer components as packed 32-bit integers; unusable vectors are left out."""
     double = F.transform(vector, lambda x: x.cast("double"))
-    usable = F.col(vector).isNotNull() & (F.size(vector) == dim) & F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
+    usable = F.col(key).isNotNull() & F.col(vector).isNotNull() & (F.size(vector) == dim) & F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
     return embeddings.where(F.coalesce(usable, F.lit(False))).select(F.col(key).cast("long").alias("id"), F.transform(double, lambda x: F.floor(F.lit(float(scale)) * x).cast("int")).alias("v"))
 
 
