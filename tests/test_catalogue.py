@@ -172,3 +172,19 @@ def test_turn_batches(spark, con):
         state[c] = (b, n + 1, chars + len(x))
         want[c, t] = b
     assert {(r["conv_id"], r["turn"]): r["batch"] for r in rows(spark, "turn_batches")} == want
+
+
+def test_surfacing(spark):
+    found = rows(spark, "surfacing")
+    by = defaultdict(list)
+    for r in found:
+        by[r["pid"]].append(r)
+    assert by
+    for rs in by.values():
+        rs.sort(key=lambda r: r["rank"])
+        assert [r["rank"] for r in rs] == list(range(1, len(rs) + 1)) and len({r["id"] for r in rs}) == len(rs) <= 10
+        assert sum(r["tokens"] for r in rs) <= 800 or len(rs) == 1
+        assert all(r["id"] % 19 for r in rs)
+    clauses = [r for r in rows(spark, "query_clauses") if catalogue.PROMPTS[r["pid"]].startswith("what happened in january")]
+    assert len(clauses) == 2 or {c["kind"] for c in clauses} == {"bm25", "vector"}
+    assert sum(r["id"] == r["wid"] or not r["confident"] for r in rows(spark, "lifecycle_targets")) > 0

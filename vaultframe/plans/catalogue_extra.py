@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from vaultframe.functions import guards, text
 from vaultframe.operators import context, entities, lifecycle, observations, windows
-from vaultframe.plans.catalogue import prompts, query, rounded
+from vaultframe.plans import surfacing
+from vaultframe.plans.catalogue import fields, prompts, query, rounded
 from vaultframe.sources import adapter
 from vaultframe.sources.adapter import META_SQL, NOW, now, table
 
@@ -135,3 +136,25 @@ def prompt_shapes(spark, sf):
 @query("newest_by_type", f"WITH {META_SQL} SELECT content_type, id, CAST(r AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY content_type ORDER BY effective_at DESC, id) AS r FROM meta WHERE active) WHERE r <= 3")
 def newest_by_type(spark, sf):
     return windows.top_per(adapter.metadata(spark, sf).where("active"), ["content_type"], [F.desc("effective_at"), F.col("id")], 3).select("content_type", "id", "rank")
+
+
+def _asked(spark, sf):
+    c = table(spark, sf, "conversations").where("role = 'user'")
+    return c.select((F.col("conv_id") * 100 + F.col("turn")).alias("pid"), F.col("conv_id").cast("string").alias("session_id"), F.substring("text", 1, 160).alias("prompt"), (now() + F.make_dt_interval(mins=F.col("turn").cast("int"))).alias("at"))
+
+
+@query("surfacing")
+def surface_prompts(spark, sf):
+    return surfacing.surface(_asked(spark, sf), fields(spark, sf), adapter.metadata(spark, sf), now())
+
+
+@query("query_clauses")
+def query_clauses(spark, sf):
+    return surfacing.decompose(prompts(spark))
+
+
+@query("lifecycle_targets")
+def lifecycle_targets(spark, sf):
+    d = fields(spark, sf)
+    wanted = d.where("id % 10 = 0").select(F.col("id").alias("wid"), F.col("title").alias("text"))
+    return surfacing.lifecycle_target(wanted, d)
