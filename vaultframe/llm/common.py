@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import gc
 import tempfile
+import time
 import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Texts handed to Python at once; keeps a worker's memory flat whatever the length of a text.
@@ -60,7 +63,22 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
-def drop_scratch(spark: SparkSession, path: str) -> None:
+def sweep(spark: SparkSession) -> None:
+    """Lets Spark delete shuffle files that nothing refers to any more, before a step that needs much disk."""
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.4)
+
+
+def discard(df: DataFrame) -> None:
+    """Deletes what ``materialise`` wrote, once nothing reads it any more."""
+    files = df.inputFiles()
+    if files:
+        _delete(df.sparkSession, files[0].rpartition("/")[0])
+
+
+def _delete(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
@@ -75,14 +93,44 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def map_batches(df: DataFrame, columns: list[str], fn: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str) -> DataFrame:
-    """mapInArrow over the named columns only, one output batch for each input batch."""
+_slot: dict[object, object] = {}
+
+
+def loaded(key: object, make: Callable[[], object]):
+    """The one thing (a vocabulary with its cache) that this worker keeps; another one takes its place."""
+    if key not in _slot:
+        unload()
+        _slot[key] = make()
+    return _slot[key]
+
+
+def unload() -> None:
+    """Gives a worker's memory back: idle workers of earlier steps live on beside busy ones."""
+    _slot.clear()
+    trim()
+
+
+def trim() -> None:
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
+def map_batches(df: DataFrame, columns: list[str], fn: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str, keeps: bool = False) -> DataFrame:
+    """mapInArrow over the named columns only, one output batch for each input batch.
+
+    keeps: fn uses what ``loaded`` keeps; else that is dropped first.
+    """
     tune(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if not keeps:
+            unload()
         for b in batches:
             if b.num_rows:
                 yield fn(b)
+        trim()
 
     return df.select(*columns).mapInArrow(run, schema)
 
@@ -115,12 +163,43 @@ def mix64(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
-def segment_hashes(data: np.ndarray, starts: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """64-bit hash of each segment of bytes. starts: ascending, the first is 0; first: their flags."""
+#: White space that separates words: blank, tab, line feed, vertical tab, form feed, carriage return.
+SPACE_BYTES = np.zeros(256, bool)
+SPACE_BYTES[[9, 10, 11, 12, 13, 32]] = True
+#: The same values, but white space counts for nothing: a word's hash is that of the segment up to the next word.
+_WORD_VALUES = np.where(np.tile(SPACE_BYTES, _PLACES), np.uint64(0), _LETTER_VALUES)
+
+
+def packed_texts(docs: DataFrame, row: Column, text: str) -> DataFrame:
+    """(row, packed): compressed UTF-8 texts, for joins that have to move them; null counts as empty."""
+
+    def batch(b: pa.RecordBatch) -> pa.RecordBatch:
+        from zstandard import ZstdCompressor
+
+        data, offsets = utf8_buffers(b.column(1))
+        pack = ZstdCompressor(level=1).compress
+        view = memoryview(np.ascontiguousarray(data))
+        return pa.RecordBatch.from_arrays([b.column(0), pa.array([pack(view[s:e]) for s, e in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)], pa.binary())], ["row", "packed"])
+
+    return map_batches(docs.select(row.alias("__row"), F.col(text).alias("__text")), ["__row", "__text"], batch, "row long, packed binary")
+
+
+def unpacked(packed: pa.Array) -> Iterator[bytes]:
+    from zstandard import ZstdDecompressor
+
+    unpack = ZstdDecompressor().decompress
+    return (unpack(p) for p in packed.to_pylist())
+
+
+def segment_hashes(data: np.ndarray, starts: np.ndarray, first: np.ndarray, words: bool = False) -> np.ndarray:
+    """64-bit hash of each segment of bytes. starts: ascending, the first is 0; first: their flags.
+
+    words: segments are words with the white space after them, which does not count.
+    """
     segment = np.cumsum(first, dtype=np.int32)
     segment -= 1
     place = np.arange(len(data), dtype=np.int32) - starts.astype(np.int32)[segment]
-    value = _LETTER_VALUES[((place & (_PLACES - 1)) << 8) | data]
+    value = (_WORD_VALUES if words else _LETTER_VALUES)[((place & (_PLACES - 1)) << 8) | data]
     far = np.flatnonzero(place >= _PLACES)
     if len(far):
         value[far] *= mix64((place[far] // _PLACES).astype(np.uint64)) | np.uint64(1)

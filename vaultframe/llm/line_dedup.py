@@ -28,58 +28,44 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vaultframe.llm.common import map_batches, materialise, tune, utf8_buffers, wide
+from vaultframe.llm.common import SPACE_BYTES, discard, map_batches, materialise, mix64, packed_texts, segment_hashes, sweep, text_parts, tune, unload, unpacked, utf8_buffers, wide
 
 THRESHOLD = 0.8
 LEAST_WORDS = 5
+#: Lines of more words have a wider sketch, of 64 bits for each 64 words and rounded up to a power of two, 1024 bits at most.
+LONG_LINE = 64
 #: Buckets of the word counts: 1 MB on the driver and in each worker, whatever the corpus.
 BUCKETS = 1 << 18
+_CHUNK = 1 << 12
 #: Candidates that a class tries per shared word before its first verification.
 FIRST_TRIES = 4
-#: Bytes of text taken apart at once, and pairs compared at once.
-CHUNK = 2 << 20
+#: Hash buckets that mark the words of lines still open: half a megabyte.
+MARKS = 1 << 22
+#: Pairs compared at once.
 PAIRS = 2_000_000
 
 _U = np.uint64
-_PLACES = 32
-_LETTER = (np.random.default_rng(20240519).integers(1, 2**63, (_PLACES, 256), dtype=np.uint64) << _U(1)) | _U(1)
-_SPACE = np.zeros(256, bool)
-_SPACE[[9, 10, 11, 12, 13, 32]] = True
-
-
-def _mix(h: np.ndarray) -> np.ndarray:
-    h = h ^ (h >> _U(31))
-    h = h * _U(0x9E6C63D0876A9A47)
-    h ^= h >> _U(29)
-    h *= _U(0xD6E8FEB86659FD93)
-    return h ^ (h >> _U(32))
 
 
 def words_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(hash of each word, line it is in) of a batch of texts; see lines_of for the lines."""
-    n = len(data)
-    if not n:
+    if not len(data):
         return np.zeros(0, _U), np.zeros(0, np.int64)
-    space = _SPACE[data]
-    first = np.empty(n, bool)
+    space = SPACE_BYTES[data]
+    first = np.empty(len(data), bool)
     first[0] = True
     first[1:] = space[:-1]
-    first[offsets[:-1][offsets[:-1] < n]] = True  # a text's first word starts there
+    first[offsets[:-1][offsets[:-1] < len(data)]] = True  # a text's first word starts there
     first &= ~space
     starts = np.flatnonzero(first)
     if not len(starts):
         return np.zeros(0, _U), np.zeros(0, np.int64)
-    letters = np.flatnonzero(~space)
-    word = np.cumsum(first)[letters] - 1
-    place = letters - starts[word]
-    value = _LETTER[place % _PLACES, data[letters]]
-    far = place >= _PLACES
-    if far.any():
-        value[far] *= _mix((place[far] // _PLACES).astype(_U)) | _U(1)
-    hashes = _mix(np.add.reduceat(value, np.searchsorted(letters, starts)))
+    head = int(starts[0])
+    hashes = segment_hashes(data[head:], starts - head, first[head:], words=True)
     line_starts, _, _ = lines_of(data, offsets)
     return hashes, np.searchsorted(line_starts, starts, "right") - 1
 
@@ -98,17 +84,13 @@ def lines_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     return starts, text, number
 
 
-def prefix_length(size: np.ndarray, share: float) -> np.ndarray:
-    return size - np.ceil(share * size - 1e-9).astype(np.int64) + 1
+def wide_words(size: int) -> int:
+    """64-bit words in a long line's sketch: a power of two."""
+    return min(16, 1 << max(0, (size - 1).bit_length() - 6))
 
 
-def _parts(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """Runs of texts of about CHUNK bytes: (number of the first text, bytes, offsets)."""
-    lo, last = 0, len(offsets) - 1
-    while lo < last:
-        hi = max(lo + 1, int(np.searchsorted(offsets, offsets[lo] + CHUNK, "right")) - 1)
-        yield lo, data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]
-        lo = hi
+def prefix_length(size: np.ndarray, share: float) -> np.ndarray:
+    return size - np.ceil(share * size - 1e-9).astype(np.int64) + 1
 
 
 def word_counts(docs: DataFrame, text: str) -> np.ndarray:
@@ -118,15 +100,25 @@ def word_counts(docs: DataFrame, text: str) -> np.ndarray:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(BUCKETS, np.int64)
         for b in batches:
-            for _, data, offsets in _parts(*utf8_buffers(b.column(0))):
+            for _, data, offsets in text_parts(*utf8_buffers(b.column(0))):
                 hashes, _ = words_of(data, offsets)
                 total += np.bincount((hashes & _U(BUCKETS - 1)).astype(np.int64), minlength=BUCKETS)
-        used = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array(total[used])], ["bucket", "n"])
+        for k in range(0, BUCKETS, _CHUNK):
+            if total[k : k + _CHUNK].any():
+                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([total[k : k + _CHUNK].tobytes()], pa.binary())], ["first", "counts"])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for b in batches:
+            for k, c in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                sums[k] = sums.get(k, 0) + np.frombuffer(c, np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([v.tobytes() for v in sums.values()], pa.binary())], ["first", "counts"])
 
-    rows = docs.select(text).mapInArrow(count, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
+    chunks = docs.select(text).mapInArrow(count, "first int, counts binary")
+    rows = chunks.repartition(wide(docs.sparkSession), "first").mapInArrow(add, "first int, counts binary").collect()
     out = np.zeros(BUCKETS, np.int64)
-    out[rows.column("bucket").to_numpy()] = rows.column("n").to_numpy()
+    for r in rows:
+        out[r["first"] : r["first"] + _CHUNK] = np.frombuffer(r["counts"], np.int64)
     return out
 
 
@@ -137,7 +129,11 @@ class LineSets:
         _, self.text, self.number = lines_of(data, offsets)
         hashes, line = words_of(data, offsets)
         rarity = counts[(hashes & _U(BUCKETS - 1)).astype(np.int64)]
-        order = np.lexsort((hashes, rarity, line))
+        key = (line.astype(_U) << _U(44)) | (np.minimum(rarity, (1 << 20) - 1).astype(_U) << _U(24)) | (hashes >> _U(40))
+        order = np.argsort(key)
+        k, h = key[order], hashes[order]
+        if len(line) and (line[-1] >= 1 << 20 or ((k[1:] == k[:-1]) & (h[1:] != h[:-1])).any()):  # the short key does not tell
+            order = np.lexsort((hashes, hashes >> _U(40), np.minimum(rarity, (1 << 20) - 1), line))
         hashes, rarity, line = hashes[order], rarity[order], line[order]
         keep = np.ones(len(hashes), bool)
         keep[1:] = (hashes[1:] != hashes[:-1]) | (line[1:] != line[:-1])
@@ -148,20 +144,29 @@ class LineSets:
 
     def keys(self) -> np.ndarray:
         """A hash of each set, the same for equal sets."""
-        return _mix(np.add.reduceat(_mix(self.hashes * _U(0xA24BAED4963EE407)), self.at) + self.size.astype(_U)) if len(self.at) else np.zeros(0, _U)
+        return mix64(np.add.reduceat(mix64(self.hashes * _U(0xA24BAED4963EE407)), self.at) + self.size.astype(_U)) if len(self.at) else np.zeros(0, _U)
 
     def sketches(self) -> np.ndarray:
         """64 parity bits: bit i tells whether an odd number of words hash to it."""
         return np.bitwise_xor.reduceat(_U(1) << (self.hashes >> _U(58)), self.at) if len(self.at) else np.zeros(0, _U)
 
+    def wide_sketch(self, k: int) -> np.ndarray:
+        """More parity bits for a long line: by the hash's low bits, so that halves fold together by xor."""
+        n = wide_words(int(self.size[k]))
+        h = self.hashes[self.at[k] : self.at[k] + self.size[k]]
+        out = np.zeros(n, _U)
+        np.bitwise_xor.at(out, ((h >> _U(52)) & _U(n - 1)).astype(np.int64), _U(1) << ((h >> _U(46)) & _U(63)))
+        return out
+
 
 def _lines(docs: DataFrame, key: str, text: str, counts, threshold: float, least: int) -> DataFrame:
-    """(row, id, line, set, size, sketch, prefix): every line of enough words. prefix: rarest first."""
+    """(row, id, line, set, size, sketch, wide, prefix): every line of enough words. prefix: rarest first."""
 
     def batch(b: pa.RecordBatch) -> pa.RecordBatch:
         data, offsets = utf8_buffers(b.column(2))
         out: list[tuple] = []
-        for lo, part, bounds in _parts(data, offsets):
+        wide: list[np.ndarray | None] = []
+        for lo, part, bounds in text_parts(data, offsets):
             s = LineSets(part, bounds, counts.value)
             own = np.flatnonzero(s.size >= least)
             if not len(own):
@@ -172,16 +177,17 @@ def _lines(docs: DataFrame, key: str, text: str, counts, threshold: float, least
             # a word counted once in its bucket is in no other line
             words = np.where(rare > 1, words, _U(0))
             out.append((s.text[s.line[own]] + lo, s.number[s.line[own]], s.keys()[own], s.size[own], s.sketches()[own], take, words))
+            wide += [s.wide_sketch(k).view(np.int64) if s.size[k] > LONG_LINE else None for k in own.tolist()]
         if not out:
             out = [tuple(np.zeros(0, t) for t in (np.int64, np.int64, _U, np.int64, _U, np.int64, _U))]
         doc, number, sets, size, sketch, take, words = (np.concatenate(x) for x in zip(*out, strict=True))
         bounds = np.concatenate([[0], np.cumsum(take)]).astype(np.int32)
         at = pa.array(doc, pa.int64())
         longs = [pa.array(x.astype(_U).view(np.int64) if x.dtype == _U else x, pa.int64()) for x in (number, sets, size, sketch)]
-        return pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at), *longs, pa.ListArray.from_arrays(pa.array(bounds), pa.array(words.view(np.int64)))], ["row", "id", "line", "set", "size", "sketch", "prefix"])
+        return pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at), *longs, pa.array(wide, pa.list_(pa.int64())), pa.ListArray.from_arrays(pa.array(bounds), pa.array(words.view(np.int64)))], ["row", "id", "line", "set", "size", "sketch", "wide", "prefix"])
 
     source = docs.select(_row(key, text), _order(docs, key), F.col(text).alias("__text"))
-    return map_batches(source, ["__row", "__id", "__text"], batch, "row long, id long, line long, set long, size long, sketch long, prefix array<long>")
+    return map_batches(source, ["__row", "__id", "__text"], batch, "row long, id long, line long, set long, size long, sketch long, wide array<long>, prefix array<long>")
 
 
 def _order(docs: DataFrame, key: str):
@@ -193,6 +199,28 @@ def _row(key: str, text: str):
     return F.xxhash64(F.lit("row"), F.col(key), F.sha2(F.coalesce(F.col(text), F.lit("")), 256)).alias("__row")
 
 
+def wide_fits(cols: dict[str, np.ndarray], big: np.ndarray, small: np.ndarray, spare: np.ndarray) -> np.ndarray:
+    """May two lines differ in so few words? Short lines pass; long ones by their wide sketches, folded to one width."""
+    fits = np.ones(len(big), bool)
+    size = cols["size"]
+    both = np.flatnonzero(np.minimum(size[big], size[small]) > LONG_LINE)
+    if not len(both):
+        return fits
+    words = np.array([wide_words(n) for n in range(LONG_LINE + 1, 1026)])
+    width = lambda n: words[np.minimum(n, 1025) - LONG_LINE - 1]
+    kb, ks = width(size[big[both]]), width(size[small[both]])
+    for a, b in {*zip(kb.tolist(), ks.tolist(), strict=True)}:
+        own = both[(kb == a) & (ks == b)]
+        for lo in range(0, len(own), 100_000):
+            part = own[lo : lo + 100_000]
+            x = cols["pool"][cols["wide_at"][big[part]][:, None] + np.arange(a)]
+            y = cols["pool"][cols["wide_at"][small[part]][:, None] + np.arange(b)]
+            n = min(a, b)
+            x, y = (np.bitwise_xor.reduce(z.reshape(len(part), -1, n), axis=1) for z in (x, y))
+            fits[part] = spare[part] >= np.bitwise_count(x ^ y).sum(axis=1)
+    return fits
+
+
 def _candidates(postings: DataFrame, threshold: float, tries: int | None) -> DataFrame:
     """(x, y, more): set y comes before set x and passes the filters; at most ``tries`` for each x and word."""
     spark = postings.sparkSession
@@ -220,20 +248,31 @@ def _candidates(postings: DataFrame, threshold: float, tries: int | None) -> Dat
             total = size[big] + size[small]
             need = np.ceil(threshold / (1 + threshold) * total - 1e-9)
             ok = 1 + np.minimum(size[big] - cols["pos"][big], size[small] - cols["pos"][small]) - 1 >= need
-            ok &= total - 2 * need >= np.bitwise_count(cols["sketch"][big] ^ cols["sketch"][small])
+            spare = total - 2 * need
+            ok &= spare >= np.bitwise_count(cols["sketch"][big] ^ cols["sketch"][small])
             ok &= cols["set"][big] != cols["set"][small]
+            big, small, spare = big[ok], small[ok], spare[ok]
+            ok = wide_fits(cols, big, small, spare)
             big, small = big[ok], small[ok]
             before = (cols["id"][small] < cols["id"][big]) | ((cols["id"][small] == cols["id"][big]) & ((cols["line"][small] < cols["line"][big]) | ((cols["line"][small] == cols["line"][big]) & (cols["set"][small] < cols["set"][big]))))
             yield np.where(before, big, small), np.where(before, small, big)
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["word", "id", "line", "set", "size", "pos", "sketch", "asks"]
+        names = ["word", "id", "line", "set", "packed", "sketch", "wide_at"]
+        unload()
         held: list[list[np.ndarray]] = []
+        pools: list[np.ndarray] = []
 
         def done() -> Iterator[pa.RecordBatch]:
             cols = {k: np.concatenate([h[i] for h in held]) for i, k in enumerate(names)}
+            pool = np.concatenate([np.zeros(0, np.int64), *pools]).view(_U)
             held.clear()
-            cols["sketch"] = cols["sketch"].view(_U)
+            pools.clear()
+            order = np.lexsort((cols["packed"], cols["word"]))
+            cols = {k: v[order] for k, v in cols.items()}
+            packed = cols.pop("packed").view(_U)
+            cols["size"], cols["pos"], cols["asks"] = (x.astype(np.int64) for x in (packed >> _U(32), (packed >> _U(1)) & _U(0x7FFFFFFF), packed & _U(1)))
+            cols["sketch"], cols["pool"] = cols["sketch"].view(_U), pool
             run = np.cumsum(np.concatenate([[0], np.diff(cols["word"]) != 0]))
             tried = np.zeros(len(run), np.int64)
             for x, y in compare(run, cols):
@@ -255,25 +294,65 @@ def _candidates(postings: DataFrame, threshold: float, tries: int | None) -> Dat
         for b in batches:
             if not b.num_rows:
                 continue
-            cols = [b.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(len(names))]
+            wide_list = b.column(6)
+            lengths = pc.fill_null(pc.list_value_length(wide_list), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+            flat = wide_list.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+            # place of a row's wide sketch in the batch's pool, shifted below by what is held
+            own_at = np.cumsum(lengths) - lengths
+            cols = [*(b.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(6)), own_at]
             other = np.flatnonzero(cols[0] != cols[0][-1])
             whole = other[-1] + 1 if len(other) else 0
+            base = sum(map(len, pools))
             if whole:  # the last word may go on in the next batch
-                held.append([c[:whole] for c in cols])
+                cut = int(own_at[whole]) if whole < len(own_at) else len(flat)
+                held.append([*(c[:whole] for c in cols[:6]), own_at[:whole] + base])
+                pools.append(flat[:cut])
                 yield from done()
-            held.append([c[whole:] for c in cols])
+                held.append([*(c[whole:] for c in cols[:6]), own_at[whole:] - cut])
+                pools.append(flat[cut:])
+            else:
+                held.append([*cols[:6], own_at + base])
+                pools.append(flat)
         if held:
             yield from done()
 
-    dealt = postings.repartition(wide(spark), "word").sortWithinPartitions("word", "size")
-    return dealt.select("word", "id", "line", "set", "size", "pos", "sketch", "asks").mapInArrow(search, "x long, y long, more boolean")
+    # size, position and asks in one column, size first: it is the order within a word, which is
+    # made per batch, so that Spark's sort has the word as its only key
+    packed = F.shiftleft("size", 32).bitwiseOR(F.shiftleft(F.col("pos").cast("long"), 1)).bitwiseOR(F.col("asks").cast("long"))
+    dealt = postings.select("word", "id", "line", "set", packed.alias("packed"), "sketch", "wide").repartition(wide(spark), "word").sortWithinPartitions("word")
+    return dealt.mapInArrow(search, "x long, y long, more boolean")
+
+
+def _word_marks(firsts: DataFrame) -> np.ndarray:
+    """Flags of the hash buckets of the prefix words; bounded by MARKS whatever the number of words."""
+    rows = firsts.select(F.explode("prefix").alias("w")).where("w <> 0").select(F.col("w").bitwiseAND(F.lit(MARKS - 1)).cast("int").alias("k")).distinct().toArrow()
+    marks = np.zeros(MARKS, bool)
+    marks[rows.column("k").to_numpy()] = True
+    return np.packbits(marks)
+
+
+def _postings_of(firsts: DataFrame, marks: np.ndarray) -> DataFrame:
+    """The postings of marked words, taken out before any shuffle."""
+    shared = firsts.sparkSession.sparkContext.broadcast(marks)
+
+    def batch(b: pa.RecordBatch) -> pa.RecordBatch:
+        prefix = b.column(6)
+        n = pc.list_value_length(prefix).to_numpy(zero_copy_only=False).astype(np.int64)
+        words = prefix.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+        row = np.repeat(np.arange(len(n)), n)
+        pos = np.arange(len(words)) - np.repeat(np.cumsum(n) - n, n)
+        k = words & (MARKS - 1)
+        keep = np.flatnonzero((words != 0) & ((shared.value[k >> 3] >> (7 - (k & 7))) & 1).astype(bool))
+        at = pa.array(row[keep])
+        return pa.RecordBatch.from_arrays([*(b.column(i).take(at) for i in range(6)), b.column(7).take(at), pa.array(pos[keep].astype(np.int32)), pa.array(words[keep])], ["id", "line", "set", "sketch", "wide", "size", "asks", "pos", "word"])
+
+    columns = firsts.select(F.col("first.id").alias("id"), F.col("first.line").alias("line"), "set", "sketch", "wide", "size", "prefix", F.coalesce("asks", F.lit(0)).alias("asks"))
+    return map_batches(columns, columns.columns, batch, "id long, line long, set long, sketch long, wide array<long>, size long, asks int, pos int, word long")
 
 
-def matched_sets(lines: DataFrame, docs: DataFrame, key: str, text: str, counts, threshold: float) -> tuple[DataFrame, DataFrame]:
-    """(firsts, matched): firsts(set, row, line) of all sets; matched(set) of those with a match before them."""
-    firsts = lines.groupBy("set").agg(F.min(F.struct("id", "row", "line")).alias("first"), F.first("size").alias("size"), F.first("sketch").alias("sketch"), F.first("prefix").alias("prefix"))
-    firsts = materialise(firsts, "line-sets")
-    posting = firsts.select(F.col("first.id").alias("id"), F.col("first.line").alias("line"), "set", "size", "sketch", F.posexplode("prefix").alias("pos", "word")).where("word <> 0")
+def matched_sets(firsts: DataFrame, docs: DataFrame, key: str, text: str, threshold: float) -> DataFrame:
+    """(set) of the sets in firsts(set, first, n, size, sketch, wide, prefix) with a match before them."""
+    posting = firsts.select(F.col("first.id").alias("id"), F.col("first.line").alias("line"), "set", "sketch", "wide", F.col("size"), F.posexplode("prefix").alias("pos", "word")).where("word <> 0")
 
     def verified(pairs: DataFrame) -> DataFrame:
         """(set) of the pairs' x with a y that matches it."""
@@ -282,8 +361,8 @@ def matched_sets(lines: DataFrame, docs: DataFrame, key: str, text: str, counts,
 
         def batch(b: pa.RecordBatch) -> pa.RecordBatch:
             ids, words = [], []
-            for t, items in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                lines = (t or "").encode().split(b"\n")
+            for raw_text, items in zip(unpacked(b.column(0)), b.column(1).to_pylist(), strict=True):
+                lines = raw_text.split(b"\n")
                 for w in items:
                     raw = lines[w["line"]]
                     hashes, _ = words_of(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))
@@ -291,31 +370,40 @@ def matched_sets(lines: DataFrame, docs: DataFrame, key: str, text: str, counts,
                     words.append(np.unique(hashes).view(np.int64))
             return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(words, pa.list_(pa.int64()))], ["set", "words"])
 
-        texts = docs.select(_row(key, text).alias("row"), F.col(text).alias("text"))
-        sets = materialise(map_batches(texts.join(at, "row"), ["text", "wanted"], batch, "set long, words array<long>").dropDuplicates(["set"]), "line-words")
+        texts = packed_texts(docs, _row(key, text), text)
+        sets = materialise(map_batches(texts.join(at, "row"), ["packed", "wanted"], batch, "set long, words array<long>").dropDuplicates(["set"]), "line-words")
         both = pairs.join(sets.select(F.col("set").alias("x"), F.col("words").alias("xw")), "x").join(sets.select(F.col("set").alias("y"), F.col("words").alias("yw")), "y")
         shared = F.size(F.array_intersect("xw", "yw"))
         return both.where(shared >= F.ceil((F.size("xw") + F.size("yw")) * F.lit(threshold / (1 + threshold)) - F.lit(1e-9))).select(F.col("x").alias("set")).distinct()
 
     tried = materialise(_candidates(posting.withColumn("asks", F.lit(1)), threshold, FIRST_TRIES), "line-candidates")
+    sweep(docs.sparkSession)
     matched = materialise(verified(tried.select("x", "y").distinct()), "line-matched")
     open_sets = tried.where("more").select(F.col("x").alias("set")).distinct().join(matched, "set", "left_anti")
     open_sets = materialise(open_sets, "line-open")
     if open_sets.limit(1).count():
-        words = posting.join(open_sets, "set", "left_semi").select("word").distinct()
-        rest = posting.join(words, "word", "left_semi").join(open_sets.withColumn("asks", F.lit(1)), "set", "left").withColumn("asks", F.coalesce("asks", F.lit(0)))
+        asking = firsts.join(open_sets, "set", "left_semi")
+        rest = _postings_of(firsts.join(open_sets.withColumn("asks", F.lit(1)), "set", "left"), _word_marks(asking))
         all_pairs = materialise(_candidates(rest, threshold, None), "line-candidates-all")
         matched = matched.unionByName(materialise(verified(all_pairs.select("x", "y").distinct()), "line-matched-all"))
-    return firsts.select("set", "first"), matched
+    return matched
 
 
 def removed_lines(docs: DataFrame, key: str, text: str, threshold: float = THRESHOLD, least: int = LEAST_WORDS) -> DataFrame:
     """(row, id, line) of every line that matches a line before it."""
     counts = docs.sparkSession.sparkContext.broadcast(word_counts(docs, text))
-    lines = materialise(_lines(docs, key, text, counts, threshold, least), "lines")
-    firsts, matched = matched_sets(lines, docs, key, text, counts, threshold)
-    staying = firsts.join(matched, "set", "left_anti").select("set", F.col("first.row").alias("row"), F.col("first.line").alias("line"))
-    return lines.select("set", "row", "id", "line").join(staying, ["set", "row", "line"], "left_anti").select("row", "id", "line").distinct()
+    full = materialise(_lines(docs, key, text, counts, threshold, least), "lines-full")
+    first = F.min(F.struct("id", "row", "line")).alias("first")
+    firsts = materialise(full.groupBy("set").agg(first, F.count("*").alias("n"), *(F.first(c).alias(c) for c in ("size", "sketch", "wide", "prefix"))), "line-sets")
+    lines = materialise(full.select("row", "id", "line", "set"), "lines")
+    discard(full)
+    matched = matched_sets(firsts, docs, key, text, threshold)
+    # sets with something to remove: the later lines, and the first one too if the set matched
+    hit = firsts.join(matched.withColumn("all", F.lit(True)), "set", "left").where("n > 1 or all").select("set", "first", F.coalesce("all", F.lit(False)).alias("all"))
+    hit = materialise(hit, "line-hits")
+    discard(firsts)
+    later = (F.col("row") != F.col("first.row")) | (F.col("line") != F.col("first.line"))
+    return lines.join(hit, "set").where(F.col("all") | later).select("row", "id", "line").distinct()
 
 
 def line_report(docs: DataFrame, key: str, text: str, threshold: float = THRESHOLD, least: int = LEAST_WORDS) -> DataFrame:
