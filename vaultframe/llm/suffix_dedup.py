@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vaultframe.llm.common import map_batches, materialise, tune, utf8_buffers, wide
+from vaultframe.llm.common import discard, map_batches, materialise, packed_texts, sweep, tune, unload, unpacked, utf8_buffers, wide
 
 LENGTH = 400
 ANCHOR = 32
@@ -280,26 +280,27 @@ def repeated_spans(docs: DataFrame, key: str, text: str, length: int = LENGTH) -
     flat = scanned.select("row", F.explode("pieces").alias("p")).select("row", "p.core", "p.content", "p.at")
     distinct = flat.groupBy("core", "content").agg(F.count("*").alias("n"), F.min(F.struct("row", "at")).alias("where"))
     distinct = materialise(distinct, "suffix-distinct")
+    sweep(spark)
     shared = distinct.groupBy("core").agg(F.sum("n").alias("total")).where("total > 1").select("core")
     wanted = distinct.join(shared, "core", "left_semi")
     by_doc = wanted.groupBy(F.col("where.row").alias("row")).agg(F.collect_list(F.struct("core", "content", F.col("where.at").alias("at"), "n")).alias("wanted"))
-    texts = docs.select(_row(key, text).alias("row"), F.col(text).alias("text"))
+    texts = packed_texts(docs, _row(key, text), text)
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             columns: list[list] = [[], [], [], [], []]
-            for t, items in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                raw = (t or "").encode()
+            for raw, items in zip(unpacked(b.column(0)), b.column(1).to_pylist(), strict=True):
                 for w in items:
                     first, windows, lead = w["at"] >> 20, (w["at"] >> 10) & 1023, w["at"] & 1023
                     for c, v in zip(columns, (w["core"], w["content"], lead, w["n"], raw[first : first + windows + length - 1]), strict=True):
                         c.append(v)
             yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in columns[:4]), pa.array(columns[4], pa.binary())], ["core", "content", "lead", "n", "bytes"])
 
-    located = texts.join(by_doc, "row").select("text", "wanted").mapInArrow(extract, "core long, content long, lead long, n long, bytes binary")
+    located = texts.join(by_doc, "row").select("packed", "wanted").mapInArrow(extract, "core long, content long, lead long, n long, bytes binary")
     dealt = located.repartition(wide(spark), "core").sortWithinPartitions("core", "content")
 
     def expand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unload()
         held: list[tuple] = []
         size, last = 0, None
 
@@ -323,6 +324,8 @@ def repeated_spans(docs: DataFrame, key: str, text: str, length: int = LENGTH) -
             yield done()
 
     repeated = materialise(dealt.mapInArrow(expand, "core long, content long, runs array<int>"), "suffix-repeated")
+    discard(distinct)
+    sweep(spark)
     hits = flat.join(repeated, ["core", "content"]).select("row", F.shiftright("at", 20).alias("first"), "runs")
     pairs = F.transform(F.sequence(F.lit(0), (F.size("runs") / 2 - 1).cast("int")), lambda i: F.struct((F.col("first") + F.get("runs", 2 * i)).cast("int").alias("a"), (F.col("first") + F.get("runs", 2 * i + 1) + length).cast("int").alias("b")))
     spans = hits.groupBy("row").agg(F.flatten(F.collect_list(pairs)).alias("spans"))
@@ -331,8 +334,10 @@ def repeated_spans(docs: DataFrame, key: str, text: str, length: int = LENGTH) -
 
 def remove_repeats(docs: DataFrame, key: str, text: str, length: int = LENGTH) -> DataFrame:
     """``docs`` with ``text`` freed of repeats; bytes that no longer form UTF-8 become replacement marks."""
-    _, spans = repeated_spans(docs, key, text, length)
+    scanned, spans = repeated_spans(docs, key, text, length)
     spans = materialise(spans, "suffix-spans").withColumnsRenamed({"row": "__row", "spans": "__spans"})
+    discard(scanned)
+    sweep(docs.sparkSession)
 
     @F.arrow_udf("string")
     def without(texts: pa.Array, rows: pa.Array) -> pa.Array:
@@ -352,13 +357,13 @@ def repeat_digest(docs: DataFrame, key: str, text: str, length: int = LENGTH) ->
 
     def batch(b: pa.RecordBatch) -> pa.RecordBatch:
         removed, count, sha = [], [], []
-        for t, items in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
-            runs, left = cut_spans((t or "").encode(), [(i["a"], i["b"]) for i in items])
+        for raw, items in zip(unpacked(b.column(1)), b.column(2).to_pylist(), strict=True):
+            runs, left = cut_spans(raw, [(i["a"], i["b"]) for i in items])
             removed.append(sum(e - s for s, e in runs))
             count.append(len(runs))
             sha.append(hashlib.sha256(left).hexdigest())
         return pa.RecordBatch.from_arrays([b.column(0), pa.array(removed, pa.int64()), pa.array(count, pa.int64()), pa.array(sha)], ["row", "n_removed", "n_spans", "left_sha"])
 
-    texts = docs.select(_row(key, text).alias("row"), F.col(text).alias("text"))
-    cut = map_batches(texts.join(spans, "row"), ["row", "text", "spans"], batch, "row long, n_removed long, n_spans long, left_sha string").dropDuplicates(["row"])
+    texts = packed_texts(docs, _row(key, text), text)
+    cut = map_batches(texts.join(spans, "row"), ["row", "packed", "spans"], batch, "row long, n_removed long, n_spans long, left_sha string").dropDuplicates(["row"])
     return scanned.join(cut, "row", "left").select(key, "n_bytes", F.coalesce("n_removed", F.lit(0)).cast("long").alias("n_removed"), F.coalesce("n_spans", F.lit(0)).cast("long").alias("n_spans"), F.coalesce("left_sha", "sha").alias("kept_sha256"))
