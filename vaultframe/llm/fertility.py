@@ -25,8 +25,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vaultframe.llm.common import WordCache, map_batches, tune
-from vaultframe.llm.piece_codec import SPACE, codec
+from vaultframe.llm.common import WordCache, loaded, map_batches, tune
+from vaultframe.llm.piece_codec import SPACE, PieceCodec
 
 #: Fixed values of the base rules.
 SYMBOLS = "#*$%&|<>"
@@ -113,7 +113,7 @@ class Fertility:
     """Token measures of whole texts under one vocabulary."""
 
     def __init__(self, path: str):
-        self.codec = codec(path)
+        self.codec = PieceCodec(path)
         self.cache = WordCache(self._span)
         self.byte_ids = set(self.codec.byte_id.values()) - {self.codec.byte_id[10]}
 
@@ -132,13 +132,8 @@ class Fertility:
         return n, len(text) / n, fallback / n, float(-(share * np.log2(share)).sum())
 
 
-_measures: dict[str, Fertility] = {}
-
-
 def fertility(path: str) -> Fertility:
-    if path not in _measures:
-        _measures[path] = Fertility(path)
-    return _measures[path]
+    return loaded(("fertility", path), lambda: Fertility(path))
 
 
 def verdict(f: Fertility, text: str | None, language: str | None, bands: dict[str, Band]) -> tuple[tuple, tuple, bool, bool]:
@@ -169,7 +164,7 @@ def measure(docs: DataFrame, key: str, text: str, lang: str, tokenizer: str, ban
         n, *measures = zip(*tokens, strict=True)
         return pa.RecordBatch.from_arrays([b.column(0), *longs, pa.array(failed), pa.array(n, pa.int64()), *(pa.array(x, pa.float64()) for x in measures), pa.array(kept)], [key, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "n_tokens", "chars_per_token", "byte_share", "token_entropy", "kept"])
 
-    return map_batches(docs.select(F.col(key), F.col(text), F.col(lang).cast("string").alias("__lang")), [key, text, "__lang"], batch, f"`{key}` {kind}, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, n_tokens long, chars_per_token double, byte_share double, token_entropy double, kept boolean")
+    return map_batches(docs.select(F.col(key), F.col(text), F.col(lang).cast("string").alias("__lang")), [key, text, "__lang"], batch, f"`{key}` {kind}, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, n_tokens long, chars_per_token double, byte_share double, token_entropy double, kept boolean", keeps=True)
 
 
 def keep_documents(docs: DataFrame, text: str, lang: str, tokenizer: str, bands: dict[str, Band] | None = None) -> DataFrame:

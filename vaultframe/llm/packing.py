@@ -94,7 +94,7 @@ def pieces(docs: DataFrame, key: str, text: str, tokenizer: str, end_id: int, ca
         crc = [crc32_of(raw[4 * a : 4 * b]) for a, b in zip(first.tolist(), (first + length).tolist(), strict=True)]
         return pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at, pa.int32())), *(pa.array(x, pa.int64()) for x in (start, length, crc, tokens[at]))], [key, "start", "length", "ids_crc32", "doc_tokens"])
 
-    return map_batches(docs, [key, text], batch, f"`{key}` {kind}, start long, length long, ids_crc32 long, doc_tokens long")
+    return map_batches(docs, [key, text], batch, f"`{key}` {kind}, start long, length long, ids_crc32 long, doc_tokens long", keeps=True)
 
 
 def assign(cut: DataFrame, key: str, capacity: int) -> DataFrame:

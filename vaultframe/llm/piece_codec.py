@@ -25,7 +25,7 @@ import re
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from vaultframe.llm.common import WordCache, map_batches
+from vaultframe.llm.common import WordCache, loaded, map_batches
 
 SPACE = "▁"
 _MARK = r"!-/:-@\[-`{-~"
@@ -63,7 +63,7 @@ class PieceCodec:
             if len(p) > 1 and self.merges(p) == [p]:  # others are never a result
                 self.automaton.add_word(p, p)
         self.automaton.make_automaton()
-        self.compatible = WordCache(lambda pair: self.merges(pair[0] + pair[1], len(pair[0])) is not None, 1_000_000)
+        self.compatible = WordCache(lambda pair: self.merges(pair[0] + pair[1], len(pair[0])) is not None, 600_000)
         self.spans = re.compile(f"{SPACE}*(?:[^{SPACE}\n{_MARK}]*[{_LETTER}](?=[{_MARK}])|[^{SPACE}\n{_LETTER}]*[{_MARK}](?=[{_LETTER}])|[^{SPACE}\n]+)|\n|{SPACE}+").findall
         self.cache = WordCache(self.span)
 
@@ -164,13 +164,8 @@ def lenient(raw: bytes) -> str:
         return raw[: e.start].decode() + "�" + lenient(raw[e.start + 1 :])
 
 
-_codecs: dict[str, PieceCodec] = {}
-
-
 def codec(path: str) -> PieceCodec:
-    if path not in _codecs:
-        _codecs[path] = PieceCodec(path)
-    return _codecs[path]
+    return loaded(("codec", path), lambda: PieceCodec(path))
 
 
 def encode_documents(docs: DataFrame, text: str, path: str) -> DataFrame:
@@ -212,4 +207,4 @@ def round_trip_digest(docs: DataFrame, key: str, text: str, path: str) -> DataFr
             decoded.append(hashlib.sha256((out[1:] if out[:1] == " " else out).encode()).hexdigest())
         return pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(decoded, pa.string())], [key, "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return map_batches(docs, [key, text], batch, f"`{key}` {field.dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return map_batches(docs, [key, text], batch, f"`{key}` {field.dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string", keeps=True)

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vaultframe.llm.common import connected_components, map_batches, materialise, tune, wide
+from vaultframe.llm.common import connected_components, map_batches, materialise, tune, unload, wide
 
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 
@@ -125,9 +125,10 @@ def links(distinct: DataFrame, distance: int) -> DataFrame:
             flips = [value, *(F.when(value.bitwiseAND(_bit(i)) == 0, value.bitwiseOR(_bit(i))) for i in range(bits))]
         probes.append(_entries(F.array(*flips), number))
     entries = distinct.select("fp", F.explode(F.flatten(F.array(*probes))).alias("entry"))
-    dealt = entries.repartition(wide(spark), "entry").sortWithinPartitions("entry", "fp")
+    dealt = entries.repartition(wide(spark), "entry").sortWithinPartitions("entry")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unload()
         held: list[tuple[np.ndarray, np.ndarray]] = []
 
         def forest(entry: np.ndarray, fp: np.ndarray) -> pa.RecordBatch:

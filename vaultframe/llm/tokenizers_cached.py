@@ -16,7 +16,7 @@ import zlib
 
 import numpy as np
 
-from vaultframe.llm.common import segment_hashes, text_parts
+from vaultframe.llm.common import loaded, segment_hashes, text_parts
 
 #: White space that the splitting patterns know, beside the plain blank, tab, line feed and carriage return.
 _OTHER_SPACE = re.compile("[\x0b\x0c\x1c-\x1f\x85\xa0  -     　]")
@@ -169,12 +169,6 @@ def crc32_of(ids: bytes | memoryview) -> int:
     return zlib.crc32(ids) & 0xFFFFFFFF
 
 
-_encoders: dict[tuple, TextEncoder] = {}
-
-
 def encoder(path: str, keeps_space: bool, dtype: str = "<u4") -> TextEncoder:
     """The worker's own encoder, loaded once."""
-    key = (path, keeps_space, dtype)
-    if key not in _encoders:
-        _encoders[key] = TextEncoder(path, keeps_space, dtype)
-    return _encoders[key]
+    return loaded(("encoder", path, keeps_space, dtype), lambda: TextEncoder(path, keeps_space, dtype))
