@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import BooleanType, StringType
 
 from vaultframe.functions.text import col
 
@@ -24,7 +25,7 @@ PLACEHOLDERS = ["...", "string", "text", "todo", "tbd", "n/a", "none", "null", "
 INPUT_CHARS = 2000
 
 
-@pandas_udf("boolean")
+@pandas_udf(BooleanType())
 def normalization_deviates(texts: pd.Series) -> pd.Series:
     """Does compatibility decomposition change over five percent of the characters?"""
 
@@ -97,7 +98,7 @@ def repair_json(raw: str | None) -> str | None:
     return None
 
 
-@pandas_udf("string")
+@pandas_udf(StringType())
 def model_json(replies: pd.Series) -> pd.Series:
     return replies.map(repair_json)
 
