@@ -371,7 +371,7 @@ def matched_sets(firsts: DataFrame, docs: DataFrame, key: str, text: str, thresh
             return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(words, pa.list_(pa.int64()))], ["set", "words"])
 
         texts = packed_texts(docs, _row(key, text), text)
-        sets = materialise(map_batches(texts.join(at, "row"), ["packed", "wanted"], batch, "set long, words array<long>").dropDuplicates(["set"]), "line-words")
+        sets = materialise(map_batches(texts.join(at.hint("merge"), "row"), ["packed", "wanted"], batch, "set long, words array<long>").dropDuplicates(["set"]), "line-words")
         both = pairs.join(sets.select(F.col("set").alias("x"), F.col("words").alias("xw")), "x").join(sets.select(F.col("set").alias("y"), F.col("words").alias("yw")), "y")
         shared = F.size(F.array_intersect("xw", "yw"))
         return both.where(shared >= F.ceil((F.size("xw") + F.size("yw")) * F.lit(threshold / (1 + threshold)) - F.lit(1e-9))).select(F.col("x").alias("set")).distinct()
@@ -417,5 +417,6 @@ def dedup_lines(docs: DataFrame, key: str, text: str, threshold: float = THRESHO
     """``docs`` without the removed lines; a document that loses all its lines has an empty text."""
     gone = materialise(removed_lines(docs, key, text, threshold, least).groupBy("row").agg(F.collect_set("line").alias("__gone")), "lines-gone").withColumnRenamed("row", "__row")
     kept = F.filter(F.transform(F.split(F.col(text), "\n", -1), lambda t, i: F.when(~F.array_contains("__gone", i.cast("long")), t)), lambda t: t.isNotNull())
-    joined = docs.withColumn("__row", _row(key, text)).join(gone, "__row", "left")
+    # merged at every size, so that small and large inputs take the same way
+    joined = docs.withColumn("__row", _row(key, text)).join(gone.hint("merge"), "__row", "left")
     return joined.withColumn(text, F.when(F.col("__gone").isNull(), F.col(text)).otherwise(F.array_join(kept, "\n"))).select(*docs.columns)

@@ -296,7 +296,7 @@ def repeated_spans(docs: DataFrame, key: str, text: str, length: int = LENGTH) -
                         c.append(v)
             yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in columns[:4]), pa.array(columns[4], pa.binary())], ["core", "content", "lead", "n", "bytes"])
 
-    located = texts.join(by_doc, "row").select("packed", "wanted").mapInArrow(extract, "core long, content long, lead long, n long, bytes binary")
+    located = texts.join(by_doc.hint("merge"), "row").select("packed", "wanted").mapInArrow(extract, "core long, content long, lead long, n long, bytes binary")
     dealt = located.repartition(wide(spark), "core").sortWithinPartitions("core", "content")
 
     def expand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -346,7 +346,7 @@ def remove_repeats(docs: DataFrame, key: str, text: str, length: int = LENGTH) -
             out.append(t if not items else cut_spans((t or "").encode(), [(i["a"], i["b"]) for i in items])[1].decode("utf-8", "replace"))
         return pa.array(out, pa.string())
 
-    joined = docs.withColumn("__row", _row(key, text)).join(spans, "__row", "left")
+    joined = docs.withColumn("__row", _row(key, text)).join(spans.hint("merge"), "__row", "left")
     return joined.withColumn(text, without(text, "__spans")).select(*docs.columns)
 
 
@@ -365,5 +365,5 @@ def repeat_digest(docs: DataFrame, key: str, text: str, length: int = LENGTH) ->
         return pa.RecordBatch.from_arrays([b.column(0), pa.array(removed, pa.int64()), pa.array(count, pa.int64()), pa.array(sha)], ["row", "n_removed", "n_spans", "left_sha"])
 
     texts = packed_texts(docs, _row(key, text), text)
-    cut = map_batches(texts.join(spans, "row"), ["row", "packed", "spans"], batch, "row long, n_removed long, n_spans long, left_sha string").dropDuplicates(["row"])
+    cut = map_batches(texts.join(spans.hint("merge"), "row"), ["row", "packed", "spans"], batch, "row long, n_removed long, n_spans long, left_sha string").dropDuplicates(["row"])
     return scanned.join(cut, "row", "left").select(key, "n_bytes", F.coalesce("n_removed", F.lit(0)).cast("long").alias("n_removed"), F.coalesce("n_spans", F.lit(0)).cast("long").alias("n_spans"), F.coalesce("left_sha", "sha").alias("kept_sha256"))
