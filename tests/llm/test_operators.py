@@ -349,6 +349,31 @@ def test_quality_keeps_labelled_good_documents(spark):
     assert n > 100 and lost == 0
 
 
+def test_quality_rejects_labelled_bad_documents_of_every_length(spark):
+    sf = f"{SF}/../sf0.1"
+    docs = spark.read.parquet(f"{sf}/documents.parquet").join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id")
+    path = tokenizer_path("piece_bpe_32k.model")
+    length = F.when(F.col("n_tokens") < 300, 0).when(F.col("n_tokens") < 600, 1).otherwise(2).alias("length")
+    for lang, share in (("lang", 0.75), (None, 0.5)):  # by language, and by script alone
+        judged = docs.withColumn("lang", F.col(lang) if lang else F.lit(None).cast("string"))
+        rows = fertility.measure(judged, "doc_id", "text", "lang", path).where("not base_failed").join(docs.select("doc_id", "quality"), "doc_id")
+        found = {(r.quality, r.length): (r.n, r.kept) for r in rows.groupBy("quality", length).agg(F.count("*").alias("n"), F.sum(F.col("kept").cast("int")).alias("kept")).collect()}
+        for k in range(3):
+            (bad, bad_kept), (good, good_kept) = found[0, k], found[1, k]
+            assert bad > 40 and bad - bad_kept >= share * bad and good_kept == good
+
+
+def test_quality_of_other_languages():
+    f = fertility.fertility(tokenizer_path("piece_bpe_32k.model"))
+    r = random.Random(5)
+    junk = " ".join("|" + "".join(r.choice("#*$%&<>ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789") for _ in range(6)) for _ in range(60))
+    for language in ("en", "it", None):
+        c, m, failed, kept = fertility.verdict(f, junk, language, fertility.BANDS)
+        assert not failed and m[0] < 600 and not kept
+    assert fertility.band_of("слово за словом", None, fertility.BANDS) is fertility.BANDS[""]
+    assert fertility.band_of("per cento e così", "it", fertility.BANDS) is fertility.BANDS["Latn"]
+
+
 # 8
 
 

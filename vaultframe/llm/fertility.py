@@ -2,8 +2,9 @@
 
 A public piece vocabulary measures each text: code points per token, share of byte-fallback
 tokens (line feeds apart), and entropy of the token distribution in bits. Each language or
-script has a band for each measure; a text outside a band is rejected. Before that the base
-rules reject texts that are short or repeat themselves.
+script has a band for each measure; a text outside a band is rejected, whatever its length. The
+lower bounds of short texts are wider, as their measures scatter. Before that the base rules
+reject texts that are short or repeat themselves.
 
 Base counts: ``n_words`` and ``word_chars`` (words are runs of anything but blank, tab, line
 feed, vertical tab, form feed and carriage return; code points in them), ``n_symbols``,
@@ -11,13 +12,15 @@ feed, vertical tab, form feed and carriage return; code points in them), ``n_sym
 ``n_repeat_words`` (words in windows of eight words that the text has twice or more, the first
 included).
 
-Cases: null text: no words, so the base rules reject it; measures are then null. A language
-without a band of its own, or null, is judged by the default band. Repeated rows are judged
+Cases: null text: no words, so the base rules reject it; measures are then null. A text in a
+language without a band of its own, or null, is judged by the band of Latin script if no more
+than half of its letters are of other scripts, and else by the default band. Repeated rows are judged
 alike, other columns are not carried by ``measure`` and are kept by ``keep_documents``.
 """
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 import numpy as np
@@ -37,27 +40,41 @@ MAX_REPEAT_PERCENT = 30
 
 @dataclass(frozen=True)
 class Band:
-    """Least and most code points per token, most byte-fallback share, least and most entropy in bits."""
+    """Least and most code points per token, most byte-fallback share, least and most entropy in bits.
+
+    At n tokens the lower bounds are less by their scatter, divided by the square root of n.
+    """
 
     chars_low: float
     chars_high: float
     byte_high: float
     entropy_low: float
     entropy_high: float
+    chars_scatter: float = 0.0
+    entropy_scatter: float = 0.0
+
+    def admits(self, n: int, chars: float, fallback: float, entropy: float) -> bool:
+        root = n**0.5
+        return self.chars_low - self.chars_scatter / root <= chars <= self.chars_high and fallback <= self.byte_high and self.entropy_low - self.entropy_scatter / root <= entropy <= self.entropy_high
 
 
-#: Bands by language; "" is for any other language and for texts of fewer than STEADY tokens,
-#: whose measures scatter. Prose of a language keeps to its own narrow range; marks strewn in,
-#: capitals and tables break words into more tokens, and repetitive text has low entropy.
+#: Bands by language; "Latn" is for any other language in Latin script, "" for other scripts (no
+#: labelled text has one, so that band is wide). Prose of a language keeps above its own bounds;
+#: marks strewn in, capitals and tables break words into more tokens, and repetitive text has low
+#: entropy.
 BANDS = {
-    "en": Band(2.28, 6.5, 0.05, 6.2, 13.0),
-    "de": Band(2.31, 6.5, 0.05, 6.1, 13.0),
-    "fr": Band(2.18, 6.5, 0.05, 6.0, 13.0),
-    "es": Band(2.08, 6.5, 0.05, 6.1, 13.0),
+    "en": Band(2.48, 6.5, 0.05, 6.92, 13.0, 7, 17),
+    "de": Band(2.48, 6.5, 0.05, 6.80, 13.0, 7, 17),
+    "fr": Band(2.35, 6.5, 0.05, 6.73, 13.0, 7, 17),
+    "es": Band(2.28, 6.5, 0.05, 6.72, 13.0, 7, 17),
+    "Latn": Band(2.28, 6.5, 0.05, 6.72, 13.0, 7, 17),
     "": Band(0.3, 8.0, 0.90, 2.0, 14.0),
 }
-STEADY = 600
+#: Tokens from which a text is judged by the band of its language or script: all texts that have tokens.
+STEADY = 1
 
+_LETTER = re.compile(r"[^\W\d_]")
+_LATIN = re.compile("[A-Za-z\u00aa\u00ba\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f\u1e00-\u1eff]")
 _WEIGHTS = np.array([pow(0x9E3779B97F4A7C15, k, 2**64) for k in range(1, WINDOW + 1)], np.uint64)
 
 
@@ -136,13 +153,20 @@ def fertility(path: str) -> Fertility:
     return loaded(("fertility", path), lambda: Fertility(path))
 
 
+def band_of(text: str, language: str | None, bands: dict[str, Band]) -> Band:
+    """The band of the text's language, or else of its script."""
+    if language and language in bands:
+        return bands[language]
+    latin = 2 * len(_LATIN.findall(text)) >= len(_LETTER.findall(text))
+    return bands.get("Latn" if latin else "", bands[""])
+
+
 def verdict(f: Fertility, text: str | None, language: str | None, bands: dict[str, Band]) -> tuple[tuple, tuple, bool, bool]:
     """(base counts, token measures, base_failed, kept) of one text."""
     c = base_counts(text)
     failed = c[0] < MIN_WORDS or 100 * c[4] > MAX_REPEAT_PERCENT * c[0]
     n, chars, fallback, entropy = m = f.measure(text)
-    band = bands.get(language or "", bands[""]) if n >= STEADY else bands[""]
-    good = n > 0 and band.chars_low <= chars <= band.chars_high and fallback <= band.byte_high and band.entropy_low <= entropy <= band.entropy_high
+    good = n >= STEADY and band_of(text, language, bands).admits(n, chars, fallback, entropy)
     return c, m, failed, not failed and good
 
 
