@@ -258,6 +258,18 @@ def test_line_dedup(spark, monkeypatch, tries):
     assert line_dedup.line_report(docs.limit(0), "doc_id", "text").count() == 0
 
 
+def test_short_lines(spark, tmp_path):
+    r = random.Random(12)
+    short = ["one", "one two", "one two two two two two", "a b c", "a b c d", "d c b a", "a b c d e", "a b c d e f", "#", "今日は天気がいいので散歩に行きました。", "- x", "-"]
+    texts = ["", None, "\n \n"] + ["\n".join(r.choice([r.choice(short), " ".join(f"w{r.randrange(9)}" for _ in range(r.randrange(1, 8)))]) for _ in range(r.randrange(1, 6))) for _ in range(80)]
+    spark.createDataFrame(rows_of(texts), SCHEMA).repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    want = plain_lines(texts, 0.8, 1)
+    out = {x.doc_id: x.removed_lines for x in queries()["op5_line_dedup"](spark, str(tmp_path)).collect()}
+    assert out == want and sum(map(len, want.values())) > 100
+    docs = spark.createDataFrame(rows_of(["a b c d", "a b c d e", "今日は天気が", "今日は天気が", "x", "x y"]), SCHEMA)
+    assert {x.doc_id for x in line_dedup.line_report(docs, "doc_id", "text", least=1).where("n_removed > 0").collect()} == {1, 3}
+
+
 # 6
 
 

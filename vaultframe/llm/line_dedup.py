@@ -8,7 +8,8 @@ before it in the order of (document id, line number), judged on the input; lines
 1. Rarity. Words are counted over all texts into a fixed number of buckets. The bucket's count,
    then the word's hash, give one total order of all words; the join is right for any total
    order, and the counts make it put rare words first.
-2. Lines with equal sets form a class; only the class's first line can stay.
+2. Lines with equal sets form a class; only the class's first line can stay. Sets so small that
+   one word more or less already breaks the threshold match equal sets only, and end here.
 3. Prefix filter: two matching sets share a word among the first |x| - ceil(t |x|) + 1 of the
    larger and the first |y| - ceil(2 t / (1 + t) |y|) + 1 of the smaller. Those words meet.
 4. Length filter: |y| >= t |x|. Positional filter: words after the shared ones must suffice for
@@ -93,6 +94,11 @@ def prefix_length(size: np.ndarray, share: float) -> np.ndarray:
     return size - np.ceil(share * size - 1e-9).astype(np.int64) + 1
 
 
+def least_joined(threshold: float) -> float:
+    """The least size of a set that can match a larger one: n / (n + 1) is the threshold or more."""
+    return threshold / (1 - threshold) - 1e-9 if threshold < 1 else float("inf")
+
+
 def word_counts(docs: DataFrame, text: str) -> np.ndarray:
     """Counts of all words of all texts by bucket; BUCKETS rows come to the driver, however many words there are."""
     tune(docs.sparkSession)
@@ -160,7 +166,7 @@ class LineSets:
 
 
 def _lines(docs: DataFrame, key: str, text: str, counts, threshold: float, least: int) -> DataFrame:
-    """(row, id, line, set, size, sketch, wide, prefix): every line of enough words. prefix: rarest first."""
+    """(row, id, line, set, size, sketch, wide, prefix): every line of enough words. prefix: rarest first, empty for sets that match equal ones only."""
 
     def batch(b: pa.RecordBatch) -> pa.RecordBatch:
         data, offsets = utf8_buffers(b.column(2))
@@ -171,7 +177,7 @@ def _lines(docs: DataFrame, key: str, text: str, counts, threshold: float, least
             own = np.flatnonzero(s.size >= least)
             if not len(own):
                 continue
-            take = prefix_length(s.size[own], threshold)
+            take = np.where(s.size[own] >= least_joined(threshold), prefix_length(s.size[own], threshold), 0)
             at = np.repeat(s.at[own], take) + np.arange(take.sum()) - np.repeat(np.cumsum(take) - take, take)
             words, rare = s.hashes[at], s.rarity[at]
             # a word counted once in its bucket is in no other line

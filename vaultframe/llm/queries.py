@@ -50,7 +50,7 @@ def compact_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def line_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
-    return line_dedup.line_report(docs, "doc_id", "text")
+    return line_dedup.line_report(docs, "doc_id", "text", least=1)
 
 
 def suffix_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
