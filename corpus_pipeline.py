@@ -2,7 +2,8 @@
 
 1. quality rules: documents that the rules reject go.
 2. line dedup: lines that match an earlier line of the corpus go.
-3. SimHash near-dedup: of each group of near copies the document with the least id stays.
+3. SimHash near-dedup: of each group of near copies the document with the least id stays. Near
+   copies differ in 4 bits at most, or share 0.8 of their five-word shingles.
 4. suffix-array dedup: bytes in strings of 400 bytes that start anywhere else go.
 5. packing: what is left is cut and packed into sequences of 1024 token ids.
 
@@ -29,7 +30,7 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return simhash.keep_first(docs, "doc_id", "text", words_in_shingle=5, distance=4)
+    return simhash.keep_first(docs, "doc_id", "text", words_in_shingle=5, distance=4, similarity=0.8)
 
 
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

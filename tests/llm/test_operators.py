@@ -148,6 +148,31 @@ def test_links_of_clustered_fingerprints(spark, distance):
     assert closure([signed(f) for f in fps], found) == want
 
 
+def test_near_copies_of_pipeline(spark):
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    r = random.Random(8)
+    texts = [None, "", "one two", "One  two", "one two three"]
+    for n in [8, 30, 90, 250, 600] * 4:
+        words = [f"w{r.randrange(5000)}" for _ in range(n)]
+        texts.append(" ".join(words))
+        for _ in range(6):
+            copy = list(words)
+            for k in r.sample(range(n), r.randrange(1, 2 + n // 25)):
+                copy[k] = f"v{r.randrange(5000)}"
+            texts.append(" ".join(copy))
+    shingled = lambda w: {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set()
+    sets = [shingled((t or "").lower().split()) for t in texts]
+    fps = [plain_fingerprint(t, 5) for t in texts]
+    near = [(a, b) for a, b in itertools.combinations(range(len(texts)), 2) if (fps[a] ^ fps[b]).bit_count() <= 4]
+    alike = [(a, b) for a, b in itertools.combinations(range(len(texts)), 2) if sets[a] and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    assert len(set(alike) - set(near)) > 20
+    parts = closure(range(len(texts)), near + alike)
+    docs = spark.createDataFrame(rows_of(texts), SCHEMA).repartition(3)
+    kept = {x.doc_id for x in corpus_pipeline.near_copies(spark, docs, SF).collect()}
+    assert kept == {i for i in range(len(texts)) if parts[i] == i}
+    assert corpus_pipeline.near_copies(spark, docs.limit(0), SF).count() == 0
+
+
 def test_components_of_a_path_and_a_star(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 100 + i) for i in range(1, 50)] + [(7, 7)]
     found = dict(tuple(r) for r in common.connected_components(spark.createDataFrame(edges, "a long, b long")).collect())
