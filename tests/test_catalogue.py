@@ -188,3 +188,9 @@ def test_surfacing(spark):
     clauses = [r for r in rows(spark, "query_clauses") if catalogue.PROMPTS[r["pid"]].startswith("what happened in january")]
     assert len(clauses) == 2 or {c["kind"] for c in clauses} == {"bm25", "vector"}
     assert sum(r["id"] == r["wid"] or not r["confident"] for r in rows(spark, "lifecycle_targets")) > 0
+
+
+def test_whole_prompts_and_documents(spark):
+    longest = catalogue_extra._asked(spark, SF).selectExpr("max(length(prompt)) AS n").first()["n"]
+    assert longest == spark.read.parquet(f"{SF}/conversations.parquet").where("role = 'user'").selectExpr("max(least(length(text), 10000)) AS n").first()["n"] > 160
+    assert max(r["doc_id"] for r in rows(spark, "evidence_sentences")) >= 50

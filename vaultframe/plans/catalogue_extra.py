@@ -57,8 +57,8 @@ def recovered_assertions(spark, sf):
 
 @query("evidence_sentences", None)
 def evidence_sentences(spark, sf):
-    d = table(spark, sf, "documents").where("doc_id < 50")
-    drafts = d.select((F.col("doc_id") + 1000).alias("draft_id"), "doc_id", F.substring("text", 1, 200).alias("text"))
+    d = table(spark, sf, "documents")
+    drafts = d.select((F.col("doc_id") + 1000).alias("draft_id"), "doc_id", "text")
     return observations.evidence(drafts, d.select("doc_id", F.col("text").alias("body")))
 
 
@@ -140,7 +140,7 @@ def newest_by_type(spark, sf):
 
 def _asked(spark, sf):
     c = table(spark, sf, "conversations").where("role = 'user'")
-    return c.select((F.col("conv_id") * 100 + F.col("turn")).alias("pid"), F.col("conv_id").cast("string").alias("session_id"), F.substring("text", 1, 160).alias("prompt"), (now() + F.make_dt_interval(mins=F.col("turn").cast("int"))).alias("at"))
+    return c.select((F.col("conv_id") * 100 + F.col("turn")).alias("pid"), F.col("conv_id").cast("string").alias("session_id"), F.substring("text", 1, 10000).alias("prompt"), (now() + F.make_dt_interval(mins=F.col("turn").cast("int"))).alias("at"))
 
 
 @query("surfacing")
