@@ -21,6 +21,7 @@ alike, other columns are not carried by ``measure`` and are kept by ``keep_docum
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -28,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vaultframe.llm.common import WordCache, loaded, map_batches, tune
+from vaultframe.llm.common import CACHE_ENTRIES, CACHE_WORD_CHARS, loaded, map_batches, tune
 from vaultframe.llm.piece_codec import SPACE, PieceCodec
 
 #: Fixed values of the base rules.
@@ -70,8 +71,6 @@ BANDS = {
     "Latn": Band(2.28, 6.5, 0.05, 6.72, 13.0, 7, 17),
     "": Band(0.3, 8.0, 0.90, 2.0, 14.0),
 }
-#: Tokens from which a text is judged by the band of its language or script: all texts that have tokens.
-STEADY = 1
 
 _LETTER = re.compile(r"[^\W\d_]")
 _LATIN = re.compile("[A-Za-z\u00aa\u00ba\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f\u1e00-\u1eff]")
@@ -83,31 +82,24 @@ def repeat_words(words: list, window: int = WINDOW) -> int:
     n = len(words) - window + 1
     if n < 2:
         return 0
-    number: dict = {}
-    ids = np.fromiter((number.setdefault(w, len(number)) for w in words), np.uint64, len(words))
-    if len(number) == len(words):
-        return 0
-    h = np.zeros(n, np.uint64)
-    mixed = (ids + np.uint64(1)) * np.uint64(0xD6E8FEB86659FD93)
+    mixed = np.fromiter(map(hash, words), np.int64, len(words)).view(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
     mixed ^= mixed >> np.uint64(32)
-    mixed *= np.uint64(0xD6E8FEB86659FD93)
-    for k in range(window):
+    h = mixed[:n] * _WEIGHTS[0]
+    for k in range(1, window):
         h += mixed[k : k + n] * _WEIGHTS[k % WINDOW]
     order = np.sort(h)
     twice = order[1:][order[1:] == order[:-1]]
     if not len(twice):
         return 0
-    again = np.isin(h, twice)
     # an equal hash is checked against the words themselves
     seen: dict = {}
-    for i in np.flatnonzero(again):
-        seen.setdefault(tuple(ids[i : i + window].tolist()), []).append(i)
+    for i in np.flatnonzero(np.isin(h, twice)).tolist():
+        seen.setdefault(tuple(words[i : i + window]), []).append(i)
     covered = np.zeros(len(words) + 1, np.int64)
     for at in seen.values():
         if len(at) > 1:
-            at = np.array(at)
             np.add.at(covered, at, 1)
-            np.add.at(covered, at + window, -1)
+            np.add.at(covered, np.array(at) + window, -1)
     return int((np.cumsum(covered)[:-1] > 0).sum())
 
 
@@ -127,26 +119,60 @@ def base_counts(text: str | None) -> tuple[int, int, int, int, int]:
 
 
 class Fertility:
-    """Token measures of whole texts under one vocabulary."""
+    """Token measures of whole texts under one vocabulary.
+
+    Texts are cut where no piece reaches over, and each distinct span is encoded once as long as it
+    is known. New plain words go to the library together: each begins one token with the space mark.
+    """
 
     def __init__(self, path: str):
-        self.codec = PieceCodec(path)
-        self.cache = WordCache(self._span)
-        self.byte_ids = set(self.codec.byte_id.values()) - {self.codec.byte_id[10]}
+        from sentencepiece import SentencePieceProcessor
 
-    def _span(self, span: str) -> bytes:
-        return np.array(self.codec.ids(span), "<u4").tobytes()
+        self.codec = PieceCodec(path)
+        self.library = SentencePieceProcessor(model_file=path)
+        self.starts = np.array([p[0] == SPACE for p in self.codec.pieces])
+        self.known: dict[str, bytes] = {}
+        self.fallback = np.zeros(len(self.codec.pieces), bool)
+        self.fallback[[i for b, i in self.codec.byte_id.items() if b != 10]] = True
+
+    def _learn(self, spans: set[str]) -> None:
+        """Makes all of the spans known; forgets others when there are too many."""
+        new = spans.difference(self.known)
+        if len(self.known) + len(new) > CACHE_ENTRIES:
+            self.known = {s: self.known[s] for s in spans if s in self.known}
+        plain = [s for s in new if s[0] == SPACE and s[1:].isalpha() and len(s) <= CACHE_WORD_CHARS]
+        for i in range(0, len(plain), 4096):
+            words = plain[i : i + 4096]
+            ids = np.array(self.library.encode("".join(words)[1:].replace(SPACE, " ")), "<u4")
+            at = (4 * np.flatnonzero(self.starts[ids])).tolist()
+            if len(at) != len(words):
+                raise AssertionError("a plain word does not begin one token")
+            raw = ids.tobytes()
+            self.known.update(zip(words, (raw[s:e] for s, e in zip(at, [*at[1:], len(raw)], strict=True)), strict=True))
+        for s in new.difference(plain):
+            self.known[s] = np.array(self.codec.ids(s), "<u4").tobytes()
+
+    def measures(self, texts: list[str | None]) -> list[tuple[int, float | None, float | None, float | None]]:
+        """(tokens, code points per token, byte-fallback share, entropy in bits) of each text."""
+        out = []
+        for i in range(0, len(texts), 128):
+            part = texts[i : i + 128]
+            spans = [self.codec.spans(SPACE + t.replace(" ", SPACE)) if t else [] for t in part]
+            self._learn(set().union(*spans))
+            for t, own in zip(part, spans, strict=True):
+                out.append(self._of(t, b"".join(map(self.known.__getitem__, own))) if t else (0, None, None, None))
+        return out
 
     def measure(self, text: str | None) -> tuple[int, float | None, float | None, float | None]:
-        """(tokens, code points per token, byte-fallback share, entropy in bits)."""
-        if not text:
-            return 0, None, None, None
-        raw = b"".join(map(self.cache.__getitem__, self.codec.spans(SPACE + text.replace(" ", SPACE))))
-        counts = np.bincount(np.frombuffer(raw, "<u4"))
-        n = len(raw) // 4
-        fallback = sum(int(counts[i]) for i in self.byte_ids if i < len(counts))
-        share = counts[counts > 0] / n
-        return n, len(text) / n, fallback / n, float(-(share * np.log2(share)).sum())
+        return self.measures([text])[0]
+
+    def _of(self, text: str, raw: bytes) -> tuple[int, float, float, float]:
+        ids = np.frombuffer(raw, "<u4")
+        n = len(ids)
+        counts = np.bincount(ids)
+        counts = counts[counts > 0]
+        # the entropy of counts c of n tokens is log n - sum(c log c) / n
+        return n, len(text) / n, int(np.count_nonzero(self.fallback[ids])) / n, float(np.log2(n) - (counts * np.log2(counts)).sum() / n)
 
 
 def fertility(path: str) -> Fertility:
@@ -161,13 +187,18 @@ def band_of(text: str, language: str | None, bands: dict[str, Band]) -> Band:
     return bands.get("Latn" if latin else "", bands[""])
 
 
+def verdicts(f: Fertility, texts: list[str | None], languages: list[str | None], bands: dict[str, Band]) -> Iterator[tuple[tuple, tuple, bool, bool]]:
+    """(base counts, token measures, base_failed, kept) of each text."""
+    for text, language, m in zip(texts, languages, f.measures(texts), strict=True):
+        c = base_counts(text)
+        failed = c[0] < MIN_WORDS or 100 * c[4] > MAX_REPEAT_PERCENT * c[0]
+        n, chars, fallback, entropy = m
+        good = n > 0 and band_of(text, language, bands).admits(n, chars, fallback, entropy)
+        yield c, m, failed, not failed and good
+
+
 def verdict(f: Fertility, text: str | None, language: str | None, bands: dict[str, Band]) -> tuple[tuple, tuple, bool, bool]:
-    """(base counts, token measures, base_failed, kept) of one text."""
-    c = base_counts(text)
-    failed = c[0] < MIN_WORDS or 100 * c[4] > MAX_REPEAT_PERCENT * c[0]
-    n, chars, fallback, entropy = m = f.measure(text)
-    good = n >= STEADY and band_of(text, language, bands).admits(n, chars, fallback, entropy)
-    return c, m, failed, not failed and good
+    return next(verdicts(f, [text], [language], bands))
 
 
 def measure(docs: DataFrame, key: str, text: str, lang: str, tokenizer: str, bands: dict[str, Band] | None = None) -> DataFrame:
@@ -178,8 +209,7 @@ def measure(docs: DataFrame, key: str, text: str, lang: str, tokenizer: str, ban
     def batch(b: pa.RecordBatch) -> pa.RecordBatch:
         f = fertility(tokenizer)
         base, tokens, failed, kept = [], [], [], []
-        for t, language in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
-            c, m, bad, good = verdict(f, t, language, bands)
+        for c, m, bad, good in verdicts(f, b.column(1).to_pylist(), b.column(2).to_pylist(), bands):
             base.append(c)
             tokens.append(m)
             failed.append(bad)
@@ -198,7 +228,7 @@ def keep_documents(docs: DataFrame, text: str, lang: str, tokenizer: str, bands:
     @F.arrow_udf("boolean")
     def kept(texts: pa.Array, languages: pa.Array) -> pa.Array:
         f = fertility(tokenizer)
-        return pa.array([verdict(f, t, language, bands)[3] for t, language in zip(texts.to_pylist(), languages.to_pylist(), strict=True)], pa.bool_())
+        return pa.array([good for *_, good in verdicts(f, texts.to_pylist(), languages.to_pylist(), bands)], pa.bool_())
 
     tune(docs.sparkSession)
     return docs.where(kept(F.col(text), F.col(lang).cast("string")))
