@@ -149,10 +149,29 @@ def utf8_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 #: Bytes of text that numpy takes apart at once.
-PART_BYTES = 2 << 20
+PART_BYTES = 1 << 20
+
+_BASE = 0x9E3779B97F4A7C15
+_power_cache: list[tuple[np.ndarray, np.ndarray]] = []
+
+
+def power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """At least n powers of an odd base modulo 2^64, and of its inverse; a table for a usual part of text is kept."""
+    if _power_cache and len(_power_cache[0][0]) >= n:
+        return _power_cache[0]
+    out = []
+    for base in (_BASE, pow(_BASE, -1, 2**64)):
+        table = np.full(max(n, PART_BYTES), base, np.uint64)
+        table[0] = 1
+        np.multiply.accumulate(table, out=table)
+        out.append(table)
+    if n <= PART_BYTES:
+        _power_cache[:] = [(out[0], out[1])]
+    return out[0], out[1]
 
 _PLACES = 32
-_LETTER_VALUES = (np.random.default_rng(20240521).integers(1, 2**63, _PLACES * 256, dtype=np.uint64) << np.uint64(1)) | np.uint64(1)
+_PLACE_VALUES = (np.random.default_rng(20240521).integers(1, 2**63, _PLACES * 256, dtype=np.uint64) << np.uint64(1)) | np.uint64(1)
+_LETTER_VALUES = _PLACE_VALUES[:256]
 
 
 def mix64(h: np.ndarray) -> np.ndarray:
@@ -166,22 +185,79 @@ def mix64(h: np.ndarray) -> np.ndarray:
 #: White space that separates words: blank, tab, line feed, vertical tab, form feed, carriage return.
 SPACE_BYTES = np.zeros(256, bool)
 SPACE_BYTES[[9, 10, 11, 12, 13, 32]] = True
-#: The same values, but white space counts for nothing: a word's hash is that of the segment up to the next word.
-_WORD_VALUES = np.where(np.tile(SPACE_BYTES, _PLACES), np.uint64(0), _LETTER_VALUES)
 
 
-def packed_texts(docs: DataFrame, row: Column, text: str) -> DataFrame:
-    """(row, packed): compressed UTF-8 texts, for joins that have to move them; null counts as empty."""
+def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(64-bit hash, first byte) of each word of a batch of texts, in order."""
+    if not len(data):
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    letter = ~SPACE_BYTES[data]
+    edge = np.empty(len(data) + 1, bool)  # a word may begin or end before this byte
+    edge[0] = edge[-1] = True
+    np.not_equal(letter[1:], letter[:-1], out=edge[1:-1])
+    edge[offsets] = True
+    starts = np.flatnonzero(edge[:-1] & letter)
+    ends = np.flatnonzero(edge[1:] & letter) + 1
+    pw, ip = power_tables(len(data))
+    prefix = np.empty(len(data) + 1, np.uint64)
+    prefix[0] = 0
+    value = _LETTER_VALUES[data]
+    value *= pw[: len(data)]
+    np.cumsum(value, out=prefix[1:])
+    h = prefix[ends]
+    h -= prefix[starts]
+    h *= ip[starts]
+    return mix64(h), starts
+
+
+#: Rows whose hashes are broadcast: 1.6 MB.
+FEW_ROWS = 200_000
+#: Hash buckets that mark rows: half a megabyte as bits, 16 MB at most on the driver.
+MARKS = 1 << 22
+
+
+def marks_of(longs: DataFrame, column: str) -> np.ndarray:
+    """Bits of the hash buckets of a column of hashes; bounded by MARKS whatever the number of rows."""
+    rows = longs.select(F.col(column).bitwiseAND(F.lit(MARKS - 1)).cast("int").alias("k")).distinct().toArrow()
+    flags = np.zeros(MARKS, bool)
+    flags[rows.column("k").to_numpy()] = True
+    return np.packbits(flags)
+
+
+def marked(marks: np.ndarray, longs: np.ndarray) -> np.ndarray:
+    """Flags of the longs whose bucket is marked."""
+    k = longs & (MARKS - 1)
+    return ((marks[k >> 3] >> (7 - (k & 7)).astype(np.uint8)) & 1).astype(bool)
+
+
+def row_hash(key: str, text: str) -> Column:
+    """What stands for a row in joins: a hash of its id and text, null text as empty."""
+    return F.xxhash64(F.lit("row"), F.col(key), F.coalesce(F.col(text), F.lit(""))).alias("__row")
+
+
+def packed_texts(docs: DataFrame, row: Column, text: str, rows: DataFrame | None = None) -> DataFrame:
+    """(row, packed): compressed UTF-8 texts, for joins that have to move them; null counts as empty.
+
+    rows: those that are asked for, read from storage; others are left out before they are packed,
+    by a broadcast of up to FEW_ROWS counted hashes, or most of them by marks beyond that.
+    """
+    source, shared = docs.select(row.alias("__row"), F.col(text).alias("__text")), None
+    if rows is not None and rows.count() <= FEW_ROWS:
+        source = source.join(F.broadcast(rows.select(F.col("row").alias("__row")).distinct()), "__row", "left_semi")
+    elif rows is not None:
+        shared = docs.sparkSession.sparkContext.broadcast(marks_of(rows, "row"))
 
     def batch(b: pa.RecordBatch) -> pa.RecordBatch:
         from zstandard import ZstdCompressor
 
+        if shared is not None:
+            b = b.filter(pa.array(marked(shared.value, b.column(0).to_numpy(zero_copy_only=False))))
         data, offsets = utf8_buffers(b.column(1))
         pack = ZstdCompressor(level=1).compress
         view = memoryview(np.ascontiguousarray(data))
         return pa.RecordBatch.from_arrays([b.column(0), pa.array([pack(view[s:e]) for s, e in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)], pa.binary())], ["row", "packed"])
 
-    return map_batches(docs.select(row.alias("__row"), F.col(text).alias("__text")), ["__row", "__text"], batch, "row long, packed binary")
+    return map_batches(source, ["__row", "__text"], batch, "row long, packed binary")
 
 
 def unpacked(packed: pa.Array) -> Iterator[bytes]:
@@ -191,15 +267,12 @@ def unpacked(packed: pa.Array) -> Iterator[bytes]:
     return (unpack(p) for p in packed.to_pylist())
 
 
-def segment_hashes(data: np.ndarray, starts: np.ndarray, first: np.ndarray, words: bool = False) -> np.ndarray:
-    """64-bit hash of each segment of bytes. starts: ascending, the first is 0; first: their flags.
-
-    words: segments are words with the white space after them, which does not count.
-    """
+def segment_hashes(data: np.ndarray, starts: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """64-bit hash of each segment of bytes. starts: ascending, the first is 0; first: their flags."""
     segment = np.cumsum(first, dtype=np.int32)
     segment -= 1
     place = np.arange(len(data), dtype=np.int32) - starts.astype(np.int32)[segment]
-    value = (_WORD_VALUES if words else _LETTER_VALUES)[((place & (_PLACES - 1)) << 8) | data]
+    value = _PLACE_VALUES[((place & (_PLACES - 1)) << 8) | data]
     far = np.flatnonzero(place >= _PLACES)
     if len(far):
         value[far] *= mix64((place[far] // _PLACES).astype(np.uint64)) | np.uint64(1)

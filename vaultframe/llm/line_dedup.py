@@ -8,7 +8,8 @@ before it in the order of (document id, line number), judged on the input; lines
 1. Rarity. Words are counted over all texts into a fixed number of buckets. The bucket's count,
    then the word's hash, give one total order of all words; the join is right for any total
    order, and the counts make it put rare words first.
-2. Lines with equal sets form a class; only the class's first line can stay. Sets so small that
+2. Lines with equal sets form a class, first within a batch of texts, then over all; only the
+   class's first line can stay. Sets so small that
    one word more or less already breaks the threshold match equal sets only, and end here.
 3. Prefix filter: two matching sets share a word among the first |x| - ceil(t |x|) + 1 of the
    larger and the first |y| - ceil(2 t / (1 + t) |y|) + 1 of the smaller. Those words meet.
@@ -18,6 +19,9 @@ before it in the order of (document id, line number), judged on the input; lines
    class first tries few candidates per shared word; a class that has more and no match yet
    tries all of them. No candidate is dropped unseen.
 
+Classes and words move between tasks in packed blocks of many, one for each bucket of hashes,
+so the engine neither copies nor sorts single words.
+
 Cases: null or empty texts have no lines to remove and stay as they are. Rows with equal ids and
 texts are one document, and lose the same lines. Null ids come first; ids that are not integers
 are ordered by their hash. An empty table gives an empty result. Other columns stay.
@@ -29,46 +33,37 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vaultframe.llm.common import SPACE_BYTES, discard, map_batches, materialise, mix64, packed_texts, segment_hashes, sweep, text_parts, tune, unload, unpacked, utf8_buffers, wide
+from vaultframe.llm.common import FEW_ROWS, discard, map_batches, marked, marks_of, materialise, mix64, packed_texts, row_hash, sweep, text_parts, tune, unload, unpacked, utf8_buffers, wide, word_hashes
 
 THRESHOLD = 0.8
-LEAST_WORDS = 5
+LEAST_WORDS = 1
 #: Lines of more words have a wider sketch, of 64 bits for each 64 words and rounded up to a power of two, 1024 bits at most.
 LONG_LINE = 64
-#: Buckets of the word counts: 1 MB on the driver and in each worker, whatever the corpus.
-BUCKETS = 1 << 18
-_CHUNK = 1 << 12
+#: Buckets of the word counts: 4 MB on the driver and in each worker, whatever the corpus.
+BUCKETS = 1 << 20
+_CHUNK = 1 << 13
+#: Counts from here on are one rank.
+_MOST = (1 << 20) - 1
 #: Candidates that a class tries per shared word before its first verification.
 FIRST_TRIES = 4
-#: Hash buckets that mark the words of lines still open: half a megabyte.
-MARKS = 1 << 22
 #: Pairs compared at once.
 PAIRS = 2_000_000
+#: Bytes of texts whose classes are packed at once.
+PACK_BYTES = 64 << 20
 
 _U = np.uint64
 
 
-def words_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(hash of each word, line it is in) of a batch of texts; see lines_of for the lines."""
-    if not len(data):
-        return np.zeros(0, _U), np.zeros(0, np.int64)
-    space = SPACE_BYTES[data]
-    first = np.empty(len(data), bool)
-    first[0] = True
-    first[1:] = space[:-1]
-    first[offsets[:-1][offsets[:-1] < len(data)]] = True  # a text's first word starts there
-    first &= ~space
-    starts = np.flatnonzero(first)
-    if not len(starts):
-        return np.zeros(0, _U), np.zeros(0, np.int64)
-    head = int(starts[0])
-    hashes = segment_hashes(data[head:], starts - head, first[head:], words=True)
-    line_starts, _, _ = lines_of(data, offsets)
-    return hashes, np.searchsorted(line_starts, starts, "right") - 1
+def words_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(hash of each word, line it is in; text, and number in the text, of each line) of a batch of texts."""
+    hashes, starts = word_hashes(data, offsets)
+    line_starts, text, number = lines_of(data, offsets)
+    bounds = np.searchsorted(starts, np.concatenate([line_starts, [len(data) + 1]]))
+    return hashes, np.repeat(np.arange(len(line_starts)), np.diff(bounds)), text, number
 
 
 def lines_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -100,52 +95,58 @@ def least_joined(threshold: float) -> float:
 
 
 def word_counts(docs: DataFrame, text: str) -> np.ndarray:
-    """Counts of all words of all texts by bucket; BUCKETS rows come to the driver, however many words there are."""
+    """Counts of all words of all texts by bucket; BUCKETS numbers come to the driver, however many words there are.
+
+    A task's count of a bucket stops at 65,535: beyond, words are frequent, and any order will do.
+    """
     tune(docs.sparkSession)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(BUCKETS, np.int64)
         for b in batches:
             for _, data, offsets in text_parts(*utf8_buffers(b.column(0))):
-                hashes, _ = words_of(data, offsets)
-                total += np.bincount((hashes & _U(BUCKETS - 1)).astype(np.int64), minlength=BUCKETS)
+                total += np.bincount((word_hashes(data, offsets)[0] & _U(BUCKETS - 1)).astype(np.int64), minlength=BUCKETS)
+        least = np.minimum(total, 65_535).astype(np.uint16)
         for k in range(0, BUCKETS, _CHUNK):
-            if total[k : k + _CHUNK].any():
-                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([total[k : k + _CHUNK].tobytes()], pa.binary())], ["first", "counts"])
+            if least[k : k + _CHUNK].any():
+                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([least[k : k + _CHUNK].tobytes()], pa.binary())], ["first", "counts"])
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
         for b in batches:
             for k, c in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                sums[k] = sums.get(k, 0) + np.frombuffer(c, np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([v.tobytes() for v in sums.values()], pa.binary())], ["first", "counts"])
+                sums[k] = sums.get(k, 0) + np.frombuffer(c, np.uint16).astype(np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([np.minimum(v, _MOST).astype(np.uint32).tobytes() for v in sums.values()], pa.binary())], ["first", "counts"])
 
     chunks = docs.select(text).mapInArrow(count, "first int, counts binary")
     rows = chunks.repartition(wide(docs.sparkSession), "first").mapInArrow(add, "first int, counts binary").collect()
-    out = np.zeros(BUCKETS, np.int64)
+    out = np.zeros(BUCKETS, np.uint32)
     for r in rows:
-        out[r["first"] : r["first"] + _CHUNK] = np.frombuffer(r["counts"], np.int64)
+        out[r["first"] : r["first"] + _CHUNK] = np.frombuffer(r["counts"], np.uint32)
     return out
 
 
 class LineSets:
-    """Sorted word sets of the lines of a batch of texts."""
+    """Sorted word sets of the lines of a batch of texts: rarest words first."""
 
     def __init__(self, data: np.ndarray, offsets: np.ndarray, counts: np.ndarray):
-        _, self.text, self.number = lines_of(data, offsets)
-        hashes, line = words_of(data, offsets)
+        hashes, line, self.text, self.number = words_of(data, offsets)
         rarity = counts[(hashes & _U(BUCKETS - 1)).astype(np.int64)]
-        key = (line.astype(_U) << _U(44)) | (np.minimum(rarity, (1 << 20) - 1).astype(_U) << _U(24)) | (hashes >> _U(40))
+        key = line.astype(_U) << _U(44)
+        key |= rarity.astype(_U) << _U(24)
+        key |= hashes >> _U(40)
         order = np.argsort(key)
         k, h = key[order], hashes[order]
         if len(line) and (line[-1] >= 1 << 20 or ((k[1:] == k[:-1]) & (h[1:] != h[:-1])).any()):  # the short key does not tell
-            order = np.lexsort((hashes, hashes >> _U(40), np.minimum(rarity, (1 << 20) - 1), line))
-        hashes, rarity, line = hashes[order], rarity[order], line[order]
-        keep = np.ones(len(hashes), bool)
-        keep[1:] = (hashes[1:] != hashes[:-1]) | (line[1:] != line[:-1])
-        self.hashes, self.rarity, line = hashes[keep], rarity[keep], line[keep]
+            order = np.lexsort((hashes, hashes >> _U(40), rarity, line))
+            h = hashes[order]
+        rarity, line = rarity[order], line[order]
+        keep = np.ones(len(h), bool)
+        keep[1:] = (h[1:] != h[:-1]) | (line[1:] != line[:-1])
+        self.hashes, self.rarity, line = h[keep], rarity[keep], line[keep]
         #: lines with words: their number among all lines, and where their words lie
-        self.line, self.at = np.unique(line, return_index=True)
+        self.at = np.flatnonzero(np.diff(line, prepend=-1))
+        self.line = line[self.at]
         self.size = np.diff(np.concatenate([self.at, [len(line)]]))
 
     def keys(self) -> np.ndarray:
@@ -165,35 +166,158 @@ class LineSets:
         return out
 
 
-def _lines(docs: DataFrame, key: str, text: str, counts, threshold: float, least: int) -> DataFrame:
-    """(row, id, line, set, size, sketch, wide, prefix): every line of enough words. prefix: rarest first, empty for sets that match equal ones only."""
+class Ragged:
+    """Rows of equally named 64-bit columns, some with lists; packed into bytes and back."""
+
+    def __init__(self, columns: dict[str, np.ndarray], lists: dict[str, tuple[np.ndarray, np.ndarray]]):
+        #: lists: name -> (length of each row's list, all values one after another)
+        self.columns, self.lists = columns, lists
+
+    def __len__(self) -> int:
+        return len(next(iter(self.columns.values())))
+
+    def take(self, at: np.ndarray) -> Ragged:
+        lists = {}
+        for name, (n, flat) in self.lists.items():
+            first, own = (np.cumsum(n) - n)[at], n[at]
+            lists[name] = (own, flat[np.repeat(first - (np.cumsum(own) - own), own) + np.arange(own.sum())])
+        return Ragged({k: v[at] for k, v in self.columns.items()}, lists)
+
+    def pack(self, lo: int, hi: int) -> bytes:
+        head, body = [hi - lo], [c[lo:hi] for c in self.columns.values()]
+        for n, flat in self.lists.values():
+            ends = np.concatenate([[0], np.cumsum(n)])
+            head.append(int(ends[hi] - ends[lo]))
+            body += [n[lo:hi], flat[ends[lo] : ends[hi]]]
+        flat = np.concatenate([x.view(np.int64) for x in body])
+        # bytes of equal weight together: small numbers' zeros then compress away
+        return np.array(head, np.int64).tobytes() + flat.view(np.uint8).reshape(-1, 8).T.tobytes()
+
+    @staticmethod
+    def unpack(blocks: list[bytes], columns: list[str], lists: list[str]) -> Ragged:
+        parts: dict[str, list[np.ndarray]] = {k: [] for k in columns}
+        own: dict[str, tuple[list, list]] = {k: ([], []) for k in lists}
+        for block in blocks:
+            x = np.frombuffer(block, np.int64, 1 + len(lists))
+            m, at = int(x[0]), 0
+            flat = np.ascontiguousarray(np.frombuffer(block, np.uint8, offset=x.nbytes).reshape(8, -1).T).view(np.int64).ravel()
+            for k in columns:
+                parts[k].append(flat[at : at + m])
+                at += m
+            for i, k in enumerate(lists):
+                n = int(x[1 + i])
+                own[k][0].append(flat[at : at + m])
+                own[k][1].append(flat[at + m : at + m + n])
+                at += m + n
+        joined = lambda x: np.concatenate(x) if x else np.zeros(0, np.int64)
+        return Ragged({k: joined(v) for k, v in parts.items()}, {k: (joined(a), joined(b)) for k, (a, b) in own.items()})
+
+    @staticmethod
+    def concat(parts: list[Ragged]) -> Ragged:
+        first = parts[0]
+        return Ragged({k: np.concatenate([p.columns[k] for p in parts]) for k in first.columns}, {k: (np.concatenate([p.lists[k][0] for p in parts]), np.concatenate([p.lists[k][1] for p in parts])) for k in first.lists})
+
+    def dealt(self, by: str, buckets: int) -> tuple[list[int], list[bytes]]:
+        """(bucket, block) of each bucket of a column of hashes."""
+        bucket = (self.columns[by].view(_U) % _U(buckets)).astype(np.int64)
+        order = np.argsort(bucket, kind="stable")
+        ordered, bucket = self.take(order), bucket[order]
+        cut = np.concatenate([[0], np.flatnonzero(np.diff(bucket)) + 1, [len(bucket)]]).tolist() if len(bucket) else [0]
+        return [int(bucket[a]) for a in cut[:-1]], [ordered.pack(a, b) for a, b in zip(cut, cut[1:], strict=False)]
+
+
+CLASS, CLASS_LISTS = ["set", "id", "row", "line", "n", "size", "sketch"], ["prefix", "wide"]
+POSTING, POSTING_LISTS = ["word", "set", "id", "line", "packed", "sketch"], ["wide"]
+
+
+def merged_classes(classes: Ragged) -> Ragged:
+    """One row for each set: its first line in the order of (id, row, line), and how many lines there are."""
+    c = classes.columns
+    order = np.lexsort((c["line"], c["row"], c["id"], c["set"]))
+    sets = c["set"][order]
+    head = np.flatnonzero(np.concatenate([[True], sets[1:] != sets[:-1]])) if len(sets) else np.zeros(0, np.int64)
+    out = classes.take(order[head])
+    out.columns["n"] = np.add.reduceat(c["n"][order], head) if len(head) else head
+    return out
+
+
+def postings(classes: Ragged, asks: np.ndarray, marks: np.ndarray | None = None) -> Ragged:
+    """A row for each prefix word of the classes that can be elsewhere. packed: size, position, and whether the class asks."""
+    n, words = classes.lists["prefix"]
+    owner = np.repeat(np.arange(len(n)), n)
+    pos = np.arange(len(words)) - np.repeat(np.cumsum(n) - n, n)
+    keep = words != 0
+    if marks is not None:
+        keep &= marked(marks, words)
+    owner, pos, words = owner[keep], pos[keep], words[keep]
+    own = Ragged({k: classes.columns[k] for k in ("set", "id", "line", "sketch")}, {"wide": classes.lists["wide"]}).take(owner)
+    packed = (classes.columns["size"][owner] << 32) | (pos << 1) | asks[owner]
+    c = own.columns
+    return Ragged({"word": words, "set": c["set"], "id": c["id"], "line": c["line"], "packed": packed, "sketch": c["sketch"]}, own.lists)
+
+
+def _blocks(pairs: tuple[list[int], list[bytes]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(pairs[0], pa.int32()), pa.array(pairs[1], pa.binary())], ["bucket", "block"])
+
+
+def _padded(b: pa.RecordBatch, fields: list[tuple[str, pa.DataType]]) -> pa.RecordBatch:
+    """The batch with nulls in the columns that it lacks."""
+    have = dict(zip(b.schema.names, b.columns, strict=True))
+    return pa.RecordBatch.from_arrays([have.get(k, pa.nulls(b.num_rows, kind)) for k, kind in fields], [k for k, _ in fields])
+
 
-    def batch(b: pa.RecordBatch) -> pa.RecordBatch:
-        data, offsets = utf8_buffers(b.column(2))
-        out: list[tuple] = []
-        wide: list[np.ndarray | None] = []
-        for lo, part, bounds in text_parts(data, offsets):
-            s = LineSets(part, bounds, counts.value)
-            own = np.flatnonzero(s.size >= least)
-            if not len(own):
+_LINES = [("bucket", pa.int32()), ("block", pa.binary()), ("row", pa.int64()), ("id", pa.int64()), ("line", pa.int64()), ("set", pa.int64())]
+
+
+def _lines(docs: DataFrame, key: str, text: str, counts: Broadcast, threshold: float, least: int, buckets: int) -> DataFrame:
+    """(bucket, block, row, id, line, set): every line of enough words has a row, and every bucket of a batch's classes a block.
+
+    A class's prefix has its rarest words first; it is empty for sets that match equal ones only.
+    """
+    tune(docs.sparkSession)
+
+    def classes_of(s: LineSets, own: np.ndarray, row: np.ndarray, ids: np.ndarray, number: np.ndarray) -> Ragged:
+        size = s.size[own]
+        sets = s.keys()[own].view(np.int64)
+        order = np.lexsort((number, row, ids, sets))
+        head = np.flatnonzero(np.concatenate([[True], np.diff(sets[order]) != 0]))
+        first = order[head]
+        take = np.where(size[first] >= least_joined(threshold), prefix_length(size[first], threshold), 0)
+        at = np.repeat(s.at[own[first]], take) + np.arange(take.sum()) - np.repeat(np.cumsum(take) - take, take)
+        # a word counted once in its bucket is in no other line
+        words = np.where(s.rarity[at] > 1, s.hashes[at], _U(0)).view(np.int64)
+        wide_own = [s.wide_sketch(k).view(np.int64) if s.size[k] > LONG_LINE else np.zeros(0, np.int64) for k in own[first].tolist()]
+        columns = {"set": sets[first], "id": ids[first], "row": row[first], "line": number[first], "n": np.diff(np.concatenate([head, [len(order)]])), "size": size[first], "sketch": s.sketches()[own][first].view(np.int64)}
+        return Ragged(columns, {"prefix": (take, words), "wide": (np.array([len(w) for w in wide_own], np.int64), np.concatenate(wide_own))})
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unload()
+        held: list[Ragged] = []
+        size = 0
+        for b in batches:
+            if not b.num_rows:
                 continue
-            take = np.where(s.size[own] >= least_joined(threshold), prefix_length(s.size[own], threshold), 0)
-            at = np.repeat(s.at[own], take) + np.arange(take.sum()) - np.repeat(np.cumsum(take) - take, take)
-            words, rare = s.hashes[at], s.rarity[at]
-            # a word counted once in its bucket is in no other line
-            words = np.where(rare > 1, words, _U(0))
-            out.append((s.text[s.line[own]] + lo, s.number[s.line[own]], s.keys()[own], s.size[own], s.sketches()[own], take, words))
-            wide += [s.wide_sketch(k).view(np.int64) if s.size[k] > LONG_LINE else None for k in own.tolist()]
-        if not out:
-            out = [tuple(np.zeros(0, t) for t in (np.int64, np.int64, _U, np.int64, _U, np.int64, _U))]
-        doc, number, sets, size, sketch, take, words = (np.concatenate(x) for x in zip(*out, strict=True))
-        bounds = np.concatenate([[0], np.cumsum(take)]).astype(np.int32)
-        at = pa.array(doc, pa.int64())
-        longs = [pa.array(x.astype(_U).view(np.int64) if x.dtype == _U else x, pa.int64()) for x in (number, sets, size, sketch)]
-        return pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at), *longs, pa.array(wide, pa.list_(pa.int64())), pa.ListArray.from_arrays(pa.array(bounds), pa.array(words.view(np.int64)))], ["row", "id", "line", "set", "size", "sketch", "wide", "prefix"])
-
-    source = docs.select(_row(key, text), _order(docs, key), F.col(text).alias("__text"))
-    return map_batches(source, ["__row", "__id", "__text"], batch, "row long, id long, line long, set long, size long, sketch long, wide array<long>, prefix array<long>")
+            rows, ids = (b.column(i).to_numpy(zero_copy_only=False) for i in range(2))
+            data, offsets = utf8_buffers(b.column(2))
+            for lo, part, bounds in text_parts(data, offsets):
+                s = LineSets(part, bounds, counts.value)
+                own = np.flatnonzero(s.size >= least)
+                if not len(own):
+                    continue
+                text_no, number = s.text[s.line[own]] + lo, s.number[s.line[own]]
+                c = classes_of(s, own, rows[text_no], ids[text_no], number)
+                held.append(c)
+                longs = [pa.array(x, pa.int64()) for x in (rows[text_no], ids[text_no], number, s.keys()[own].view(np.int64))]
+                yield _padded(pa.RecordBatch.from_arrays(longs, ["row", "id", "line", "set"]), _LINES)
+            size += len(data)
+            if held and size >= PACK_BYTES:
+                yield _padded(_blocks(merged_classes(Ragged.concat(held)).dealt("set", buckets)), _LINES)
+                held, size = [], 0
+        if held:
+            yield _padded(_blocks(merged_classes(Ragged.concat(held)).dealt("set", buckets)), _LINES)
+
+    source = docs.select(row_hash(key, text), _order(docs, key), F.col(text).alias("__text"))
+    return source.mapInArrow(run, "bucket int, block binary, row long, id long, line long, set long")
 
 
 def _order(docs: DataFrame, key: str):
@@ -201,8 +325,50 @@ def _order(docs: DataFrame, key: str):
     return F.coalesce(F.col(key).cast("long") if whole else F.xxhash64(key), F.lit(-(2**63))).alias("__id")
 
 
-def _row(key: str, text: str):
-    return F.xxhash64(F.lit("row"), F.col(key), F.sha2(F.coalesce(F.col(text), F.lit("")), 256)).alias("__row")
+def _by_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[bytes], list]]:
+    """(bucket, its blocks, what else the first row has) of rows that are sorted by bucket."""
+    last, held, extra = None, [], []
+    for b in batches:
+        others = [b.column(i).to_pylist() for i in range(2, b.num_columns)]
+        for i, (k, block) in enumerate(zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)):
+            if k != last and held:
+                yield last, held, extra
+                held = []
+            if not held:
+                extra = [x[i] for x in others]
+            last = k
+            held.append(block)
+    if held:
+        yield last, held, extra
+
+
+_CLASSES = [("bucket", pa.int32()), ("block", pa.binary()), ("set", pa.int64()), ("row", pa.int64()), ("id", pa.int64()), ("line", pa.int64()), ("n", pa.int64())]
+
+
+def _classes(lines: DataFrame) -> DataFrame:
+    """(bucket, block, set, row, id, line, n): the classes as rows, and as a block for each bucket of sets."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unload()
+        for bucket, blocks, _ in _by_bucket(batches):
+            c = merged_classes(Ragged.unpack(blocks, CLASS, CLASS_LISTS))
+            yield _padded(pa.RecordBatch.from_arrays([pa.array(c.columns[k]) for k in ("set", "row", "id", "line", "n")], ["set", "row", "id", "line", "n"]), _CLASSES)
+            yield _padded(_blocks(([bucket], [c.pack(0, len(c))])), _CLASSES)
+
+    dealt = lines.where("block is not null").select("bucket", "block").repartition(wide(lines.sparkSession), "bucket").sortWithinPartitions("bucket")
+    return dealt.mapInArrow(run, "bucket int, block binary, set long, row long, id long, line long, n long")
+
+
+def _all_postings(classes: DataFrame, buckets: int) -> DataFrame:
+    """(bucket, block) of the postings of all classes, each of which asks."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unload()
+        for _, blocks, _ in _by_bucket(batches):
+            c = Ragged.unpack(blocks, CLASS, CLASS_LISTS)
+            yield _blocks(postings(c, np.ones(len(c), np.int64)).dealt("word", buckets))
+
+    return classes.where("block is not null").select("bucket", "block").mapInArrow(run, "bucket int, block binary")
 
 
 def wide_fits(cols: dict[str, np.ndarray], big: np.ndarray, small: np.ndarray, spare: np.ndarray) -> np.ndarray:
@@ -227,9 +393,9 @@ def wide_fits(cols: dict[str, np.ndarray], big: np.ndarray, small: np.ndarray, s
     return fits
 
 
-def _candidates(postings: DataFrame, threshold: float, tries: int | None) -> DataFrame:
-    """(x, y, more): set y comes before set x and passes the filters; at most ``tries`` for each x and word."""
-    spark = postings.sparkSession
+def _candidates(blocks: DataFrame, threshold: float, tries: int | None) -> DataFrame:
+    """(x, y, more) of blocks of postings: set y comes before set x and passes the filters; at most ``tries`` for each x and word."""
+    spark = blocks.sparkSession
     alpha = 2 * threshold / (1 + threshold)
 
     def compare(run: np.ndarray, cols: dict[str, np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -264,21 +430,15 @@ def _candidates(postings: DataFrame, threshold: float, tries: int | None) -> Dat
             yield np.where(before, big, small), np.where(before, small, big)
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["word", "id", "line", "set", "packed", "sketch", "wide_at"]
         unload()
-        held: list[list[np.ndarray]] = []
-        pools: list[np.ndarray] = []
-
-        def done() -> Iterator[pa.RecordBatch]:
-            cols = {k: np.concatenate([h[i] for h in held]) for i, k in enumerate(names)}
-            pool = np.concatenate([np.zeros(0, np.int64), *pools]).view(_U)
-            held.clear()
-            pools.clear()
-            order = np.lexsort((cols["packed"], cols["word"]))
-            cols = {k: v[order] for k, v in cols.items()}
+        for _, blocks, _ in _by_bucket(batches):
+            found = Ragged.unpack(blocks, POSTING, POSTING_LISTS)
+            n, pool = found.lists["wide"]
+            order = np.lexsort((found.columns["packed"], found.columns["word"]))
+            cols = {k: v[order] for k, v in found.columns.items()}
             packed = cols.pop("packed").view(_U)
             cols["size"], cols["pos"], cols["asks"] = (x.astype(np.int64) for x in (packed >> _U(32), (packed >> _U(1)) & _U(0x7FFFFFFF), packed & _U(1)))
-            cols["sketch"], cols["pool"] = cols["sketch"].view(_U), pool
+            cols["sketch"], cols["pool"], cols["wide_at"] = cols["sketch"].view(_U), pool.view(_U), (np.cumsum(n) - n)[order]
             run = np.cumsum(np.concatenate([[0], np.diff(cols["word"]) != 0]))
             tried = np.zeros(len(run), np.int64)
             for x, y in compare(run, cols):
@@ -297,132 +457,121 @@ def _candidates(postings: DataFrame, threshold: float, tries: int | None) -> Dat
                 if len(x):
                     yield pa.RecordBatch.from_arrays([pa.array(cols["set"][x]), pa.array(cols["set"][y]), pa.array(more)], ["x", "y", "more"])
 
-        for b in batches:
-            if not b.num_rows:
-                continue
-            wide_list = b.column(6)
-            lengths = pc.fill_null(pc.list_value_length(wide_list), 0).to_numpy(zero_copy_only=False).astype(np.int64)
-            flat = wide_list.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
-            # place of a row's wide sketch in the batch's pool, shifted below by what is held
-            own_at = np.cumsum(lengths) - lengths
-            cols = [*(b.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(6)), own_at]
-            other = np.flatnonzero(cols[0] != cols[0][-1])
-            whole = other[-1] + 1 if len(other) else 0
-            base = sum(map(len, pools))
-            if whole:  # the last word may go on in the next batch
-                cut = int(own_at[whole]) if whole < len(own_at) else len(flat)
-                held.append([*(c[:whole] for c in cols[:6]), own_at[:whole] + base])
-                pools.append(flat[:cut])
-                yield from done()
-                held.append([*(c[whole:] for c in cols[:6]), own_at[whole:] - cut])
-                pools.append(flat[cut:])
-            else:
-                held.append([*cols[:6], own_at + base])
-                pools.append(flat)
-        if held:
-            yield from done()
-
-    # size, position and asks in one column, size first: it is the order within a word, which is
-    # made per batch, so that Spark's sort has the word as its only key
-    packed = F.shiftleft("size", 32).bitwiseOR(F.shiftleft(F.col("pos").cast("long"), 1)).bitwiseOR(F.col("asks").cast("long"))
-    dealt = postings.select("word", "id", "line", "set", packed.alias("packed"), "sketch", "wide").repartition(wide(spark), "word").sortWithinPartitions("word")
+    dealt = blocks.repartition(wide(spark), "bucket").sortWithinPartitions("bucket")
     return dealt.mapInArrow(search, "x long, y long, more boolean")
 
 
-def _word_marks(firsts: DataFrame) -> np.ndarray:
-    """Flags of the hash buckets of the prefix words; bounded by MARKS whatever the number of words."""
-    rows = firsts.select(F.explode("prefix").alias("w")).where("w <> 0").select(F.col("w").bitwiseAND(F.lit(MARKS - 1)).cast("int").alias("k")).distinct().toArrow()
-    marks = np.zeros(MARKS, bool)
-    marks[rows.column("k").to_numpy()] = True
-    return np.packbits(marks)
+def _asked_postings(classes: DataFrame, open_sets: DataFrame, n_open: int, buckets: int) -> DataFrame:
+    """(bucket, block) of the postings that open_sets (set) have to meet: all those of their words, taken out before any shuffle.
 
+    Up to FEW_ROWS open sets are broadcast; more are joined with the blocks of their buckets.
+    """
+    context = open_sets.sparkSession.sparkContext
+    both = classes.where("block is not null").select("bucket", "block")
+    few = context.broadcast(open_sets.toArrow().column("set").to_numpy()) if n_open <= FEW_ROWS else None
+    if few is None:
+        asked = open_sets.groupBy(F.pmod(F.conv(F.hex("set"), 16, 10).cast("decimal(20,0)"), F.lit(buckets)).cast("int").alias("bucket")).agg(F.collect_list("set").alias("asked"))
+        both = materialise(both.join(asked.hint("merge"), "bucket", "left").select("bucket", "block", F.coalesce("asked", F.array().cast("array<bigint>")).alias("asked")), "line-asked")
+
+    def asking(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[Ragged, np.ndarray]]:
+        unload()
+        for _, blocks, sets in _by_bucket(batches):
+            c = Ragged.unpack(blocks, CLASS, CLASS_LISTS)
+            yield c, np.isin(c.columns["set"], few.value if few else sets[0])
 
-def _postings_of(firsts: DataFrame, marks: np.ndarray) -> DataFrame:
-    """The postings of marked words, taken out before any shuffle."""
-    shared = firsts.sparkSession.sparkContext.broadcast(marks)
+    def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for c, asks in asking(batches):
+            n, flat = c.lists["prefix"]
+            found = np.unique(flat[np.repeat(asks, n)])
+            yield pa.RecordBatch.from_arrays([pa.array(found[found != 0])], ["word"])
 
-    def batch(b: pa.RecordBatch) -> pa.RecordBatch:
-        prefix = b.column(6)
-        n = pc.list_value_length(prefix).to_numpy(zero_copy_only=False).astype(np.int64)
-        words = prefix.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
-        row = np.repeat(np.arange(len(n)), n)
-        pos = np.arange(len(words)) - np.repeat(np.cumsum(n) - n, n)
-        k = words & (MARKS - 1)
-        keep = np.flatnonzero((words != 0) & ((shared.value[k >> 3] >> (7 - (k & 7))) & 1).astype(bool))
-        at = pa.array(row[keep])
-        return pa.RecordBatch.from_arrays([*(b.column(i).take(at) for i in range(6)), b.column(7).take(at), pa.array(pos[keep].astype(np.int32)), pa.array(words[keep])], ["id", "line", "set", "sketch", "wide", "size", "asks", "pos", "word"])
+    marks = context.broadcast(marks_of(both.mapInArrow(words, "word long"), "word"))
 
-    columns = firsts.select(F.col("first.id").alias("id"), F.col("first.line").alias("line"), "set", "sketch", "wide", "size", "prefix", F.coalesce("asks", F.lit(0)).alias("asks"))
-    return map_batches(columns, columns.columns, batch, "id long, line long, set long, sketch long, wide array<long>, size long, asks int, pos int, word long")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for c, asks in asking(batches):
+            yield _blocks(postings(c, asks.astype(np.int64), marks.value).dealt("word", buckets))
 
+    return both.mapInArrow(run, "bucket int, block binary")
 
-def matched_sets(firsts: DataFrame, docs: DataFrame, key: str, text: str, threshold: float) -> DataFrame:
-    """(set) of the sets in firsts(set, first, n, size, sketch, wide, prefix) with a match before them."""
-    posting = firsts.select(F.col("first.id").alias("id"), F.col("first.line").alias("line"), "set", "sketch", "wide", F.col("size"), F.posexplode("prefix").alias("pos", "word")).where("word <> 0")
+
+def matched_sets(classes: DataFrame, docs: DataFrame, key: str, text: str, threshold: float, buckets: int) -> DataFrame:
+    """(set) of the classes with a match before them."""
+    firsts = classes.where("set is not null").select("set", "row", "line")
 
     def verified(pairs: DataFrame) -> DataFrame:
         """(set) of the pairs' x with a y that matches it."""
         wanted = pairs.select(F.explode(F.array("x", "y")).alias("set")).distinct()
-        at = firsts.join(wanted, "set").select(F.col("first.row").alias("row"), F.struct(F.col("first.line").alias("line"), "set").alias("w")).groupBy("row").agg(F.collect_list("w").alias("wanted"))
+        at = materialise(firsts.join(wanted, "set").select("row", F.struct("line", "set").alias("w")).groupBy("row").agg(F.collect_list("w").alias("wanted")), "line-wanted")
 
         def batch(b: pa.RecordBatch) -> pa.RecordBatch:
             ids, words = [], []
             for raw_text, items in zip(unpacked(b.column(0)), b.column(1).to_pylist(), strict=True):
                 lines = raw_text.split(b"\n")
-                for w in items:
-                    raw = lines[w["line"]]
-                    hashes, _ = words_of(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))
-                    ids.append(w["set"])
-                    words.append(np.unique(hashes).view(np.int64))
+                raw = [lines[w["line"]] for w in items]
+                bounds = np.concatenate([[0], np.cumsum([len(x) + 1 for x in raw])])
+                hashes, starts = word_hashes(np.frombuffer(b"\n".join([*raw, b""]), np.uint8), bounds)
+                cut = np.searchsorted(starts, bounds)
+                ids += [w["set"] for w in items]
+                words += [np.unique(hashes[a:b]).view(np.int64) for a, b in zip(cut, cut[1:], strict=False)]
             return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(words, pa.list_(pa.int64()))], ["set", "words"])
 
-        texts = packed_texts(docs, _row(key, text), text)
+        texts = packed_texts(docs, row_hash(key, text), text, at)
         sets = materialise(map_batches(texts.join(at.hint("merge"), "row"), ["packed", "wanted"], batch, "set long, words array<long>").dropDuplicates(["set"]), "line-words")
         both = pairs.join(sets.select(F.col("set").alias("x"), F.col("words").alias("xw")), "x").join(sets.select(F.col("set").alias("y"), F.col("words").alias("yw")), "y")
         shared = F.size(F.array_intersect("xw", "yw"))
         return both.where(shared >= F.ceil((F.size("xw") + F.size("yw")) * F.lit(threshold / (1 + threshold)) - F.lit(1e-9))).select(F.col("x").alias("set")).distinct()
 
-    tried = materialise(_candidates(posting.withColumn("asks", F.lit(1)), threshold, FIRST_TRIES), "line-candidates")
+    tried = materialise(_candidates(_all_postings(classes, buckets), threshold, FIRST_TRIES), "line-candidates")
     sweep(docs.sparkSession)
     matched = materialise(verified(tried.select("x", "y").distinct()), "line-matched")
     open_sets = tried.where("more").select(F.col("x").alias("set")).distinct().join(matched, "set", "left_anti")
     open_sets = materialise(open_sets, "line-open")
-    if open_sets.limit(1).count():
-        asking = firsts.join(open_sets, "set", "left_semi")
-        rest = _postings_of(firsts.join(open_sets.withColumn("asks", F.lit(1)), "set", "left"), _word_marks(asking))
-        all_pairs = materialise(_candidates(rest, threshold, None), "line-candidates-all")
+    n_open = open_sets.count()
+    if n_open:
+        all_pairs = materialise(_candidates(_asked_postings(classes, open_sets, n_open, buckets), threshold, None), "line-candidates-all")
         matched = matched.unionByName(materialise(verified(all_pairs.select("x", "y").distinct()), "line-matched-all"))
     return matched
 
 
 def removed_lines(docs: DataFrame, key: str, text: str, threshold: float = THRESHOLD, least: int = LEAST_WORDS) -> DataFrame:
     """(row, id, line) of every line that matches a line before it."""
+    buckets = 2 * wide(docs.sparkSession)
     counts = docs.sparkSession.sparkContext.broadcast(word_counts(docs, text))
-    full = materialise(_lines(docs, key, text, counts, threshold, least), "lines-full")
-    first = F.min(F.struct("id", "row", "line")).alias("first")
-    firsts = materialise(full.groupBy("set").agg(first, F.count("*").alias("n"), *(F.first(c).alias(c) for c in ("size", "sketch", "wide", "prefix"))), "line-sets")
-    lines = materialise(full.select("row", "id", "line", "set"), "lines")
-    discard(full)
-    matched = matched_sets(firsts, docs, key, text, threshold)
-    # sets with something to remove: the later lines, and the first one too if the set matched
+    lines = materialise(_lines(docs, key, text, counts, threshold, least, buckets), "lines")
+    classes = materialise(_classes(lines), "line-classes")
+    sweep(docs.sparkSession)
+    matched = matched_sets(classes, docs, key, text, threshold, buckets)
+    # classes with something to remove: the later lines, and the first one too if the class matched
+    firsts = classes.where("set is not null").select("set", F.struct("row", "line").alias("first"), "n")
     hit = firsts.join(matched.withColumn("all", F.lit(True)), "set", "left").where("n > 1 or all").select("set", "first", F.coalesce("all", F.lit(False)).alias("all"))
     hit = materialise(hit, "line-hits")
-    discard(firsts)
+    discard(classes)
     later = (F.col("row") != F.col("first.row")) | (F.col("line") != F.col("first.line"))
-    return lines.join(hit, "set").where(F.col("all") | later).select("row", "id", "line").distinct()
+    return lines.where("block is null").select("row", "id", "line", "set").join(hit, "set").where(F.col("all") | later).select("row", "id", "line").distinct()
 
 
 def line_report(docs: DataFrame, key: str, text: str, threshold: float = THRESHOLD, least: int = LEAST_WORDS) -> DataFrame:
     """(key, n_lines, n_removed, removed_lines): per document; removed line numbers ascend from 0."""
     gone = removed_lines(docs, key, text, threshold, least).groupBy("row").agg(F.sort_array(F.collect_list("line")).alias("removed_lines"))
-    base = docs.select(F.col(key), _row(key, text).alias("row"), F.size(F.split(F.coalesce(F.col(text), F.lit("")), "\n", -1)).cast("long").alias("n_lines"))
+    n_lines = (F.coalesce(F.octet_length(text) - F.octet_length(F.replace(text, F.lit("\n"), F.lit(""))), F.lit(0)) + 1).cast("long").alias("n_lines")
+    base = docs.select(F.col(key), row_hash(key, text).alias("row"), n_lines)
     return base.join(gone, "row", "left").select(key, "n_lines", F.coalesce(F.size("removed_lines"), F.lit(0)).cast("long").alias("n_removed"), F.coalesce("removed_lines", F.array().cast("array<bigint>")).alias("removed_lines"))
 
 
 def dedup_lines(docs: DataFrame, key: str, text: str, threshold: float = THRESHOLD, least: int = LEAST_WORDS) -> DataFrame:
     """``docs`` without the removed lines; a document that loses all its lines has an empty text."""
-    gone = materialise(removed_lines(docs, key, text, threshold, least).groupBy("row").agg(F.collect_set("line").alias("__gone")), "lines-gone").withColumnRenamed("row", "__row")
-    kept = F.filter(F.transform(F.split(F.col(text), "\n", -1), lambda t, i: F.when(~F.array_contains("__gone", i.cast("long")), t)), lambda t: t.isNotNull())
+    gone = removed_lines(docs, key, text, threshold, least).groupBy("row").agg(F.collect_list("line").alias("gone"))
+
+    def flags(b: pa.RecordBatch) -> pa.RecordBatch:
+        out = []
+        for lines in b.column(1).to_pylist():
+            own = np.zeros(max(lines) + 1, bool)
+            own[lines] = True
+            out.append(own)
+        return pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.list_(pa.bool_()))], ["__row", "__gone"])
+
+    gone = materialise(map_batches(gone, ["row", "gone"], flags, "__row long, __gone array<boolean>"), "lines-gone")
+    kept = F.filter(F.zip_with(F.split(F.col(text), "\n", -1), F.col("__gone"), lambda t, g: F.when(~F.coalesce(g, F.lit(False)), t)), lambda t: t.isNotNull())
     # merged at every size, so that small and large inputs take the same way
-    joined = docs.withColumn("__row", _row(key, text)).join(gone.hint("merge"), "__row", "left")
+    joined = docs.withColumn("__row", row_hash(key, text)).join(gone.hint("merge"), "__row", "left")
     return joined.withColumn(text, F.when(F.col("__gone").isNull(), F.col(text)).otherwise(F.array_join(kept, "\n"))).select(*docs.columns)

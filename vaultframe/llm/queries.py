@@ -50,12 +50,12 @@ def compact_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def line_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
-    return line_dedup.line_report(docs, "doc_id", "text", least=1)
+    return line_dedup.line_report(docs, "doc_id", "text")
 
 
 def suffix_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
-    return suffix_dedup.repeat_digest(docs, "doc_id", "text", length=400)
+    return suffix_dedup.repeat_digest(docs, "doc_id", "text", length=400, passage=240)
 
 
 def quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
