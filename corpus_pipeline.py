@@ -4,7 +4,8 @@
 2. line dedup: lines that match an earlier line of the corpus go.
 3. SimHash near-dedup: of each group of near copies the document with the least id stays. Near
    copies differ in 4 bits at most, or share 0.8 of their five-word shingles.
-4. suffix-array dedup: bytes in strings of 400 bytes that start anywhere else go.
+4. suffix-array dedup: bytes in strings of PASSAGE bytes that start anywhere else go. A passage of
+   over 50 words of prose is longer than that.
 5. packing: what is left is cut and packed into sequences of 1024 token ids.
 
 Each stage works on all that the one before kept. All but the last return the columns of
@@ -21,6 +22,9 @@ from vaultframe.llm.common import materialise
 from vaultframe.llm.queries import tokenizer_path
 
 
+PASSAGE = 240
+
+
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return fertility.keep_documents(docs, "text", "lang", tokenizer_path("piece_bpe_32k.model"))
 
@@ -34,7 +38,7 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return suffix_dedup.remove_repeats(docs, "doc_id", "text", length=400)
+    return suffix_dedup.remove_repeats(docs, "doc_id", "text", length=PASSAGE)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

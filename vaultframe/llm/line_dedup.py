@@ -85,6 +85,10 @@ def wide_words(size: int) -> int:
     return min(16, 1 << max(0, (size - 1).bit_length() - 6))
 
 
+#: wide_words of each size up to where it no longer grows.
+_WIDE = np.array([wide_words(n) for n in range(1026)])
+
+
 def prefix_length(size: np.ndarray, share: float) -> np.ndarray:
     return size - np.ceil(share * size - 1e-9).astype(np.int64) + 1
 
@@ -157,13 +161,21 @@ class LineSets:
         """64 parity bits: bit i tells whether an odd number of words hash to it."""
         return np.bitwise_xor.reduceat(_U(1) << (self.hashes >> _U(58)), self.at) if len(self.at) else np.zeros(0, _U)
 
-    def wide_sketch(self, k: int) -> np.ndarray:
-        """More parity bits for a long line: by the hash's low bits, so that halves fold together by xor."""
-        n = wide_words(int(self.size[k]))
-        h = self.hashes[self.at[k] : self.at[k] + self.size[k]]
-        out = np.zeros(n, _U)
-        np.bitwise_xor.at(out, ((h >> _U(52)) & _U(n - 1)).astype(np.int64), _U(1) << ((h >> _U(46)) & _U(63)))
-        return out
+    def wide_sketches(self, lines: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(64-bit words of each line's, all of them): more parity bits for long lines, none for others.
+
+        By the hash's low bits, so that halves fold together by xor.
+        """
+        size = self.size[lines]
+        n = np.where(size > LONG_LINE, _WIDE[np.minimum(size, len(_WIDE) - 1)], 0)
+        at, own = np.cumsum(n) - n, np.flatnonzero(n)
+        out = np.zeros(int(n.sum()), _U)
+        if len(own):
+            count = size[own]
+            which = np.repeat(own, count)
+            h = self.hashes[np.repeat(self.at[lines[own]] - (np.cumsum(count) - count), count) + np.arange(count.sum())]
+            np.bitwise_xor.at(out, at[which] + ((h >> _U(52)).astype(np.int64) & (n[which] - 1)), _U(1) << ((h >> _U(46)) & _U(63)))
+        return n, out.view(np.int64)
 
 
 class Ragged:
@@ -172,6 +184,7 @@ class Ragged:
     def __init__(self, columns: dict[str, np.ndarray], lists: dict[str, tuple[np.ndarray, np.ndarray]]):
         #: lists: name -> (length of each row's list, all values one after another)
         self.columns, self.lists = columns, lists
+        self.ends = {k: np.concatenate([[0], np.cumsum(n)]) for k, (n, _) in lists.items()}
 
     def __len__(self) -> int:
         return len(next(iter(self.columns.values())))
@@ -179,14 +192,14 @@ class Ragged:
     def take(self, at: np.ndarray) -> Ragged:
         lists = {}
         for name, (n, flat) in self.lists.items():
-            first, own = (np.cumsum(n) - n)[at], n[at]
+            first, own = self.ends[name][at], n[at]
             lists[name] = (own, flat[np.repeat(first - (np.cumsum(own) - own), own) + np.arange(own.sum())])
         return Ragged({k: v[at] for k, v in self.columns.items()}, lists)
 
     def pack(self, lo: int, hi: int) -> bytes:
         head, body = [hi - lo], [c[lo:hi] for c in self.columns.values()]
-        for n, flat in self.lists.values():
-            ends = np.concatenate([[0], np.cumsum(n)])
+        for k, (n, flat) in self.lists.items():
+            ends = self.ends[k]
             head.append(int(ends[hi] - ends[lo]))
             body += [n[lo:hi], flat[ends[lo] : ends[hi]]]
         flat = np.concatenate([x.view(np.int64) for x in body])
@@ -217,13 +230,16 @@ class Ragged:
         first = parts[0]
         return Ragged({k: np.concatenate([p.columns[k] for p in parts]) for k in first.columns}, {k: (np.concatenate([p.lists[k][0] for p in parts]), np.concatenate([p.lists[k][1] for p in parts])) for k in first.lists})
 
+    def cut(self, bucket: np.ndarray) -> tuple[list[int], list[bytes]]:
+        """(bucket, block) of rows that are in the order of their buckets."""
+        at = np.concatenate([[0], np.flatnonzero(np.diff(bucket)) + 1, [len(bucket)]]).tolist() if len(bucket) else [0]
+        return [int(bucket[a]) for a in at[:-1]], [self.pack(a, b) for a, b in zip(at, at[1:], strict=False)]
+
     def dealt(self, by: str, buckets: int) -> tuple[list[int], list[bytes]]:
         """(bucket, block) of each bucket of a column of hashes."""
-        bucket = (self.columns[by].view(_U) % _U(buckets)).astype(np.int64)
+        bucket = _bucket(self.columns[by], buckets)
         order = np.argsort(bucket, kind="stable")
-        ordered, bucket = self.take(order), bucket[order]
-        cut = np.concatenate([[0], np.flatnonzero(np.diff(bucket)) + 1, [len(bucket)]]).tolist() if len(bucket) else [0]
-        return [int(bucket[a]) for a in cut[:-1]], [ordered.pack(a, b) for a, b in zip(cut, cut[1:], strict=False)]
+        return self.take(order).cut(bucket[order])
 
 
 CLASS, CLASS_LISTS = ["set", "id", "row", "line", "n", "size", "sketch"], ["prefix", "wide"]
@@ -241,19 +257,24 @@ def merged_classes(classes: Ragged) -> Ragged:
     return out
 
 
-def postings(classes: Ragged, asks: np.ndarray, marks: np.ndarray | None = None) -> Ragged:
-    """A row for each prefix word of the classes that can be elsewhere. packed: size, position, and whether the class asks."""
+def postings(classes: Ragged, asks: np.ndarray, buckets: int, marks: np.ndarray | None = None) -> tuple[list[int], list[bytes]]:
+    """(bucket, block) of rows for each prefix word of the classes that can be elsewhere. packed: size, position, and whether the class asks."""
     n, words = classes.lists["prefix"]
-    owner = np.repeat(np.arange(len(n)), n)
-    pos = np.arange(len(words)) - np.repeat(np.cumsum(n) - n, n)
     keep = words != 0
     if marks is not None:
         keep &= marked(marks, words)
-    owner, pos, words = owner[keep], pos[keep], words[keep]
-    own = Ragged({k: classes.columns[k] for k in ("set", "id", "line", "sketch")}, {"wide": classes.lists["wide"]}).take(owner)
-    packed = (classes.columns["size"][owner] << 32) | (pos << 1) | asks[owner]
-    c = own.columns
-    return Ragged({"word": words, "set": c["set"], "id": c["id"], "line": c["line"], "packed": packed, "sketch": c["sketch"]}, own.lists)
+    keep = np.flatnonzero(keep)
+    keep = keep[np.argsort(_bucket(words[keep], buckets), kind="stable")]
+    owner, words = np.repeat(np.arange(len(n)), n)[keep], words[keep]
+    pos = keep - (np.cumsum(n) - n)[owner]
+    c = classes.columns
+    packed = ((c["size"] << 32) | asks)[owner] | (pos << 1)
+    wide_own = Ragged({}, {"wide": classes.lists["wide"]}).take(owner).lists
+    return Ragged({"word": words, "set": c["set"][owner], "id": c["id"][owner], "line": c["line"][owner], "packed": packed, "sketch": c["sketch"][owner]}, wide_own).cut(_bucket(words, buckets))
+
+
+def _bucket(hashes: np.ndarray, buckets: int) -> np.ndarray:
+    return (hashes.view(_U) % _U(buckets)).astype(np.int32)
 
 
 def _blocks(pairs: tuple[list[int], list[bytes]]) -> pa.RecordBatch:
@@ -266,19 +287,18 @@ def _padded(b: pa.RecordBatch, fields: list[tuple[str, pa.DataType]]) -> pa.Reco
     return pa.RecordBatch.from_arrays([have.get(k, pa.nulls(b.num_rows, kind)) for k, kind in fields], [k for k, _ in fields])
 
 
-_LINES = [("bucket", pa.int32()), ("block", pa.binary()), ("row", pa.int64()), ("id", pa.int64()), ("line", pa.int64()), ("set", pa.int64())]
+_LINES = [("bucket", pa.int32()), ("block", pa.binary()), ("row", pa.int64()), ("id", pa.int64()), ("line", pa.int64()), ("set", pa.int64()), ("n_lines", pa.int64())]
 
 
 def _lines(docs: DataFrame, key: str, text: str, counts: Broadcast, threshold: float, least: int, buckets: int) -> DataFrame:
-    """(bucket, block, row, id, line, set): every line of enough words has a row, and every bucket of a batch's classes a block.
+    """(bucket, block, row, id, line, set, n_lines, key): every line of enough words and every document has a row, and every bucket of a batch's classes a block.
 
     A class's prefix has its rarest words first; it is empty for sets that match equal ones only.
     """
     tune(docs.sparkSession)
 
-    def classes_of(s: LineSets, own: np.ndarray, row: np.ndarray, ids: np.ndarray, number: np.ndarray) -> Ragged:
+    def classes_of(s: LineSets, own: np.ndarray, row: np.ndarray, ids: np.ndarray, number: np.ndarray, sets: np.ndarray) -> Ragged:
         size = s.size[own]
-        sets = s.keys()[own].view(np.int64)
         order = np.lexsort((number, row, ids, sets))
         head = np.flatnonzero(np.concatenate([[True], np.diff(sets[order]) != 0]))
         first = order[head]
@@ -286,38 +306,40 @@ def _lines(docs: DataFrame, key: str, text: str, counts: Broadcast, threshold: f
         at = np.repeat(s.at[own[first]], take) + np.arange(take.sum()) - np.repeat(np.cumsum(take) - take, take)
         # a word counted once in its bucket is in no other line
         words = np.where(s.rarity[at] > 1, s.hashes[at], _U(0)).view(np.int64)
-        wide_own = [s.wide_sketch(k).view(np.int64) if s.size[k] > LONG_LINE else np.zeros(0, np.int64) for k in own[first].tolist()]
         columns = {"set": sets[first], "id": ids[first], "row": row[first], "line": number[first], "n": np.diff(np.concatenate([head, [len(order)]])), "size": size[first], "sketch": s.sketches()[own][first].view(np.int64)}
-        return Ragged(columns, {"prefix": (take, words), "wide": (np.array([len(w) for w in wide_own], np.int64), np.concatenate(wide_own))})
+        return Ragged(columns, {"prefix": (take, words), "wide": s.wide_sketches(own[first])})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unload()
         held: list[Ragged] = []
-        size = 0
+        size, fields = 0, _LINES
         for b in batches:
             if not b.num_rows:
                 continue
+            fields = [*_LINES, ("key", b.schema.field(3).type)]
             rows, ids = (b.column(i).to_numpy(zero_copy_only=False) for i in range(2))
             data, offsets = utf8_buffers(b.column(2))
+            n_lines = np.diff(np.searchsorted(np.flatnonzero(data == 10), offsets)) + 1
+            yield _padded(pa.RecordBatch.from_arrays([b.column(0), pa.array(n_lines), b.column(3)], ["row", "n_lines", "key"]), fields)
             for lo, part, bounds in text_parts(data, offsets):
                 s = LineSets(part, bounds, counts.value)
                 own = np.flatnonzero(s.size >= least)
                 if not len(own):
                     continue
                 text_no, number = s.text[s.line[own]] + lo, s.number[s.line[own]]
-                c = classes_of(s, own, rows[text_no], ids[text_no], number)
-                held.append(c)
-                longs = [pa.array(x, pa.int64()) for x in (rows[text_no], ids[text_no], number, s.keys()[own].view(np.int64))]
-                yield _padded(pa.RecordBatch.from_arrays(longs, ["row", "id", "line", "set"]), _LINES)
+                longs = rows[text_no], ids[text_no], number, s.keys()[own].view(np.int64)
+                held.append(classes_of(s, own, *longs))
+                longs = [pa.array(x, pa.int64()) for x in longs]
+                yield _padded(pa.RecordBatch.from_arrays(longs, ["row", "id", "line", "set"]), fields)
             size += len(data)
             if held and size >= PACK_BYTES:
-                yield _padded(_blocks(merged_classes(Ragged.concat(held)).dealt("set", buckets)), _LINES)
+                yield _padded(_blocks(merged_classes(Ragged.concat(held)).dealt("set", buckets)), fields)
                 held, size = [], 0
         if held:
-            yield _padded(_blocks(merged_classes(Ragged.concat(held)).dealt("set", buckets)), _LINES)
+            yield _padded(_blocks(merged_classes(Ragged.concat(held)).dealt("set", buckets)), fields)
 
-    source = docs.select(row_hash(key, text), _order(docs, key), F.col(text).alias("__text"))
-    return source.mapInArrow(run, "bucket int, block binary, row long, id long, line long, set long")
+    source = docs.select(row_hash(key, text), _order(docs, key), F.col(text).alias("__text"), F.col(key).alias("__key"))
+    return source.mapInArrow(run, f"bucket int, block binary, row long, id long, line long, set long, n_lines long, key {docs.schema[key].dataType.simpleString()}")
 
 
 def _order(docs: DataFrame, key: str):
@@ -366,7 +388,7 @@ def _all_postings(classes: DataFrame, buckets: int) -> DataFrame:
         unload()
         for _, blocks, _ in _by_bucket(batches):
             c = Ragged.unpack(blocks, CLASS, CLASS_LISTS)
-            yield _blocks(postings(c, np.ones(len(c), np.int64)).dealt("word", buckets))
+            yield _blocks(postings(c, np.ones(len(c), np.int64), buckets))
 
     return classes.where("block is not null").select("bucket", "block").mapInArrow(run, "bucket int, block binary")
 
@@ -378,8 +400,7 @@ def wide_fits(cols: dict[str, np.ndarray], big: np.ndarray, small: np.ndarray, s
     both = np.flatnonzero(np.minimum(size[big], size[small]) > LONG_LINE)
     if not len(both):
         return fits
-    words = np.array([wide_words(n) for n in range(LONG_LINE + 1, 1026)])
-    width = lambda n: words[np.minimum(n, 1025) - LONG_LINE - 1]
+    width = lambda n: _WIDE[np.minimum(n, len(_WIDE) - 1)]
     kb, ks = width(size[big[both]]), width(size[small[both]])
     for a, b in {*zip(kb.tolist(), ks.tolist(), strict=True)}:
         own = both[(kb == a) & (ks == b)]
@@ -394,7 +415,10 @@ def wide_fits(cols: dict[str, np.ndarray], big: np.ndarray, small: np.ndarray, s
 
 
 def _candidates(blocks: DataFrame, threshold: float, tries: int | None) -> DataFrame:
-    """(x, y, more) of blocks of postings: set y comes before set x and passes the filters; at most ``tries`` for each x and word."""
+    """(x, y, word) of blocks of postings: set y comes before set x and passes the filters; at most ``tries`` for each x and word.
+
+    word: given if x has more candidates by it than were tried, else null.
+    """
     spark = blocks.sparkSession
     alpha = 2 * threshold / (1 + threshold)
 
@@ -455,22 +479,22 @@ def _candidates(blocks: DataFrame, threshold: float, tries: int | None) -> DataF
                 else:
                     more = np.zeros(len(x), bool)
                 if len(x):
-                    yield pa.RecordBatch.from_arrays([pa.array(cols["set"][x]), pa.array(cols["set"][y]), pa.array(more)], ["x", "y", "more"])
+                    yield pa.RecordBatch.from_arrays([pa.array(cols["set"][x]), pa.array(cols["set"][y]), pa.array(cols["word"][x], mask=~more)], ["x", "y", "word"])
 
     dealt = blocks.repartition(wide(spark), "bucket").sortWithinPartitions("bucket")
-    return dealt.mapInArrow(search, "x long, y long, more boolean")
+    return dealt.mapInArrow(search, "x long, y long, word long")
 
 
 def _asked_postings(classes: DataFrame, open_sets: DataFrame, n_open: int, buckets: int) -> DataFrame:
-    """(bucket, block) of the postings that open_sets (set) have to meet: all those of their words, taken out before any shuffle.
+    """(bucket, block) of the postings that open_sets (set, word) have to meet: those of the words whose candidates were not all tried, taken out before any shuffle.
 
     Up to FEW_ROWS open sets are broadcast; more are joined with the blocks of their buckets.
     """
     context = open_sets.sparkSession.sparkContext
     both = classes.where("block is not null").select("bucket", "block")
-    few = context.broadcast(open_sets.toArrow().column("set").to_numpy()) if n_open <= FEW_ROWS else None
+    few = context.broadcast(open_sets.select("set").distinct().toArrow().column("set").to_numpy()) if n_open <= FEW_ROWS else None
     if few is None:
-        asked = open_sets.groupBy(F.pmod(F.conv(F.hex("set"), 16, 10).cast("decimal(20,0)"), F.lit(buckets)).cast("int").alias("bucket")).agg(F.collect_list("set").alias("asked"))
+        asked = open_sets.groupBy(F.pmod(F.conv(F.hex("set"), 16, 10).cast("decimal(20,0)"), F.lit(buckets)).cast("int").alias("bucket")).agg(F.collect_set("set").alias("asked"))
         both = materialise(both.join(asked.hint("merge"), "bucket", "left").select("bucket", "block", F.coalesce("asked", F.array().cast("array<bigint>")).alias("asked")), "line-asked")
 
     def asking(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[Ragged, np.ndarray]]:
@@ -479,17 +503,11 @@ def _asked_postings(classes: DataFrame, open_sets: DataFrame, n_open: int, bucke
             c = Ragged.unpack(blocks, CLASS, CLASS_LISTS)
             yield c, np.isin(c.columns["set"], few.value if few else sets[0])
 
-    def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for c, asks in asking(batches):
-            n, flat = c.lists["prefix"]
-            found = np.unique(flat[np.repeat(asks, n)])
-            yield pa.RecordBatch.from_arrays([pa.array(found[found != 0])], ["word"])
-
-    marks = context.broadcast(marks_of(both.mapInArrow(words, "word long"), "word"))
+    marks = context.broadcast(marks_of(open_sets, "word"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for c, asks in asking(batches):
-            yield _blocks(postings(c, asks.astype(np.int64), marks.value).dealt("word", buckets))
+            yield _blocks(postings(c, asks.astype(np.int64), buckets, marks.value))
 
     return both.mapInArrow(run, "bucket int, block binary")
 
@@ -524,7 +542,7 @@ def matched_sets(classes: DataFrame, docs: DataFrame, key: str, text: str, thres
     tried = materialise(_candidates(_all_postings(classes, buckets), threshold, FIRST_TRIES), "line-candidates")
     sweep(docs.sparkSession)
     matched = materialise(verified(tried.select("x", "y").distinct()), "line-matched")
-    open_sets = tried.where("more").select(F.col("x").alias("set")).distinct().join(matched, "set", "left_anti")
+    open_sets = tried.where("word is not null").select(F.col("x").alias("set"), "word").join(matched, "set", "left_anti")
     open_sets = materialise(open_sets, "line-open")
     n_open = open_sets.count()
     if n_open:
@@ -533,8 +551,8 @@ def matched_sets(classes: DataFrame, docs: DataFrame, key: str, text: str, thres
     return matched
 
 
-def removed_lines(docs: DataFrame, key: str, text: str, threshold: float = THRESHOLD, least: int = LEAST_WORDS) -> DataFrame:
-    """(row, id, line) of every line that matches a line before it."""
+def removed_lines(docs: DataFrame, key: str, text: str, threshold: float = THRESHOLD, least: int = LEAST_WORDS) -> tuple[DataFrame, DataFrame]:
+    """(row, line) of every line that matches a line before it, and (row, key, n_lines) of every document."""
     buckets = 2 * wide(docs.sparkSession)
     counts = docs.sparkSession.sparkContext.broadcast(word_counts(docs, text))
     lines = materialise(_lines(docs, key, text, counts, threshold, least, buckets), "lines")
@@ -547,20 +565,20 @@ def removed_lines(docs: DataFrame, key: str, text: str, threshold: float = THRES
     hit = materialise(hit, "line-hits")
     discard(classes)
     later = (F.col("row") != F.col("first.row")) | (F.col("line") != F.col("first.line"))
-    return lines.where("block is null").select("row", "id", "line", "set").join(hit, "set").where(F.col("all") | later).select("row", "id", "line").distinct()
+    gone = lines.where("set is not null").select("row", "line", "set").join(hit, "set").where(F.col("all") | later).select("row", "line").distinct()
+    return gone, lines.where("n_lines is not null").select("row", "key", "n_lines")
 
 
 def line_report(docs: DataFrame, key: str, text: str, threshold: float = THRESHOLD, least: int = LEAST_WORDS) -> DataFrame:
     """(key, n_lines, n_removed, removed_lines): per document; removed line numbers ascend from 0."""
-    gone = removed_lines(docs, key, text, threshold, least).groupBy("row").agg(F.sort_array(F.collect_list("line")).alias("removed_lines"))
-    n_lines = (F.coalesce(F.octet_length(text) - F.octet_length(F.replace(text, F.lit("\n"), F.lit(""))), F.lit(0)) + 1).cast("long").alias("n_lines")
-    base = docs.select(F.col(key), row_hash(key, text).alias("row"), n_lines)
-    return base.join(gone, "row", "left").select(key, "n_lines", F.coalesce(F.size("removed_lines"), F.lit(0)).cast("long").alias("n_removed"), F.coalesce("removed_lines", F.array().cast("array<bigint>")).alias("removed_lines"))
+    gone, scanned = removed_lines(docs, key, text, threshold, least)
+    gone = gone.groupBy("row").agg(F.sort_array(F.collect_list("line")).alias("removed_lines"))
+    return scanned.join(gone, "row", "left").select(F.col("key").alias(key), "n_lines", F.coalesce(F.size("removed_lines"), F.lit(0)).cast("long").alias("n_removed"), F.coalesce("removed_lines", F.array().cast("array<bigint>")).alias("removed_lines"))
 
 
 def dedup_lines(docs: DataFrame, key: str, text: str, threshold: float = THRESHOLD, least: int = LEAST_WORDS) -> DataFrame:
     """``docs`` without the removed lines; a document that loses all its lines has an empty text."""
-    gone = removed_lines(docs, key, text, threshold, least).groupBy("row").agg(F.collect_list("line").alias("gone"))
+    gone = removed_lines(docs, key, text, threshold, least)[0].groupBy("row").agg(F.collect_list("line").alias("gone"))
 
     def flags(b: pa.RecordBatch) -> pa.RecordBatch:
         out = []
