@@ -2,6 +2,7 @@
 
 import hashlib
 import itertools
+import math
 import random
 import zlib
 from collections import Counter
@@ -240,6 +241,47 @@ def test_sharding(spark, docs):
     assert table.read(version).count() == docs.count()
 
 
+def test_sharding_of_an_empty_table(spark, docs):
+    table = sharding.shard_documents(docs.limit(0), "doc_id")
+    assert table.read().count() == 0 and table.read().columns == [*docs.columns, "shard", "shard_bytes", "tier"]
+    table.append(docs)
+    assert table.read().count() == docs.count()
+    with pytest.raises(ValueError, match="no version"):
+        sharding.ShardedTable(spark, common.scratch(spark, "none")).read()
+
+
+def test_sharding_keeps_columns_that_only_some_arrivals_have(spark):
+    table = sharding.ShardedTable(spark, common.scratch(spark, "shards"), fan_in=4)
+    table.append(spark.createDataFrame([(1, 7)], "id long, n int"))
+    table.append(spark.createDataFrame([(2, 2**40, "x")], "id long, n long, extra string"))
+    table.append(spark.createDataFrame([(3, 0.5)], "id long, n double"))
+    table.append(spark.createDataFrame([(4, "y", True)], "id long, extra string, flag boolean"))
+    want = [(1, 7.0, None, None), (2, 2.0**40, "x", None), (3, 0.5, None, None), (4, None, "y", True)]
+    assert sorted(tuple(r) for r in table.read().select("id", "n", "extra", "flag").collect()) == want
+    table.compact()
+    assert len(table.manifest()["runs"]) == 1
+    assert sorted(tuple(r) for r in table.read().select("id", "n", "extra", "flag").collect()) == want
+    table.append(spark.createDataFrame([(5, "two")], "id long, n string"))
+    assert {r.id: r.n for r in table.read().collect()}[5] == "two"
+
+
+def test_sharding_keeps_files_for_readers(spark):
+    table = sharding.ShardedTable(spark, common.scratch(spark, "shards"), fan_in=4)
+    for i in range(4):
+        table.append(spark.range(i * 10, i * 10 + 10))
+    before = table.read()
+    spark.range(3).write.parquet(f"{table.root}/data/failed")  # a writer that never committed
+    table.compact()
+    assert before.count() == 40 and table.read().count() == 40 and len(table.versions()) == 5
+    assert table._files(f"{table.root}/data/failed")
+    table.retain = table.orphan = 0
+    table.vacuum()
+    assert table.versions() == [5] and table.read().count() == 40
+    assert not table._files(f"{table.root}/data/failed")
+    with pytest.raises(Exception, match="(?i)not_exist|not exist"):
+        before.collect()
+
+
 # 5
 
 
@@ -544,16 +586,62 @@ def test_top_k(spark):
     assert topk.top_k(table.limit(0), "vec_id", "embedding", table.limit(0)).count() == 0
 
 
+def plain_top_k(rows, asked, k=5):
+    """rows, asked: (id, integers); a missing component is zero, a repeated id counts once with its best score."""
+    want = []
+    for q in sorted({i for i, _ in asked}):
+        best = {}
+        for i, x in asked:
+            for c, y in rows:
+                if i == q != c:
+                    s = sum(int(a) * int(b) for a, b in zip(x, y, strict=False))
+                    s = min(max(s, -topk.MOST), topk.MOST)
+                    best[c] = max(best.get(c, s), s)
+        want += [(q, n + 1, c, s) for n, (c, s) in enumerate(sorted(best.items(), key=lambda p: (-p[1], p[0]))[:k])]
+    return sorted(want)
+
+
+@pytest.mark.parametrize("dim", [8, 64, 768])
+@pytest.mark.parametrize("components", [1 << 19, 3000])
+def test_top_k_of_any_length_in_many_shards(spark, monkeypatch, dim, components):
+    monkeypatch.setattr(topk, "SHARD_COMPONENTS", components)
+    monkeypatch.setattr(topk, "BLOCK_COMPONENTS", components)
+    monkeypatch.setattr(topk, "FEW", 3)
+    r = np.random.default_rng(dim)
+    v = np.round(r.standard_t(2, (60, dim)), 2)
+    v[11] *= 1e8
+    v[12] = -v[11]
+    v[20:30] = v[20]
+    rows = [(i, x.tolist()) for i, x in enumerate(v)]
+    rows += [(4, rows[5][1]), (4, rows[4][1]), (6, []), (70, []), (71, [1e8]), (72, rows[9][1][:3]), (73, [0.0] * dim)]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    whole = [(i, [math.floor(256 * x) for x in v]) for i, v in rows]
+    asked = [(i, x) for i, x in whole if i % 2 == 0]
+    out = topk.top_k(table, "vec_id", "embedding", table.where("vec_id % 2 = 0"))
+    assert got(out, "query_id", "rank", "id", "score") == plain_top_k(whole, asked)
+
+
+def test_top_k_beyond_64_bits(spark):
+    rows = [(0, [1e15, 1.0]), (1, [1e15, 2.0]), (2, [-1e15, 5.0]), (3, [1e300, 0.0]), (4, [0.5, 0.5])]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    held = [(i, [min(max(math.floor(256 * x), -(2**63)), topk.MOST) for x in v]) for i, v in rows]
+    out = topk.top_k(table, "vec_id", "embedding", table)
+    assert got(out, "query_id", "rank", "id", "score") == plain_top_k(held, held)
+
+
 def test_top_k_stops_early_and_stays_exact():
     r = np.random.default_rng(8)
     x = np.floor(r.standard_t(2, (4000, 64)) * 40).astype(int)  # a few large impacts decide
-    q = x[:50]
-    shard = topk.ImpactShard(np.arange(4000), x)
-    at, ids, score = shard.search(np.arange(50), q, 5)
+    shard = topk.ImpactShard(np.arange(4000), x.ravel(), np.arange(4001) * 64)
     for i in range(50):
-        s = q[i] @ x.T
+        s = x[i] @ x.T
         best = sorted((-int(s[c]), c) for c in range(4000) if c != i)[:5]
-        assert list(zip((-score[at == i]).tolist(), ids[at == i].tolist(), strict=True)) == best
+        ids, score = shard.search(i, x[i], 5)
+        assert list(zip((-score).tolist(), ids.tolist(), strict=True)) == best
+        floor = -best[2][0]
+        ids, score = shard.search(i, x[i], 5, floor)
+        assert list(zip((-score).tolist(), ids.tolist(), strict=True)) == [b for b in best if -b[0] >= floor]
+    assert shard.read < shard.full / 2
 
 
 # SQL

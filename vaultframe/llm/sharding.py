@@ -4,23 +4,30 @@ Arrivals are appended as runs of small immutable Parquet shards. A run's tier is
 of log(bytes / unit) to the base ``fan_in``. When a tier has ``fan_in`` runs or more they are
 merged into one run of target-sized files (a coalesced copy, no shuffle), which lands in a
 higher tier; so each row is rewritten about once per tier. Every change is a new manifest
-``_manifest/v<n>.json`` that lists all live shards, written aside and then renamed; a rename
+``_manifest/v<n>.json`` that lists all live shards with their schema, written aside and then renamed; a rename
 onto an existing version fails, so of two writers one has to start over. Readers use one version
-and never see half a change. Files that no kept version names are deleted by ``vacuum``.
-
-Cases: an empty arrival commits a version without a shard. Repeated rows are kept as they are.
-All columns are stored; ``read`` puts its own shard, shard_bytes and tier in place of columns of
-these names.
+and never see half a change. Files that a version dropped stay for ``retain`` seconds after that,
+so that readers of the version before can finish; ``vacuum`` then deletes them, and files that no
+version names once they are older than ``orphan`` seconds (of writers that failed).
+
+Cases: an empty arrival commits a version without a shard; a table of which no version has a shard
+is read as an empty frame with the columns it was given. Repeated rows are kept as they are.
+All columns are stored. Arrivals may differ in columns: a table has all of them, null where an
+arrival lacks one; a column with several types is read and merged as the wider number, or as a
+string. ``read`` puts its own shard, shard_bytes and tier in place of columns of these names. A
+table without any version can't be read.
 """
 
 from __future__ import annotations
 
 import json
 import math
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from vaultframe.llm.common import scratch
 
@@ -28,13 +35,37 @@ from vaultframe.llm.common import scratch
 UNIT_BYTES = 4 << 20
 FAN_IN = 4
 TARGET_BYTES = 128 << 20
+#: Seconds that dropped files stay for readers, and that unnamed files stay for writers.
+RETAIN = 24 * 3600
+ORPHAN = 24 * 3600
+#: Whole numbers, then binary fractions: each reads as any later one.
+_WIDER = [T.ByteType(), T.ShortType(), T.IntegerType(), T.LongType(), T.FloatType(), T.DoubleType()]
+
+
+def common_schema(schemas: list[T.StructType]) -> T.StructType:
+    """All columns in order of first sight, each nullable and of a type that holds every schema's."""
+    types: dict[str, T.DataType] = {}
+    for f in (f for s in schemas for f in s):
+        have = types.get(f.name, f.dataType)
+        if have == f.dataType:
+            types[f.name] = have
+        elif have in _WIDER and f.dataType in _WIDER:
+            wider = max(have, f.dataType, key=_WIDER.index)
+            types[f.name] = T.DoubleType() if wider == T.FloatType() else wider
+        else:
+            types[f.name] = T.StringType()
+    return T.StructType([T.StructField(n, t) for n, t in types.items()])
+
+
+def _nullable(schema: T.StructType) -> T.StructType:
+    return T.StructType([T.StructField(f.name, f.dataType) for f in schema])
 
 
 class ShardedTable:
     """One table's folder. Only metadata of shards, never rows, is handled on the driver."""
 
-    def __init__(self, spark: SparkSession, root: str, unit_bytes: int = UNIT_BYTES, fan_in: int = FAN_IN, target_bytes: int = TARGET_BYTES):
-        self.spark, self.root = spark, root
+    def __init__(self, spark: SparkSession, root: str, unit_bytes: int = UNIT_BYTES, fan_in: int = FAN_IN, target_bytes: int = TARGET_BYTES, retain: float = RETAIN, orphan: float = ORPHAN):
+        self.spark, self.root, self.retain, self.orphan = spark, root, retain, orphan
         self.unit, self.fan_in, self.target = unit_bytes, fan_in, target_bytes
         self.jvm = spark.sparkContext._jvm
         self.path = self.jvm.org.apache.hadoop.fs.Path
@@ -63,7 +94,7 @@ class ShardedTable:
         version = base + 1
         aside = self.path(f"{self.root}/_aside/{uuid.uuid4().hex}.json")
         out = self.fs.create(aside)
-        out.write(bytearray(json.dumps({"version": version, "runs": runs}).encode()))
+        out.write(bytearray(json.dumps({"version": version, "at": time.time(), "runs": runs}).encode()))
         out.close()
         final = self.path(f"{self.root}/_manifest/v{version:08d}.json")
         self.fs.mkdirs(final.getParent())
@@ -85,16 +116,16 @@ class ShardedTable:
     def tier(self, size: int) -> int:
         return max(0, int(math.log(max(size, 1) / self.unit, self.fan_in))) if size >= self.unit else 0
 
-    def _run(self, name: str, files: list[dict]) -> dict:
+    def _run(self, name: str, files: list[dict], schema: T.StructType) -> dict:
         size = sum(f["bytes"] for f in files)
-        return {"name": name, "bytes": size, "tier": self.tier(size), "shards": files}
+        return {"name": name, "bytes": size, "tier": self.tier(size), "schema": json.loads(_nullable(schema).json()), "shards": files}
 
     def append(self, df: DataFrame) -> int:
         """One arrival: written once, committed as one run."""
         name = uuid.uuid4().hex
         df.write.parquet(f"{self.root}/data/{name}")
         at = self.manifest()
-        return self.commit([*at["runs"], self._run(name, self._files(f"{self.root}/data/{name}"))], at["version"])
+        return self.commit([*at["runs"], self._run(name, self._files(f"{self.root}/data/{name}"), df.schema)], at["version"])
 
     def append_all(self, df: DataFrame, arrival: str, compact: bool = True) -> int:
         """Many arrivals, told apart by a column: written in one pass, committed one after another."""
@@ -103,16 +134,16 @@ class ShardedTable:
         groups: dict[str, list[dict]] = {}
         for f in self._files(f"{self.root}/data/{name}"):
             groups.setdefault(f["path"].rpartition("/")[0].rpartition("/")[2], []).append(f)
-        version = self.manifest()["version"]
-        for k in sorted(groups, key=lambda k: (len(k), k)):
+        schema = df.drop(arrival).schema
+        for k in sorted(groups, key=lambda k: (len(k), k)) or [None]:  # no rows: a version that knows the columns
             at = self.manifest()
-            version = self.commit([*at["runs"], self._run(f"{name}-{k}", groups[k])], at["version"])
+            version = self.commit([*at["runs"], self._run(f"{name}-{k}", groups.get(k, []), schema)], at["version"])
             if compact:
                 version = self.compact()
         return version
 
     def compact(self) -> int:
-        """Merges tiers that have fan_in runs until none has; deletes what the last version dropped."""
+        """Merges tiers that have fan_in runs until none has; deletes what is no longer retained."""
         while True:
             at = self.manifest()
             tiers: dict[int, list[dict]] = {}
@@ -124,45 +155,75 @@ class ShardedTable:
             old = tiers[full[0]]
             name = uuid.uuid4().hex
             size = sum(r["bytes"] for r in old)
-            paths = [f["path"] for r in old for f in r["shards"]]
-            if paths:
-                self.spark.read.schema(self._schema(paths[0])).parquet(*paths).coalesce(max(1, math.ceil(size / self.target))).write.parquet(f"{self.root}/data/{name}")
-            merged = self._run(name, self._files(f"{self.root}/data/{name}") if paths else [])
+            rows = self._rows(old)
+            if rows is not None:
+                rows.coalesce(max(1, math.ceil(size / self.target))).write.parquet(f"{self.root}/data/{name}")
+            merged = self._run(name, [] if rows is None else self._files(f"{self.root}/data/{name}"), self._schema(old))
             merged["tier"] = max(merged["tier"], full[0] + 1)  # packing better than before must not merge again
             gone = {r["name"] for r in old}
             self.commit([*(r for r in at["runs"] if r["name"] not in gone), merged], at["version"])
             self.vacuum()
 
-    def _schema(self, path: str):
-        return self.spark.read.parquet(path).schema
-
-    def vacuum(self, keep: int = 1) -> None:
-        """Deletes files of older versions that the last ``keep`` versions do not name."""
-        versions = self.versions()
-        live = {f["path"] for v in versions[-keep:] for r in self.manifest(v)["runs"] for f in r["shards"]}
-        for v in versions[:-keep]:
-            for r in self.manifest(v)["runs"]:
-                for f in r["shards"]:
-                    if f["path"] not in live:
-                        self.fs.delete(self.path(f["path"]), False)
+    def _schema(self, runs: list[dict]) -> T.StructType:
+        return common_schema([T.StructType.fromJson(r["schema"]) for r in runs])
+
+    def _rows(self, runs: list[dict], at: str | None = None) -> DataFrame | None:
+        """The runs' rows in their common columns; ``at`` names a column for the file's path below data."""
+        whole, groups = self._schema(runs), {}
+        for r in runs:
+            if r["shards"]:
+                groups.setdefault(json.dumps(r["schema"]), (r["schema"], []))[1].extend(f["path"] for f in r["shards"])
+        out = None
+        for schema, paths in groups.values():
+            own = T.StructType.fromJson(schema)
+            part = self.spark.read.schema(own).parquet(*paths)
+            path = [F.element_at(F.split("_metadata.file_path", "/data/"), -1).alias(at)] if at else []
+            part = part.select(*((F.col(f"`{f.name}`") if f.name in own.names else F.lit(None)).cast(f.dataType).alias(f.name) for f in whole), *path)
+            out = part if out is None else out.unionByName(part)
+        return out
+
+    def vacuum(self) -> None:
+        """Deletes versions that were replaced more than ``retain`` seconds ago, files that no other
+        version names, and files older than ``orphan`` seconds that none names."""
+        versions, now = self.versions(), time.time()
+        manifests = {v: self.manifest(v) for v in versions}
+        gone = [v for v, after in zip(versions, versions[1:], strict=False) if now - manifests[after]["at"] >= self.retain]
+        named = lambda vs: {f["path"] for v in vs for r in manifests[v]["runs"] for f in r["shards"]}
+        live = named(v for v in versions if v not in gone)
+        for path in named(gone) - live:
+            self.fs.delete(self.path(path), False)
+        for v in gone:
             self.fs.delete(self.path(f"{self.root}/_manifest/v{v:08d}.json"), False)
+        for folder in ("data", "_aside"):
+            if not self.fs.exists(self.path(f"{self.root}/{folder}")):
+                continue
+            files = self.fs.listFiles(self.path(f"{self.root}/{folder}"), True)
+            while files.hasNext():
+                s = files.next()
+                if now - s.getModificationTime() / 1000 >= self.orphan and s.getPath().toString() not in live:
+                    self.fs.delete(s.getPath(), False)
 
     def read(self, version: int | None = None) -> DataFrame:
         """The rows of one version, with shard (number in the manifest), shard_bytes and tier."""
-        runs = self.manifest(version)["runs"]
-        shards = sorted(({"file": f["path"].rpartition("/")[2], "path": f["path"], "shard_bytes": f["bytes"], "tier": r["tier"]} for r in runs for f in r["shards"]), key=lambda s: s["path"])
-        if not shards:
-            raise ValueError("no shard in this version")
-        names: dict[str, int] = {}
-        for i, s in enumerate(shards):
-            names[s["path"]] = i
+        manifest = self.manifest(version)
+        if not manifest["version"]:
+            raise ValueError("no version yet")
+        runs = manifest["runs"]
+        shards = sorted(({"path": f["path"], "shard_bytes": f["bytes"], "tier": r["tier"]} for r in runs for f in r["shards"]), key=lambda s: s["path"])
         table = self.spark.createDataFrame([(s["path"].rpartition("/data/")[2], i, s["shard_bytes"], s["tier"]) for i, s in enumerate(shards)], "__at string, shard int, shard_bytes long, tier int")
-        rows = self.spark.read.schema(self._schema(shards[0]["path"])).parquet(*(s["path"] for s in shards)).drop("shard", "shard_bytes", "tier").select("*", F.element_at(F.split("_metadata.file_path", "/data/"), -1).alias("__at"))
-        return rows.join(F.broadcast(table) if len(shards) < 100_000 else table, "__at").drop("__at")
+        rows = self._rows(runs, "__at")
+        if rows is None:
+            rows = self.spark.createDataFrame([], self._schema(runs).add("__at", "string"))
+        return rows.drop("shard", "shard_bytes", "tier").join(F.broadcast(table) if len(shards) < 100_000 else table, "__at").drop("__at")
+
 
+def shard_documents(docs: DataFrame, key: str, arrivals: int = 16, root: str | None = None, **sizes: float) -> ShardedTable:
+    """Deals ``docs`` into arrivals by the key's hash, appends them in turn and compacts on the way.
 
-def shard_documents(docs: DataFrame, key: str, arrivals: int = 16, root: str | None = None, **sizes: int) -> ShardedTable:
-    """Deals ``docs`` into arrivals by the key's hash, appends them in turn and compacts on the way."""
-    table = ShardedTable(docs.sparkSession, root or scratch(docs.sparkSession, "shards"), **sizes)
+    Without a root the table is a new one that nobody reads before this returns, so nothing dropped is
+    retained until then.
+    """
+    table = ShardedTable(docs.sparkSession, root or scratch(docs.sparkSession, "shards"), **({"retain": RETAIN if root else 0} | sizes))
     table.append_all(docs.withColumn("__arrival", F.pmod(F.xxhash64(key), F.lit(arrivals))), "__arrival")
+    table.retain = sizes.get("retain", RETAIN)
     return table
