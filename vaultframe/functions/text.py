@@ -188,8 +188,16 @@ def recency_intent(c) -> Column:
     return matches(c, *RECENCY_SIGNALS)
 
 
+def normalised_prompt(c) -> Column:
+    """A prompt without metadata headers, a scheduler's wrapper or a time stamp in front."""
+    strip = lambda x: F.regexp_replace(x, r"^\s+|\s+$", "")
+    t = F.regexp_replace(strip(col(c)), r"(?im)^(Conversation info|Sender) \(untrusted metadata\):[\s\S]*?\n\s*\n", "")
+    t = F.regexp_replace(strip(t), r"(?i)^\[cron:[^\]]+\]\s*", "")
+    return strip(F.regexp_replace(strip(t), r"^\[[A-Za-z]{3}\s\d{4}-\d{2}-\d{2}\s\d{2}:\d{2}\s[^\]]+\]\s*", ""))
+
+
 def skip_retrieval(c) -> Column:
-    t = F.trim(F.regexp_replace(F.trim(col(c)), r"(?i)^\[cron:[^\]]+\]\s*", ""))
+    t = normalised_prompt(c)
     cjk = t.rlike(r"[\x{4e00}-\x{9fff}\x{3040}-\x{309f}\x{30a0}-\x{30ff}\x{ac00}-\x{d7af}]")
     short = (F.length(t) < F.when(cjk, 6).otherwise(15)) & ~t.contains("?") & ~t.contains("？")
     return F.when(matches(t, *FORCE_PROMPTS), False).otherwise((F.length(t) < 5) | matches(t, *SKIP_PROMPTS) | t.rlike(EMOJI_ONLY) | short)

@@ -47,3 +47,38 @@ def rerank_probe(triples: DataFrame, margin: float = 0.25, floor: float = 0.05)
     """(healthy, worst_margin) of triples(relevant, hard_negative) scores."""
     gap = F.col("relevant") - F.col("hard_negative")
     return triples.agg((F.min(gap >= margin) & (F.max("relevant") >= floor)).alias("healthy"), F.min(gap).alias("worst_margin"))
+
+
+def hook_cases(cases: DataFrame) -> DataFrame:
+    """Per case of (case_id, injected, must, must_not, expect_abstain, prior_leg, prior_leg_enabled, elapsed_ms, budget_ms):
+    rates that don't apply are null."""
+    n, hits = F.size("injected"), F.size(F.array_intersect("must", "injected"))
+    bad = F.size(F.filter("injected", lambda p: F.array_contains("must_not", p)))
+    none = (n == 0).cast("int")
+    prior = F.when(F.col("prior_leg") == "required", F.col("prior_leg_enabled").cast("int")).when(F.col("prior_leg") != "harmless", (~F.col("prior_leg_enabled")).cast("int"))
+    return cases.select(
+        "case_id",
+        n.alias("injected"),
+        bad.alias("must_not_count"),
+        F.when(n > 0, bad / n).alias("must_not_rate"),
+        F.when(F.size("must") > 0, hits / F.size("must")).alias("must_recall"),
+        F.when(F.col("expect_abstain"), none).alias("abstention_correct"),
+        F.when(~F.col("expect_abstain") & (F.size("must") > 0), none).alias("false_abstain"),
+        prior.alias("prior_leg_ok"),
+        "elapsed_ms",
+        (F.col("elapsed_ms") > F.col("budget_ms")).alias("timed_out"),
+    )
+
+
+def hook_summary(metrics: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    """Means and rates over hook_cases, nulls left out; one row, or one a key."""
+    return metrics.groupBy(*(keys or [])).agg(
+        F.count("*").alias("cases"),
+        F.avg((F.col("must_not_count") > 0).cast("double")).alias("must_not_case_rate"),
+        (F.sum("must_not_count") / F.nullif(F.sum("injected"), F.lit(0))).alias("must_not_doc_rate"),
+        F.avg("must_recall").alias("must_recall"),
+        F.avg("abstention_correct").alias("abstention_accuracy"),
+        F.avg("false_abstain").alias("false_abstain_rate"),
+        F.avg("prior_leg_ok").alias("prior_leg_accuracy"),
+        F.avg(F.col("timed_out").cast("double")).alias("timeout_rate"),
+    )

@@ -146,3 +146,16 @@ def first_occurrence(legs: DataFrame) -> DataFrame:
     return top_per(legs, ["qid", "id"], [F.col("leg"), F.col("rank")], 1, "seen").drop("seen")
 
 
+
+
+def drop_unarbitrated(pool: DataFrame, candidates: DataFrame) -> DataFrame:
+    """The pool without candidates(qid, id, admitted, current_supported, gate_passed) that only earlier turns admitted."""
+    drop = candidates.where("admitted and not current_supported and not gate_passed").select("qid", "id")
+    return pool.join(drop, ["qid", "id"], "left_anti")
+
+
+def recency_order(scored: DataFrame, recent: DataFrame) -> DataFrame:
+    """scored(qid, id, content_type, composite) with ``place``: for queries of recent(qid) handoffs, decisions and progress first."""
+    marked = scored.join(recent.select("qid", F.lit(True).alias("__recent")).distinct(), "qid", "left")
+    first = F.coalesce("__recent", F.lit(False)) & F.col("content_type").isin("handoff", "decision", "progress")
+    return top_per(marked.withColumn("__first", first), ["qid"], [F.desc("__first"), F.desc(F.round("composite", 9)), F.col("id")], None, "place").drop("__recent", "__first")

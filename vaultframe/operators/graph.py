@@ -115,21 +115,51 @@ def one_hop_causal(relations: DataFrame, anchors: DataFrame, eligible: DataFrame
 
 
 def causal_chain(relations: DataFrame, start: int, depth: int = 5, most: int = 50) -> DataFrame:
-    """(depth, source_id, target_id, weight, direction): level by level both ways; a node expands once per direction."""
+    """(depth, source_id, target_id, weight, direction, truncated): level by level both ways, ``most`` edges in all.
+
+    A node expands once per direction, and only edges that are kept lead on. A level holds at most ``most`` + 1
+    edges, so it goes to the driver and the next level is a filter on its nodes, which the scan can use: the plan
+    does not grow with the depth. ``truncated`` tells that some level or the whole had more.
+    """
     causal = relations.where("relation_type = 'causal'").select("source_id", "target_id", clamp_weight("weight").alias("weight"))
-    spark = relations.sparkSession
-    out = None
-    for direction, near, far in (("effect", "source_id", "target_id"), ("cause", "target_id", "source_id")):
-        front = seen = spark.range(start, start + 1).select(F.col("id").alias("node"))
-        for level in range(1, min(depth, 10) + 1):
-            edges = causal.join(front, F.col(near) == F.col("node"), "left_semi").select(F.lit(level).alias("depth"), "source_id", "target_id", "weight", F.lit(direction).alias("direction"))
-            edges = edges.orderBy(F.desc(F.round("weight", 9)), "source_id", "target_id").limit(most)
-            out = edges if out is None else out.unionByName(edges)
-            front = edges.select(F.col(far).alias("node")).distinct().join(seen, "node", "left_anti")
-            seen = seen.unionByName(front)
-    return out.orderBy("depth", F.desc(F.round("weight", 9)), "source_id", "target_id", "direction").limit(most)
+    order = lambda e: (e[0], -round(e[3], 9), e[1], e[2], e[4])
+    kept: list[tuple] = []
+    cut = False
+    fronts = {"effect": {start}, "cause": {start}}
+    seen = {d: {start} for d in fronts}
+    for level in range(1, min(depth, 10) + 1):
+        parts = []
+        for direction, near in (("effect", "source_id"), ("cause", "target_id")):
+            if fronts[direction]:
+                own = causal.where(F.col(near).isin(*sorted(fronts[direction])))
+                parts.append(own.select(F.lit(level).alias("depth"), "source_id", "target_id", "weight", F.lit(direction).alias("direction")))
+        room = most - len(kept)
+        if not parts or room < 0:
+            break
+        edges = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+        got = sorted((tuple(r) for r in edges.orderBy(F.desc(F.round("weight", 9)), "source_id", "target_id", "direction").limit(room + 1).collect()), key=order)
+        cut |= len(got) > room
+        got = got[:room]
+        kept += got
+        fronts = {d: {e[2] if d == "effect" else e[1] for e in got if e[4] == d} - seen[d] for d in fronts}
+        for d in fronts:
+            seen[d] |= fronts[d]
+    schema = "depth int, source_id long, target_id long, weight double, direction string, truncated boolean"
+    return relations.sparkSession.createDataFrame([(*e, cut) for e in kept], schema)
 
 
 def edges_within(relations: DataFrame, ids: DataFrame) -> DataFrame:
     """Relations with both ends among ids(id)."""
     return relations.join(ids.select(F.col("id").alias("source_id")), "source_id", "left_semi").join(ids.select(F.col("id").alias("target_id")), "target_id", "left_semi")
+
+
+def meta_path_merge(found: DataFrame, pushed: DataFrame, neighbours: DataFrame | None = None) -> DataFrame:
+    """(id, score): a meta-path's normalised score counts 0.9 for what was found, by the greater, and 0.75 for the rest;
+    neighbours by entity, if given, come in at 0.7 where nothing else has them."""
+    top = pushed.agg(F.max("score").alias("top"))
+    norm = pushed.join(F.broadcast(top)).select("id", (F.col("score") / F.when(F.col("top") > 0, F.col("top")).otherwise(1.0)).alias("norm"))
+    both = found.select("id", F.col("score").alias("own")).join(norm, "id", "full_outer")
+    out = both.select("id", F.when(F.col("norm").isNull(), F.col("own")).when(F.col("own").isNull(), 0.75 * F.col("norm")).otherwise(F.greatest("own", 0.9 * F.col("norm"))).alias("score"))
+    if neighbours is None:
+        return out
+    return out.unionByName(neighbours.join(out.select("id"), "id", "left_anti").groupBy("id").agg((0.7 * F.max("score")).alias("score")))

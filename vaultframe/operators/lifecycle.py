@@ -72,13 +72,21 @@ def apply_contradictions(meta: DataFrame, outcomes: DataFrame) -> DataFrame:
 
 
 def similar_observation(new: DataFrame, old: DataFrame, shortlist: float = 0.5) -> DataFrame:
-    """(new_id, old_id, similarity): the best old observation in the collection by word overlap above the shortlist."""
-    words = lambda c: F.array_distinct(F.filter(F.split(F.lower(c), r"\s+"), lambda w: F.length(w) > 2))
-    n = new.select("collection", F.col("id").alias("new_id"), words(F.col("text")).alias("nw"))
-    o = old.select("collection", F.col("id").alias("old_id"), words(F.col("text")).alias("ow"))
-    share = n.select("collection", "new_id", F.explode("nw").alias("w")).join(o.select("collection", "old_id", F.explode("ow").alias("w")), ["collection", "w"]).select("collection", "new_id", "old_id").distinct()
-    scored = share.join(n, ["collection", "new_id"]).join(o, ["collection", "old_id"]).withColumn("similarity", jaccard("nw", "ow")).where(F.col("similarity") > shortlist)
-    return top_per(scored, ["new_id"], [F.desc(F.round("similarity", 9)), F.col("old_id")], 1, "r").select("new_id", "old_id", "similarity")
+    """(new_id, old_id, similarity): the best other old observation in the collection by word overlap above the shortlist.
+
+    Only pairs that share one of their rarest words meet (the prefix filter of ``near_duplicates``); a word counts
+    within its collection. Ids tell observations apart in both tables.
+    """
+    from vaultframe.operators.fusion import near_duplicates
+
+    words = F.array_distinct(F.filter(F.split(F.lower("text"), r"\s+"), lambda w: F.length(w) > 2))
+    sets = lambda d: d.select("id", F.transform(words, lambda w: F.concat_ws("\n", "collection", w)).alias("grams"))
+    both = sets(new) if new is old else sets(new).unionByName(sets(old).join(new.select("id"), "id", "left_anti"))
+    pairs = near_duplicates(both, shortlist).where(F.col("similarity") > shortlist)
+    ways = pairs.select(F.explode(F.array(F.struct(F.col("a").alias("new_id"), F.col("b").alias("old_id")), F.struct(F.col("b").alias("new_id"), F.col("a").alias("old_id")))).alias("p"), "similarity").select("p.*", "similarity")
+    if new is not old:
+        ways = ways.join(new.select(F.col("id").alias("new_id")), "new_id", "left_semi").join(old.select(F.col("id").alias("old_id")), "old_id", "left_semi")
+    return top_per(ways, ["new_id"], [F.desc(F.round("similarity", 9)), F.col("old_id")], 1, "r").select("new_id", "old_id", "similarity")
 
 
 def needing_vectors(docs: DataFrame, vectors: DataFrame) -> DataFrame:

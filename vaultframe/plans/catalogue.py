@@ -88,13 +88,13 @@ def fts_postings_df(spark, sf):
 
 @query("fts_bm25_top20", f"WITH {META_SQL}, {INDEX_SQL} SELECT qid, id, round(bm25, 6) AS bm25, round(score, 6) AS score, rank FROM (SELECT bm.*, CAST(row_number() OVER (PARTITION BY qid ORDER BY round(bm25, 9), bm.id) AS INTEGER) AS rank FROM bm JOIN meta ON bm.id = meta.id AND meta.active) WHERE rank <= 20")
 def fts_bm25_top20(spark, sf):
-    found = fts.bm25(fts.postings(fields(spark, sf)), searches(spark), 20, hybrid.eligible(adapter.metadata(spark, sf)))
+    found = fts.search(fields(spark, sf), searches(spark), 20, hybrid.eligible(adapter.metadata(spark, sf)))
     return rounded(found.select("qid", "id", "bm25", "score", "rank"), "bm25", "score")
 
 
 @query("fts_strong_signal", f"WITH {INDEX_SQL}, r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(bm25, 9), id) AS rank FROM bm) SELECT qid, (max(CASE WHEN rank = 1 THEN score END) >= 0.85 AND max(CASE WHEN rank = 1 THEN score END) - coalesce(max(CASE WHEN rank = 2 THEN score END), 0) >= 0.15) AS strong FROM r GROUP BY qid")
 def fts_strong_signal(spark, sf):
-    return fts.strong_signal(fts.bm25(fts.postings(fields(spark, sf)), searches(spark), 20))
+    return fts.strong_signal(fts.search(fields(spark, sf), searches(spark), 20))
 
 
 def _half(kind: str) -> str:
@@ -133,7 +133,7 @@ def search_composite(spark, sf):
 
 
 def _scored(spark, sf):
-    found = fts.bm25(fts.postings(fields(spark, sf)), searches(spark), 20, hybrid.eligible(adapter.metadata(spark, sf))).select("qid", "id", "score", F.col("rank").alias("input_rank"))
+    found = fts.search(fields(spark, sf), searches(spark), 20, hybrid.eligible(adapter.metadata(spark, sf))).select("qid", "id", "score", F.col("rank").alias("input_rank"))
     return scoring.composite(found.join(adapter.metadata(spark, sf).withColumn("quality_score", F.lit(0.5)), "id"), now())
 
 
@@ -172,10 +172,10 @@ def vec_one_query(spark, sf):
     return rounded(vectors.one_query(e, list(q["embedding"]), 10), "similarity")
 
 
-@query("vec_best_fragment", f"WITH h AS (SELECT a.vec_id AS qid, b.vec_id // 4 AS doc_id, b.vec_id AS fragment_id, {_COS} AS s FROM embeddings a, embeddings b WHERE a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id), t AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(s, 9) DESC, fragment_id) AS r FROM h) WHERE r <= 30) SELECT qid, doc_id, fragment_id, round(s, 6) AS similarity FROM (SELECT *, row_number() OVER (PARTITION BY qid, doc_id ORDER BY round(s, 9) DESC, fragment_id) AS k FROM t) WHERE k = 1")
+@query("vec_best_fragment", f"WITH h AS (SELECT a.vec_id AS qid, b.vec_id // 4 AS doc_id, b.vec_id AS fragment_id, {_COS} AS s FROM embeddings a, embeddings b WHERE a.vec_id % 20 = 0 AND a.vec_id <> b.vec_id), t AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(s, 9) DESC, fragment_id) AS r FROM h) WHERE r <= 30) SELECT qid, doc_id, fragment_id, round(s, 6) AS similarity FROM (SELECT *, row_number() OVER (PARTITION BY qid, doc_id ORDER BY round(s, 9) DESC, fragment_id) AS k FROM t) WHERE k = 1")
 def vec_best_fragment(spark, sf):
     e = embedded(spark, sf)
-    hits = vectors.nearest(e, e.where("id % 50 = 0"), 30).select("qid", (F.col("id") / 4).cast("long").alias("doc_id"), F.col("id").alias("fragment_id"), "similarity")
+    hits = vectors.nearest(e, e.where("id % 20 = 0"), 30).select("qid", (F.col("id") / 4).cast("long").alias("doc_id"), F.col("id").alias("fragment_id"), "similarity")
     return rounded(vectors.best_fragment(hits), "similarity")
 
 
@@ -187,10 +187,10 @@ def semantic_graph_t25(spark, sf):
     return rounded(vectors.semantic_graph(embedded(spark, sf), 0.25, 10), "weight")
 
 
-@query("surprisal", f"SELECT id, round(avg(d), 6) AS surprisal FROM (SELECT a.vec_id AS id, 1 - {_COS} AS d, row_number() OVER (PARTITION BY a.vec_id ORDER BY round({_COS}, 9) DESC, b.vec_id) AS r FROM embeddings a, embeddings b WHERE a.vec_id <> b.vec_id AND a.vec_id % 5 = 0 AND {_COS} < 0.999) WHERE r <= 5 GROUP BY id HAVING count(*) = 5")
+@query("surprisal", f"SELECT id, round(avg(d), 6) AS surprisal FROM (SELECT a.vec_id AS id, 1 - {_COS} AS d, row_number() OVER (PARTITION BY a.vec_id ORDER BY round({_COS}, 9) DESC, b.vec_id) AS r FROM embeddings a, embeddings b WHERE a.vec_id <> b.vec_id AND {_COS} < 0.999) WHERE r <= 5 GROUP BY id HAVING count(*) = 5")
 def surprisal(spark, sf):
     e = embedded(spark, sf)
-    return rounded(vectors.surprisal(e, e.where("id % 5 = 0"), 5), "surprisal")
+    return rounded(vectors.surprisal(e, e, 5), "surprisal")
 
 
 @query("set_consistency", "SELECT doc_id AS id, 'no_vector' AS state FROM documents WHERE doc_id NOT IN (SELECT vec_id FROM embeddings) UNION ALL SELECT vec_id, 'no_document' FROM embeddings WHERE vec_id NOT IN (SELECT doc_id FROM documents)")
@@ -213,14 +213,14 @@ def stale_vectors(spark, sf):
 
 def _lists(spark, sf):
     """Two ranked lists per query id from documents and vectors, by arithmetic alone."""
-    ids = table(spark, sf, "documents").where("doc_id < 100").select(F.col("doc_id").alias("id"))
-    a = ids.select((F.col("id") % 4).alias("qid"), "id", (F.col("id") * 7 % 101).alias("k"))
-    b = ids.where("id % 3 <> 0").select((F.col("id") % 4).alias("qid"), "id", (F.col("id") * 13 % 103).alias("k"))
+    ids = table(spark, sf, "documents").select(F.floor(F.col("doc_id") / 50).alias("qid"), F.col("doc_id").alias("id"))
+    a = ids.select("qid", "id", (F.col("id") * 7 % 101).alias("k"))
+    b = ids.where("id % 3 <> 0").select("qid", "id", (F.col("id") * 13 % 103).alias("k"))
     rank = lambda d: windows.top_per(d, ["qid"], [F.col("k"), F.col("id")], None).select("qid", "id", "rank")
     return rank(a), rank(b)
 
 
-_LISTS = "la AS (SELECT doc_id % 4 AS qid, doc_id AS id, row_number() OVER (PARTITION BY doc_id % 4 ORDER BY doc_id * 7 % 101, doc_id) AS rank FROM documents WHERE doc_id < 100), lb AS (SELECT doc_id % 4 AS qid, doc_id AS id, row_number() OVER (PARTITION BY doc_id % 4 ORDER BY doc_id * 13 % 103, doc_id) AS rank FROM documents WHERE doc_id < 100 AND doc_id % 3 <> 0)"
+_LISTS = "la AS (SELECT doc_id // 50 AS qid, doc_id AS id, row_number() OVER (PARTITION BY doc_id // 50 ORDER BY doc_id * 7 % 101, doc_id) AS rank FROM documents), lb AS (SELECT doc_id // 50 AS qid, doc_id AS id, row_number() OVER (PARTITION BY doc_id // 50 ORDER BY doc_id * 13 % 103, doc_id) AS rank FROM documents WHERE doc_id % 3 <> 0)"
 
 
 def _rrf(w: float, u: float, weighted: bool = False) -> str:
@@ -260,7 +260,7 @@ def causal_blend(spark, sf):
 @query("hybrid_with_temporal_entity", None)
 def hybrid_with_temporal_entity(spark, sf):
     meta = adapter.metadata(spark, sf)
-    keyword = fts.bm25(fts.postings(fields(spark, sf)), searches(spark), 20, hybrid.eligible(meta)).select("qid", "id", "rank")
+    keyword = fts.search(fields(spark, sf), searches(spark), 20, hybrid.eligible(meta)).select("qid", "id", "rank")
     e = embedded(spark, sf)
     vector = vectors.nearest(e, e.where("id between 1 and 5"), 20).select(F.col("qid").cast("int").alias("qid"), "id", "rank").join(hybrid.eligible(meta).select("id"), "id", "left_semi")
     spans = searches(spark).select("qid", (now() - F.make_dt_interval(days=F.col("qid") * 7)).alias("start_at"), now().alias("end_at"))
@@ -300,7 +300,7 @@ def mmr_diversity(spark, sf):
     return fusion.diversify(few.select("qid", "id", "rank", text.shingles(F.concat_ws(" ", "title", "body")).alias("grams")))
 
 
-@query("shingle_jaccard_neardup", "WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(regexp_replace(lower(text), '[^a-z0-9_\\s]', '', 'g'), '\\s+'), lambda x: x <> '') AS w FROM documents WHERE lang = 'en'), g AS (SELECT doc_id, list_distinct(list_concat([w[i] || ' ' || w[i + 1] FOR i IN range(1, len(w))], list_filter(w, lambda x: length(x) > 3))) AS g FROM w), p AS (SELECT DISTINCT doc_id, unnest(g) AS x FROM g), s AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS n FROM p a JOIN p b ON a.x = b.x AND a.doc_id < b.doc_id GROUP BY ALL) SELECT s.a, s.b, round(n::DOUBLE / (len(x.g) + len(y.g) - n), 6) AS similarity FROM s JOIN g x ON x.doc_id = s.a JOIN g y ON y.doc_id = s.b WHERE n::DOUBLE / (len(x.g) + len(y.g) - n) >= 0.5")
+@query("shingle_jaccard_neardup", "WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(regexp_replace(lower(text), '[^a-z0-9_\\s]', '', 'g'), '\\s+'), lambda x: x <> '') AS w FROM documents), g AS (SELECT doc_id, list_distinct(list_concat([w[i] || ' ' || w[i + 1] FOR i IN range(1, len(w))], list_filter(w, lambda x: length(x) > 3))) AS g FROM w), p AS (SELECT DISTINCT doc_id, unnest(g) AS x FROM g), s AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS n FROM p a JOIN p b ON a.x = b.x AND a.doc_id < b.doc_id GROUP BY ALL) SELECT s.a, s.b, round(n::DOUBLE / (len(x.g) + len(y.g) - n), 6) AS similarity FROM s JOIN g x ON x.doc_id = s.a JOIN g y ON y.doc_id = s.b WHERE n::DOUBLE / (len(x.g) + len(y.g) - n) >= 0.5")
 def shingle_jaccard_neardup(spark, sf):
-    d = table(spark, sf, "documents").where("lang = 'en'").select(F.col("doc_id").alias("id"), text.shingles("text").alias("grams"))
+    d = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), text.shingles("text").alias("grams"))
     return rounded(fusion.near_duplicates(d, 0.5), "similarity")

@@ -8,6 +8,7 @@ from vaultframe.functions import guards, text
 from vaultframe.operators import context, entities, lifecycle, observations, windows
 from vaultframe.plans import surfacing
 from vaultframe.plans.catalogue import fields, prompts, query, rounded
+from vaultframe.plans.catalogue_more import _ALIKE, _observations
 from vaultframe.sources import adapter
 from vaultframe.sources.adapter import META_SQL, NOW, now, table
 
@@ -116,10 +117,10 @@ def utility_signals(spark, sf):
     return e.where("event_type in ('view', 'click')").groupBy("doc_id").agg(F.count(kind("view")).alias("surfaced"), F.count(kind("click")).alias("referenced"), F.max(kind("view")).alias("last_surfaced"), F.max(kind("click")).alias("last_referenced"))
 
 
-@query("duplicate_consolidation", None)
+@query("duplicate_consolidation", f"WITH {_ALIKE} SELECT new_id, old_id, round(similarity, 6) AS similarity FROM (SELECT *, row_number() OVER (PARTITION BY new_id ORDER BY round(similarity, 9) DESC, old_id) AS r FROM s WHERE similarity > 0.4) WHERE r = 1")
 def duplicate_consolidation(spark, sf):
-    d = table(spark, sf, "documents").select(F.col("source").alias("collection"), F.col("doc_id").alias("id"), "text")
-    return rounded(lifecycle.similar_observation(d.where("id % 7 = 0"), d.where("id % 7 <> 0"), 0.4), "similarity")
+    d = _observations(spark, sf)
+    return rounded(lifecycle.similar_observation(d, d, 0.4), "similarity")
 
 
 @query("retries_due", "SELECT event_id, ts + to_minutes([1, 5, 30, 120, 720][least(event_id % 7 + 1, 5)]) AS next_at FROM events WHERE ts + to_minutes([1, 5, 30, 120, 720][least(event_id % 7 + 1, 5)]) <= TIMESTAMP '2024-01-10 00:00:00'")
@@ -156,5 +157,5 @@ def query_clauses(spark, sf):
 @query("lifecycle_targets")
 def lifecycle_targets(spark, sf):
     d = fields(spark, sf)
-    wanted = d.where("id % 10 = 0").select(F.col("id").alias("wid"), F.col("title").alias("text"))
+    wanted = d.where("id % 20 = 0").select(F.col("id").alias("wid"), F.col("title").alias("text"))
     return surfacing.lifecycle_target(wanted, d)

@@ -159,7 +159,7 @@ def pair_unique_both_ways(spark, sf):
 @query("context_budget", f"WITH {META_SQL}, {INDEX_SQL}, {_CAND_FTS}, r AS (SELECT c.qid, c.id, row_number() OVER w AS rn, sum(ceil(m.body_length / 4.0)) OVER (PARTITION BY c.qid ORDER BY round(c.score, 9) DESC, c.id ROWS UNBOUNDED PRECEDING)::BIGINT AS spent FROM cand c JOIN meta m ON m.id = c.id WINDOW w AS (PARTITION BY c.qid ORDER BY round(c.score, 9) DESC, c.id)) SELECT qid, id, spent FROM r WHERE spent <= 3000 OR rn = 1")
 def context_budget(spark, sf):
     meta = adapter.metadata(spark, sf)
-    found = fts.bm25(fts.postings(fields(spark, sf)), searches(spark), 20, hybrid.eligible(meta)).select("qid", "id", "score").join(meta.select("id", "body_length"), "id")
+    found = fts.search(fields(spark, sf), searches(spark), 20, hybrid.eligible(meta)).select("qid", "id", "score").join(meta.select("id", "body_length"), "id")
     return windows.within_budget(found, ["qid"], [F.desc(F.round("score", 9)), F.col("id")], F.ceil(F.col("body_length") / 4), 3000).select("qid", "id", "spent")
 
 
@@ -181,12 +181,12 @@ def _meta_sql(intent: str) -> str:
         parts.append(f"h{n}a AS (SELECT next AS id, sum(score * 0.85 * share) AS mass FROM anchors JOIN e_{a} ON id = node WHERE score > 1e-4 GROUP BY next)")
         parts.append(f"h{n}b AS (SELECT next AS id, sum(mass * 0.85 * share) AS mass FROM h{n}a JOIN e_{b} ON id = node WHERE mass > 1e-4 GROUP BY next)")
         outs.append(f"SELECT id, sum(p) AS score FROM (SELECT id, score * 0.15 AS p FROM anchors UNION ALL SELECT id, mass * 0.15 FROM h{n}a UNION ALL SELECT id, mass * 0.15 FROM h{n}b) GROUP BY id HAVING sum(p) > 1e-4")
-    return f"WITH {META_SQL}, {RELATION_SQL}, {_ELIG}, anchors AS (SELECT doc_id AS id, 1.0::DOUBLE / (1 + doc_id % 5) AS score FROM documents WHERE doc_id % 20 = 0 AND doc_id < 200), {', '.join(parts)} SELECT id, round(max(score), 6) AS score FROM ({' UNION ALL '.join(outs)}) GROUP BY id ORDER BY round(max(score), 9) DESC, id LIMIT 30"
+    return f"WITH {META_SQL}, {RELATION_SQL}, {_ELIG}, anchors AS (SELECT doc_id AS id, 1.0::DOUBLE / (1 + doc_id % 5) AS score FROM documents WHERE doc_id % 20 = 0), {', '.join(parts)} SELECT id, round(max(score), 6) AS score FROM ({' UNION ALL '.join(outs)}) GROUP BY id ORDER BY round(max(score), 9) DESC, id LIMIT 30"
 
 
 def _anchors(spark, sf):
     i = F.col("doc_id")
-    return table(spark, sf, "documents").where("doc_id % 20 = 0 and doc_id < 200").select(i.alias("id"), (1.0 / (1 + i % 5)).alias("score"))
+    return table(spark, sf, "documents").where("doc_id % 20 = 0").select(i.alias("id"), (1.0 / (1 + i % 5)).alias("score"))
 
 
 def _add_meta_path(intent: str) -> None:
@@ -204,13 +204,13 @@ def beam_traversal(spark, sf):
     return rounded(graph.beam(adapter.relations(spark, sf), _anchors(spark, sf), "WHY", hybrid.eligible(adapter.metadata(spark, sf))), "score")
 
 
-@query("one_hop_causal", f"WITH {META_SQL}, {RELATION_SQL}, {_ELIG}, a AS (SELECT doc_id AS anchor, doc_id AS rank FROM documents WHERE doc_id < 20), h AS (SELECT anchor, rank, target_id AS id, weight, 'effect' AS d FROM a JOIN rel ON anchor = source_id WHERE relation_type = 'causal' UNION ALL SELECT anchor, rank, source_id, weight, 'cause' FROM a JOIN rel ON anchor = target_id WHERE relation_type = 'causal'), c AS (SELECT *, row_number() OVER (PARTITION BY anchor ORDER BY round(weight, 9) DESC, id, d) AS r FROM h WHERE id IN (SELECT id FROM elig)) SELECT id, min(rank) AS best_rank, round(max(weight), 6) AS best_weight, string_agg(DISTINCT d, ',' ORDER BY d) AS directions FROM c WHERE r <= 3 GROUP BY id ORDER BY best_rank, round(max(weight), 9) DESC, id LIMIT 10")
+@query("one_hop_causal", f"WITH {META_SQL}, {RELATION_SQL}, {_ELIG}, a AS (SELECT doc_id AS anchor, doc_id AS rank FROM documents WHERE doc_id % 20 = 0), h AS (SELECT anchor, rank, target_id AS id, weight, 'effect' AS d FROM a JOIN rel ON anchor = source_id WHERE relation_type = 'causal' UNION ALL SELECT anchor, rank, source_id, weight, 'cause' FROM a JOIN rel ON anchor = target_id WHERE relation_type = 'causal'), c AS (SELECT *, row_number() OVER (PARTITION BY anchor ORDER BY round(weight, 9) DESC, id, d) AS r FROM h WHERE id IN (SELECT id FROM elig)) SELECT id, min(rank) AS best_rank, round(max(weight), 6) AS best_weight, string_agg(DISTINCT d, ',' ORDER BY d) AS directions FROM c WHERE r <= 3 GROUP BY id ORDER BY best_rank, round(max(weight), 9) DESC, id LIMIT 10")
 def one_hop_causal(spark, sf):
-    a = table(spark, sf, "documents").where("doc_id < 20").select(F.col("doc_id").alias("id"), F.col("doc_id").alias("rank"))
+    a = table(spark, sf, "documents").where("doc_id % 20 = 0").select(F.col("doc_id").alias("id"), F.col("doc_id").alias("rank"))
     return rounded(graph.one_hop_causal(adapter.relations(spark, sf), a, hybrid.eligible(adapter.metadata(spark, sf))), "best_weight")
 
 
-@query("causal_chain", f"WITH RECURSIVE {RELATION_SQL}, f(depth, node) AS (SELECT 0, 3::BIGINT UNION ALL SELECT depth + 1, target_id FROM f JOIN rel ON node = source_id AND relation_type = 'causal' WHERE depth < 5), b(depth, node) AS (SELECT 0, 3::BIGINT UNION ALL SELECT depth + 1, source_id FROM b JOIN rel ON node = target_id AND relation_type = 'causal' WHERE depth < 5) SELECT (f.depth + 1)::INTEGER AS depth, source_id, target_id, round(weight, 6) AS weight, 'effect' AS direction FROM f JOIN rel ON node = source_id AND relation_type = 'causal' WHERE f.depth < 5 UNION ALL SELECT (b.depth + 1)::INTEGER, source_id, target_id, round(weight, 6), 'cause' FROM b JOIN rel ON node = target_id AND relation_type = 'causal' WHERE b.depth < 5")
+@query("causal_chain", f"WITH RECURSIVE {RELATION_SQL}, f(depth, node) AS (SELECT 0, 3::BIGINT UNION ALL SELECT depth + 1, target_id FROM f JOIN rel ON node = source_id AND relation_type = 'causal' WHERE depth < 5), b(depth, node) AS (SELECT 0, 3::BIGINT UNION ALL SELECT depth + 1, source_id FROM b JOIN rel ON node = target_id AND relation_type = 'causal' WHERE depth < 5) SELECT *, false AS truncated FROM (SELECT (f.depth + 1)::INTEGER AS depth, source_id, target_id, round(weight, 6) AS weight, 'effect' AS direction FROM f JOIN rel ON node = source_id AND relation_type = 'causal' WHERE f.depth < 5 UNION ALL SELECT (b.depth + 1)::INTEGER, source_id, target_id, round(weight, 6), 'cause' FROM b JOIN rel ON node = target_id AND relation_type = 'causal' WHERE b.depth < 5)")
 def causal_chain(spark, sf):
     return rounded(graph.causal_chain(adapter.relations(spark, sf), 3), "weight")
 
@@ -221,11 +221,11 @@ def relation_upsert(spark, sf):
     return rounded(graph.upsert(r, r.where("source_id % 2 = 0").withColumn("weight", F.col("weight") * 1.5)), "weight")
 
 
-@query("merge_traversal", "WITH o AS (SELECT doc_id AS id, (doc_id % 10) / 10.0::DOUBLE AS score FROM documents WHERE doc_id < 60), t AS (SELECT doc_id AS id, (doc_id % 7 + 1)::DOUBLE AS score FROM documents WHERE doc_id BETWEEN 40 AND 99), n AS (SELECT id, score / (SELECT max(score) FROM t) AS norm FROM t) SELECT coalesce(o.id, n.id) AS id, round(CASE WHEN norm IS NULL THEN score WHEN score IS NULL THEN 0.8 * norm ELSE greatest(score, 1.1 * norm) END, 6)::DOUBLE AS score FROM o FULL OUTER JOIN n ON o.id = n.id")
+@query("merge_traversal", "WITH o AS (SELECT doc_id AS id, (doc_id % 10) / 10.0::DOUBLE AS score FROM documents WHERE doc_id % 5 <> 0), t AS (SELECT doc_id AS id, (doc_id % 7 + 1)::DOUBLE AS score FROM documents WHERE doc_id % 3 <> 0), n AS (SELECT id, score / (SELECT max(score) FROM t) AS norm FROM t) SELECT coalesce(o.id, n.id) AS id, round(CASE WHEN norm IS NULL THEN score WHEN score IS NULL THEN 0.8 * norm ELSE greatest(score, 1.1 * norm) END, 6)::DOUBLE AS score FROM o FULL OUTER JOIN n ON o.id = n.id")
 def merge_traversal(spark, sf):
     d = table(spark, sf, "documents")
-    a = d.where("doc_id < 60").select(F.col("doc_id").alias("id"), (F.col("doc_id") % 10 / 10).alias("score"))
-    b = d.where("doc_id between 40 and 99").select(F.col("doc_id").alias("id"), (F.col("doc_id") % 7 + 1).cast("double").alias("score"))
+    a = d.where("doc_id % 5 <> 0").select(F.col("doc_id").alias("id"), (F.col("doc_id") % 10 / 10).alias("score"))
+    b = d.where("doc_id % 3 <> 0").select(F.col("doc_id").alias("id"), (F.col("doc_id") % 7 + 1).cast("double").alias("score"))
     return rounded(graph.merge_traversal(a, b), "score")
 
 
@@ -244,10 +244,10 @@ def _n_docs(spark, sf):
 _IDF = "idf AS (SELECT entity_id, count(DISTINCT doc_id) AS df, ln(((SELECT count(*) FROM orders) + 1)::DOUBLE / (count(DISTINCT doc_id) + 1)) AS idf FROM mentions GROUP BY entity_id)"
 
 
-@query("entity_idf_edges", f"WITH {MENTION_SQL}, {_IDF}, h AS (SELECT s.doc_id AS source_id, t.doc_id AS target_id, s.entity_id, row_number() OVER (PARTITION BY s.doc_id, s.entity_id ORDER BY t.doc_id) AS r FROM mentions s JOIN mentions t ON s.entity_id = t.entity_id AND s.doc_id <> t.doc_id WHERE s.doc_id <= 100), g AS (SELECT source_id, target_id, max(idf) AS best, count(*) AS shared FROM h JOIN idf USING (entity_id) WHERE r <= 20 GROUP BY ALL) SELECT source_id, target_id, round(least(1.0, 0.3 + 0.12 * best + least(0.15, 0.05 * (shared - 1))), 6)::DOUBLE AS weight, shared FROM g WHERE best >= 3")
+@query("entity_idf_edges", f"WITH {MENTION_SQL}, {_IDF}, h AS (SELECT s.doc_id AS source_id, t.doc_id AS target_id, s.entity_id, row_number() OVER (PARTITION BY s.doc_id, s.entity_id ORDER BY t.doc_id) AS r FROM mentions s JOIN mentions t ON s.entity_id = t.entity_id AND s.doc_id <> t.doc_id WHERE s.doc_id % 20 = 0), g AS (SELECT source_id, target_id, max(idf) AS best, count(*) AS shared FROM h JOIN idf USING (entity_id) WHERE r <= 20 GROUP BY ALL) SELECT source_id, target_id, round(least(1.0, 0.3 + 0.12 * best + least(0.15, 0.05 * (shared - 1))), 6)::DOUBLE AS weight, shared FROM g WHERE best >= 3")
 def entity_idf_edges(spark, sf):
     m = adapter.mentions(spark, sf)
-    return rounded(entities.specific_edges(m, m.where("doc_id <= 100").select("doc_id").distinct(), _n_docs(spark, sf)), "weight")
+    return rounded(entities.specific_edges(m, m.where("doc_id % 20 = 0").select("doc_id").distinct(), _n_docs(spark, sf)), "weight")
 
 
 @query("entity_neighbors", f"WITH {MENTION_SQL}, {_IDF}, own AS (SELECT DISTINCT entity_id FROM mentions WHERE doc_id IN (1, 2, 3)), p AS (SELECT a.entity_id AS a, b.entity_id AS b, count(*) AS n FROM mentions a JOIN mentions b ON a.doc_id = b.doc_id AND a.entity_id < b.entity_id GROUP BY ALL), nb AS (SELECT CASE WHEN a IN (SELECT entity_id FROM own) THEN b ELSE a END AS entity_id, max(n) AS n FROM p WHERE a IN (SELECT entity_id FROM own) OR b IN (SELECT entity_id FROM own) GROUP BY 1), sc AS (SELECT entity_id, least(1.0, ln(1 + n) / 5) * greatest(0, least(1.0, idf / 3)) AS score FROM nb JOIN idf USING (entity_id) ORDER BY round(least(1.0, ln(1 + n) / 5) * greatest(0, least(1.0, idf / 3)), 9) DESC, entity_id LIMIT 30), d AS (SELECT m.doc_id, sc.score, sc.entity_id, row_number() OVER (PARTITION BY sc.entity_id ORDER BY m.doc_id) AS r FROM mentions m JOIN sc USING (entity_id)), f AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY round(score, 9) DESC, entity_id) AS k FROM d WHERE r <= 10 AND doc_id NOT IN (1, 2, 3)) SELECT doc_id, round(score, 6)::DOUBLE AS score, entity_id AS via FROM f WHERE k = 1 ORDER BY round(score, 9) DESC, doc_id LIMIT 20")
@@ -260,10 +260,10 @@ def entity_neighbors(spark, sf):
 _RATIO = "1 - levenshtein(lower(n.name), lower(e.name))::DOUBLE / greatest(length(n.name), length(e.name))"
 
 
-@query("entity_fuzzy_resolve", rf"WITH e AS (SELECT p_partkey AS id, p_name AS name FROM part), n AS (SELECT DISTINCT substr(p_name, 1, length(p_name) - 1) || 'x' AS name FROM part WHERE p_partkey % 10 = 0), tk AS (SELECT name, unnest(list_distinct({r"list_filter(regexp_split_to_array(lower(name), '[^\p{L}\p{N}]+'), lambda t: t <> '')"})) AS w FROM n), te AS (SELECT id, name, unnest(list_distinct({r"list_filter(regexp_split_to_array(lower(name), '[^\p{L}\p{N}]+'), lambda t: t <> '')"})) AS w FROM e), c AS (SELECT DISTINCT tk.name AS nn, te.id FROM tk JOIN te USING (w)), s AS (SELECT n.name, e.id AS entity_id, e.name AS entity_name, {_RATIO} AS ratio FROM c JOIN n ON n.name = c.nn JOIN e ON e.id = c.id WHERE regexp_extract_all(n.name, '\d+') = regexp_extract_all(e.name, '\d+')) SELECT name, entity_id, entity_name, round(ratio, 6) AS ratio FROM (SELECT *, row_number() OVER (PARTITION BY name ORDER BY round(ratio, 9) DESC, entity_id) AS r FROM s WHERE ratio >= 0.75) WHERE r = 1")
+@query("entity_fuzzy_resolve", rf"WITH e AS (SELECT p_partkey AS id, p_name AS name FROM part), n AS (SELECT DISTINCT substr(p_name, 1, length(p_name) - 1) || 'x' AS name FROM part), tk AS (SELECT name, unnest(list_distinct({r"list_filter(regexp_split_to_array(lower(name), '[^\p{L}\p{N}]+'), lambda t: t <> '')"})) AS w FROM n), te AS (SELECT id, name, unnest(list_distinct({r"list_filter(regexp_split_to_array(lower(name), '[^\p{L}\p{N}]+'), lambda t: t <> '')"})) AS w FROM e), c AS (SELECT DISTINCT tk.name AS nn, te.id FROM tk JOIN te USING (w)), s AS (SELECT n.name, e.id AS entity_id, e.name AS entity_name, {_RATIO} AS ratio FROM c JOIN n ON n.name = c.nn JOIN e ON e.id = c.id WHERE regexp_extract_all(n.name, '\d+') = regexp_extract_all(e.name, '\d+')) SELECT name, entity_id, entity_name, round(ratio, 6) AS ratio FROM (SELECT *, row_number() OVER (PARTITION BY name ORDER BY round(ratio, 9) DESC, entity_id) AS r FROM s WHERE ratio >= 0.75) WHERE r = 1")
 def entity_fuzzy_resolve(spark, sf):
     p = table(spark, sf, "part")
-    names = p.where("p_partkey % 10 = 0").select(F.concat(F.expr("substr(p_name, 1, length(p_name) - 1)"), F.lit("x")).alias("name"))
+    names = p.select(F.concat(F.expr("substr(p_name, 1, length(p_name) - 1)"), F.lit("x")).alias("name"))
     return rounded(entities.resolve(names, p.select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"))), "ratio")
 
 
@@ -347,15 +347,24 @@ def trigram_cosine_pairs(spark, sf):
 
 @query("merge_gate", None)
 def merge_gate(spark, sf):
-    t = table(spark, sf, "conversations").where("turn < 3").select("conv_id", "turn", "text")
+    t = table(spark, sf, "conversations").select("conv_id", "turn", "text")
     pairs = t.select("conv_id", "turn", F.col("text").alias("a_text")).join(t.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("b_text")), ["conv_id", "turn"])
     return rounded(lifecycle.merge_gate(pairs).select("conv_id", "turn", "similarity", "accepted"), "similarity")
 
 
-@query("similar_observation", None)
+_ALIKE = r"""w AS (SELECT source AS collection, doc_id AS id, unnest(list_distinct(list_filter(regexp_split_to_array(lower(text), '\s+'), lambda x: length(x) > 2))) AS w FROM documents),
+n AS (SELECT id, count(*) AS n FROM w GROUP BY id), p AS (SELECT a.id AS new_id, b.id AS old_id, count(*) AS k FROM w a JOIN w b ON a.collection = b.collection AND a.w = b.w AND a.id <> b.id GROUP BY ALL),
+s AS (SELECT new_id, old_id, k::DOUBLE / (x.n + y.n - k) AS similarity FROM p JOIN n x ON new_id = x.id JOIN n y ON old_id = y.id)"""
+
+
+def _observations(spark, sf):
+    return table(spark, sf, "documents").select(F.col("source").alias("collection"), F.col("doc_id").alias("id"), "text")
+
+
+@query("similar_observation", f"WITH {_ALIKE} SELECT new_id, old_id, round(similarity, 6) AS similarity FROM (SELECT *, row_number() OVER (PARTITION BY new_id ORDER BY round(similarity, 9) DESC, old_id) AS r FROM s WHERE similarity > 0.5) WHERE r = 1")
 def similar_observation(spark, sf):
-    d = table(spark, sf, "documents").select(F.col("source").alias("collection"), F.col("doc_id").alias("id"), "text")
-    return rounded(lifecycle.similar_observation(d.where("id % 10 = 0"), d.where("id % 10 <> 0")), "similarity")
+    d = _observations(spark, sf)
+    return rounded(lifecycle.similar_observation(d, d), "similarity")
 
 
 @query("save_memory", None)

@@ -86,7 +86,7 @@ class Vault:
     def search(self, q: str, limit: int = 10, collections: list[str] | None = None, exclude: list[str] | None = None) -> DataFrame:
         """Keyword search; recency questions rank by composite, others by the raw score."""
         meta = hybrid.eligible(self.documents(), collections, exclude)
-        found = fts.bm25(fts.postings(self.bodies()), self._queries(q), None, meta).select("qid", "id", "score")
+        found = fts.search(self.bodies(), self._queries(q), None, meta).select("qid", "id", "score")
         scored = hybrid.ranked_with_metadata(found, meta, self.now, top=None).drop("composite_rank")
         return fusion.raw_primary(scored).where(F.col("rank") <= limit)
 
@@ -100,7 +100,7 @@ class Vault:
     def query(self, q: str, vector: list[float] | None = None, limit: int = 10) -> DataFrame:
         """Keyword and vector lists fused, then the composite rank under query weights and diversity."""
         meta = hybrid.eligible(self.documents())
-        lists = [(fts.bm25(fts.postings(self.bodies()), self._queries(q), 20, meta).select("qid", "id", "rank"), 2.0)]
+        lists = [(fts.search(self.bodies(), self._queries(q), 20, meta).select("qid", "id", "rank"), 2.0)]
         if vector:
             near = windows.top_per(self.vsearch(vector, 20), ["qid"], [F.desc(F.round("similarity", 9)), F.col("doc_id")], 20)
             lists.append((near.select("qid", F.col("doc_id").alias("id"), "rank"), 2.0))
@@ -137,7 +137,7 @@ class Vault:
         return stats.lifecycle_stats(self.documents(), self.now)
 
     def memory_rank(self, q: str, limit: int = 10) -> DataFrame:
-        found = fts.bm25(fts.postings(self.bodies()), self._queries(q), 30, hybrid.eligible(self.documents())).select("qid", "id", "score", F.col("rank").alias("raw_rank"))
+        found = fts.search(self.bodies(), self._queries(q), 30, hybrid.eligible(self.documents())).select("qid", "id", "score", F.col("rank").alias("raw_rank"))
         both = hybrid.ranked_with_metadata(found, self.documents(), self.now, top=None)
         return both.where((F.col("raw_rank") <= limit) | (F.col("composite_rank") <= limit))
 
@@ -160,7 +160,7 @@ class Vault:
     def intent_search(self, q: str, intent: str, limit: int = 10) -> DataFrame:
         """Keyword anchors, then meta-paths of the intent, merged."""
         meta = hybrid.eligible(self.documents())
-        anchors = fts.bm25(fts.postings(self.bodies()), self._queries(q), 10, meta).select("id", "score")
+        anchors = fts.search(self.bodies(), self._queries(q), 10, meta).select("id", "score")
         reached = graph.meta_path_search(self.table("relations"), anchors, intent, meta)
         return graph.merge_traversal(anchors, reached).orderBy(F.desc(F.round("score", 9)), "id").limit(limit)
 
