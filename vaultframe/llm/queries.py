@@ -1,4 +1,4 @@
-"""The ten operators as queries over whole tables, and SQL for those that SQL can express."""
+"""The operators as queries over whole tables, and SQL for those that SQL can express."""
 
 from __future__ import annotations
 
@@ -8,8 +8,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vaultframe.llm import fertility, line_dedup, packing, piece_codec, sharding, simhash, suffix_dedup, token_store, topk, url_filter
-from vaultframe.llm.common import read_table
+from vaultframe.llm import dialogue, fertility, line_dedup, neighbours, packing, piece_codec, sharding, simhash, suffix_dedup, token_store, topk, url_filter, whitening
+from vaultframe.llm.common import discard, materialise, read_table
 
 #: Folder of the public vocabulary files; taken from the installed package if not set.
 TOKENIZERS = os.environ.get("PUBLIC_TOKENIZERS")
@@ -80,6 +80,26 @@ def exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumnRenamed("id", "vec_id")
 
 
+def nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = read_table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return neighbours.nearest(rows, "vec_id", "embedding", rows.where("vec_id % 100 = 0"), k=10).withColumnRenamed("id", "vec_id")
+
+
+def whitened_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = read_table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return whitening.whiten(rows, "vec_id", "embedding", components=4).withColumnRenamed("id", "vec_id").drop("residual")
+
+
+def conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, written = read_table(spark, sf_dir, "conversations"), []
+    hurt = dialogue.damaged(rows, "conv_id", "turn", "role", "text")
+    edits = dialogue.repair(hurt, "conv", "turn", "role", "text", "copies", every=rows.select(F.col("conv_id").alias("conv")), written=written)
+    found = materialise(dialogue.report(edits, arranged=True).withColumnRenamed("conv", "conv_id"), "dialogue-report")
+    for df in written:
+        discard(df)
+    return found
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -98,6 +118,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_sentencepiece": piece_round_trip,
         "op9_token_files": token_files,
         "op10_exact_top_k": exact_top_k,
+        "op11_nearest_neighbours": nearest_neighbours,
+        "op12_whitening": whitened_embeddings,
+        "op13_conversation_repair": conversation_repair,
         "pipeline": pipeline,
     }
 
@@ -125,5 +148,15 @@ r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DES
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5"""
 
 
+_NEAREST_SQL = """
+WITH v AS (SELECT vec_id, [CAST(x AS DOUBLE) FOR x IN embedding] AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = len(embedding)
+  AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, sqrt(list_sum([(a[1] - a[2]) * (a[1] - a[2]) FOR a IN list_zip(q.e, c.e)])) AS score
+  FROM v q, v c WHERE q.vec_id % 100 = 0 AND q.vec_id <> c.vec_id),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score, vec_id) AS INTEGER) AS rank FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_url_filters": _url_sql(), "op10_exact_top_k": _TOP_K_SQL}
+    return {"op11_nearest_neighbours": _NEAREST_SQL, "op1_url_filters": _url_sql(), "op10_exact_top_k": _TOP_K_SQL}
