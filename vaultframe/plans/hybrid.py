@@ -33,7 +33,7 @@ def ranked_with_metadata(found: DataFrame, meta: DataFrame, now: Column, weights
 
 
 def search_composite(docs: DataFrame, meta: DataFrame, queries: DataFrame, now: Column, top: int = 10) -> DataFrame:
-    """Keyword search, metadata and composite rank. Bodies are tokenised once; no body is carried further."""
+    """Keyword search, metadata and composite rank. Bodies are read and cut once (``fts.search``); no body is carried further."""
     found = fts.search(docs, queries, 20, eligible(meta)).select("qid", "id", "score")
     return ranked_with_metadata(found, meta.withColumn("quality_score", F.lit(0.5)), now, top=top)
 

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 TABLES = {
-    "documents": "id long, collection string, path string, title string, hash string, created_at timestamp_ntz, modified_at timestamp_ntz, authored_at timestamp_ntz, active boolean, domain string, workstream string, tags array<string>, content_type string, review_by timestamp_ntz, confidence double, access_count long, quality_score double, pinned boolean, snoozed_until timestamp_ntz, last_accessed_at timestamp_ntz, archived_at timestamp_ntz, memory_type string, normalized_hash string, duplicate_count long, last_seen_at timestamp_ntz, topic_key string, revision_count long, deactivated_reason string, origin string, observation_type string, facts array<string>, narrative string, source_doc_ids array<long>, invalidated_at timestamp_ntz, invalidated_by long, superseded_by long",
+    "documents": "id long, collection string, path string, title string, hash string, body_length int, created_at timestamp_ntz, modified_at timestamp_ntz, authored_at timestamp_ntz, active boolean, domain string, workstream string, tags array<string>, content_type string, review_by timestamp_ntz, confidence double, access_count long, quality_score double, pinned boolean, snoozed_until timestamp_ntz, last_accessed_at timestamp_ntz, archived_at timestamp_ntz, memory_type string, normalized_hash string, duplicate_count long, last_seen_at timestamp_ntz, topic_key string, revision_count long, deactivated_reason string, origin string, observation_type string, facts array<string>, narrative string, source_doc_ids array<long>, invalidated_at timestamp_ntz, invalidated_by long, superseded_by long",
     "content": "hash string, doc string, created_at timestamp_ntz",
     "vectors": "id long, doc_id long, seq int, pos int, model string, fragment_type string, fragment_label string, embedding array<float>",
     "relations": "source_id long, target_id long, relation_type string, weight double, metadata string, created_at timestamp_ntz",

@@ -8,8 +8,11 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor
 from pyspark.sql.types import BooleanType, LongType, StructField, StructType
 
+from vaultframe.operators.verdicts import WINDOW, Session
+
 LATENESS = "10 minutes"
 
 
@@ -101,3 +104,66 @@ def dead_letters(rows: DataFrame, ok: Column) -> tuple[DataFrame, DataFrame]:
     """(good, quarantined)."""
     good = F.coalesce(ok, F.lit(False))
     return rows.where(good), rows.where(~good).withColumn("attempts", F.lit(1))
+
+
+VERDICT = "session string, usage_id long, state string, reason string, references array<string>, revision int"
+
+
+class _Verdicts(StatefulProcessor):
+    """Keeps a session's open evidence; gives a verdict whenever it changed, with the next revision."""
+
+    def __init__(self, window: int):
+        self.window = window
+
+    def init(self, handle) -> None:
+        self.rows = handle.getListState("rows", "at long, seq long, kind string, hash string, words array<string>, usage_id long")
+        self.given = handle.getMapState("given", "usage_id long", "state string, words string, revision int")
+        self.handle = handle
+
+    def _decide(self, key: tuple, session: Session, settled: int) -> Iterator[pd.DataFrame]:
+        out, concluded = [], set()
+        for usage, (state, reason, references) in session.verdicts(self.window, settled=settled).items():
+            before = self.given.getValue((usage,)) if self.given.containsKey((usage,)) else None
+            words = "\n".join(references)
+            if before is None or (before[0], before[1]) != (state, words):
+                revision = 1 if before is None else before[2] + 1
+                out.append((key[0], usage, state, reason, list(references), revision))
+                self.given.updateValue((usage,), (state, words, revision))
+            if state in ("final", "unattributable"):
+                concluded.add(usage)
+        open_usages = [r[0] for r in session.rows if r[2] == "usage" and r[5] not in concluded]
+        kept = session.without(concluded, min([settled, *open_usages]) - self.window * 1_000_000)
+        for usage in concluded:
+            self.given.removeKey((usage,))
+        self.rows.put([tuple(r) for r in kept.rows]) if kept.rows else self.rows.clear()
+        for timer in list(self.handle.listTimers()):
+            self.handle.deleteTimer(timer)
+        waits = [t for r in kept.rows if r[2] in ("usage", "human", "stop") for t in (r[0], r[0] + self.window * 1_000_000) if t > settled]
+        if waits and any(r[2] == "usage" for r in kept.rows):
+            self.handle.registerTimer(min(waits) // 1000 + 1)
+        if out:
+            yield pd.DataFrame(out, columns=["session", "usage_id", "state", "reason", "references", "revision"])
+
+    def _stored(self) -> list[tuple]:
+        return [tuple(r) for r in self.rows.get()]
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        settled = timerValues.getCurrentWatermarkInMs() * 1000
+        fresh = [(int(r.at.value // 1000), int(r.seq), r.kind, r.hash, None if r.words is None else list(r.words), None if pd.isna(r.usage_id) else int(r.usage_id)) for pdf in rows for r in pdf.itertuples()]
+        yield from self._decide(key, Session(self._stored() + fresh), settled)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        yield from self._decide(key, Session(self._stored()), timerValues.getCurrentWatermarkInMs() * 1000)
+
+    def close(self) -> None:
+        pass
+
+
+def verdicts(evidence: DataFrame, window: int = WINDOW) -> DataFrame:
+    """Verdicts of ``operators.verdicts`` as a stream: a usage's rows have rising revisions, the last one counts.
+
+    Later answers re-open a provisional verdict. It is final when the watermark has passed the end of its turn and the
+    pairing window, so that nothing can change it; then its evidence goes. Needs the RocksDB state store.
+    """
+    rows = event_time(evidence, "at").select("session", "seq", "at", "kind", "hash", "words", "usage_id")
+    return rows.groupBy("session").transformWithStateInPandas(_Verdicts(window), VERDICT, "Append", "EventTime")

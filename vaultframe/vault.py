@@ -1,12 +1,12 @@
-"""A vault: versioned snapshots of its tables and the verbs over them.
+"""A vault: versioned tables with a stored keyword index, and the verbs over them.
 
-Every change writes a new snapshot of the tables it touches and then moves the pointer
-``_current`` by a rename, so readers see one version and a lost job changes nothing.
+A change writes what it changes: change files over the tables' bases, posting segments and delete
+lists of the index. Then the pointer moves (``Snapshots``). Keyword searches read postings and
+metadata, never a text.
 """
 
 from __future__ import annotations
 
-import json
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -14,68 +14,68 @@ from pyspark.sql import functions as F
 
 from vaultframe.functions import text
 from vaultframe.functions.scoring import QUERY_WEIGHTS, cosine
-from vaultframe.operators import entities, fts, fusion, graph, lifecycle, stats, vectors, windows
+from vaultframe.operators import entities, fusion, graph, lifecycle, posting_store, stats, vectors, windows
 from vaultframe.plans import hybrid
 from vaultframe.sources import formats
-from vaultframe.sources.schema import TABLES
+from vaultframe.sources.snapshots import Snapshots
 
 PROFILES = {"speed": (1000, 5), "balanced": (2000, 10), "deep": (4000, 15)}  # token budget, results
 
 
 class Vault:
-    def __init__(self, spark: SparkSession, root: str, now: Column):
+    def __init__(self, spark: SparkSession, root: str, now: Column, stemmed: bool = False):
         self.spark, self.root, self.now = spark, root.rstrip("/"), now
-        self._jvm = spark.sparkContext._jvm
-        self._fs = self._jvm.org.apache.hadoop.fs.Path(root).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        self.store, self.stemmed = Snapshots(spark, root), stemmed
 
     # snapshots
 
-    def _path(self, p: str):
-        return self._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{p}")
-
-    def _pointers(self) -> list[str]:
-        folder = self._path("_versions")
-        return sorted(s.getPath().getName() for s in self._fs.listStatus(folder)) if self._fs.exists(folder) else []
-
-    def _current(self) -> dict[str, str]:
-        names = self._pointers()
-        if not names:
-            return {}
-        stream = self._fs.open(self._path(f"_versions/{names[-1]}"))
-        try:
-            return json.loads(bytes(stream.readAllBytes()).decode())
-        finally:
-            stream.close()
-
     def table(self, name: str) -> DataFrame:
-        at = self._current().get(name)
-        return self.spark.read.schema(TABLES[name]).parquet(f"{self.root}/{at}") if at else self.spark.createDataFrame([], TABLES[name])
+        return self.store.read(name, self.store.state())
+
+    def _index(self, state: dict) -> dict:
+        return state["index"] or posting_store.empty(self.stemmed)
 
     def commit(self, **tables: DataFrame) -> int:
-        """Writes new snapshots and makes them current together."""
-        names = self._pointers()
-        current = self._current()
+        """Writes new snapshots of whole tables and makes them current together; documents or content index anew."""
+        state = self.store.state()
+        if "documents" in tables and "body_length" not in tables["documents"].columns:
+            content = tables["content"] if "content" in tables else self.store.read("content", state)
+            tables["documents"] = tables["documents"].join(content.select("hash", F.length("doc").alias("body_length")), "hash", "left")
         for name, df in tables.items():
-            kinds = self.spark.createDataFrame([], TABLES[name]).schema
-            full = df.select(*(F.col(f.name).cast(f.dataType) if f.name in df.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in kinds.fields))
-            at = f"{name}/{uuid.uuid4().hex}"
-            full.write.parquet(f"{self.root}/{at}")
-            current[name] = at
-        version = int(names[-1][1:-5]) + 1 if names else 1
-        aside = self._path(f"_aside/{uuid.uuid4().hex}")
-        out = self._fs.create(aside)
-        out.write(bytearray(json.dumps(current).encode()))
-        out.close()
-        self._fs.mkdirs(self._path("_versions"))
-        context = self._jvm.org.apache.hadoop.fs.FileContext.getFileContext(self._fs.getUri(), self.spark.sparkContext._jsc.hadoopConfiguration())
-        context.rename(aside, self._path(f"_versions/v{version:08d}.json"), self.spark.sparkContext._gateway.new_array(self._jvm.org.apache.hadoop.fs.Options.Rename, 0))
-        return version
+            state = self.store.replace(state, name, df)
+        if {"documents", "content"} & set(tables):
+            state["index"] = posting_store.apply(self.spark, f"{self.root}/index", posting_store.empty(self.stemmed), self._texts(state), None)
+        return self.store.move(state)
+
+    def _texts(self, state: dict, ids: DataFrame | None = None) -> DataFrame:
+        """(id, path, title, body) of active documents as the index takes them."""
+        d = self.store.read("documents", state).where("active").select("id", F.concat_ws("/", "collection", "path").alias("path"), "title", "hash")
+        d = d if ids is None else d.join(ids, "id", "left_semi")
+        return d.join(self.store.read("content", state).select("hash", F.col("doc").alias("body")), "hash").drop("hash")
+
+    def _changed(self, rows: DataFrame, gone: bool = False, back: bool = False, state: dict | None = None) -> int:
+        """Writes changed rows of documents. gone, back: they leave or come back to the index."""
+        state = self.store.state() if state is None else state
+        rows = self._staged(rows)
+        after = self.store.change(state, "documents", rows)
+        if gone or back:
+            ids = rows.select("id")
+            after = after | {"index": posting_store.apply(self.spark, f"{self.root}/index", self._index(state), self._texts(after, ids) if back else None, ids if gone else None)}
+        return self.store.move(after)
+
+    def _staged(self, rows: DataFrame) -> DataFrame:
+        """Written once beside the tables, for steps that read it several times."""
+        at, schema = f"{self.root}/_stage/{uuid.uuid4().hex}", rows.schema
+        rows.hint("rebalance").write.parquet(at)
+        return self.spark.read.schema(schema).parquet(at)
 
     # reading
 
-    def documents(self) -> DataFrame:
-        body = self.table("content").select("hash", F.length("doc").alias("body_length"))
-        return self.table("documents").join(body, "hash", "left").withColumn("effective_at", F.coalesce("authored_at", "modified_at"))
+    def documents(self, state: dict | None = None) -> DataFrame:
+        return self.store.read("documents", state or self.store.state()).withColumn("effective_at", F.coalesce("authored_at", "modified_at"))
+
+    def _keyword(self, state: dict, q: str, top: int | None, meta: DataFrame | None) -> DataFrame:
+        return posting_store.search(self.spark, self._index(state), self._queries(q), top, meta)
 
     def bodies(self) -> DataFrame:
         return self.table("documents").select("id", "path", "title", "hash", "active", "collection").join(self.table("content").select("hash", F.col("doc").alias("body")), "hash")
@@ -85,8 +85,9 @@ class Vault:
 
     def search(self, q: str, limit: int = 10, collections: list[str] | None = None, exclude: list[str] | None = None) -> DataFrame:
         """Keyword search; recency questions rank by composite, others by the raw score."""
-        meta = hybrid.eligible(self.documents(), collections, exclude)
-        found = fts.search(self.bodies(), self._queries(q), None, meta).select("qid", "id", "score")
+        state = self.store.state()
+        meta = hybrid.eligible(self.documents(state), collections, exclude)
+        found = self._keyword(state, q, None, meta).select("qid", "id", "score")
         scored = hybrid.ranked_with_metadata(found, meta, self.now, top=None).drop("composite_rank")
         return fusion.raw_primary(scored).where(F.col("rank") <= limit)
 
@@ -99,8 +100,9 @@ class Vault:
 
     def query(self, q: str, vector: list[float] | None = None, limit: int = 10) -> DataFrame:
         """Keyword and vector lists fused, then the composite rank under query weights and diversity."""
-        meta = hybrid.eligible(self.documents())
-        lists = [(fts.search(self.bodies(), self._queries(q), 20, meta).select("qid", "id", "rank"), 2.0)]
+        state = self.store.state()
+        meta = hybrid.eligible(self.documents(state))
+        lists = [(self._keyword(state, q, 20, meta).select("qid", "id", "rank"), 2.0)]
         if vector:
             near = windows.top_per(self.vsearch(vector, 20), ["qid"], [F.desc(F.round("similarity", 9)), F.col("doc_id")], 20)
             lists.append((near.select("qid", F.col("doc_id").alias("id"), "rank"), 2.0))
@@ -137,8 +139,10 @@ class Vault:
         return stats.lifecycle_stats(self.documents(), self.now)
 
     def memory_rank(self, q: str, limit: int = 10) -> DataFrame:
-        found = fts.search(self.bodies(), self._queries(q), 30, hybrid.eligible(self.documents())).select("qid", "id", "score", F.col("rank").alias("raw_rank"))
-        both = hybrid.ranked_with_metadata(found, self.documents(), self.now, top=None)
+        state = self.store.state()
+        meta = self.documents(state)
+        found = self._keyword(state, q, 30, hybrid.eligible(meta)).select("qid", "id", "score", F.col("rank").alias("raw_rank"))
+        both = hybrid.ranked_with_metadata(found, meta, self.now, top=None)
         return both.where((F.col("raw_rank") <= limit) | (F.col("composite_rank") <= limit))
 
     def timeline(self, doc: int, n: int = 5) -> DataFrame:
@@ -159,8 +163,9 @@ class Vault:
 
     def intent_search(self, q: str, intent: str, limit: int = 10) -> DataFrame:
         """Keyword anchors, then meta-paths of the intent, merged."""
-        meta = hybrid.eligible(self.documents())
-        anchors = fts.search(self.bodies(), self._queries(q), 10, meta).select("id", "score")
+        state = self.store.state()
+        meta = hybrid.eligible(self.documents(state))
+        anchors = self._keyword(state, q, 10, meta).select("id", "score")
         reached = graph.meta_path_search(self.table("relations"), anchors, intent, meta)
         return graph.merge_traversal(anchors, reached).orderBy(F.desc(F.round("score", 9)), "id").limit(limit)
 
@@ -183,43 +188,93 @@ class Vault:
 
     # changing
 
-    def index(self, parsed: DataFrame) -> int:
-        """Adds or updates documents(collection, path, title, body, content_type, tags, authored_at); missing ones are deactivated."""
-        old = self.table("documents")
-        new = parsed.withColumn("hash", F.sha2("body", 256))
-        content = self.table("content").unionByName(new.select("hash", F.col("body").alias("doc"), self.now.alias("created_at"))).dropDuplicates(["hash"])
-        top = old.agg(F.coalesce(F.max("id"), F.lit(0)).alias("top"))
-        joined = new.alias("n").join(old.alias("o"), ["collection", "path"], "full_outer")
-        fresh = F.row_number().over(windows.Window.partitionBy(F.col("o.id").isNull()).orderBy("collection", "path"))
-        gone = F.col("n.hash").isNull()
-        changed = F.col("n.hash") != F.col("o.hash")
-        keep = [c for c in old.columns if c not in ("collection", "path", "id", "title", "hash", "modified_at", "created_at", "active", "content_type", "quality_score", "confidence", "duplicate_count", "revision_count", "access_count", "pinned", "deactivated_reason", "memory_type")]
-        rows = joined.join(F.broadcast(top)).select(
-            F.coalesce("o.id", F.col("top") + fresh).alias("id"),
-            "collection",
-            "path",
-            F.coalesce("n.title", "o.title").alias("title"),
-            F.coalesce("n.hash", "o.hash").alias("hash"),
-            F.coalesce("o.created_at", self.now).alias("created_at"),
-            F.when(gone | ~F.coalesce(changed, F.lit(True)), F.col("o.modified_at")).otherwise(self.now).alias("modified_at"),
-            F.when(gone, F.lit(False)).when(F.col("o.deactivated_reason").isin("forget", "archive"), F.col("o.active")).otherwise(True).alias("active"),
-            F.when(gone & F.col("o.active"), "absent").otherwise(F.col("o.deactivated_reason")).alias("deactivated_reason"),
-            F.coalesce("n.content_type", "o.content_type").alias("content_type"),
-            F.coalesce(text.quality_score("n.body"), F.col("o.quality_score")).alias("quality_score"),
-            F.coalesce("o.confidence", F.lit(0.5)).alias("confidence"),
-            F.coalesce("o.duplicate_count", F.lit(1)).alias("duplicate_count"),
-            (F.coalesce("o.revision_count", F.lit(1)) + F.when(F.coalesce(changed, F.lit(False)), 1).otherwise(0)).alias("revision_count"),
-            F.coalesce("o.access_count", F.lit(0)).alias("access_count"),
-            F.coalesce("o.pinned", F.lit(False)).alias("pinned"),
-            F.coalesce("o.memory_type", text.memory_type("path", F.col("n.content_type"), F.col("n.body"))).alias("memory_type"),
-            *(F.col(f"o.{c}") for c in keep),
+    def index(self, parsed: DataFrame, collections: list[str] | None = None) -> int:
+        """Adds or updates documents(collection, path, title, body, content_type, tags, authored_at ...) of files.
+
+        parsed lists all files of the named collections, or of all. Files that are missing are deactivated as absent, if
+        files own their rows; rows of other writers stay. Absent documents whose files are there again come back; what was
+        forgotten or archived stays so, and is not updated. Only changed rows, new texts and their postings are written.
+        """
+        state = self.store.state()
+        old = self.store.read("documents", state)
+        taken = ["title", "content_type", "tags", "authored_at", "domain", "workstream", "review_by"]
+        given = [c for c in taken if c in parsed.columns]
+        new = parsed.select("collection", "path", F.struct(F.sha2("body", 256).alias("hash"), "body", *given).alias("n"))
+        joined = new.join(old.select("collection", "path", F.struct(*old.columns).alias("o")), ["collection", "path"], "full_outer")
+        listed = F.lit(True) if collections is None else F.col("collection").isin(*collections)
+        kept_out = ~F.col("o.active") & F.coalesce(F.col("o.deactivated_reason").isin("forget", "archive"), F.lit(False))
+        kind = (
+            F.when(F.col("o").isNull(), "added")
+            .when(F.col("n").isNull(), F.when(F.col("o.active") & listed & (F.col("o.origin") == "fs"), "absent"))
+            .when(kept_out, None)
+            .when(~F.col("o.active"), "back")
+            .when(F.col("n.hash") != F.col("o.hash"), "changed")
+            .when(F.coalesce(F.col("n.title") != F.col("o.title"), F.lit(False)), "retitled")
+            .when(F.coalesce(F.col("o.origin") != "fs", F.lit(True)), "adopted")
         )
-        return self.commit(documents=rows, content=content)
-
-    def _change(self, ids: list[int], **columns: Column) -> int:
-        hit = F.col("id").isin(*ids)
-        d = self.table("documents")
-        return self.commit(documents=d.withColumns({k: F.when(hit, v).otherwise(F.col(k)) for k, v in columns.items()}))
+        stage = self._staged(joined.withColumn("kind", kind).where("kind is not null"))
+        ids = self._new_ids(stage.where("kind = 'added'").select("collection", "path"), old)
+        there, moved = F.col("kind") != "absent", F.col("kind").isin("added", "changed", "back")
+        updated = lambda c: F.when(there, F.coalesce(f"n.{c}", f"o.{c}") if c in given else F.col(f"o.{c}")).otherwise(F.col(f"o.{c}"))
+        own = {
+            "id": F.coalesce("o.id", "new_id"),
+            "collection": F.col("collection"),
+            "path": F.col("path"),
+            "hash": F.when(there, F.col("n.hash")).otherwise(F.col("o.hash")),
+            "created_at": F.coalesce("o.created_at", self.now),
+            "modified_at": F.when(moved, self.now).otherwise(F.col("o.modified_at")),
+            "active": there,
+            "deactivated_reason": F.when(~there, "absent"),
+            "origin": F.when(there, "fs").otherwise(F.col("o.origin")),
+            "quality_score": F.when(moved, text.quality_score("n.body")).otherwise(F.col("o.quality_score")),
+            "confidence": F.coalesce("o.confidence", F.lit(0.5)),
+            "duplicate_count": F.coalesce("o.duplicate_count", F.lit(1)),
+            "revision_count": F.coalesce("o.revision_count", F.lit(1)) + F.when(F.col("kind").isin("changed", "back") & (F.col("n.hash") != F.col("o.hash")), 1).otherwise(0),
+            "access_count": F.coalesce("o.access_count", F.lit(0)),
+            "pinned": F.coalesce("o.pinned", F.lit(False)),
+            "memory_type": F.coalesce("o.memory_type", text.memory_type("path", F.col("n.content_type") if "content_type" in given else F.lit(None).cast("string"), F.col("n.body"))),
+            "body_length": F.when(there, F.length("n.body")).otherwise(F.col("o.body_length")),
+        }
+        rows = self._staged(stage.join(ids, ["collection", "path"], "left").select(*((own[c] if c in own else updated(c)).alias(c) for c in old.columns), F.when(there, F.col("n.body")).alias("body"), "kind"))
+        texts = rows.where("body is not null").select("hash", F.col("body").alias("doc"), self.now.alias("created_at")).dropDuplicates(["hash"])
+        after = self.store.change(state, "content", texts.join(self.store.read("content", state).select("hash"), "hash", "left_anti"))
+        after = self.store.change(after, "documents", rows.drop("body", "kind"))
+        added = rows.where("kind in ('added', 'changed', 'back', 'retitled')").select("id", F.concat_ws("/", "collection", "path").alias("path"), "title", "body")
+        after = after | {"index": posting_store.apply(self.spark, f"{self.root}/index", self._index(state), added, rows.where("kind = 'absent'").select("id"))}
+        return self.store.move(after)
+
+    def _new_ids(self, keys: DataFrame, old: DataFrame) -> DataFrame:
+        """(collection, path, new_id): ids above all that are there, in order of the keys.
+
+        A row's id is its place in its partition plus the rows of the partitions before it; only these counts are summed.
+        """
+        placed = self._staged(keys.repartitionByRange("collection", "path").sortWithinPartitions("collection", "path").select("*", F.spark_partition_id().alias("part"), F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)).alias("at")))
+        counts = placed.groupBy("part").agg(F.count("*").alias("n"))
+        before = counts.withColumn("before", F.sum("n").over(windows.Window.orderBy("part")) - F.col("n")).select("part", "before")
+        top = old.agg(F.coalesce(F.max("id"), F.lit(0)).alias("top"))
+        return placed.join(before, "part").join(F.broadcast(top)).select("collection", "path", (F.col("top") + F.col("before") + F.col("at") + 1).alias("new_id"))
+
+    def save_memory(self, rows: DataFrame) -> DataFrame:
+        """Saves memories(seq, collection, path, title, body, content_type, ...) by ``lifecycle.save_batch``; returns each row's outcome."""
+        state = self.store.state()
+        old = self.store.read("documents", state)
+        outcomes, changed = lifecycle.save_batch(old, rows, self.now)
+        outcomes, changed = self._staged(outcomes), self._staged(changed)
+        fresh = changed.where("id is null").select("collection", "path")
+        ids = self._staged(self._new_ids(fresh, old))
+        full = self._staged(changed.join(ids, ["collection", "path"], "left").withColumn("id", F.coalesce("id", "new_id")).drop("new_id"))
+        texts = full.where("body is not null").select("hash", F.col("body").alias("doc"), self.now.alias("created_at")).dropDuplicates(["hash"])
+        after = self.store.change(state, "content", texts.join(self.store.read("content", state).select("hash"), "hash", "left_anti"))
+        after = self.store.change(after, "documents", full.drop("body"))
+        added = full.where("body is not null").select("id", F.concat_ws("/", "collection", "path").alias("path"), "title", "body")
+        after = after | {"index": posting_store.apply(self.spark, f"{self.root}/index", self._index(state), added, None)}
+        self.store.move(after)
+        return outcomes.join(ids, ["collection", "path"], "left").withColumn("id", F.coalesce("id", "new_id")).drop("new_id")
+
+    def _change(self, ids: list[int], gone: bool = False, **columns: Column) -> int:
+        state = self.store.state()
+        hit = self.store.read("documents", state).where(F.col("id").isin(*ids))
+        return self._changed(hit.withColumns(columns), gone, state=state)
 
     def pin(self, ids: list[int], on: bool = True) -> int:
         return self._change(ids, pinned=F.lit(on))
@@ -228,19 +283,22 @@ class Vault:
         return self._change(ids, snoozed_until=until)
 
     def forget(self, ids: list[int]) -> int:
-        return self._change(ids, active=F.lit(False), deactivated_reason=F.lit("forget"))
+        return self._change(ids, True, active=F.lit(False), deactivated_reason=F.lit("forget"))
 
     def touch(self, ids: list[int]) -> int:
         return self._change(ids, access_count=F.col("access_count") + 1, last_accessed_at=self.now)
 
     def lifecycle_sweep(self, policy: dict[str, int] | None = None) -> int:
-        d = self.table("documents")
-        swept = lifecycle.archive(d, lifecycle.archive_candidates(d, self.now, policy), self.now)
-        return self.commit(documents=swept.withColumn("deactivated_reason", F.when(~F.col("active") & F.col("archived_at").isNotNull(), F.coalesce("deactivated_reason", F.lit("archive"))).otherwise(F.col("deactivated_reason"))))
+        state = self.store.state()
+        found = lifecycle.archive_candidates(self.store.read("documents", state), self.now, policy)
+        return self._changed(found.withColumns({"active": F.lit(False), "archived_at": self.now, "deactivated_reason": F.lit("archive")}), True, state=state)
 
     def lifecycle_restore(self, collection: str | None = None) -> int:
-        where = F.lit(True) if collection is None else F.col("collection") == collection
-        return self.commit(documents=lifecycle.restore(self.table("documents"), where))
+        """Archived documents come back, also to the index."""
+        state = self.store.state()
+        found = self.store.read("documents", state).where(F.col("archived_at").isNotNull() & ~F.col("active"))
+        found = found if collection is None else found.where(F.col("collection") == collection)
+        return self._changed(found.withColumns({"active": F.lit(True), "archived_at": F.lit(None), "deactivated_reason": F.lit(None)}), back=True, state=state)
 
     def build_graphs(self, threshold: float = 0.7) -> int:
         """Temporal backbone and semantic edges, merged into the relations."""
@@ -252,8 +310,9 @@ class Vault:
         return self.commit(relations=graph.upsert(old, back.unionByName(near)))
 
     def rename_collection(self, old: str, new: str) -> int:
-        d = self.table("documents")
-        return self.commit(documents=d.withColumn("collection", F.when(F.col("collection") == old, new).otherwise(F.col("collection"))))
+        state = self.store.state()
+        hit = self.store.read("documents", state).where(F.col("collection") == old)
+        return self._changed(hit.withColumn("collection", F.lit(new)), back=True, state=state)
 
     def sync_issues(self, issues: DataFrame, links: DataFrame) -> int:
         """Issue tracker: upserts issues and their links, without self-links."""
