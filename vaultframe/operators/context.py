@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vaultframe.functions.text import tokens
-from vaultframe.operators.windows import top_per, within_budget
+from vaultframe.operators.windows import top_per
 
 
 def inherited_context(docs: DataFrame, contexts: DataFrame) -> DataFrame:
@@ -55,13 +55,64 @@ def proximity(found: DataFrame, bodies: DataFrame, words: list[str]) -> DataFram
     return top_per(out.withColumnRenamed("rank", "before"), ["qid"], [F.col("class"), F.col("before")], None)
 
 
-def prompt_facts(prompts: DataFrame, entities: DataFrame, triples: DataFrame, per_entity: int = 10, budget: int = 200) -> DataFrame:
-    """(pid, line): current facts of entities(id, name) that a prompt names, within a budget of estimated tokens."""
-    grams = F.flatten(F.transform(F.array(F.lit(1), F.lit(2), F.lit(3)), lambda n: F.when(F.size("w") >= n, F.transform(F.sequence(F.lit(0), F.size("w") - n), lambda i: F.array_join(F.slice("w", i + 1, n), " "))).otherwise(F.array().cast("array<string>"))))
-    named = prompts.select("pid", tokens("prompt").alias("w")).select("pid", F.explode(F.array_distinct(grams)).alias("k")).join(entities.select(F.col("id").alias("subject"), F.lower("name").alias("k")), "k")
-    facts = top_per(named.join(triples.where("valid_to is null"), "subject"), ["pid", "subject"], [F.desc("confidence"), F.col("predicate"), F.col("object")], per_entity, "r")
-    lines = facts.select("pid", F.concat_ws(" ", "k", "predicate", "object").alias("line")).distinct()
-    return within_budget(lines, ["pid"], [F.col("line")], F.ceil(F.length("line") / 4), budget).select("pid", "line")
+# Shapes of canonical ids and of proper nouns, characters that cut words, caps, and the block's ends.
+CANONICAL_ID = r"(?<![a-zA-Z0-9_-])[a-z][a-z0-9-]*:[a-z_]+:[a-z0-9_](?:[a-z0-9_-]*[a-z0-9_])?(?![a-zA-Z0-9_-])"
+PROPER_NOUN = r"(?<![A-Za-z0-9_])(?:[A-Z][a-z0-9]+(?:[A-Z][a-z0-9]*)*|[A-Z]{2,}[a-z0-9]*)(?![A-Za-z0-9_])"
+WORD_CUTS = r"""[\s,;:!?"'`()\[\]{}<>]+"""
+MOST_ENTITIES, MOST_GRAM = 100, 3
+FACTS_OPEN, FACTS_CLOSE = "<vault-facts>\n", "\n</vault-facts>"
+
+
+def prompt_entities(prompts: DataFrame, nodes: DataFrame, most: int = MOST_ENTITIES) -> DataFrame:
+    """(pid, entity_id, via, place): entities that prompts(pid, prompt) name, of nodes(entity_id, name).
+
+    Three ways, in this order: canonical ids; proper nouns; runs of one to three words, longer ones first, then in order of
+    the prompt. A name counts only if a single entity has it. Candidates meet the dictionary by equality, whatever its size.
+    """
+    named = nodes.groupBy(F.lower("name").alias("key")).agg(F.min("entity_id").alias("entity_id"), F.count_distinct("entity_id").alias("n")).where("n = 1").drop("n")
+    each = lambda found: F.posexplode(F.array_distinct(found)).alias("at", "key")
+    ids = prompts.select("pid", each(F.regexp_extract_all("prompt", F.lit(CANONICAL_ID), F.lit(0)))).join(nodes.select(F.col("entity_id").alias("key")).distinct(), "key").select("pid", F.col("key").alias("entity_id"), F.lit("canonical-id").alias("via"), F.struct(F.lit(1), F.lit(0), "at").alias("turn"))
+    nouns = prompts.select("pid", each(F.regexp_extract_all("prompt", F.lit(PROPER_NOUN), F.lit(0)))).withColumn("key", F.lower("key")).join(named, "key").select("pid", "entity_id", F.lit("proper-noun").alias("via"), F.struct(F.lit(2), F.lit(0), "at").alias("turn"))
+    words = F.filter(F.transform(F.split("prompt", WORD_CUTS), lambda w: F.regexp_replace(w, r"^[^a-zA-Z0-9\-]+|[^a-zA-Z0-9\-]+$", "")), lambda w: w != "")
+    cut = prompts.select("pid", words.alias("w"))
+
+    def runs_of(n: int) -> Column:
+        return F.when(F.size("w") >= n, F.transform(F.sequence(F.lit(1), F.size("w") - n + 1), lambda i: F.lower(F.array_join(F.slice("w", i, n), " ")))).otherwise(F.array().cast("array<string>"))
+
+    grams = None
+    for n in range(1, MOST_GRAM + 1):
+        one = cut.select("pid", F.posexplode(runs_of(n)).alias("at", "key"), F.lit(-n).alias("size"))
+        grams = one if grams is None else grams.unionByName(one)
+    runs = grams.join(named, "key").select("pid", "entity_id", F.lit("ngram").alias("via"), F.struct(F.lit(3), "size", "at").alias("turn"))
+    level = lambda df: df.select("pid", "entity_id", "via", F.col("turn").cast("struct<a:int,b:int,c:int>").alias("turn"))
+    first = level(ids).unionByName(level(nouns)).unionByName(level(runs)).groupBy("pid", "entity_id").agg(F.min("turn").alias("turn"), F.min_by("via", "turn").alias("via"))
+    return top_per(first, ["pid"], [F.col("turn"), F.col("entity_id")], most, "place").drop("turn")
+
+
+def fact_lines(triples: DataFrame, nodes: DataFrame, now: Column, per_entity: int = 10) -> DataFrame:
+    """(entity_id, line, nth): an entity's current facts as lines, those it is the subject of first, then by id."""
+    s, o = nodes.select(F.col("entity_id").alias("subject"), F.col("name").alias("s_name")), nodes.select(F.col("entity_id").alias("object_entity"), F.col("name").alias("o_name"))
+    current = triples.where(F.col("valid_to").isNull() | (F.col("valid_to") > now)).join(s, "subject", "left").join(o, "object_entity", "left")
+    line = F.concat_ws(" ", F.coalesce("s_name", "subject"), "predicate", F.coalesce("o_name", "object_literal", "object_entity"))
+    sides = F.array(F.struct(F.col("subject").alias("entity_id"), F.lit(0).alias("side")), F.struct(F.col("object_entity").alias("entity_id"), F.lit(1).alias("side")))
+    facts = current.select("id", line.alias("line"), F.explode(sides).alias("e")).where("e.entity_id is not null").select("id", "line", "e.*")
+    return top_per(facts, ["entity_id"], [F.col("side"), F.col("id")], per_entity, "nth").select("entity_id", "line", "nth")
+
+
+def vault_facts(prompts: DataFrame, nodes: DataFrame, triples: DataFrame, now: Column, budget: int = 200, per_entity: int = 10) -> DataFrame:
+    """(pid, entities, n_facts, block): the facts block of each prompt that names an entity with current facts.
+
+    Facts come in order of the prompt's entities, each line once, as many as fit the budget of estimated tokens with the
+    block's own ends; a prompt whose first fact does not fit has no block.
+    """
+    found = prompt_entities(prompts, nodes)
+    lines = found.join(fact_lines(triples, nodes, now, per_entity), "entity_id").groupBy("pid", "line").agg(F.min(F.struct("place", "nth")).alias("turn"))
+    by = Window.partitionBy("pid").orderBy("turn", "line").rowsBetween(Window.unboundedPreceding, 0)
+    ends = -(-len(FACTS_OPEN + FACTS_CLOSE) // 4)
+    fitting = lines.withColumn("spent", F.sum(F.ceil(F.length("line") / 4) + 1).over(by) + ends).where(F.col("spent") <= budget)
+    block = F.concat(F.lit(FACTS_OPEN), F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("turn", "line"))), lambda x: x.line), "\n"), F.lit(FACTS_CLOSE))
+    blocks = fitting.groupBy("pid").agg(F.count("*").alias("n_facts"), block.alias("block"))
+    return found.groupBy("pid").agg(F.count("*").alias("entities")).join(blocks, "pid")
 
 
 def session_focus(messages: DataFrame) -> DataFrame:

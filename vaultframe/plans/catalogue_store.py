@@ -1,12 +1,14 @@
-"""Queries over what a vault stores: the keyword index and the write path."""
+"""Queries over what a vault stores: the keyword index, the write path, facts with evidence, verdicts, provider scores."""
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from vaultframe.functions import text
-from vaultframe.operators import lifecycle, posting_store
-from vaultframe.plans import hybrid
+from vaultframe.operators import context, entities, fts, lifecycle, posting_store, providers, verdicts
+from vaultframe.plans import catalogue, hybrid
 from vaultframe.plans.catalogue import INDEX_SQL, fields, query, rounded, searches
 from vaultframe.sources import adapter, scratch
 from vaultframe.sources.adapter import CONTENT_TYPES, META_SQL, NOW, now, table
@@ -66,3 +68,190 @@ UNION ALL SELECT seq, CASE WHEN path_id IS NULL AND k = 1 THEN 'inserted' ELSE '
 def save_memory_batch(spark, sf):
     outcomes, _ = lifecycle.save_batch(stored_documents(spark, sf), memories(spark, sf), now())
     return outcomes
+
+
+# facts and their evidence
+
+
+def facts(spark, sf):
+    o = table(spark, sf, "orders")
+    literal = adapter.triples(spark, sf).select("id", "subject", "predicate", F.lit(None).cast("long").alias("object_entity"), F.col("object").alias("object_literal"), "valid_from", "valid_to", "confidence")
+    linked = o.where("o_orderkey % 5 = 0").select((F.col("o_orderkey") + 100_000_000).alias("id"), F.col("o_custkey").alias("subject"), F.lit("refers_to").alias("predicate"), (F.col("o_custkey") % 50).alias("object_entity"), F.lit(None).cast("string").alias("object_literal"), F.col("o_orderdate").alias("valid_from"), F.lit(None).cast("timestamp_ntz").alias("valid_to"), F.lit(1.0).alias("confidence"))
+    return literal.unionByName(linked)
+
+
+def sightings(spark, sf):
+    o = table(spark, sf, "orders")
+    doc = F.when(F.col("o_orderkey") % 5 != 0, F.col("o_orderkey") % 100)
+    fact = F.when(F.col("o_orderkey") % 7 != 0, F.concat(F.lit("f"), (F.col("o_orderkey") % 3).cast("string")))
+    rows = lambda where, predicate, entity, literal: o.where(where).select(F.col("o_orderkey").alias("seq"), F.col("o_custkey").alias("subject"), F.lit(predicate).alias("predicate"), entity.alias("object_entity"), literal.alias("object_literal"), F.lit(None).cast("timestamp_ntz").alias("valid_from"), F.lit(None).cast("timestamp_ntz").alias("valid_to"), F.lit(None).cast("double").alias("confidence"), doc.alias("doc_id"), fact.alias("fact"))
+    return rows("o_orderkey % 4 = 0", "Ordered  Status", F.lit(None).cast("long"), F.col("o_orderstatus")).unionByName(rows("o_orderkey % 6 = 0", "refers to", (F.col("o_custkey") + 1) % 60, F.lit("ignored")))
+
+
+_FACT_SQL = f"""
+{adapter.TRIPLE_SQL.strip()},
+old AS (SELECT id, subject, predicate, NULL::BIGINT AS oe, object AS ol, valid_to FROM triples
+  UNION ALL SELECT o_orderkey + 100000000, o_custkey, 'refers_to', o_custkey % 50, NULL, NULL FROM orders WHERE o_orderkey % 5 = 0),
+oldev AS (SELECT id AS triple_id, id % 200 AS doc_id, 'f' || (id % 4) AS fact, TIMESTAMP '{NOW}' - to_days(1) AS created_at FROM old WHERE id % 3 = 0),
+news AS (SELECT o_orderkey AS seq, o_custkey AS subject, 'ordered_status' AS predicate, NULL::BIGINT AS oe, o_orderstatus AS ol, CASE WHEN o_orderkey % 5 <> 0 THEN o_orderkey % 100 END AS doc_id, CASE WHEN o_orderkey % 7 <> 0 THEN 'f' || (o_orderkey % 3) END AS fact FROM orders WHERE o_orderkey % 4 = 0
+  UNION ALL SELECT o_orderkey, o_custkey, 'refers_to', (o_custkey + 1) % 60, NULL, CASE WHEN o_orderkey % 5 <> 0 THEN o_orderkey % 100 END, CASE WHEN o_orderkey % 7 <> 0 THEN 'f' || (o_orderkey % 3) END FROM orders WHERE o_orderkey % 6 = 0),
+live AS (SELECT subject, predicate, oe, ol, min(id) AS id FROM old WHERE valid_to IS NULL GROUP BY ALL),
+met AS (SELECT n.*, l.id FROM news n LEFT JOIN live l ON l.subject = n.subject AND l.predicate = n.predicate AND l.oe IS NOT DISTINCT FROM n.oe AND l.ol IS NOT DISTINCT FROM n.ol),
+firsts AS (SELECT subject, predicate, oe, ol, min(seq) AS seq FROM met WHERE id IS NULL GROUP BY subject, predicate, oe, ol),
+fresh AS (SELECT subject, predicate, oe, ol, (SELECT max(id) FROM old) + row_number() OVER (ORDER BY seq, predicate) AS id FROM firsts),
+alltriples AS (SELECT id, subject, predicate, oe, ol, valid_to FROM old UNION ALL SELECT id, subject, predicate, oe, ol, NULL FROM fresh),
+tied AS (SELECT DISTINCT coalesce(m.id, f.id) AS triple_id, doc_id, fact FROM met m LEFT JOIN fresh f ON f.subject = m.subject AND f.predicate = m.predicate AND f.oe IS NOT DISTINCT FROM m.oe AND f.ol IS NOT DISTINCT FROM m.ol),
+ev AS (SELECT * FROM oldev UNION ALL SELECT triple_id, doc_id, fact, TIMESTAMP '{NOW}' FROM tied t WHERE NOT EXISTS (SELECT 1 FROM oldev e WHERE e.triple_id = t.triple_id AND coalesce(e.doc_id, -1) = coalesce(t.doc_id, -1) AND coalesce(e.fact, '') = coalesce(t.fact, ''))),"""
+
+
+@query(
+    "triple_evidence",
+    f"""WITH {_FACT_SQL}
+ranked AS (SELECT ev.*, d.lang || '/' || d.doc_id || '.md' AS path, row_number() OVER (PARTITION BY triple_id ORDER BY created_at DESC, ev.doc_id DESC NULLS LAST, fact DESC NULLS LAST) AS n FROM ev LEFT JOIN documents d ON d.doc_id = ev.doc_id),
+lists AS (SELECT triple_id, count(*) AS evidence_count, string_agg(concat_ws('|', CAST(n AS VARCHAR), coalesce(CAST(doc_id AS VARCHAR), '-'), coalesce(path, '-'), coalesce(fact, '-')), ';' ORDER BY n) FILTER (WHERE n <= 5) AS sources FROM ranked GROUP BY triple_id),
+side AS (SELECT subject AS entity_id, 'outgoing' AS direction, * FROM alltriples UNION ALL SELECT oe, 'incoming', * FROM alltriples WHERE oe IS NOT NULL)
+SELECT side.entity_id, direction, side.id, coalesce(s.c_name, CAST(subject AS VARCHAR)) AS subject, predicate, coalesce(o.c_name, ol, CAST(oe AS VARCHAR)) AS object, valid_to IS NULL AS current, coalesce(evidence_count, 0) AS evidence_count, sources
+FROM side LEFT JOIN customer s ON s.c_custkey = side.subject LEFT JOIN customer o ON o.c_custkey = side.oe LEFT JOIN lists ON lists.triple_id = side.id""",
+)
+def triple_evidence(spark, sf):
+    """Facts seen again gain evidence, others become triples; all are told from either side with their newest sources."""
+    old = facts(spark, sf)
+    day_before = now() - F.make_dt_interval(days=F.lit(1))
+    proofs = old.where("id % 3 = 0").select(F.col("id").alias("triple_id"), (F.col("id") % 200).alias("doc_id"), F.concat(F.lit("f"), (F.col("id") % 4).cast("string")).alias("fact"), day_before.alias("created_at"))
+    seen = sightings(spark, sf).withColumn("seq", F.col("seq") * 2 + (F.col("predicate") == "refers to").cast("int"))
+    fresh, more = entities.add_facts(old, proofs, seen, now())
+    docs = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.col("source").alias("collection"), F.concat("lang", F.lit("/"), F.col("doc_id").cast("string"), F.lit(".md")).alias("path"))
+    names = table(spark, sf, "customer").select(F.col("c_custkey").alias("entity_id"), F.col("c_name").alias("name"))
+    told = entities.with_evidence(old.unionByName(fresh), proofs.unionByName(more), docs, names)
+    dash = lambda c: F.coalesce(c.cast("string"), F.lit("-"))
+    return told.withColumn("sources", F.array_join(F.transform("sources", lambda s: F.concat_ws("|", s.n.cast("string"), dash(s.doc_id), dash(s.path), dash(s.fact))), ";"))
+
+
+# facts for prompts
+
+
+def prompt_rows(spark, sf):
+    c = table(spark, sf, "conversations").where("role = 'user'")
+    named = F.concat("text", F.lit(" default:concept:"), F.lower(F.regexp_extract("text", "([A-Za-z]+)", 1)))
+    return c.select((F.col("conv_id") * 1000 + F.col("turn")).alias("pid"), F.when(F.col("turn") % 4 == 0, named).otherwise(F.col("text")).alias("prompt"))
+
+
+def named_nodes(spark, sf):
+    """Words, and pairs of words, that documents begin with; some are both a concept and a tool."""
+    d = table(spark, sf, "documents").select("doc_id", F.regexp_extract_all("text", F.lit("([A-Za-z]+)"), F.lit(1)).alias("w"))
+    kind = F.when(F.col("doc_id") % 5 == 0, "tool").otherwise("concept")
+    single = d.where("size(w) > 1").select("doc_id", F.element_at("w", F.when(F.col("doc_id") % 2 == 0, 1).otherwise(2)).alias("name"), kind.alias("kind"))
+    double = d.where("size(w) > 1 and doc_id % 3 = 0").select("doc_id", F.concat_ws(" ", F.get("w", F.lit(0)), F.get("w", F.lit(1))).alias("name"), kind.alias("kind"))
+    both = single.unionByName(double).withColumn("entity_id", F.concat(F.lit("default:"), "kind", F.lit(":"), F.regexp_replace(F.lower("name"), " ", "_")))
+    return both.groupBy("entity_id").agg(F.min("name").alias("name"), F.min("doc_id").alias("first_doc"))
+
+
+def node_triples(spark, sf):
+    """Each node is in a language; nodes whose first documents follow one another are linked."""
+    nodes = named_nodes(spark, sf)
+    d = table(spark, sf, "documents").select(F.col("doc_id").alias("first_doc"), "lang")
+    valid_to = F.when(F.col("first_doc") % 4 == 0, now() - F.make_dt_interval(days=F.lit(1))).when(F.col("first_doc") % 9 == 0, now() + F.make_dt_interval(days=F.lit(1)))
+    none = lambda t: F.lit(None).cast(t)
+    spoken = nodes.join(d, "first_doc").select(F.concat("entity_id", F.lit("#in")).alias("id"), F.col("entity_id").alias("subject"), F.lit("spoken_in").alias("predicate"), none("string").alias("object_entity"), F.col("lang").alias("object_literal"), valid_to.alias("valid_to"))
+    following = nodes.select(F.col("entity_id").alias("object_entity"), (F.col("first_doc") - 1).alias("first_doc"))
+    linked = nodes.join(following, "first_doc").select(F.concat_ws("#", "entity_id", "object_entity").alias("id"), F.col("entity_id").alias("subject"), F.lit("before").alias("predicate"), "object_entity", none("string").alias("object_literal"), none("timestamp_ntz").alias("valid_to"))
+    return spoken.unionByName(linked)
+
+
+_VAULT_FACTS_SQL = rf"""
+WITH prompts AS (SELECT conv_id * 1000 + turn AS pid, CASE WHEN turn % 4 = 0 THEN text || ' default:concept:' || lower(regexp_extract(text, '([A-Za-z]+)', 1)) ELSE text END AS prompt FROM conversations WHERE role = 'user'),
+w AS (SELECT doc_id, regexp_extract_all(text, '([A-Za-z]+)', 1) AS w, CASE WHEN doc_id % 5 = 0 THEN 'tool' ELSE 'concept' END AS kind FROM documents),
+rawnodes AS (SELECT doc_id, w[CASE WHEN doc_id % 2 = 0 THEN 1 ELSE 2 END] AS name, kind FROM w WHERE len(w) > 1 UNION ALL SELECT doc_id, w[1] || ' ' || w[2], kind FROM w WHERE len(w) > 1 AND doc_id % 3 = 0),
+nodes AS (SELECT 'default:' || kind || ':' || replace(lower(name), ' ', '_') AS entity_id, min(name) AS name, min(doc_id) AS first_doc FROM rawnodes GROUP BY 1),
+tr AS (SELECT entity_id || '#in' AS id, entity_id AS subject, 'spoken_in' AS predicate, NULL AS oe, lang AS ol, CASE WHEN first_doc % 4 = 0 THEN TIMESTAMP '{NOW}' - to_days(1) WHEN first_doc % 9 = 0 THEN TIMESTAMP '{NOW}' + to_days(1) END AS valid_to FROM nodes JOIN documents ON doc_id = first_doc
+  UNION ALL SELECT a.entity_id || '#' || b.entity_id, a.entity_id, 'before', b.entity_id, NULL, NULL FROM nodes a JOIN nodes b ON b.first_doc - 1 = a.first_doc),
+named AS (SELECT lower(name) AS key, min(entity_id) AS entity_id FROM nodes GROUP BY 1 HAVING count(DISTINCT entity_id) = 1),
+p1 AS (SELECT pid, key, min(pos) AS pos FROM (SELECT pid, unnest(x) AS key, generate_subscripts(x, 1) AS pos FROM (SELECT pid, list_filter(regexp_split_to_array(prompt, '[^a-zA-Z0-9_:-]+'), lambda t: regexp_full_match(t, '[a-z][a-z0-9-]*:[a-z_]+:[a-z0-9_]([a-z0-9_-]*[a-z0-9_])?')) AS x FROM prompts)) GROUP BY ALL),
+p2 AS (SELECT pid, lower(key) AS key, min(pos) AS pos FROM (SELECT pid, unnest(x) AS key, generate_subscripts(x, 1) AS pos FROM (SELECT pid, regexp_extract_all(prompt, '\b(?:[A-Z][a-z0-9]+(?:[A-Z][a-z0-9]*)*|[A-Z]{{2,}}[a-z0-9]*)\b') AS x FROM prompts)) GROUP BY ALL),
+toks AS (SELECT pid, list_filter([regexp_replace(t, '^[^a-zA-Z0-9\-]+|[^a-zA-Z0-9\-]+$', '', 'g') FOR t IN regexp_split_to_array(prompt, '[\s,;:!?"''`()\[\]{{}}<>]+')], lambda t: t <> '') AS x FROM prompts),
+p3 AS (SELECT pid, key, min(-n) AS size, min(pos) AS pos FROM (
+  SELECT pid, 1 AS n, unnest([lower(t) FOR t IN x]) AS key, generate_subscripts(x, 1) AS pos FROM toks
+  UNION ALL SELECT pid, 2, lower(x[i] || ' ' || x[i + 1]), i FROM (SELECT pid, x, unnest(range(1, len(x))) AS i FROM toks)
+  UNION ALL SELECT pid, 3, lower(x[i] || ' ' || x[i + 1] || ' ' || x[i + 2]), i FROM (SELECT pid, x, unnest(range(1, len(x) - 1)) AS i FROM toks)) GROUP BY pid, key),
+cand AS (SELECT pid, entity_id, 1 AS a, 0 AS b, pos AS c FROM p1 JOIN nodes ON entity_id = key UNION ALL SELECT pid, entity_id, 2, 0, pos FROM p2 JOIN named USING (key) UNION ALL SELECT pid, entity_id, 3, size, pos FROM p3 JOIN named USING (key)),
+placed AS (SELECT pid, entity_id, row_number() OVER (PARTITION BY pid ORDER BY a, b, c, entity_id) AS place FROM (SELECT *, row_number() OVER (PARTITION BY pid, entity_id ORDER BY a, b, c) AS r FROM cand) WHERE r = 1),
+ents AS (SELECT * FROM placed WHERE place <= 100),
+cur AS (SELECT tr.id, subject, oe, concat_ws(' ', coalesce(s.name, subject), predicate, coalesce(o.name, ol, oe)) AS line FROM tr LEFT JOIN nodes s ON s.entity_id = subject LEFT JOIN nodes o ON o.entity_id = oe WHERE valid_to IS NULL OR valid_to > TIMESTAMP '{NOW}'),
+lines AS (SELECT entity_id, line, row_number() OVER (PARTITION BY entity_id ORDER BY side, id) AS nth FROM (SELECT subject AS entity_id, 0 AS side, id, line FROM cur UNION ALL SELECT oe, 1, id, line FROM cur WHERE oe IS NOT NULL)),
+once AS (SELECT pid, line, min((place, nth)) AS turn FROM ents JOIN lines USING (entity_id) WHERE nth <= 10 GROUP BY ALL),
+fit AS (SELECT *, sum(ceil(length(line) / 4.0) + 1) OVER (PARTITION BY pid ORDER BY turn, line ROWS UNBOUNDED PRECEDING) + 8 AS spent FROM once)
+SELECT e.pid, e.entities, f.n_facts, f.block FROM (SELECT pid, count(*) AS entities FROM ents GROUP BY pid) e
+JOIN (SELECT pid, count(*) AS n_facts, '<vault-facts>' || chr(10) || string_agg(line, chr(10) ORDER BY turn, line) || chr(10) || '</vault-facts>' AS block FROM fit WHERE spent <= 60 GROUP BY pid) f ON f.pid = e.pid"""
+
+
+@query("vault_facts", _VAULT_FACTS_SQL)
+def vault_facts(spark, sf):
+    return context.vault_facts(prompt_rows(spark, sf), named_nodes(spark, sf).select("entity_id", "name"), node_triples(spark, sf), now(), 60)
+
+
+# verdicts
+
+
+def turn_evidence(spark, sf):
+    """Prompts as turns a minute apart, answers by their words, a stop after every third answer; each prompt was given words of its own text."""
+    c = table(spark, sf, "conversations")
+    at = now() + F.make_dt_interval(mins=F.col("turn").cast("int"))
+    base = c.select(F.col("conv_id").cast("string").alias("session"), (F.col("turn") * 10).alias("seq"), at.alias("at"), "turn", "role", "conv_id", "text")
+    sha, words = F.sha1("text"), F.array_distinct(text.tokens("text"))
+    none = lambda t: F.lit(None).cast(t)
+    row = lambda where, kind, seq, h, w, usage, shift: base.where(where).select("session", seq.alias("seq"), (F.col("at") + F.make_dt_interval(secs=shift)).alias("at"), F.lit(kind).alias("kind"), h.alias("hash"), w.alias("words"), usage.alias("usage_id"))
+    human = row("role = 'user'", "human", F.col("seq"), sha, none("array<string>"), none("long"), F.lit(0))
+    assistant = row("role = 'assistant'", "assistant", F.col("seq"), none("string"), words, none("long"), F.lit(0))
+    stop = row("role = 'assistant' and turn % 3 = 0", "stop", F.col("seq") + 1, none("string"), none("array<string>"), none("long"), F.lit(0))
+    # one prompt in seven was changed on its way, so that no turn has its hash; one in eleven was given long before
+    given = F.when(F.col("turn") % 7 == 6, F.sha1(F.concat("text", F.lit("!")))).otherwise(sha)
+    usage = row("role = 'user'", "usage", F.col("seq") + 2, given, F.filter(words, lambda w: F.length(w) > 2), F.col("conv_id") * 1000 + F.col("turn"), F.when((F.col("conv_id") + F.col("turn")) % 11 == 0, -5000).otherwise(20))
+    return human.unionByName(assistant).unionByName(stop).unionByName(usage)
+
+
+_TURN_SQL = rf"""
+WITH base AS (SELECT CAST(conv_id AS VARCHAR) AS session, turn * 10 AS seq, TIMESTAMP '{NOW}' + to_minutes(CAST(turn AS INTEGER)) AS tm, turn, role, conv_id, text, list_distinct(list_filter(regexp_split_to_array(lower(text), '[^\p{{L}}\p{{N}}]+'), lambda t: t <> '')) AS words FROM conversations),
+told AS (SELECT session, seq, tm, 'human' AS kind, sha1(text) AS hash, NULL AS words FROM base WHERE role = 'user' UNION ALL SELECT session, seq, tm, 'assistant', NULL, words FROM base WHERE role = 'assistant'
+  UNION ALL SELECT session, seq + 1, tm, 'stop', NULL, NULL FROM base WHERE role = 'assistant' AND turn % 3 = 0),
+num AS (SELECT *, sum(CASE WHEN kind = 'human' THEN 1 ELSE 0 END) OVER w AS t FROM told WINDOW w AS (PARTITION BY session ORDER BY tm, seq ROWS UNBOUNDED PRECEDING)),
+ans AS (SELECT *, max(CASE WHEN kind = 'assistant' THEN t END) OVER (PARTITION BY session ORDER BY tm, seq ROWS UNBOUNDED PRECEDING) AS answered FROM num),
+turns AS (SELECT session, t, max(CASE WHEN kind = 'human' THEN hash END) AS hash, min(CASE WHEN kind = 'human' THEN tm END) AS opened, bool_or(coalesce(kind = 'stop' AND answered = t, false)) AS stopped FROM ans WHERE t > 0 GROUP BY ALL),
+ov AS (SELECT *, stopped OR lead(t) OVER (PARTITION BY session ORDER BY t) IS NOT NULL AS over, max(opened) OVER (PARTITION BY session) AS newest FROM turns),
+us AS (SELECT session, conv_id * 1000 + turn AS usage_id, CASE WHEN turn % 7 = 6 THEN sha1(text || '!') ELSE sha1(text) END AS hash, tm + to_seconds(CASE WHEN (conv_id + turn) % 11 = 0 THEN -5000 ELSE 20 END) AS used, list_filter(words, lambda w: length(w) > 2) AS words FROM base WHERE role = 'user'),
+pr AS (SELECT u.session, u.usage_id, count(*) AS n, min(v.t) AS t, bool_or(v.over) AS over FROM us u JOIN ov v ON v.session = u.session AND v.hash = u.hash AND abs(epoch_us(u.used) - epoch_us(v.opened)) <= 600000000 GROUP BY ALL),
+said AS (SELECT DISTINCT session, t, unnest(words) AS word FROM num WHERE kind = 'assistant'),
+refs AS (SELECT p.session, p.usage_id, string_agg(DISTINCT s.word, ' ' ORDER BY s.word) AS r FROM pr p JOIN (SELECT session, usage_id, unnest(words) AS word FROM us) a ON a.session = p.session AND a.usage_id = p.usage_id JOIN said s ON s.session = p.session AND s.t = p.t AND s.word = a.word WHERE p.n = 1 GROUP BY ALL),
+nw AS (SELECT session, max(opened) AS newest FROM turns GROUP BY 1)
+SELECT u.session, u.usage_id, CASE WHEN p.n = 1 AND p.over THEN 'final' WHEN p.n = 1 THEN 'provisional' WHEN coalesce(nw.newest > u.used, false) THEN 'unattributable' ELSE 'pending' END AS state,
+  CASE WHEN coalesce(p.n, 0) <> 1 AND coalesce(nw.newest > u.used, false) THEN 'no-unique-pair' END AS reason, coalesce(r.r, '') AS "references"
+FROM us u LEFT JOIN pr p ON p.session = u.session AND p.usage_id = u.usage_id LEFT JOIN refs r ON r.session = u.session AND r.usage_id = u.usage_id LEFT JOIN nw ON nw.session = u.session"""
+
+
+@query("turn_verdicts", _TURN_SQL)
+def turn_verdicts(spark, sf):
+    return verdicts.fold(turn_evidence(spark, sf)).withColumn("references", F.array_join("references", " "))
+
+
+# a provider's scores
+
+
+def shared_words(query: str, texts: list[str]) -> list[float]:
+    """A deterministic stand-in for a cross-encoder: the share of the query's words that begin a word of the text."""
+    words = sorted({w for w in re.split(r"[\W_]+", query.lower()) if w})
+    return [sum(any(t.startswith(w) for t in re.split(r"[\W_]+", text.lower())) for w in words) / max(len(words), 1) for text in texts]
+
+
+_PROVIDER_SQL = f"""WITH {META_SQL}, {INDEX_SQL},
+top AS (SELECT qid, id, row_number() OVER (PARTITION BY qid ORDER BY round(bm25, 9), id) AS r FROM bm),
+cand AS (SELECT t.qid, t.id, s.query, CASE WHEN t.id % 9 = 0 THEN NULL WHEN t.id % 4 = 0 THEN 'the and von' ELSE substr(d.text, 1, 60) END AS text FROM top t JOIN documents d ON d.doc_id = t.id JOIN (VALUES {{searches}}) s(qid, query) ON s.qid = t.qid WHERE r <= 20),
+sc AS (SELECT qid, id, text, list_sum([CASE WHEN len(list_filter(string_split_regex(lower(text), '[^\\p{{L}}\\p{{N}}]+'), lambda t: starts_with(t, w))) > 0 THEN 1 ELSE 0 END FOR w IN string_split_regex(query, ' ')])::DOUBLE / len(string_split_regex(query, ' ')) AS score FROM cand)
+SELECT qid, id, coalesce(score, 0) AS score, text IS NOT NULL AS covered, CAST(row_number() OVER (PARTITION BY qid ORDER BY coalesce(score, 0) DESC, id) AS INTEGER) AS place FROM sc"""
+
+
+@query("rerank_provider", _PROVIDER_SQL.replace("{searches}", ", ".join(f"({i}, '{q}')" for i, q in catalogue.SEARCHES)))
+def rerank_provider(spark, sf):
+    """The best documents of each search, scored by a provider; documents with one text share a call, those without text are not covered."""
+    found = fts.search(fields(spark, sf), searches(spark), 20).select("qid", "id").join(searches(spark), "qid")
+    start = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.when(F.col("doc_id") % 9 == 0, None).when(F.col("doc_id") % 4 == 0, "the and von").otherwise(F.substring("text", 1, 60)).alias("text"))
+    ranked, _ = providers.rerank(found.join(start, "id"), shared_words)
+    return ranked.drop("error")
