@@ -7,7 +7,7 @@ import re
 from pyspark.sql import functions as F
 
 from vaultframe.functions import text
-from vaultframe.operators import context, entities, fts, lifecycle, posting_store, providers, verdicts
+from vaultframe.operators import consolidation, context, entities, fts, lifecycle, posting_store, providers, verdicts
 from vaultframe.plans import catalogue, hybrid
 from vaultframe.plans.catalogue import INDEX_SQL, fields, query, rounded, searches
 from vaultframe.sources import adapter, scratch
@@ -255,3 +255,81 @@ def rerank_provider(spark, sf):
     start = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.when(F.col("doc_id") % 9 == 0, None).when(F.col("doc_id") % 4 == 0, "the and von").otherwise(F.substring("text", 1, 60)).alias("text"))
     ranked, _ = providers.rerank(found.join(start, "id"), shared_words)
     return ranked.drop("error")
+
+
+# consolidation
+
+
+def pattern_rows(spark, sf):
+    """(patterns, observations): odd and even documents; copies and near copies of each other are what belongs together."""
+    d = table(spark, sf, "documents").join(adapter.metadata(spark, sf).select(F.col("id").alias("doc_id"), F.col("modified_at").alias("created_at")), "doc_id")
+    patterns = d.where("doc_id % 2 = 1").select(F.col("doc_id").alias("id"), F.col("lang").alias("collection"), "text", F.when(F.col("doc_id") % 6 == 1, F.array("doc_id", "doc_id")).otherwise(F.array(F.col("doc_id"), F.col("doc_id") % 10 + 10_000, F.lit(7).cast("long"))).alias("source_doc_ids"))
+    observations = d.where("doc_id % 2 = 0").select(F.col("doc_id").alias("id"), F.col("lang").alias("collection"), F.col("text").alias("observation"), F.array(F.col("doc_id"), F.col("doc_id") % 13).alias("source_doc_ids"), F.when(F.col("doc_id") % 8 != 0, "active").otherwise("archived").alias("status"), "created_at")
+    return patterns, observations
+
+
+_CONSOLIDATE_SQL = rf"""
+WITH RECURSIVE {META_SQL},
+p AS (SELECT doc_id AS id, lang AS collection, text, [doc_id, doc_id % 10 + 10000, 7] AS src FROM documents WHERE doc_id % 2 = 1 AND doc_id % 6 <> 1),
+o AS (SELECT doc_id AS id, lang AS collection, text, [doc_id, doc_id % 13] AS src FROM documents WHERE doc_id % 2 = 0),
+t AS (SELECT 'p' AS kind, id, collection, text FROM p UNION ALL SELECT 'o', id, collection, text FROM o WHERE id % 8 <> 0),
+ws AS (SELECT kind, id, collection, text, list_distinct(list_filter(string_split_regex(lower(text), '[ \t\n\x0b\f\r]+'), lambda w: length(w) > 3)) AS w FROM t),
+pr AS (SELECT a.id, b.kind AS bk, b.id AS bid FROM ws a JOIN ws b ON a.kind = 'p' AND a.collection = b.collection AND (b.kind = 'o' OR b.id < a.id)
+  AND len(a.w) > 0 AND len(b.w) > 0 AND 2 * len(a.w) > len(b.w) AND 2 * len(b.w) > len(a.w) AND len(list_intersect(a.w, b.w)) > 0.5 * (len(a.w) + len(b.w) - len(list_intersect(a.w, b.w)))),
+need AS (SELECT 'p' AS kind, id FROM pr UNION SELECT bk, bid FROM pr),
+nt AS (SELECT t.kind, t.id, trim(regexp_replace(regexp_replace(lower(text), '[^a-z0-9 ]+', ' ', 'g'), '\s+', ' ', 'g')) AS s,
+  list_distinct(list_filter([lower(x) FOR x IN regexp_extract_all(text, '\b([A-Z][a-zA-Z0-9]{{1,}})\b', 1)], lambda x: NOT list_contains([{", ".join(f"'{w}'" for w in text.ANCHOR_STOPWORDS)}], x))) AS names FROM t JOIN need n ON n.kind = t.kind AND n.id = t.id),
+g AS (SELECT kind, id, g, count(*) AS n FROM (SELECT kind, id, unnest(CASE WHEN length(s) = 0 THEN [] WHEN length(s) < 3 THEN [s] ELSE [substr(s, i, 3) FOR i IN range(1, length(s) - 1)] END) AS g FROM nt) GROUP BY ALL),
+nm AS (SELECT kind, id, sqrt(sum(n * n)::DOUBLE) AS norm FROM g GROUP BY ALL),
+dt AS (SELECT pr.id, pr.bk, pr.bid, sum(ga.n * gb.n)::DOUBLE AS dot FROM pr JOIN g ga ON ga.kind = 'p' AND ga.id = pr.id JOIN g gb ON gb.kind = pr.bk AND gb.id = pr.bid AND gb.g = ga.g GROUP BY ALL),
+sc AS (SELECT pr.*, coalesce(dot / (na.norm * nb.norm), 0) AS score, a.names AS x, b.names AS y FROM pr LEFT JOIN dt ON dt.id = pr.id AND dt.bk = pr.bk AND dt.bid = pr.bid LEFT JOIN nm na ON na.kind = 'p' AND na.id = pr.id LEFT JOIN nm nb ON nb.kind = pr.bk AND nb.id = pr.bid
+  JOIN nt a ON a.kind = 'p' AND a.id = pr.id JOIN nt b ON b.kind = pr.bk AND b.id = pr.bid),
+ok AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY round(score, 9) DESC, bk, bid) AS r FROM sc WHERE NOT ((least(len(x), len(y)) > 0 AND len(list_intersect(x, y)) < least(len(x), len(y)) AND len(list_intersect(x, y)) <= least(len(x), len(y)) / 2.0) OR (least(len(x), len(y)) = 0 AND len(x) + len(y) > 0))
+  AND score >= CASE WHEN len(x) = 0 AND len(y) = 0 THEN 0.98 ELSE 0.93 END),
+up AS (SELECT p.id, CASE WHEN ok.bk = 'o' THEN ok.bid END AS ends_at, CASE WHEN ok.bk = 'p' THEN ok.bid END AS up FROM p LEFT JOIN ok ON ok.id = p.id AND ok.r = 1),
+walk AS (SELECT id, ends_at, id AS at_id, up FROM up UNION ALL SELECT w.id, u.ends_at, u.id, u.up FROM walk w JOIN up u ON u.id = w.up),
+root AS (SELECT id, ends_at, CASE WHEN ends_at IS NULL THEN at_id END AS head FROM walk WHERE up IS NULL),
+grp AS (SELECT r.ends_at, r.head, max(p.collection) AS collection, arg_max(p.text, p.id) AS observation, flatten(list(p.src)) AS src, count(*) AS members FROM root r JOIN p ON p.id = r.id GROUP BY ALL)
+SELECT ends_at AS observation_id, head, grp.collection, sha256(observation) AS observation, array_to_string(list_sort(list_distinct(list_concat(coalesce(o.src, []), grp.src))), ',') AS source_doc_ids,
+  CAST(len(list_distinct(list_concat(coalesce(o.src, []), grp.src))) AS BIGINT) AS proof_count, members,
+  CASE WHEN ends_at IS NULL OR date_diff('day', m.modified_at, TIMESTAMP '{NOW}') < 7 THEN 'NEW' WHEN len(list_distinct(list_concat(coalesce(o.src, []), grp.src))) >= 4 THEN 'STRENGTHENING' ELSE 'STABLE' END AS trend
+FROM grp LEFT JOIN o ON o.id = ends_at LEFT JOIN meta m ON m.id = ends_at"""
+
+
+@query("consolidate_patterns", _CONSOLIDATE_SQL)
+def consolidate_patterns(spark, sf):
+    found = consolidation.consolidate(*pattern_rows(spark, sf), now())
+    return found.withColumns({"observation": F.sha2("observation", 256), "source_doc_ids": F.array_join(F.transform("source_doc_ids", lambda x: x.cast("string")), ",")})
+
+
+def conclusion_rows(spark, sf):
+    """(drafts, pool, mentions, nodes): every document is a draft of its own words and of its neighbour's first ones; it cites itself and a third."""
+    d = table(spark, sf, "documents").select("doc_id", "lang", "text")
+    following = d.select((F.col("doc_id") - 1).alias("doc_id"), F.substring_index("text", " ", 6).alias("borrowed"))
+    drafts = d.join(following, "doc_id").select(F.col("doc_id").alias("draft_id"), F.col("lang").alias("collection"), F.concat_ws(" ", F.substring_index("text", " ", 12), "borrowed").alias("conclusion"), F.array(F.col("doc_id"), F.col("doc_id") + 2).alias("source_ids"))
+    words = d.where("doc_id % 4 <> 3").select("doc_id", F.regexp_extract_all("text", F.lit("([A-Za-z]+)"), F.lit(1)).alias("w")).where("size(w) > 1")
+    mentions = words.select("doc_id", F.explode(F.array(F.lower(F.get("w", F.lit(0))), F.lower(F.get("w", F.lit(1))), F.lower(F.concat_ws(" ", F.get("w", F.lit(0)), F.get("w", F.lit(1)))))).alias("entity_id")).distinct()
+    return drafts, d.select(F.col("doc_id").alias("id"), F.col("lang").alias("collection"), "text"), mentions, mentions.select("entity_id", F.initcap("entity_id").alias("name")).distinct()
+
+
+_CONTAMINATION_SQL = rf"""
+WITH d AS (SELECT doc_id, lang, text, string_split(text, ' ') AS parts FROM documents),
+dr AS (SELECT a.doc_id AS draft_id, a.lang AS collection, array_to_string(a.parts[1:12], ' ') || ' ' || array_to_string(b.parts[1:6], ' ') AS conclusion FROM d a JOIN d b ON b.doc_id = a.doc_id + 1),
+src AS (SELECT draft_id, unnest([draft_id, draft_id + 2]) AS id FROM dr),
+w AS (SELECT doc_id, regexp_extract_all(text, '([A-Za-z]+)', 1) AS w FROM documents WHERE doc_id % 4 <> 3),
+men AS (SELECT DISTINCT doc_id, unnest([lower(w[1]), lower(w[2]), lower(w[1] || ' ' || w[2])]) AS entity_id FROM w WHERE len(w) > 1),
+pool AS (SELECT DISTINCT lang AS collection, entity_id FROM men JOIN documents USING (doc_id)),
+mine AS (SELECT DISTINCT draft_id, entity_id FROM src JOIN men ON men.doc_id = src.id),
+bye AS (SELECT DISTINCT draft_id FROM mine),
+eh AS (SELECT dr.draft_id, 'entity' AS method, array_to_string([upper(x[1]) || x[2:] FOR x IN string_split(e.entity_id, ' ')], ' ') AS hit FROM dr JOIN bye ON bye.draft_id = dr.draft_id JOIN pool e ON e.collection = dr.collection AND contains(lower(conclusion), e.entity_id)
+  WHERE regexp_matches(lower(conclusion), '(^|[^a-z0-9])' || e.entity_id || '($|[^a-z0-9])') AND NOT EXISTS (SELECT 1 FROM mine m WHERE m.draft_id = dr.draft_id AND m.entity_id = e.entity_id)),
+an AS (SELECT doc_id, lang, list_distinct(list_filter([lower(x) FOR x IN regexp_extract_all(text, '\b([A-Z][a-zA-Z0-9]{{1,}})\b', 1)], lambda x: NOT list_contains([{", ".join(f"'{w}'" for w in text.ANCHOR_STOPWORDS)}], x))) AS a FROM documents),
+held AS (SELECT doc_id, lang, unnest(a) AS hit FROM an),
+sp AS (SELECT draft_id, collection, unnest(list_distinct(list_filter([lower(x) FOR x IN regexp_extract_all(conclusion, '\b([A-Z][a-zA-Z0-9]{{1,}})\b', 1)], lambda x: NOT list_contains([{", ".join(f"'{w}'" for w in text.ANCHOR_STOPWORDS)}], x)))) AS hit FROM dr WHERE draft_id NOT IN (SELECT draft_id FROM bye)),
+lh AS (SELECT DISTINCT sp.draft_id, 'lexical' AS method, sp.hit FROM sp JOIN held h ON h.lang = sp.collection AND h.hit = sp.hit WHERE NOT EXISTS (SELECT 1 FROM src JOIN held s ON s.doc_id = src.id WHERE src.draft_id = sp.draft_id AND s.hit = sp.hit))
+SELECT DISTINCT * FROM eh UNION ALL SELECT * FROM lh"""
+
+
+@query("contamination", _CONTAMINATION_SQL)
+def contamination(spark, sf):
+    return consolidation.contamination(*conclusion_rows(spark, sf))
