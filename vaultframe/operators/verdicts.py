@@ -96,3 +96,29 @@ class Session:
         openings = [i for i, r in enumerate(rows) if r[2] == "human" and r[0] <= before]
         keep_from = openings[-1] if openings else 0
         return Session([r for i, r in enumerate(rows) if i >= keep_from or r[2] == "usage"])
+
+
+def mirror(mirrors: DataFrame, source: DataFrame, references: DataFrame, vault: str) -> DataFrame:
+    """(usage_id, state, reason, source_revision, revision, paths): the open mirrors that change now, as they become.
+
+    mirrors(usage_id, source_id, state, source_revision, revision) of a named vault follow source(source_id, state, revision)
+    of the general one. A pending or provisional mirror takes a verdict of a revision that it has not taken yet, with its
+    finality and with the paths of references(source_id, vault, path) for this vault. It closes where the source is
+    unattributable or gone. Revisions only rise, so replays change nothing, and slices end alike in whatever order they come.
+    """
+    open_ = mirrors.where(F.col("state").isin("pending", "provisional"))
+    orphaned = open_.where("source_id is null").select("usage_id", "source_id", F.lit("unattributable").alias("state"), F.lit("no-source").alias("reason"), "source_revision", "revision")
+    told = source.where("state <> 'pending'").select("source_id", F.col("state").alias("now"), F.col("revision").alias("newest"))
+    due = open_.join(told, "source_id").where("source_revision is null or source_revision < newest")
+    taken = due.select("usage_id", "source_id", F.col("now").alias("state"), F.when(F.col("now") == "unattributable", F.lit("source-unattributable")).alias("reason"), F.col("newest").alias("source_revision"), "revision")
+    mine = references.where(F.col("vault") == vault).groupBy("source_id").agg(F.sort_array(F.collect_set("path")).alias("paths"))
+    out = orphaned.unionByName(taken).join(mine, "source_id", "left")
+    empty = F.array().cast("array<string>")
+    return out.select("usage_id", "state", "reason", "source_revision", (F.col("revision") + 1).alias("revision"), F.when(F.col("state") != "unattributable", F.coalesce("paths", empty)).otherwise(empty).alias("paths"))
+
+
+def mirrored(mirrors: DataFrame, changed: DataFrame) -> DataFrame:
+    """The mirrors after ``mirror``'s changes."""
+    c = changed.select("usage_id", F.struct("state", "source_revision", "revision").alias("c"))
+    both = mirrors.join(c, "usage_id", "left")
+    return both.select("usage_id", "source_id", *(F.when(F.col("c").isNotNull(), F.col(f"c.{x}")).otherwise(F.col(x)).alias(x) for x in ("state", "source_revision", "revision")))

@@ -7,7 +7,7 @@ import re
 from pyspark.sql import functions as F
 
 from vaultframe.functions import text
-from vaultframe.operators import consolidation, context, entities, fts, lifecycle, posting_store, providers, verdicts
+from vaultframe.operators import consolidation, context, entities, fts, invariants, lifecycle, posting_store, providers, verdicts
 from vaultframe.plans import catalogue, hybrid
 from vaultframe.plans.catalogue import INDEX_SQL, fields, query, rounded, searches
 from vaultframe.sources import adapter, scratch
@@ -333,3 +333,100 @@ SELECT DISTINCT * FROM eh UNION ALL SELECT * FROM lh"""
 @query("contamination", _CONTAMINATION_SQL)
 def contamination(spark, sf):
     return consolidation.contamination(*conclusion_rows(spark, sf))
+
+
+# traces
+
+
+def trace_tables(spark, sf):
+    """Orders as traces, their lines as candidates; breaches come by arithmetic on the keys."""
+    o = table(spark, sf, "orders").select(F.col("o_orderkey").alias("k"))
+    m = lambda n: F.col("k") % n
+    traces = o.select(
+        F.col("k").alias("trace_id"), F.when(m(11) == 0, "empty").when(m(11) != 1, "injected").alias("outcome"), F.when(m(2) == 0, "none").alias("empty_reason"), F.when(m(13) == 0, "composite").otherwise("rrf").alias("ranking_key"),
+        (m(29) != 3).alias("has_injection"), (m(31) != 4).alias("has_admission"), (m(4) == 0).alias("prior_certified"), F.when(m(9) != 8, m(7) * 0.125).alias("current_mass"), (m(5) * 0.125).alias("discounted_mass"), (m(3) * 0.125).alias("expansion_contribution"),
+        F.lit(2).alias("protected_slots"), m(6).alias("admitted_current"), (m(2) == 0).alias("rerank_attempted"), (m(6) == 0).alias("rerank_failed"), (m(3) != 0).alias("ordering_applied"), (m(5) == 0).alias("gated"), (m(10) == 0).alias("degenerate"), m(700).alias("finalization_ms"),
+    )
+    x = table(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("trace_id"), F.col("l_linenumber").alias("ln")).agg((F.min("l_partkey") % 50).cast("string").alias("part"), F.min("l_suppkey").alias("l_suppkey"))
+    x = x.select("trace_id", "ln", F.concat(F.lit("c"), F.col("ln").cast("string"), F.lit("-"), "part").alias("candidate"), F.concat(F.lit("p"), "part").alias("path"), "l_suppkey")
+    leg = F.element_at(F.array(*map(F.lit, ["bm25", "vec", "expansion-lex", "expansion-vec"])), (F.col("ln") % 4 + 1).cast("int"))
+    candidates = x.select("trace_id", "candidate", "path", leg.alias("leg"), (F.col("ln") % 7 != 6).alias("pooled"), (F.col("ln") % 4 < 2).alias("current_supported"), (F.col("l_suppkey") % 2 == 0).alias("gate_passed"), (F.col("l_suppkey") % 3 != 0).alias("covered"), F.when(F.col("l_suppkey") % 5 == 0, "skill").otherwise("general").alias("vault"))
+    entries = x.where("ln <= 4 and (trace_id % 11 <> 0 or trace_id % 3 = 0)")
+    moved = F.when(F.col("trace_id") % 3 == 0, F.col("ln")).otherwise(F.col("ln") * 3 % 8)
+    order = x.where("trace_id % 37 <> 5").select("trace_id", moved.alias("n"), "candidate", F.when(F.col("ln") > 2, 1).otherwise(0).alias("band"), (1.0 / (F.col("ln") % 3 + 1)).alias("key"))
+    return traces, candidates, x.where("ln % 6 <> 5").select("trace_id", "path"), x.where("ln % 5 <> 4").select("trace_id", "candidate"), entries.select("trace_id", F.when(F.col("trace_id") % 17 == 0, 5 - F.col("ln")).otherwise(F.col("ln")).alias("n"), "path"), entries.select("trace_id", F.col("ln").alias("n"), "candidate", "path"), order
+
+
+_TRACE_SQL = """
+WITH t AS (SELECT o_orderkey AS k, CASE WHEN o_orderkey % 11 = 0 THEN 'empty' WHEN o_orderkey % 11 <> 1 THEN 'injected' END AS outcome FROM orders),
+x AS (SELECT l_orderkey AS k, l_linenumber AS ln, 'c' || l_linenumber || '-' || (min(l_partkey) % 50) AS c, 'p' || (min(l_partkey) % 50) AS p, min(l_suppkey) AS s FROM lineitem GROUP BY l_orderkey, l_linenumber),
+e AS (SELECT * FROM x WHERE ln <= 4 AND (k % 11 <> 0 OR k % 3 = 0)),
+fp AS (SELECT k, CASE WHEN k % 17 = 0 THEN 5 - ln ELSE ln END AS n, p FROM e),
+fo AS (SELECT k, CASE WHEN k % 3 = 0 THEN ln ELSE ln * 3 % 8 END AS n, c, CASE WHEN ln > 2 THEN 1 ELSE 0 END AS band, 1.0::DOUBLE / (ln % 3 + 1) AS key FROM x WHERE k % 37 <> 5),
+inj AS (SELECT k FROM t WHERE outcome = 'injected'),
+np AS (SELECT t.k, t.outcome, count(fp.k) AS n FROM t LEFT JOIN fp ON fp.k = t.k GROUP BY ALL),
+ej AS (SELECT e.k, e.ln, e.c, f.n AS place, f.band, f.key FROM e JOIN inj ON inj.k = e.k LEFT JOIN fo f ON f.k = e.k AND f.c = e.c WHERE e.k % 29 <> 3 AND e.k IN (SELECT k FROM fo)),
+eb AS (SELECT *, place IS NULL OR coalesce(place <= max(place) OVER (PARTITION BY k ORDER BY ln ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS bad, lag(band) OVER (PARTITION BY k ORDER BY ln) AS pb, lag(key) OVER (PARTITION BY k ORDER BY ln) AS pk FROM ej),
+ef AS (SELECT *, bool_or(bad) OVER (PARTITION BY k ORDER BY ln ROWS UNBOUNDED PRECEDING) AS failed FROM eb),
+acted AS (SELECT k, coalesce(k % 2 = 0 AND k % 6 <> 0 AND k % 3 <> 0, false) AS a FROM inj),
+lg AS (SELECT k, p FROM x WHERE ln % 7 <> 6 GROUP BY k, p HAVING bool_and(ln % 4 >= 2)),
+nb AS (SELECT fo.*, lag(band) OVER w AS pb, lag(key) OVER w AS pk, lag(c) OVER w AS pc FROM fo JOIN inj ON inj.k = fo.k WINDOW w AS (PARTITION BY fo.k ORDER BY n)),
+v AS (SELECT k, 'trace-complete' AS rule, NULL AS subject, 'no outcome' AS breach FROM t WHERE outcome IS NULL
+UNION ALL SELECT k, 'trace-complete', NULL, 'empty without a reason' FROM t WHERE outcome = 'empty' AND k % 2 <> 0
+UNION ALL SELECT k, 'trace-complete', NULL, 'empty with paths' FROM np WHERE outcome = 'empty' AND n > 0
+UNION ALL SELECT k, 'trace-complete', NULL, 'injected without paths' FROM np WHERE outcome = 'injected' AND n = 0
+UNION ALL SELECT fp.k, 'trace-complete', p, 'no pooled candidate' FROM fp JOIN inj ON inj.k = fp.k WHERE NOT EXISTS (SELECT 1 FROM x WHERE x.k = fp.k AND x.p = fp.p AND ln % 7 <> 6)
+UNION ALL SELECT fp.k, 'trace-complete', p, 'no composite score' FROM fp JOIN inj ON inj.k = fp.k WHERE NOT EXISTS (SELECT 1 FROM x WHERE x.k = fp.k AND x.p = fp.p AND ln % 6 <> 5)
+UNION ALL SELECT k, 'trace-complete', NULL, 'no injection record' FROM inj WHERE k % 29 = 3
+UNION ALL SELECT k, 'trace-complete', NULL, 'entries differ from paths' FROM inj WHERE k % 29 <> 3 AND k IN (SELECT coalesce(a.k, b.k) FROM fp a FULL JOIN e b ON a.k = b.k AND a.n = b.ln WHERE a.p IS DISTINCT FROM b.p)
+UNION ALL SELECT k, 'trace-complete', NULL, 'no admission record' FROM inj WHERE k % 31 = 4
+UNION ALL SELECT e.k, 'admission-honored', c, 'not admitted' FROM e JOIN inj ON inj.k = e.k WHERE e.k % 31 <> 4 AND e.k % 29 <> 3 AND NOT EXISTS (SELECT 1 FROM x WHERE x.k = e.k AND x.c = e.c AND x.ln % 5 <> 4)
+UNION ALL SELECT k, 'single-ranking-key', NULL, 'ordered by composite' FROM inj WHERE k % 13 = 0
+UNION ALL SELECT k, 'single-ranking-key', NULL, 'no final order' FROM inj WHERE k NOT IN (SELECT k FROM fo)
+UNION ALL SELECT k, 'single-ranking-key', NULL, 'no injection record' FROM inj WHERE k % 29 = 3 AND k IN (SELECT k FROM fo)
+UNION ALL SELECT k, 'single-ranking-key', c, 'not in the final order' FROM ef WHERE failed
+UNION ALL SELECT k, 'single-ranking-key', c, 'below a later band' FROM ef WHERE NOT failed AND band < pb
+UNION ALL SELECT k, 'single-ranking-key', c, 'key rises' FROM ef WHERE NOT failed AND band = pb AND key > pk
+UNION ALL SELECT k, 'expansion-mass-cap', NULL, 'discounted mass is not below' FROM t WHERE k % 9 <> 8 AND k % 7 > 0 AND k % 5 >= k % 7
+UNION ALL SELECT k, 'expansion-mass-cap', NULL, 'discounted mass without certificate' FROM t WHERE k % 9 <> 8 AND k % 7 = 0 AND k % 5 > 0 AND k % 4 <> 0
+UNION ALL SELECT k, 'expansion-mass-cap', NULL, 'expansion without current mass' FROM t WHERE k % 9 <> 8 AND k % 7 = 0 AND k % 3 > 0
+UNION ALL SELECT k, 'expansion-mass-cap', NULL, 'protected slots' FROM t WHERE k % 9 <> 8 AND k % 6 < 2
+UNION ALL SELECT fp.k, 'rerank-coverage-or-fallback', p, 'not covered' FROM fp JOIN acted ON acted.k = fp.k AND a WHERE NOT EXISTS (SELECT 1 FROM x WHERE x.k = fp.k AND x.p = fp.p AND s % 3 <> 0)
+UNION ALL SELECT fp.k, 'no-expansion-leak-on-failed-rerank', fp.p, 'not arbitrated' FROM fp JOIN acted ON acted.k = fp.k AND NOT a JOIN lg ON lg.k = fp.k AND lg.p = fp.p WHERE NOT EXISTS (SELECT 1 FROM x WHERE x.k = fp.k AND x.p = fp.p AND s % 5 <> 0 AND (ln % 4 < 2 OR s % 2 = 0))
+UNION ALL SELECT k, 'degeneracy-gate-honored', NULL, 'degenerate scores applied' FROM t WHERE k % 10 = 0 AND k % 3 <> 0
+UNION ALL SELECT k, 'metadata-band-only', c, 'tie out of order' FROM nb WHERE band = pb AND key = pk AND NOT (pc < c)
+UNION ALL SELECT k, 'finalization-fits-reserve', NULL, 'over the reserve' FROM t WHERE k % 700 > 500)
+SELECT k AS trace_id, rule, rule NOT IN ('rerank-coverage-or-fallback', 'finalization-fits-reserve') AS enforced, subject, breach FROM v"""
+
+
+@query("trace_violations", _TRACE_SQL)
+def trace_violations(spark, sf):
+    return invariants.violations(*trace_tables(spark, sf))
+
+
+# mirrors of another vault
+
+
+def mirror_tables(spark, sf):
+    """(mirrors, verdicts, references): events as mirrored usages, orders as verdicts of the general vault."""
+    e = table(spark, sf, "events")
+    mirrors = e.select(F.col("event_id").alias("usage_id"), F.when(F.col("event_id") % 23 != 0, F.col("event_id") % 5000).alias("source_id"), F.element_at(F.array(*map(F.lit, ["pending", "provisional", "attributed"])), (F.col("event_id") % 3 + 1).cast("int")).alias("state"), F.when(F.col("event_id") % 3 > 0, F.col("event_id") % 7).alias("source_revision"), (F.col("event_id") % 4 + 1).alias("revision"))
+    o = table(spark, sf, "orders")
+    verdicts = o.select(F.col("o_orderkey").alias("source_id"), F.element_at(F.array(*map(F.lit, ["pending", "provisional", "attributed", "unattributable"])), (F.col("o_orderkey") % 4 + 1).cast("int")).alias("state"), (F.col("o_orderkey") % 9).alias("revision"))
+    references = table(spark, sf, "lineitem").where("l_linenumber <= 3").select(F.col("l_orderkey").alias("source_id"), F.when(F.col("l_suppkey") % 2 == 0, "skill").otherwise("work").alias("vault"), F.concat(F.lit("p"), (F.col("l_partkey") % 40).cast("string")).alias("path"))
+    return mirrors, verdicts, references
+
+
+_MIRROR_SQL = """
+WITH m AS (SELECT event_id AS usage_id, CASE WHEN event_id % 23 <> 0 THEN event_id % 5000 END AS source_id, ['pending', 'provisional', 'attributed'][event_id % 3 + 1] AS state, CASE WHEN event_id % 3 > 0 THEN event_id % 7 END AS src, event_id % 4 + 1 AS revision FROM events),
+g AS (SELECT o_orderkey AS source_id, ['pending', 'provisional', 'attributed', 'unattributable'][o_orderkey % 4 + 1] AS state, o_orderkey % 9 AS revision FROM orders),
+r AS (SELECT l_orderkey AS source_id, string_agg(DISTINCT 'p' || (l_partkey % 40), ',' ORDER BY 'p' || (l_partkey % 40)) AS paths FROM lineitem WHERE l_linenumber <= 3 AND l_suppkey % 2 = 0 GROUP BY 1),
+due AS (SELECT m.usage_id, m.source_id, m.revision + 1 AS revision, CASE WHEN m.source_id IS NULL OR g.state = 'unattributable' THEN 'unattributable' ELSE g.state END AS state, CASE WHEN m.source_id IS NULL THEN 'no-source' WHEN g.state = 'unattributable' THEN 'source-unattributable' END AS reason, CASE WHEN m.source_id IS NULL THEN m.src ELSE g.revision END AS source_revision
+  FROM m LEFT JOIN g ON g.source_id = m.source_id WHERE m.state IN ('pending', 'provisional') AND (m.source_id IS NULL OR (g.state IS NOT NULL AND g.state <> 'pending' AND (m.src IS NULL OR m.src < g.revision))))
+SELECT usage_id, due.state, reason, source_revision, revision, CASE WHEN due.state <> 'unattributable' THEN coalesce(paths, '') ELSE '' END AS paths FROM due LEFT JOIN r ON r.source_id = due.source_id"""
+
+
+@query("mirror_slices", _MIRROR_SQL)
+def mirror_slices(spark, sf):
+    mirrors, verdicts_, references = mirror_tables(spark, sf)
+    return verdicts.mirror(mirrors, verdicts_, references, "skill").withColumn("paths", F.array_join("paths", ","))
