@@ -7,11 +7,11 @@ from collections import Counter, defaultdict
 import duckdb
 import pytest
 
-from vaultframe.plans import catalogue, catalogue_extra, catalogue_lanes, catalogue_more
+from vaultframe.plans import catalogue, catalogue_extra, catalogue_lanes, catalogue_more, catalogue_store
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-assert catalogue_more.query is catalogue_extra.query is catalogue_lanes.query is catalogue.query
+assert catalogue_more.query is catalogue_extra.query is catalogue_lanes.query is catalogue_store.query is catalogue.query
 
 
 @pytest.fixture(scope="module")
@@ -116,11 +116,18 @@ def test_merge_gate_and_decisions(spark):
     assert per and max(per.values()) <= 10
 
 
+def openings(spark, texts):
+    return spark.createDataFrame([(t,) for t in texts], "prompt string")
+
+
 def test_constraints_and_gates(spark):
     import datetime as dt
 
-    prompts = catalogue.PROMPTS
-    got = {prompts[r["pid"]]: (r["start_day"], r["end_day"]) for r in rows(spark, "temporal_constraint")}
+    from vaultframe.functions import temporal, text
+    from vaultframe.sources.adapter import now
+
+    df = openings(spark, catalogue.PROMPTS)
+    got = {r.prompt: (r.start_day, r.end_day) for r in df.select("prompt", temporal.temporal_constraint("prompt", now()).alias("c")).select("prompt", "c.*").collect()}
     day = dt.date
     assert got["when was the schema decided last week"] == (day(2024, 1, 25), day(2024, 2, 1))
     assert got["what happened in january 2024 and also why"] == (day(2024, 1, 1), day(2024, 1, 31))
@@ -130,16 +137,26 @@ def test_constraints_and_gates(spark):
     assert got["2 months ago"] == (day(2023, 12, 1), day(2024, 2, 1))
     assert got["yesterday"] == (day(2024, 1, 31), day(2024, 1, 31))
     assert got["what is a vault"] == (None, None)
-    gates = {prompts[r["pid"]]: r for r in rows(spark, "retrieval_gates")}
-    assert gates["hello there"]["skip"] and gates["ok"]["skip"] and gates["npm install fails"]["skip"]
-    assert not gates["remember the plan"]["skip"] and not gates["yesterday"]["skip"]
-    assert gates["status check"]["heartbeat"] and gates["/help"]["heartbeat"] and not gates["are we scoping this?"]["heartbeat"]
+    gates = {r.prompt: r for r in df.select("prompt", text.skip_retrieval("prompt").alias("skip"), text.heartbeat("prompt").alias("heartbeat")).collect()}
+    assert gates["hello there"].skip and gates["ok"].skip and gates["npm install fails"].skip
+    assert not gates["remember the plan"].skip and not gates["yesterday"].skip
+    assert gates["status check"].heartbeat and gates["/help"].heartbeat and not gates["are we scoping this?"].heartbeat
 
 
 def test_contradictions(spark):
-    by = {r["a"]: r for r in rows(spark, "contradiction_heuristic")}
-    last = max(by)
-    assert by[last]["contradictory"] and by[last]["reason"] == "negation"
+    from vaultframe.operators import lifecycle
+
+    pairs = [("we do not use it", "we use it", "negation"), ("port 8080", "port 9090", "numbers"), ("port 8080 or 1,000", "port 1000", "none"), ("fine", "fine", "none")]
+    df = spark.createDataFrame(pairs, "a_text string, b_text string, want string")
+    assert all(r.reason == r.want and r.contradictory == (r.want != "none") for r in lifecycle.contradictions(df).collect())
+
+
+def test_words_end_where_other_letters_begin(spark):
+    from vaultframe.functions import text
+
+    df = openings(spark, ["éAiler aneé 12é", "pas de why-not", "whyé"])
+    assert [r[0] for r in df.select(text.anchors("prompt")).collect()] == [["ailer"], [], []]
+    assert [r[0] for r in df.select(text.matches("prompt", r"\bwhy\b")).collect()] == [False, True, True]
 
 
 def test_hybrid_and_tags(spark):
@@ -150,7 +167,12 @@ def test_hybrid_and_tags(spark):
 
 
 def test_guards(spark):
-    got = {catalogue_extra.ATTACKS[r["n"]]: r for r in rows(spark, "injection_guard")}
+    from vaultframe.functions import guards
+
+    df = openings(spark, catalogue_extra.ATTACKS).select("prompt", guards.injection("prompt").alias("i"), guards.placeholder("prompt").alias("placeholder")).select("prompt", "i.*", "placeholder")
+    got = {r.prompt: r.asDict() for r in df.collect()}
+    found = rows(spark, "injection_guard")
+    assert len(found) > 100 and {r["detector"] for r in found} >= {"legacy_pattern", "instruction_override", "homoglyph"}
     want = ["legacy_pattern", "role_injection", "instruction_override", "delimiter_injection", "unicode_obfuscation", "homoglyph", "normalization", None]
     assert [got[a]["detector"] for a in catalogue_extra.ATTACKS[:8]] == want
     assert got[""]["placeholder"]
@@ -185,8 +207,6 @@ def test_surfacing(spark):
         assert [r["rank"] for r in rs] == list(range(1, len(rs) + 1)) and len({r["id"] for r in rs}) == len(rs) <= 10
         assert sum(r["tokens"] for r in rs) <= 800 or len(rs) == 1
         assert all(r["id"] % 19 for r in rs)
-    clauses = [r for r in rows(spark, "query_clauses") if catalogue.PROMPTS[r["pid"]].startswith("what happened in january")]
-    assert len(clauses) == 2 or {c["kind"] for c in clauses} == {"bm25", "vector"}
     assert sum(r["id"] == r["wid"] or not r["confident"] for r in rows(spark, "lifecycle_targets")) > 0
 
 

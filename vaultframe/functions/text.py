@@ -47,9 +47,14 @@ def col(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def ascii_bounds(pattern: str) -> str:
+    """The pattern with word boundaries between ASCII word characters and others; Java 17's own ones also see other letters."""
+    return pattern.replace(r"\b", "(?:(?<![A-Za-z0-9_])(?=[A-Za-z0-9_])|(?<=[A-Za-z0-9_])(?![A-Za-z0-9_]))")
+
+
 def matches(c, *patterns: str) -> Column:
     """Does any pattern occur? Case does not count."""
-    return col(c).rlike("(?i)" + "|".join(f"(?:{p})" for p in patterns))
+    return col(c).rlike(ascii_bounds("(?i)" + "|".join(f"(?:{p})" for p in patterns)))
 
 
 def tokens(c) -> Column:
@@ -110,7 +115,7 @@ def trigrams(c) -> Column:
 
 def anchors(c) -> Column:
     """Capitalised words, lower-cased, without common ones."""
-    found = F.regexp_extract_all(col(c), F.lit(r"\b([A-Z][a-zA-Z0-9]{1,})\b"), F.lit(1))
+    found = F.regexp_extract_all(col(c), F.lit(ascii_bounds(r"\b([A-Z][a-zA-Z0-9]{1,})\b")), F.lit(1))
     return F.array_distinct(F.array_except(F.transform(found, F.lower), F.array(*map(F.lit, ANCHOR_STOPWORDS))))
 
 
@@ -218,7 +223,7 @@ def has_negation(c) -> Column:
 
 
 def numbers(c) -> Column:
-    return F.array_distinct(F.transform(F.regexp_extract_all(col(c), F.lit(f"({NUMBER})"), F.lit(1)), lambda n: F.replace(n, F.lit(","), F.lit(""))))
+    return F.array_distinct(F.transform(F.regexp_extract_all(col(c), F.lit(ascii_bounds(f"({NUMBER})")), F.lit(1)), lambda n: F.replace(n, F.lit(","), F.lit(""))))
 
 
 def contradiction(a, b) -> Column:

@@ -25,6 +25,8 @@ PROMPTS = [
     "last 10 days of work", "2 months ago", "status check", "are we scoping this?", "/help", "because we chose DuckDB instead of SQLite?", "yesterday", "this month so far", "npm install fails", "don't do 1,000 or 2024-01-02",
 ]
 _PROMPT_VALUES = ", ".join(f"({i}, '{p.replace(chr(39), chr(39) * 2)}')" for i, p in enumerate(PROMPTS))
+#: Every user turn, opened by one of PROMPTS; each third is the opening alone.
+PROMPT_TABLE = f"(SELECT c.conv_id * 100 + c.turn AS pid, v.p || CASE WHEN c.turn % 3 = 0 THEN '' ELSE ' ' || c.text END AS prompt FROM conversations c JOIN (VALUES {_PROMPT_VALUES}) v(n, p) ON v.n = (c.conv_id + c.turn) % {len(PROMPTS)} WHERE c.role = 'user') p"
 VECTOR_K = 5
 
 
@@ -46,8 +48,15 @@ def searches(spark: SparkSession) -> DataFrame:
     return _local(spark, SEARCHES, "qid int, query string")
 
 
-def prompts(spark: SparkSession) -> DataFrame:
-    return _local(spark, list(enumerate(PROMPTS)), "pid int, prompt string")
+def opened(spark: SparkSession, sf: str, openings: list[str]) -> DataFrame:
+    """(pid, prompt): every user turn, opened by one of the openings; each third is the opening alone."""
+    c = table(spark, sf, "conversations").where("role = 'user'")
+    opening = F.element_at(F.array(*map(F.lit, openings)), ((F.col("conv_id") + F.col("turn")) % len(openings) + 1).cast("int"))
+    return c.select((F.col("conv_id") * 100 + F.col("turn")).alias("pid"), F.concat(opening, F.when(F.col("turn") % 3 == 0, "").otherwise(F.concat(F.lit(" "), "text"))).alias("prompt"))
+
+
+def prompts(spark: SparkSession, sf: str) -> DataFrame:
+    return opened(spark, sf, PROMPTS)
 
 
 def fields(spark: SparkSession, sf: str) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from vaultframe.functions import temporal, text
 from vaultframe.operators import entities, evaluation, fts, graph, lifecycle, stats, windows
 from vaultframe.plans import hybrid
-from vaultframe.plans.catalogue import _CAND_FTS, _PROMPT_VALUES, INDEX_SQL, fields, prompts, query, rounded, searches
+from vaultframe.plans.catalogue import _CAND_FTS, INDEX_SQL, PROMPT_TABLE, fields, prompts, query, rounded, searches
 from vaultframe.sources import adapter, conversations
 from vaultframe.sources.adapter import MENTION_SQL, META_SQL, NOW, RECALL_SQL, RELATION_SQL, SESSION_SQL, TRIPLE_SQL, now, table
 
@@ -401,7 +401,7 @@ def transcript_priority(spark, sf):
     return conversations.priority(table(spark, sf, "conversations"), 800).select("conv_id", "turn", "priority", "spent")
 
 
-_P = f"(VALUES {_PROMPT_VALUES}) p(pid, prompt)"
+_P = PROMPT_TABLE
 
 
 def _rx(column: str, *patterns: str) -> str:
@@ -411,22 +411,54 @@ def _rx(column: str, *patterns: str) -> str:
 
 @query("intent_classify", f"WITH s AS (SELECT pid, CASE WHEN {_rx('lower(prompt)', text.WHY)} THEN 3 ELSE 0 END + CASE WHEN regexp_matches(lower(prompt), '^why\\b') THEN 2 ELSE 0 END AS why, CASE WHEN {_rx('lower(prompt)', text.WHEN)} THEN 3 ELSE 0 END + CASE WHEN {_rx('lower(prompt)', *temporal.ALL_SPANS)} THEN 2 ELSE 0 END + CASE WHEN regexp_matches(lower(prompt), '^when\\b') THEN 2 ELSE 0 END AS whn, CASE WHEN {_rx('lower(prompt)', text.ENTITY)} THEN 3 ELSE 0 END + CASE WHEN regexp_matches(lower(prompt), '^who\\b') THEN 2 ELSE 0 END AS ent FROM {_P}) SELECT pid, CASE WHEN greatest(why, whn, ent) = 0 THEN 'WHAT' WHEN why = greatest(why, whn, ent) THEN 'WHY' WHEN whn = greatest(why, whn, ent) THEN 'WHEN' ELSE 'ENTITY' END AS intent, CASE WHEN greatest(why, whn, ent) = 0 THEN 0.6 ELSE least(95, 60 + greatest(why, whn, ent) * 10) / 100.0 END::DOUBLE AS confidence FROM s")
 def intent_classify(spark, sf):
-    return prompts(spark).select("pid", text.intent("prompt").alias("i")).select("pid", "i.intent", "i.confidence")
+    return prompts(spark, sf).select("pid", text.intent("prompt").alias("i")).select("pid", "i.intent", "i.confidence")
 
 
 @query("mode_classify", f"SELECT pid, CASE WHEN {_rx('lower(prompt)', text.TIMELINE_SIGNAL)} THEN 'timeline' WHEN {_rx('lower(prompt)', text.CAUSAL_SIGNAL, '^why\\b')} THEN 'causal' WHEN {_rx('lower(prompt)', text.DISCOVERY_SIGNAL)} THEN 'discovery' WHEN {_rx('lower(prompt)', *text.COMPLEX_SIGNALS)} THEN 'complex' WHEN length(prompt) < 50 AND (regexp_matches(prompt, '[A-Z][A-Z0-9_]{{2,}}') OR regexp_matches(lower(prompt), '[\\w-]+\\.\\w{{2,4}}\\b') OR regexp_matches(lower(prompt), '\\b(config|setting|error|path|file|port|url)\\b')) THEN 'keyword' WHEN {_rx('lower(prompt)', text.SEMANTIC_SIGNAL)} THEN 'semantic' ELSE 'hybrid' END AS mode FROM {_P}")
 def mode_classify(spark, sf):
-    return prompts(spark).select("pid", text.retrieval_mode("prompt").alias("mode"))
+    return prompts(spark, sf).select("pid", text.retrieval_mode("prompt").alias("mode"))
 
 
-@query("temporal_constraint", None)
+_DAY = "DATE '2024-02-01'"
+
+
+def _first_of(pattern: str) -> str:
+    """The first day of the month that the pattern names, this year's if it names none."""
+    name = f"substr(regexp_extract(q, '{pattern}', 1), 1, 3)"
+    months = "['jan', 'feb', 'mar', 'apr', 'may', 'jun', 'jul', 'aug', 'sep', 'oct', 'nov', 'dec']"
+    return f"make_date(coalesce(try_cast(nullif(regexp_extract(q, '{pattern}', 2), '') AS INTEGER), 2024), greatest(1, coalesce(list_position({months}, {name}), 1)), 1)"
+
+
+def _count_in(pattern: str) -> str:
+    return f"coalesce(try_cast(regexp_extract(q, '{pattern}', 1) AS INTEGER), 0)"
+
+
+_SPANS = [
+    (temporal.TODAY, _DAY, _DAY), (temporal.YESTERDAY, f"{_DAY} - 1", f"{_DAY} - 1"), (temporal.THIS_WEEK, f"{_DAY} - 4", _DAY), (temporal.LAST_WEEK, f"{_DAY} - 7", _DAY), (temporal.THIS_MONTH, _DAY, _DAY), (temporal.LAST_MONTH, "DATE '2024-01-01'", _DAY),
+    (temporal.DAYS_AGO, f"{_DAY} - {_count_in(temporal.DAYS_AGO)}", _DAY), (temporal.WEEKS_AGO, f"{_DAY} - 7 * {_count_in(temporal.WEEKS_AGO)}", _DAY), (temporal.MONTHS_AGO, f"CAST({_DAY} - to_months({_count_in(temporal.MONTHS_AGO)}) AS DATE)", _DAY),
+    (temporal.SINCE_MONTH, _first_of(temporal.SINCE_MONTH), _DAY), (temporal.IN_MONTH, _first_of(temporal.IN_MONTH), f"last_day({_first_of(temporal.IN_MONTH)})"), (temporal.LAST_DAYS, f"{_DAY} - {_count_in(temporal.LAST_DAYS)}", _DAY),
+]
+_CASE = lambda n: "CASE " + " ".join(f"WHEN regexp_matches(q, '{s[0]}') THEN {s[n]}" for s in _SPANS) + " END"
+
+
+@query("temporal_constraint", f"WITH l AS (SELECT pid, lower(prompt) AS q FROM {_P}) SELECT pid, {_CASE(1)} AS start_day, {_CASE(2)} AS end_day FROM l")
 def temporal_constraint(spark, sf):
-    return prompts(spark).select("pid", temporal.temporal_constraint("prompt", now()).alias("c")).select("pid", "c.start_day", "c.end_day")
+    return prompts(spark, sf).select("pid", temporal.temporal_constraint("prompt", now()).alias("c")).select("pid", "c.start_day", "c.end_day")
+
 
+_STRIP = "regexp_replace({0}, '^\\s+|\\s+$', '', 'g')"
+_BARE = _STRIP.format(r"regexp_replace(" + _STRIP.format(r"regexp_replace(" + _STRIP.format(r"regexp_replace(" + _STRIP.format("prompt") + r", '(?im)^(Conversation info|Sender) \(untrusted metadata\):[\s\S]*?\n\s*\n', '', 'g')") + r", '(?i)^\[cron:[^\]]+\]\s*', '', 'g')") + r", '^\[[A-Za-z]{3}\s\d{4}-\d{2}-\d{2}\s\d{2}:\d{2}\s[^\]]+\]\s*', '', 'g')")
+_GATES_SQL = f"""
+WITH b AS (SELECT pid, prompt, {_BARE} AS t, lower(trim(prompt)) AS h FROM {_P}),
+s AS (SELECT *, length(t) < CASE WHEN regexp_matches(t, '[\\x{{4e00}}-\\x{{9fff}}\\x{{3040}}-\\x{{309f}}\\x{{30a0}}-\\x{{30ff}}\\x{{ac00}}-\\x{{d7af}}]') THEN 6 ELSE 15 END AND NOT contains(t, '?') AND NOT contains(t, '？') AS short FROM b)
+SELECT pid, CASE WHEN {_rx('t', *text.FORCE_PROMPTS)} THEN false ELSE length(t) < 5 OR {_rx('t', *text.SKIP_PROMPTS)} OR regexp_matches(t, '{text.EMOJI_ONLY}') OR short END AS skip,
+  h = '' OR starts_with(h, '/') OR regexp_matches(h, '(^|[^\\p{{L}}\\p{{N}}])(?:{"|".join(text.HEARTBEATS)})($|[^\\p{{L}}\\p{{N}}])') AS heartbeat,
+  length(trim(prompt)) < 10 OR {_rx('trim(prompt)', *text.DENIALS)} AS noise, {_rx('prompt', *text.RECENCY_SIGNALS)} AS recency FROM s"""
 
-@query("retrieval_gates", None)
+
+@query("retrieval_gates", _GATES_SQL)
 def retrieval_gates(spark, sf):
-    return prompts(spark).select("pid", text.skip_retrieval("prompt").alias("skip"), text.heartbeat("prompt").alias("heartbeat"), text.retrieved_noise("prompt").alias("noise"), text.recency_intent("prompt").alias("recency"))
+    return prompts(spark, sf).select("pid", text.skip_retrieval("prompt").alias("skip"), text.heartbeat("prompt").alias("heartbeat"), text.retrieved_noise("prompt").alias("noise"), text.recency_intent("prompt").alias("recency"))
 
 
 @query("quality_score", f"SELECT doc_id, greatest(0, least(100, 30 + CASE WHEN length(text) > 200 THEN 10 ELSE 0 END + CASE WHEN length(text) > 500 THEN 10 ELSE 0 END + CASE WHEN regexp_matches(text, '(?m)^##\\s+') THEN 10 ELSE 0 END + CASE WHEN regexp_matches(text, '(?m)^[-*]\\s+') THEN 5 ELSE 0 END + CASE WHEN {_rx('text', text.DECISION_WORDS)} THEN 15 ELSE 0 END + CASE WHEN {_rx('text', text.CORRECTION_WORDS)} THEN 10 ELSE 0 END - CASE WHEN length(text) < 50 THEN 10 ELSE 0 END)) / 100.0::DOUBLE AS quality FROM documents")
@@ -449,10 +481,17 @@ def fuzzy_paths(spark, sf):
     return table(spark, sf, "part").select("p_partkey", "p_name", F.levenshtein("p_name", F.lit("almond azure")).cast("long").alias("distance")).orderBy("distance", "p_partkey").limit(5)
 
 
-@query("contradiction_heuristic", None)
+_NUMBERS = f"list_distinct([replace(x, ',', '') FOR x IN regexp_extract_all(prompt, '({text.NUMBER})', 1)])"
+_CONTRADICTION_SQL = f"""
+WITH p AS (SELECT pid, prompt, {_rx('prompt', text.NEGATION)} AS neg, {_NUMBERS} AS n FROM {_P}),
+j AS (SELECT a.pid AS a, a.neg <> b.neg AS differ, len(a.n) > 0 AND len(b.n) > 0 AND NOT list_has_any(a.n, b.n) AS disjoint FROM p a JOIN p b ON b.pid - 2 = a.pid)
+SELECT a, differ OR disjoint AS contradictory, CASE WHEN differ THEN 0.6 WHEN disjoint THEN 0.5 ELSE 0.0 END::DOUBLE AS confidence, CASE WHEN differ THEN 'negation' WHEN disjoint THEN 'numbers' ELSE 'none' END AS reason FROM j"""
+
+
+@query("contradiction_heuristic", _CONTRADICTION_SQL)
 def contradiction_heuristic(spark, sf):
-    p = prompts(spark)
-    pairs = p.select(F.col("pid").alias("a"), F.col("prompt").alias("a_text")).join(p.select((F.col("pid") - 1).alias("a"), F.col("prompt").alias("b_text")), "a")
+    p = prompts(spark, sf)
+    pairs = p.select(F.col("pid").alias("a"), F.col("prompt").alias("a_text")).join(p.select((F.col("pid") - 2).alias("a"), F.col("prompt").alias("b_text")), "a")
     return lifecycle.contradictions(pairs).select("a", "contradictory", "confidence", "reason")
 
 

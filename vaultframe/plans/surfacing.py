@@ -84,7 +84,7 @@ def surface_batches(docs: DataFrame, meta: DataFrame, now: Column, sinks: list[C
 def decompose(prompts: DataFrame) -> DataFrame:
     """(pid, kind, priority, clause): one keyword and one vector clause for simple questions, parts of complex ones else."""
     complex_one = text.matches("prompt", *text.COMPLEX_SIGNALS)
-    parts = F.filter(F.transform(F.split("prompt", r"(?i)\?|\band\s+(?:also|what|how|why)\b|\b(?:additionally|as well as|along with)\b"), F.trim), lambda p: F.length(p) > 3)
+    parts = F.filter(F.transform(F.split("prompt", r"(?i)\?|\band\s+(?:also|what|how|why)\b|\b(?:additionally|as well as|along with)\b"), lambda p: F.trim(p)), lambda p: F.length(p) > 3)
     simple = F.array(F.struct(F.lit("bm25").alias("kind"), F.lit(1).alias("priority"), F.col("prompt").alias("clause")), F.struct(F.lit("vector").alias("kind"), F.lit(2).alias("priority"), F.col("prompt").alias("clause")))
     several = F.transform(F.slice(parts, 1, 4), lambda p, i: F.struct(F.lit("bm25").alias("kind"), (i + 1).alias("priority"), p.alias("clause")))
     return prompts.select("pid", F.explode(F.when(complex_one & (F.size(parts) > 1), several).otherwise(simple)).alias("c")).select("pid", "c.kind", "c.priority", "c.clause")
