@@ -155,3 +155,48 @@ def test_verdict_stream_equals_the_batch_fold(spark, tmp_path):
         seen[key] = (r.revision, r.state, tuple(r.references))
     assert {k: v[1:] for k, v in seen.items()} == batch
     assert max(v[0] for v in seen.values()) > 1  # some verdicts were revised
+
+
+def test_expansion_replies_are_cleaned(spark):
+    texts = {
+        "one": "lex: first words\nvec: a question /no_think here\nlex: first words\nlex: one\nnoise\nother: x\nhyde: <think>hm</think>\nhyde: it is: so",
+        "two": "lex: keyword search terms (x)\nvec:   ",
+        "three": None,
+    }
+
+    def writer(query):
+        if texts.get(query) is None:
+            raise ConnectionError("down")
+        return texts[query]
+
+    q = spark.createDataFrame([(1, "one"), (2, "two"), (3, "three"), (4, "one"), (5, None)], "qid int, query string")
+    found, fresh = providers.expand(q, writer)
+    got = sorted((r.qid, r.n, r.kind, r.text, r.fallback) for r in found.collect())
+    first = [(1, "lex", "first words", False), (2, "vec", "a question here", False), (3, "hyde", "it is: so", False)]
+    assert got == [(1, *x) for x in first] + [(2, 1, "hyde", "Information about two", True), (3, 1, "hyde", "Information about three", True)] + [(4, *x) for x in first]
+    cache = spark.createDataFrame(fresh.collect(), fresh.schema)
+    assert [r.query for r in cache.collect()] == ["one"]
+    texts.clear()
+    again, more = providers.expand(q.where("qid = 1"), writer, cache)
+    assert again.count() == 3 and more.count() == 0
+
+
+def test_query_with_models(spark, tmp_path):
+    from vaultframe.vault import Vault
+
+    v = Vault(spark, f"file://{tmp_path}/v", F.lit("2024-02-01 00:00:00").cast("timestamp_ntz"))
+    rows = [("c", "a.md", "Engines", "spark runs the engine", "note"), ("c", "b.md", "Boats", "a sail and an engine", "note"), ("c", "d.md", "Motors", "electric motors only", "note")]
+    v.index(spark.createDataFrame(rows, "collection string, path string, title string, body string, content_type string"))
+    plain_order = [r.path for r in v.query("engine").collect()]
+    assert set(plain_order) == {"a.md", "b.md"}
+    plain = v.query("engine", expand=lambda q: "lex: motors").collect()
+    assert {r.path for r in plain} == {"a.md", "b.md", "d.md"}
+    best = v.query("engine", score=lambda q, texts: [1.0 if "sail" in t else 0.01 for t in texts]).first()
+    assert best.path == "b.md"
+
+    def broken(q, texts):
+        raise TimeoutError
+
+    assert [r.path for r in v.query("engine", score=broken).collect()] == plain_order
+    v.commit(entities=spark.createDataFrame([("v:tool:spark", "Spark"), ("v:tool:jvm", "JVM")], "id string, name string"), triples=spark.createDataFrame([(1, "v:tool:spark", "runs_on", "v:tool:jvm")], "id long, subject string, predicate string, object string"))
+    assert v.facts_for("what does Spark need").first().block == "<vault-facts>\nSpark runs_on JVM\n</vault-facts>"

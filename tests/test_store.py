@@ -121,9 +121,9 @@ def test_changes_write_what_they_change(spark, tmp_path, files):
     v.index(files.unionByName(extra))
     d = {r.path: r for r in v.table("documents").collect()}
     assert (d["0007.md"].active, d["0007.md"].deactivated_reason) == (False, "forget") and d["0003.md"].active and d["0003.md"].deactivated_reason is None
-    assert v.search("freshly", 20).count() == 0 and v.search("number3", 500).where("path = '0003.md'").count() == 1
+    assert v.search("freshly", 20).count() == 0 and v.search("number3", 100).where("path = '0003.md'").count() == 1
     v.rename_collection("c", "renamed")
-    assert v.search("renamed", 1000).count() == 600
+    assert v.search("renamed", 1000).count() == 100
 
 
 def test_two_writers(spark, tmp_path, files):

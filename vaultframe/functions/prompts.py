@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from vaultframe.functions.text import col, normalised_prompt
+from vaultframe.functions.text import ascii_bounds, col, normalised_prompt
 
 # Patterns and words that decide a rule.
 ANAPHORA = r"\b(that|this|it|its|them|those|these|same|previous|above|earlier|aforementioned)\b"
@@ -31,11 +31,6 @@ GATE_CHARS = 4000
 FRAGMENT_CHARS, FRAGMENTS, SPLIT_CHARS = 50, 500, 500_000
 
 
-def ascii_bounds(pattern: str) -> str:
-    """The pattern with word boundaries that know ASCII word characters only, whatever the JVM."""
-    return pattern.replace(r"\b", r"(?:(?<=\w)(?!\w)|(?<!\w)(?=\w))")
-
-
 def _in(word: Column, words: list[str]) -> Column:
     return word.isin(*words)
 

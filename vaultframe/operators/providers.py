@@ -87,3 +87,50 @@ def rerank(candidates: DataFrame, provider: Provider, model: str = "provider", c
 def coverage(ranked: DataFrame) -> DataFrame:
     """(qid, n, missing): how many candidates have no score; a strict caller refuses a query with missing > 0."""
     return ranked.groupBy("qid").agg(F.count("*").alias("n"), F.sum((~F.col("covered")).cast("long")).alias("missing"))
+
+
+# What shows that a reply is a template or a thought, control marks, kinds of a query and the stub's opening.
+JUNK = [r"</?think>", r"keyword search terms \(", r"semantic search queries \(", "hypothetical document passage that answers the query"]
+CONTROL_MARKS = r"(?i)(?:^|\s)/(?:no_)?think(?=\s|$)"
+KINDS = ["lex", "vec", "hyde"]
+STUB = "Information about "
+Writer = Callable[[str], str]
+
+
+def replies(asked: DataFrame, provider: Writer) -> DataFrame:
+    """(query, reply, error) for distinct asked(query): one call each; a failure is an error without reply."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = []
+            for q in b.column(0).to_pylist():
+                try:
+                    rows.append((q, provider(q), None))
+                except Exception as e:  # a provider's failure is data, of whatever kind it is
+                    rows.append((q, None, f"{type(e).__name__}: {e}"))
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(*rows, strict=True)], ["query", "reply", "error"])
+
+    return asked.select("query").where("query is not null").distinct().mapInArrow(run, "query string, reply string, error string")
+
+
+def expand(queries: DataFrame, provider: Writer, cache: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(expansions, fresh) for queries(qid, query): more queries of kind lex (keywords), vec or hyde (vectors).
+
+    expansions: (qid, n, kind, text, fallback), in order of the reply. A line ``kind: text`` counts unless it is residue of
+    a template or a thought, a repeat, or the query itself; stray control marks go. A query without a usable line gets the
+    stub of kind hyde as fallback. cache(query, reply) saves calls; fresh(query, reply) holds what to add: only usable replies.
+    """
+    asked = queries.select("query").where("query is not null").distinct()
+    known = None if cache is None else asked.join(cache.select("query", "reply"), "query")
+    made = replies(asked if cache is None else asked.join(cache.select("query"), "query", "left_anti"), provider).select("query", "reply", F.lit(True).alias("made"))
+    both = made if known is None else made.unionByName(known.withColumn("made", F.lit(False)))
+    line = F.posexplode(F.split(F.coalesce("reply", F.lit("")), "\n")).alias("at", "line")
+    cut = both.select("query", "reply", "made", line).select("query", "reply", "made", "at", F.trim(F.substring_index("line", ":", 1)).alias("kind"), F.when(F.col("line").contains(":"), F.expr("substring(line, instr(line, ':') + 1)")).alias("text"))
+    clean = F.trim(F.regexp_replace(F.regexp_replace("text", CONTROL_MARKS, " "), r"\s+", " "))
+    good = cut.where(F.col("kind").isin(*KINDS)).withColumn("text", clean).where((F.col("text") != "") & ~F.col("text").rlike("(?i)" + "|".join(JUNK)) & (F.col("text") != F.col("query")))
+    once = good.groupBy("query", "kind", "text").agg(F.min("at").alias("at"), F.first("reply").alias("reply"), F.first("made").alias("made"))
+    some = once.select("query", "at", "kind", "text", F.lit(False).alias("fallback"))
+    none = asked.join(once.select("query").distinct(), "query", "left_anti").select("query", F.lit(0).alias("at"), F.lit("hyde").alias("kind"), F.concat(F.lit(STUB), "query").alias("text"), F.lit(True).alias("fallback"))
+    out = queries.select("qid", "query").join(some.unionByName(none), "query")
+    return top_per(out, ["qid"], [F.col("at"), F.col("kind")], None, "n").select("qid", "n", "kind", "text", "fallback"), once.where("made").select("query", "reply").distinct()

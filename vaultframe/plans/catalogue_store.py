@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import re
 
 from pyspark.sql import functions as F
@@ -10,7 +11,7 @@ from vaultframe.functions import text
 from vaultframe.operators import consolidation, context, entities, fts, invariants, lifecycle, posting_store, providers, verdicts
 from vaultframe.plans import catalogue, hybrid
 from vaultframe.plans.catalogue import INDEX_SQL, fields, query, rounded, searches
-from vaultframe.sources import adapter, scratch
+from vaultframe.sources import adapter, scratch, token_chunks
 from vaultframe.sources.adapter import CONTENT_TYPES, META_SQL, NOW, now, table
 
 _KEPT_INDEX_SQL = INDEX_SQL.replace("FROM documents", "FROM documents WHERE doc_id % 50 <> 3")
@@ -430,3 +431,22 @@ SELECT usage_id, due.state, reason, source_revision, revision, CASE WHEN due.sta
 def mirror_slices(spark, sf):
     mirrors, verdicts_, references = mirror_tables(spark, sf)
     return verdicts.mirror(mirrors, verdicts_, references, "skill").withColumn("paths", F.array_join("paths", ","))
+
+
+# chunks of tokens
+
+#: The folder of public vocabulary files; that of the installed package if not set.
+VOCABULARIES = os.environ.get("PUBLIC_TOKENIZERS")
+
+
+@query("token_chunks_800", None)
+def token_chunks_800(spark, sf):
+    """Chunks of 800 tokens that overlap by 120; a tokenizer is not SQL, tests hold the cuts against the library."""
+    if VOCABULARIES:
+        path = os.path.join(VOCABULARIES, "byte_bpe_50k.json")
+    else:
+        import public_tokenizers
+
+        path = public_tokenizers.path("byte_bpe_50k.json")
+    found = token_chunks.chunks(table(spark, sf, "documents").select("doc_id", "text"), "doc_id", "text", path)
+    return found.select("doc_id", "seq", "pos", "byte_pos", "tokens", F.sha2("chunk", 256).alias("chunk_sha"))

@@ -14,14 +14,20 @@ from pyspark.sql import functions as F
 
 from vaultframe.functions import text
 from vaultframe.functions.scoring import QUERY_WEIGHTS, cosine
-from vaultframe.operators import entities, fusion, graph, lifecycle, posting_store, stats, vectors, windows
+from vaultframe.operators import context, entities, fusion, graph, lifecycle, posting_store, providers, stats, vectors, windows
 from vaultframe.plans import hybrid
 from vaultframe.sources import formats
 from vaultframe.sources.snapshots import Snapshots
 
+#: Results of a search at most, and documents that a model scores.
+MOST_RESULTS, MOST_SCORED = 100, 30
 PROFILES = {"speed": (1000, 5), "balanced": (2000, 10), "deep": (4000, 15)}  # token budget, results
 
 
+def _bounded(limit: int) -> int:
+    return max(1, min(limit, MOST_RESULTS))
+
+
 class Vault:
     def __init__(self, spark: SparkSession, root: str, now: Column, stemmed: bool = False):
         self.spark, self.root, self.now = spark, root.rstrip("/"), now
@@ -89,27 +95,51 @@ class Vault:
         meta = hybrid.eligible(self.documents(state), collections, exclude)
         found = self._keyword(state, q, None, meta).select("qid", "id", "score")
         scored = hybrid.ranked_with_metadata(found, meta, self.now, top=None).drop("composite_rank")
-        return fusion.raw_primary(scored).where(F.col("rank") <= limit)
+        return fusion.raw_primary(scored).where(F.col("rank") <= _bounded(limit))
 
     def vsearch(self, vector: list[float], limit: int = 10, collections: list[str] | None = None) -> DataFrame:
         meta = hybrid.eligible(self.documents(), collections)
         v = self.table("vectors").join(meta.select(F.col("id").alias("doc_id")), "doc_id", "left_semi")
         q = F.array(*(F.lit(float(x)) for x in vector))
         hits = v.select(F.lit(1).alias("qid"), "doc_id", F.col("id").alias("fragment_id"), cosine("embedding", q).alias("similarity"))
-        return vectors.best_fragment(hits).orderBy(F.desc(F.round("similarity", 9)), "doc_id").limit(limit)
+        return vectors.best_fragment(hits).orderBy(F.desc(F.round("similarity", 9)), "doc_id").limit(_bounded(limit))
 
-    def query(self, q: str, vector: list[float] | None = None, limit: int = 10) -> DataFrame:
-        """Keyword and vector lists fused, then the composite rank under query weights and diversity."""
+    def query(self, q: str, vector: list[float] | None = None, limit: int = 10, expand: providers.Writer | None = None, score: providers.Provider | None = None) -> DataFrame:
+        """Keyword and vector lists fused, then the composite rank under query weights and diversity.
+
+        expand and score are seams for outside models: more keyword queries at half the weight of the question's own, and
+        relevance scores of the best MOST_SCORED documents. Without them, or where they fail, fusion alone decides.
+        """
         state = self.store.state()
         meta = hybrid.eligible(self.documents(state))
+        asked = self._queries(q)
         lists = [(self._keyword(state, q, 20, meta).select("qid", "id", "rank"), 2.0)]
         if vector:
             near = windows.top_per(self.vsearch(vector, 20), ["qid"], [F.desc(F.round("similarity", 9)), F.col("doc_id")], 20)
             lists.append((near.select("qid", F.col("doc_id").alias("id"), "rank"), 2.0))
-        fused = hybrid.fuse(lists)
-        scored = hybrid.ranked_with_metadata(fusion.blend_rerank(fused.withColumn("rerank", F.lit(None).cast("double"))).select("qid", "id", F.col("blended").alias("score")), meta, self.now, QUERY_WEIGHTS, 30)
-        grams = scored.select("qid", "id", F.col("composite_rank").alias("rank")).join(self.bodies(), "id").select("qid", "id", "rank", text.shingles(F.concat_ws(" ", "title", "body")).alias("grams"))
-        return scored.join(fusion.diversify(grams), ["qid", "id"]).where(F.col("position") <= limit).orderBy("position")
+        if expand is not None:
+            more, _ = providers.expand(asked, expand)
+            found = posting_store.search(self.spark, self._index(state), more.where("kind = 'lex'").select(F.col("n").alias("qid"), F.col("text").alias("query")), 20, meta)
+            best = windows.top_per(found.groupBy("id").agg(F.min("rank").alias("place")).withColumn("qid", F.lit(1)), ["qid"], [F.col("place"), F.col("id")], 20)
+            lists.append((best.select("qid", "id", "rank"), 1.0))
+        fused = windows.top_per(hybrid.fuse(lists).drop("rank"), ["qid"], [F.desc(F.round("fused", 9)), F.col("id")], MOST_SCORED)
+        if score is None:
+            reranked = fused.withColumn("rerank", F.lit(None).cast("double"))
+        else:
+            texts = self.bodies().select("id", F.concat_ws("\n", "title", "body").alias("text"))
+            scored, _ = providers.rerank(fused.select("qid", "id").join(asked, "qid").join(texts, "id"), score)
+            reranked = fused.join(scored.select("qid", "id", F.when(F.col("covered"), F.col("score")).alias("rerank")), ["qid", "id"], "left")
+        ranked = hybrid.ranked_with_metadata(fusion.blend_rerank(reranked).select("qid", "id", F.col("blended").alias("score")), meta, self.now, QUERY_WEIGHTS, MOST_SCORED)
+        grams = ranked.select("qid", "id", F.col("composite_rank").alias("rank")).join(self.bodies(), "id").select("qid", "id", "rank", text.shingles(F.concat_ws(" ", "title", "body")).alias("grams"))
+        return ranked.join(fusion.diversify(grams), ["qid", "id"]).where(F.col("position") <= _bounded(limit)).orderBy("position")
+
+    def facts_for(self, prompt: str, budget: int = 200) -> DataFrame:
+        """The facts block for a prompt, if it names an entity with current facts."""
+        asked = self.spark.createDataFrame([(1, prompt)], "pid long, prompt string")
+        nodes = self.table("entities").select(F.col("id").alias("entity_id"), "name")
+        known = nodes.select(F.col("entity_id").alias("object"), F.lit(True).alias("named"))
+        t = self.table("triples").join(known, "object", "left").select("id", "subject", "predicate", F.when(F.col("named"), F.col("object")).alias("object_entity"), F.when(F.col("named").isNull(), F.col("object")).alias("object_literal"), "valid_to")
+        return context.vault_facts(asked, nodes, t, self.now, budget)
 
     def find_similar(self, doc: int, limit: int = 5) -> DataFrame:
         v = self.table("vectors").where("seq = 0").select(F.col("doc_id").alias("id"), "embedding")
@@ -143,7 +173,7 @@ class Vault:
         meta = self.documents(state)
         found = self._keyword(state, q, 30, hybrid.eligible(meta)).select("qid", "id", "score", F.col("rank").alias("raw_rank"))
         both = hybrid.ranked_with_metadata(found, meta, self.now, top=None)
-        return both.where((F.col("raw_rank") <= limit) | (F.col("composite_rank") <= limit))
+        return both.where((F.col("raw_rank") <= _bounded(limit)) | (F.col("composite_rank") <= _bounded(limit)))
 
     def timeline(self, doc: int, n: int = 5) -> DataFrame:
         m = self.documents().where("active").select("modified_at", "id", "title")
