@@ -172,7 +172,7 @@ def test_guards(spark):
     df = openings(spark, catalogue_extra.ATTACKS).select("prompt", guards.injection("prompt").alias("i"), guards.placeholder("prompt").alias("placeholder")).select("prompt", "i.*", "placeholder")
     got = {r.prompt: r.asDict() for r in df.collect()}
     found = rows(spark, "injection_guard")
-    assert len(found) > 100 and {r["detector"] for r in found} >= {"legacy_pattern", "instruction_override", "homoglyph"}
+    assert len(found) == spark.read.parquet(f"{SF}/conversations.parquet").where("role = 'user'").count() and {r["detector"] for r in found} >= {"legacy_pattern", "instruction_override", "homoglyph"}
     want = ["legacy_pattern", "role_injection", "instruction_override", "delimiter_injection", "unicode_obfuscation", "homoglyph", "normalization", None]
     assert [got[a]["detector"] for a in catalogue_extra.ATTACKS[:8]] == want
     assert got[""]["placeholder"]

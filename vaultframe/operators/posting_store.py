@@ -135,27 +135,16 @@ def _merged(spark: SparkSession, root: str, state: dict) -> dict:
     return state | {"deleted": [d for d in state["deleted"] if d["run"] > oldest]}
 
 
-def starting_with(terms: DataFrame, words: list[str]) -> DataFrame:
-    """Rows whose term starts with one of the words; the scan skips row groups by it."""
-    test = F.lit(False)
-    for w in words:
-        test = test | F.startswith("term", F.lit(w))
-    return terms.where(test)
-
-
-def search(spark: SparkSession, state: dict, queries: DataFrame, top: int | None = 20, eligible: DataFrame | None = None, most_words: int = 200) -> DataFrame:
+def search(spark: SparkSession, state: dict, queries: DataFrame, top: int | None = 20, eligible: DataFrame | None = None) -> DataFrame:
     """BM25 like ``fts.bm25`` from the stored index alone, for queries(qid, query).
 
-    Up to ``most_words`` distinct query words also prune the scan; with more, the join alone picks the postings.
+    Few query words also prune the scan (``fts.meet`` tests terms as they are read); with more, the join picks the postings.
     """
     words = fts.query_words(queries)
     if state["stemmed"]:
         words = words.withColumn("word", stems("word")).distinct()
-    few = [r["word"] for r in words.select("word").distinct().limit(most_words + 1).collect()]
-    index = postings(spark, state, None)
-    if len(few) <= most_words:
-        parts = [starting_with(spark.read.schema(SEGMENT).parquet(f"{s['path']}/postings"), few).withColumn("run", F.lit(s["run"])) for s in state["segments"]]
-        index = _shown(_union(spark, parts, SEGMENT + ", run int"), spark, state).drop("run")
-    hits = fts.meet(index, words).groupBy("qid", "word", "id", "dl").agg(F.sum("wtf").alias("f"))
+    parts = [spark.read.schema(SEGMENT).parquet(f"{s['path']}/postings").withColumn("run", F.lit(s["run"])) for s in state["segments"]]
+    met = fts.meet(_union(spark, parts, SEGMENT + ", run int"), words)
+    hits = _shown(met, spark, state).groupBy("qid", "word", "id", "dl").agg(F.sum("wtf").alias("f"))
     corpus = spark.createDataFrame([(state["docs"], state["tokens"] / max(state["docs"], 1))], "n_docs long, avgdl double")
     return fts.rank(hits, words, corpus, top, eligible)
