@@ -51,9 +51,10 @@ def surface(prompts: DataFrame, docs: DataFrame, meta: DataFrame, now: Column, m
         ok = ok.where(~F.col("path").contains(part))
     index = fts.postings(docs)
     words = lambda df, lane: df.select("pid", F.lit(lane).alias("lane"), F.explode(F.filter(F.array_distinct(text.tokens("prompt")), lambda w: F.length(w) > 2)).alias("word"))
-    all_words = words(asked, "current").unionByName(words(prior_prompts(asked, prompts), "prior")).withColumn("qid", F.concat_ws("/", F.col("pid").cast("string"), "lane", "word"))
-    hits = fts.bm25(index, all_words.select("qid", F.col("word").alias("query")).distinct(), 10, ok)
-    lanes = hits.join(all_words.select("qid", "pid", "lane"), "qid").select(F.col("pid").alias("qid"), "lane", F.when(F.col("lane") == "current", LANES["current"]).otherwise(LANES["prior"]).alias("weight"), (F.col("lane") == "current").alias("is_current"), "id", "rank", "score")
+    all_words = words(asked, "current").unionByName(words(prior_prompts(asked, prompts), "prior"))
+    # a word's list is the same for all prompts that have it
+    hits = fts.bm25(index, all_words.select(F.col("word").alias("qid"), F.col("word").alias("query")).distinct(), 10, ok).withColumnRenamed("qid", "word")
+    lanes = hits.join(all_words.select("word", "pid", "lane"), "word").select(F.col("pid").alias("qid"), "lane", F.when(F.col("lane") == "current", LANES["current"]).otherwise(LANES["prior"]).alias("weight"), (F.col("lane") == "current").alias("is_current"), "id", "rank", "score")
     pool = fusion.select_pool(lanes, max_results)
     best = lanes.groupBy("qid", "id").agg(F.max("score").alias("score"))
     scored = composite(pool.join(best, ["qid", "id"]).join(ok, "id").withColumn("quality_score", F.lit(0.5)), now)
