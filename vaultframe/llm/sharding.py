@@ -7,15 +7,19 @@ higher tier; so each row is rewritten about once per tier. Every change is a new
 ``_manifest/v<n>.json`` that lists all live shards with their schema, written aside and then renamed; a rename
 onto an existing version fails, so of two writers one has to start over. Readers use one version
 and never see half a change. Files that a version dropped stay for ``retain`` seconds after that,
-so that readers of the version before can finish; ``vacuum`` then deletes them, and files that no
+so that readers of the version before can finish; the manifest lists them, so a commit deletes what is due without
+listing a folder or reading another manifest. ``vacuum``, on request, also lists the folders and deletes files that no
 version names once they are older than ``orphan`` seconds (of writers that failed).
 
 Cases: an empty arrival commits a version without a shard; a table of which no version has a shard
 is read as an empty frame with the columns it was given. Repeated rows are kept as they are.
-All columns are stored. Arrivals may differ in columns: a table has all of them, null where an
-arrival lacks one; a column with several types is read and merged as the wider number, or as a
-string. ``read`` puts its own shard, shard_bytes and tier in place of columns of these names. A
-table without any version can't be read.
+All columns are stored. Arrivals may differ in columns: the manifest has the table's columns, null where an
+arrival lacks one. Names that differ in case only are one column, named as it was first seen; an arrival that has two
+such names itself is refused. A column of several types is read and merged as the narrowest type that
+holds each value exactly: the wider number, or a string for types whose strings read back (so longs next to doubles are
+strings; a number already merged with wider ones prints like those). Other mixes (nested types, binary, times) are refused.
+What is refused raises ValueError before anything is written or committed. ``read`` puts its own
+shard, shard_bytes and tier in place of columns of these names. A table without any version can't be read.
 """
 
 from __future__ import annotations
@@ -38,23 +42,39 @@ TARGET_BYTES = 128 << 20
 #: Seconds that dropped files stay for readers, and that unnamed files stay for writers.
 RETAIN = 24 * 3600
 ORPHAN = 24 * 3600
-#: Whole numbers, then binary fractions: each reads as any later one.
-_WIDER = [T.ByteType(), T.ShortType(), T.IntegerType(), T.LongType(), T.FloatType(), T.DoubleType()]
+#: Bits of each number type that whole numbers may fill without loss; longs fit no binary fraction.
+_WHOLE = {T.ByteType(): 8, T.ShortType(): 16, T.IntegerType(): 32, T.LongType(): 64}
+_FRACTION = {T.FloatType(): 24, T.DoubleType(): 53}
+#: Types whose strings read back as the same value.
+_PRINTED = (T.StringType, T.BooleanType, T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType, T.DecimalType, T.DateType)
+
+
+def common_type(name: str, a: T.DataType, b: T.DataType) -> T.DataType:
+    """The narrowest type that holds each value of both exactly."""
+    if a == b:
+        return a
+    if a in _WHOLE and b in _WHOLE:
+        return max(a, b, key=_WHOLE.__getitem__)
+    numbers = _WHOLE | _FRACTION
+    if a in numbers and b in numbers:
+        for fraction, bits in _FRACTION.items():
+            if all(numbers[t] <= bits for t in (a, b)):
+                return fraction
+    if isinstance(a, _PRINTED) and isinstance(b, _PRINTED):
+        return T.StringType()
+    raise ValueError(f"column {name} has types {a.simpleString()} and {b.simpleString()}, which have no common type")
 
 
 def common_schema(schemas: list[T.StructType]) -> T.StructType:
-    """All columns in order of first sight, each nullable and of a type that holds every schema's."""
-    types: dict[str, T.DataType] = {}
-    for f in (f for s in schemas for f in s):
-        have = types.get(f.name, f.dataType)
-        if have == f.dataType:
-            types[f.name] = have
-        elif have in _WIDER and f.dataType in _WIDER:
-            wider = max(have, f.dataType, key=_WIDER.index)
-            types[f.name] = T.DoubleType() if wider == T.FloatType() else wider
-        else:
-            types[f.name] = T.StringType()
-    return T.StructType([T.StructField(n, t) for n, t in types.items()])
+    """All columns in order of first sight, each nullable and of a type that holds every schema's. Case doesn't tell names apart."""
+    out: dict[str, T.StructField] = {}
+    for s in schemas:
+        if len({f.name.lower() for f in s}) < len(s):
+            raise ValueError(f"columns that differ in case only: {', '.join(s.names)}")
+        for f in s:
+            have = out.get(f.name.lower(), f)
+            out[f.name.lower()] = T.StructField(have.name, common_type(have.name, have.dataType, f.dataType))
+    return T.StructType(list(out.values()))
 
 
 def _nullable(schema: T.StructType) -> T.StructType:
@@ -89,20 +109,41 @@ class ShardedTable:
         finally:
             stream.close()
 
-    def commit(self, runs: list[dict], base: int) -> int:
-        """Makes ``runs`` version base + 1; fails if that version is there already."""
-        version = base + 1
+    def commit(self, runs: list[dict], base: dict, schema: T.StructType | None = None) -> int:
+        """Makes ``runs`` the version after the manifest ``base``; fails if that version is there already.
+
+        Then deletes what is due: files that earlier versions dropped, and manifests that were replaced, ``retain``
+        seconds ago. What a commit couldn't delete the next one does.
+        """
+        version, now = base["version"] + 1, time.time()
+        live = {f["path"] for r in runs for f in r["shards"]}
+        waiting = lambda kind: [x for x in base.get(kind, []) if now - x["at"] < self.retain]
+        self._delete_due(base, now)
+        dropped = waiting("dropped") + [{"path": f["path"], "at": now} for r in base["runs"] for f in r["shards"] if f["path"] not in live]
+        replaced = waiting("replaced") + [{"version": base["version"], "at": now}] * (base["version"] > 0)
+        columns = json.loads(_nullable(schema or self._schema(base)).json())
+        manifest = {"version": version, "at": now, "schema": columns, "runs": runs, "dropped": dropped, "replaced": replaced}
         aside = self.path(f"{self.root}/_aside/{uuid.uuid4().hex}.json")
         out = self.fs.create(aside)
-        out.write(bytearray(json.dumps({"version": version, "at": time.time(), "runs": runs}).encode()))
+        out.write(bytearray(json.dumps(manifest).encode()))
         out.close()
         final = self.path(f"{self.root}/_manifest/v{version:08d}.json")
         self.fs.mkdirs(final.getParent())
         context = self.jvm.org.apache.hadoop.fs.FileContext.getFileContext(self.fs.getUri(), self.spark.sparkContext._jsc.hadoopConfiguration())
         options = self.spark.sparkContext._gateway.new_array(self.jvm.org.apache.hadoop.fs.Options.Rename, 0)
         context.rename(aside, final, options)  # throws if it exists
+        self._delete_due(manifest, time.time())
         return version
 
+    def _delete_due(self, manifest: dict, now: float) -> None:
+        """Deletes the files and versions of a committed manifest's lists that need not be kept any longer."""
+        for x in manifest.get("dropped", []):
+            if now - x["at"] >= self.retain:
+                self.fs.delete(self.path(x["path"]), False)
+        for x in manifest.get("replaced", []):
+            if now - x["at"] >= self.retain:
+                self.fs.delete(self.path(f"{self.root}/_manifest/v{x['version']:08d}.json"), False)
+
     # runs
 
     def _files(self, folder: str) -> list[dict]:
@@ -123,21 +164,23 @@ class ShardedTable:
     def append(self, df: DataFrame) -> int:
         """One arrival: written once, committed as one run."""
         name = uuid.uuid4().hex
+        self._widened(self.manifest(), df.schema)
         df.write.parquet(f"{self.root}/data/{name}")
         at = self.manifest()
-        return self.commit([*at["runs"], self._run(name, self._files(f"{self.root}/data/{name}"), df.schema)], at["version"])
+        run = self._run(name, self._files(f"{self.root}/data/{name}"), df.schema)
+        return self.commit([*at["runs"], run], at, self._widened(at, df.schema))
 
     def append_all(self, df: DataFrame, arrival: str, compact: bool = True) -> int:
         """Many arrivals, told apart by a column: written in one pass, committed one after another."""
-        name = uuid.uuid4().hex
+        name, schema = uuid.uuid4().hex, df.drop(arrival).schema
+        self._widened(self.manifest(), schema)
         df.write.partitionBy(arrival).parquet(f"{self.root}/data/{name}")
         groups: dict[str, list[dict]] = {}
         for f in self._files(f"{self.root}/data/{name}"):
             groups.setdefault(f["path"].rpartition("/")[0].rpartition("/")[2], []).append(f)
-        schema = df.drop(arrival).schema
         for k in sorted(groups, key=lambda k: (len(k), k)) or [None]:  # no rows: a version that knows the columns
             at = self.manifest()
-            version = self.commit([*at["runs"], self._run(f"{name}-{k}", groups.get(k, []), schema)], at["version"])
+            version = self.commit([*at["runs"], self._run(f"{name}-{k}", groups.get(k, []), schema)], at, self._widened(at, schema))
             if compact:
                 version = self.compact()
         return version
@@ -155,21 +198,25 @@ class ShardedTable:
             old = tiers[full[0]]
             name = uuid.uuid4().hex
             size = sum(r["bytes"] for r in old)
-            rows = self._rows(old)
+            whole = self._schema(at)
+            rows = self._rows(old, whole)
             if rows is not None:
                 rows.coalesce(max(1, math.ceil(size / self.target))).write.parquet(f"{self.root}/data/{name}")
-            merged = self._run(name, [] if rows is None else self._files(f"{self.root}/data/{name}"), self._schema(old))
+            merged = self._run(name, [] if rows is None else self._files(f"{self.root}/data/{name}"), whole)
             merged["tier"] = max(merged["tier"], full[0] + 1)  # packing better than before must not merge again
             gone = {r["name"] for r in old}
-            self.commit([*(r for r in at["runs"] if r["name"] not in gone), merged], at["version"])
-            self.vacuum()
+            self.commit([*(r for r in at["runs"] if r["name"] not in gone), merged], at, whole)
+
+    def _schema(self, manifest: dict) -> T.StructType:
+        return T.StructType.fromJson(manifest["schema"]) if "schema" in manifest else T.StructType()
 
-    def _schema(self, runs: list[dict]) -> T.StructType:
-        return common_schema([T.StructType.fromJson(r["schema"]) for r in runs])
+    def _widened(self, manifest: dict, schema: T.StructType) -> T.StructType:
+        """The table's columns with an arrival of this schema; ValueError if it doesn't fit."""
+        return common_schema([self._schema(manifest), schema])
 
-    def _rows(self, runs: list[dict], at: str | None = None) -> DataFrame | None:
-        """The runs' rows in their common columns; ``at`` names a column for the file's path below data."""
-        whole, groups = self._schema(runs), {}
+    def _rows(self, runs: list[dict], whole: T.StructType, at: str | None = None) -> DataFrame | None:
+        """The runs' rows in the table's columns; ``at`` names a column for the file's path below data."""
+        groups: dict[str, tuple[dict, list[str]]] = {}
         for r in runs:
             if r["shards"]:
                 groups.setdefault(json.dumps(r["schema"]), (r["schema"], []))[1].extend(f["path"] for f in r["shards"])
@@ -178,22 +225,16 @@ class ShardedTable:
             own = T.StructType.fromJson(schema)
             part = self.spark.read.schema(own).parquet(*paths)
             path = [F.element_at(F.split("_metadata.file_path", "/data/"), -1).alias(at)] if at else []
-            part = part.select(*((F.col(f"`{f.name}`") if f.name in own.names else F.lit(None)).cast(f.dataType).alias(f.name) for f in whole), *path)
+            name = {n.lower(): n for n in own.names}
+            part = part.select(*((F.col(f"`{name[f.name.lower()]}`") if f.name.lower() in name else F.lit(None)).cast(f.dataType).alias(f.name) for f in whole), *path)
             out = part if out is None else out.unionByName(part)
         return out
 
     def vacuum(self) -> None:
-        """Deletes versions that were replaced more than ``retain`` seconds ago, files that no other
-        version names, and files older than ``orphan`` seconds that none names."""
-        versions, now = self.versions(), time.time()
-        manifests = {v: self.manifest(v) for v in versions}
-        gone = [v for v, after in zip(versions, versions[1:], strict=False) if now - manifests[after]["at"] >= self.retain]
-        named = lambda vs: {f["path"] for v in vs for r in manifests[v]["runs"] for f in r["shards"]}
-        live = named(v for v in versions if v not in gone)
-        for path in named(gone) - live:
-            self.fs.delete(self.path(path), False)
-        for v in gone:
-            self.fs.delete(self.path(f"{self.root}/_manifest/v{v:08d}.json"), False)
+        """Deletes what is due by the newest manifest, and files older than ``orphan`` seconds that no version names."""
+        manifest, now = self.manifest(), time.time()
+        self._delete_due(manifest, now)
+        live = {f["path"] for r in manifest["runs"] for f in r["shards"]} | {x["path"] for x in manifest.get("dropped", []) if now - x["at"] < self.retain}
         for folder in ("data", "_aside"):
             if not self.fs.exists(self.path(f"{self.root}/{folder}")):
                 continue
@@ -211,9 +252,9 @@ class ShardedTable:
         runs = manifest["runs"]
         shards = sorted(({"path": f["path"], "shard_bytes": f["bytes"], "tier": r["tier"]} for r in runs for f in r["shards"]), key=lambda s: s["path"])
         table = self.spark.createDataFrame([(s["path"].rpartition("/data/")[2], i, s["shard_bytes"], s["tier"]) for i, s in enumerate(shards)], "__at string, shard int, shard_bytes long, tier int")
-        rows = self._rows(runs, "__at")
+        rows = self._rows(runs, self._schema(manifest), "__at")
         if rows is None:
-            rows = self.spark.createDataFrame([], self._schema(runs).add("__at", "string"))
+            rows = self.spark.createDataFrame([], self._schema(manifest).add("__at", "string"))
         return rows.drop("shard", "shard_bytes", "tier").join(F.broadcast(table) if len(shards) < 100_000 else table, "__at").drop("__at")
 
 
