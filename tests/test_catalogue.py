@@ -7,11 +7,11 @@ from collections import Counter, defaultdict
 import duckdb
 import pytest
 
-from vaultframe.plans import catalogue, catalogue_extra, catalogue_lanes, catalogue_more, catalogue_store
+from vaultframe.plans import catalogue, catalogue_depth, catalogue_extra, catalogue_lanes, catalogue_more, catalogue_store
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-assert catalogue_more.query is catalogue_extra.query is catalogue_lanes.query is catalogue_store.query is catalogue.query
+assert catalogue_depth.query is catalogue_more.query is catalogue_extra.query is catalogue_lanes.query is catalogue_store.query is catalogue.query
 
 
 @pytest.fixture(scope="module")
