@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from vaultframe.functions.text import tokens
+from vaultframe.functions.text import let, tokens
 from vaultframe.operators.windows import top_per
 
 
@@ -30,29 +29,49 @@ def uncovered(docs: DataFrame, contexts: DataFrame) -> DataFrame:
     return tops.join(covered.distinct(), ["collection", "top"], "left_anti").join(whole.distinct(), "collection", "left_anti")
 
 
-def proximity(found: DataFrame, bodies: DataFrame, words: list[str]) -> DataFrame:
-    """Adds proximity class 0 (adjacent in order), 1 (all words within their number + 4 places) or 2, and the stable rank.
+#: Places that a window of all words may have beyond their number.
+PROXIMITY_SLACK = 4
 
-    Positions are read from the found documents only.
+
+def _constraints(query: Column) -> Column:
+    """The query's distinct words in order, without those that another one starts with."""
+    return let(F.array_distinct(tokens(query)), lambda ws: F.filter(ws, lambda w: ~F.exists(ws, lambda o: (o != w) & F.startswith(o, w))))
+
+
+def _proximity_class(words: Column, wanted: Column) -> Column:
+    """0: words that start with the wanted ones follow each other somewhere; 1: all lie in a small window; else 2."""
+    n = F.size(wanted)
+    starts = F.sequence(F.lit(0), F.size(words) - n)
+    adjacent = F.exists(starts, lambda p: F.forall(F.sequence(F.lit(0), n - 1), lambda i: F.startswith(F.get(words, p + i), F.get(wanted, i))))
+    which = lambda w: F.array_max(F.transform(wanted, lambda s, i: F.when(F.startswith(w, s), i).otherwise(-1)))
+    spots = F.filter(F.transform(words, lambda w, pos: F.struct(pos.alias("pos"), which(w).alias("i"))), lambda m: m["i"] >= 0)
+    far = F.lit(2**31 - 1)
+
+    def step(state: Column, m: Column) -> Column:
+        last = F.transform(state["last"], lambda x, j: F.when(j == m["i"], m["pos"]).otherwise(x))
+        return let(last, lambda at: F.struct(at.alias("last"), F.when(F.array_min(at) < 0, state["best"]).otherwise(F.least(state["best"], m["pos"] - F.array_min(at) + 1)).alias("best")))
+
+    span = F.aggregate(spots, F.struct(F.transform(wanted, lambda _: F.lit(-1)).alias("last"), far.alias("best")), step)["best"]
+    near = let(span, lambda best: (best < far) & (best <= n + PROXIMITY_SLACK))
+    return F.when(F.coalesce(F.size(words), F.lit(0)) < n, 2).when(adjacent, 0).when(near, 1).otherwise(2)
+
+
+def proximity_rank(found: DataFrame, docs: DataFrame, queries: DataFrame) -> DataFrame:
+    """found(qid, id, rank) with class, field and place: for queries(qid, query) rows of class 0 come first, then 1, then 2,
+    each in the order of rank.
+
+    A class is the best of the fields path, title and body of docs(id, path, title, body); field is the first that has it, null for
+    class 2. A word stands for all words that start with it. Queries of one word (of those that no other word of it
+    starts with) and lists of one row keep their order, with null as class. Only texts that were found are read.
     """
-    w = [x.lower() for x in words]
-    spots = found.select("id").join(bodies.select("id", "body"), "id").select("id", F.posexplode(tokens("body")).alias("pos", "t")).where(F.col("t").isin(*w))
-
-    def nearest(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = pdf.sort_values("pos")
-        last: dict[str, int] = {}
-        best, chain = 10**9, False
-        seen = {(p, t) for p, t in zip(rows["pos"], rows["t"], strict=True)}
-        for p, t in zip(rows["pos"], rows["t"], strict=True):
-            last[t] = p
-            if len(last) == len(set(w)):
-                best = min(best, p - min(last.values()) + 1)
-            chain = chain or (t == w[0] and all((p + k, x) in seen for k, x in enumerate(w)))
-        return pd.DataFrame({"id": [pdf["id"].iloc[0]], "class": [0 if chain else 1 if best <= len(w) + 4 else 2]})
-
-    classes = spots.groupBy("id").applyInPandas(nearest, "id long, class int")
-    out = found.join(classes, "id", "left").withColumn("class", F.coalesce("class", F.lit(2)))
-    return top_per(out.withColumnRenamed("rank", "before"), ["qid"], [F.col("class"), F.col("before")], None)
+    listed = found.groupBy("qid").agg(F.count("*").alias("n")).where("n > 1")
+    asked = queries.select("qid", _constraints(F.col("query")).alias("wanted")).where(F.size("wanted") > 1).join(listed.select("qid"), "qid", "left_semi")
+    cut = docs.join(found.select("id").distinct(), "id", "left_semi").select("id", *(tokens(c).alias(c) for c in ("path", "title", "body")))
+    both = found.select("qid", "id").join(asked, "qid").join(cut, "id")
+    fields = F.array(*(F.struct(_proximity_class(F.col(c), F.col("wanted")).alias("class"), F.lit(i).alias("at"), F.lit(c).alias("field")) for i, c in enumerate(("path", "title", "body"))))
+    best = both.select("qid", "id", F.array_min(fields).alias("best"))
+    classed = found.join(best.select("qid", "id", F.col("best.class").alias("class"), F.when(F.col("best.class") < 2, F.col("best.field")).alias("field")), ["qid", "id"], "left")
+    return top_per(classed, ["qid"], [F.coalesce("class", F.lit(2)), F.col("rank"), F.col("id")], None, "place")
 
 
 # Shapes of canonical ids and of proper nouns, characters that cut words, caps, and the block's ends.
