@@ -5,7 +5,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from vaultframe.operators import context, entities
+from vaultframe.operators import context, entities, fusion
 from vaultframe.plans import cascade
 
 NODE = "entity_id string, name string, entity_type string, seq long"
@@ -155,3 +155,17 @@ def test_close_words_come_first(spark):
     for q in (2, 3, 4):
         assert got[q] == [(i, None, None) for i in range(1, 7)]
     assert got[5] == [(3, None, None)]
+
+
+def test_topics_and_partners_change_scores(spark):
+    rows = [(1, 1, "Red plan", "p", "x"), (1, 2, None, "red/PLAN", None), (1, 3, "red", "p", "y" * 800 + "plan"), (2, 1, "Red plan", "p", ""), (3, 1, "a", "p", ""), (4, 1, "Red", "p", "")]
+    df = spark.createDataFrame(rows, "qid int, id long, title string, path string, body string").withColumn("score", F.lit(1.0))
+    topics = spark.createDataFrame([(1, " RED  plan a"), (2, "none such"), (3, "a"), (5, "red")], "qid int, topic string")
+    got = {(r.qid, r.id): r.boosted for r in fusion.topic_boost(df, topics).collect()}
+    assert got == {(1, 1): 1.4, (1, 2): 1.4, (1, 3): 0.75, (2, 1): 1.0, (3, 1): 1.0, (4, 1): 1.0}
+    assert {r.boosted for r in fusion.topic_boost(df, topics, demote=0.1).where("qid = 1").collect()} == {1.4, 0.5}
+    ranked = spark.createDataFrame([(1, i, i, 1.0) for i in range(1, 9)] + [(2, 5, 1, 1.0)], "qid int, id long, input_rank int, composite double")
+    pairs = spark.createDataFrame([(1, 2, 50), (1, 3, 1), (1, 5, 1), (4, 2, 9), (2, 5, 1), (1, 6, 1), (1, 7, 1), (1, 8, 1)], "a long, b long, n long")
+    got = {(r.qid, r.id): round(r.composite, 6) for r in fusion.co_activation_boost(ranked, pairs).collect()}
+    # 1 and 2 lead; 1 knows 2, 3, 5, 6, 7 best, 2 knows 1, 4, 5
+    assert got == {(1, 1): 1.0, (1, 2): 1.0, (1, 3): 1.1, (1, 4): 1.15, (1, 5): 1.15, (1, 6): 1.1, (1, 7): 1.1, (1, 8): 1.0, (2, 5): 1.0}

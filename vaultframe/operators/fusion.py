@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from vaultframe.functions.text import jaccard
+from vaultframe.functions.text import jaccard, let
 from vaultframe.operators.windows import top_per
 
 
@@ -65,13 +65,22 @@ def tier(score: Column) -> Column:
     return F.when(score > 0.8, "HOT").when(score > 0.6, "WARM").otherwise("COLD")
 
 
-def topic_boost(df: DataFrame, topic_words: list[str], boost: float = 1.4, demote: float = 0.75, floor: float = 0.5) -> DataFrame:
-    """Scores of rows with all topic words rise, others fall; nothing changes if no row has them."""
-    hit = F.lit(True)
-    for w in topic_words:
-        hit = hit & F.lower("body").contains(w.lower())
-    found = F.bool_or(hit).over(Window.partitionBy("qid"))
-    return df.withColumn("boosted", F.when(~found, F.col("score")).when(hit, F.col("score") * boost).otherwise(F.col("score") * max(demote, floor)))
+# Fixed value: characters of a body that a topic is looked for in.
+TOPIC_CHARS = 800
+
+
+def topic_boost(df: DataFrame, topics: DataFrame, boost: float = 1.4, demote: float = 0.75, floor: float = 0.5) -> DataFrame:
+    """Adds ``boosted`` to df(qid, title, path, body, score): with a topic of topics(qid, topic), scores of rows that have all its words rise and others fall.
+
+    Words are parts of the title, the path or the body's start, in any case; words of one character don't count. Nothing
+    changes for a query without a topic, without such words, or without a row that has them.
+    """
+    words = F.filter(F.split(F.lower("topic"), r"\s+"), lambda w: F.length(w) >= 2)
+    asked = topics.select("qid", words.alias("__words")).where(F.size("__words") > 0)
+    shown = F.lower(F.concat_ws(" ", *(F.coalesce(c, F.lit("")) for c in (F.col("title"), F.col("path"), F.substring("body", 1, TOPIC_CHARS)))))
+    marked = df.join(asked, "qid", "left").withColumn("__hit", let(shown, lambda text: F.forall("__words", lambda w: F.contains(text, w))))
+    found = F.coalesce(F.bool_or("__hit").over(Window.partitionBy("qid")), F.lit(False))
+    return marked.withColumn("boosted", F.when(~found, F.col("score")).when(F.col("__hit"), F.col("score") * boost).otherwise(F.col("score") * max(demote, floor))).drop("__words", "__hit")
 
 
 def co_activation_boost(ranked: DataFrame, pairs: DataFrame) -> DataFrame:
