@@ -7,7 +7,8 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from vaultframe.operators import fts
+from vaultframe.functions import text
+from vaultframe.operators import fts, lifecycle
 
 
 def plan(df) -> str:
@@ -28,3 +29,25 @@ def test_few_query_words_go_to_the_postings(no_broadcast):
     assert "SortMergeJoin" not in plan(met)  # all of a common word's postings in one task
     # an aggregate behind it is dealt out by document too
     assert "hashpartitioning(qid" in plan(met.groupBy("qid", "word", "id").agg(F.sum("wtf")))
+
+
+def test_merge_gate_counts_trigrams_of_long_texts(spark):
+    rng = random.Random(1)
+    long = " ".join(rng.choice(["Alpha", "beta", "gamma", "delta-9"]) + str(rng.randrange(50)) for _ in range(12_000))
+    rows = [(1, long, long), (2, long, long[: len(long) // 2]), (3, "", long), (4, "ab", "ab"), (5, None, "x"), (6, "a  É b", "A b")]
+    d = spark.createDataFrame(rows, "id int, a_text string, b_text string")
+    got = {r.id: r.similarity for r in lifecycle.merge_gate(d).collect()}  # a pass per distinct trigram did not end
+
+    def plain(x, y):
+        import collections
+        import re
+
+        cut = lambda s: re.sub(r"\s+", " ", re.sub("[^a-z0-9 ]+", " ", s.lower())).strip()
+        grams = lambda s: collections.Counter(s[i : i + 3] for i in range(max(len(s) - 2, 1))) if s else {}
+        a, b = grams(cut(x)), grams(cut(y))
+        norm = sum(n * n for n in a.values()) ** 0.5 * sum(n * n for n in b.values()) ** 0.5
+        return sum(n * b.get(g, 0) for g, n in a.items()) / norm if norm else 0.0
+
+    assert got[5] is None
+    assert all(got[i] == pytest.approx(plain(x, y), abs=1e-12) for i, x, y in rows if x is not None)
+    assert [r.n for r in spark.createDataFrame([("a b c",)], "t string").select(F.size(text.trigrams("t")).alias("n")).collect()] == [3]

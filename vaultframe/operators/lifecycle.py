@@ -5,11 +5,16 @@ A table is never changed in place; each function returns the next snapshot.
 
 from __future__ import annotations
 
+import math
+from collections import Counter
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from vaultframe.functions.temporal import days_between
-from vaultframe.functions.text import anchors, contradiction, jaccard, normalized_hash, trigrams
+from vaultframe.functions.text import anchors, contradiction, gram_text, normalized_hash
 from vaultframe.operators.windows import fixed_windows, top_per
 
 # Days without change and access before a type is archived; types not listed are exempt.
@@ -106,22 +111,32 @@ def save_batch(documents: DataFrame, rows: DataFrame, now: Column, minutes: int
     return outcomes, touched.unionByName(kept(fresh, first))
 
 
+@F.pandas_udf(DoubleType())
+def _gram_cosine(a: pd.Series, b: pd.Series) -> pd.Series:
+    """Cosine of the trigram counts of two ``gram_text``s, each counted in one pass; 0 if either is empty."""
+
+    def counts(s: str) -> Counter:
+        return Counter(s[i : i + 3] for i in range(max(len(s) - 2, 1))) if s else Counter()
+
+    def one(x: str | None, y: str | None) -> float | None:
+        if x is None or y is None:
+            return None
+        cx, cy = counts(x), counts(y)
+        norm = math.sqrt(sum(n * n for n in cx.values())) * math.sqrt(sum(n * n for n in cy.values()))
+        return sum(n * cy[g] for g, n in cx.items() if g in cy) / norm if norm else 0.0
+
+    return pd.Series([one(x, y) for x, y in zip(a, b, strict=True)], dtype="float64" if a.notna().all() and b.notna().all() else "object")
+
+
 def merge_gate(pairs: DataFrame) -> DataFrame:
     """Adds similarity and accepted to pairs(a_text, b_text): trigram cosine .93, or .98 without anchors;
     materially different anchors are rejected."""
-    counts = lambda c: F.transform(F.array_distinct(c), lambda g: F.size(F.filter(c, lambda x: x == g)))
-    ta, tb = trigrams("a_text"), trigrams("b_text")
-    shared = F.array_intersect("ta", "tb")
-    dot = F.aggregate(F.transform(shared, lambda g: (F.size(F.filter("ta", lambda x: x == g)) * F.size(F.filter("tb", lambda x: x == g))).cast("double")), F.lit(0.0), lambda s, x: s + x)
-    norm = lambda c: F.sqrt(F.aggregate(F.transform(counts(F.col(c)), lambda n: (n * n).cast("double")), F.lit(0.0), lambda s, x: s + x))
-    out = pairs.withColumns({"ta": ta, "tb": tb, "aa": anchors("a_text"), "ab": anchors("b_text")})
-    empty = (F.size("ta") == 0) | (F.size("tb") == 0)
-    out = out.withColumn("similarity", F.when(empty, 0.0).otherwise(dot / (norm("ta") * norm("tb"))))
+    out = pairs.withColumns({"similarity": _gram_cosine(gram_text("a_text"), gram_text("b_text")), "aa": anchors("a_text"), "ab": anchors("b_text")})
     common, smaller = F.size(F.array_intersect("aa", "ab")), F.least(F.size("aa"), F.size("ab"))
     different = (smaller > 0) & (common < smaller) & (common <= smaller / 2)
     none = (F.size("aa") == 0) & (F.size("ab") == 0)
     one_sided = (smaller == 0) & ~none
-    return out.withColumn("accepted", F.when(different | one_sided, False).when(none, F.col("similarity") >= MERGE_STRICT).otherwise(F.col("similarity") >= MERGE_NORMAL)).drop("ta", "tb", "aa", "ab")
+    return out.withColumn("accepted", F.when(different | one_sided, False).when(none, F.col("similarity") >= MERGE_STRICT).otherwise(F.col("similarity") >= MERGE_NORMAL)).drop("aa", "ab")
 
 
 def contradictions(pairs: DataFrame) -> DataFrame:
