@@ -15,10 +15,13 @@ from vaultframe.functions.scoring import composite
 from vaultframe.operators import fts, fusion
 from vaultframe.operators.windows import duplicates_with_refresh, top_per, within_budget
 from vaultframe.plans.hybrid import eligible
+from vaultframe.sources.scratch import written
 
 LANES = {"current": 1.0, "prior": 0.5}
 PRIVATE_PARTS = ["/private/", "/secrets/", ".env"]
 LEAST_CHARS = 20
+#: Share of title words from which a target is clear whatever the second.
+CLEAR = 0.7
 TIER_CHARS = {"HOT": 300, "WARM": 150, "COLD": 80}
 
 
@@ -91,16 +94,44 @@ def decompose(prompts: DataFrame) -> DataFrame:
     return prompts.select("pid", F.explode(F.when(complex_one & (F.size(parts) > 1), several).otherwise(simple)).alias("c")).select("pid", "c.kind", "c.priority", "c.clause")
 
 
+def _most_words(asked: DataFrame, titles: DataFrame) -> DataFrame:
+    """(asked, id, hit): the two of titles(id, words) with the most words of each of asked(asked); the second may be missing from CLEAR on.
+
+    Titles of the same words stand together as their two least ids. Lists first meet titles by their rarest word alone, then by twice as
+    many, until no title without these words can be among the two.
+    """
+    two = top_per(titles, ["words"], [F.col("id")], 2, "r").groupBy("words").agg(F.array_sort(F.collect_list("id")).alias("ids"))
+    two = written(two, "titles")
+    terms = two.select("words", "ids", F.explode("words").alias("word"))
+    each = asked.select("asked", F.explode("asked").alias("word"))
+    df = terms.join(each.select("word").distinct(), "word", "left_semi").groupBy("word").agg(F.count("*").alias("df"))
+    by_df = each.join(df, "word", "left").groupBy("asked").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "word"))).alias("o"))
+    left, out, first = written(by_df.select("asked", F.transform("o", lambda x: x["word"]).alias("rare")), "rare"), None, 1
+    while True:
+        met = left.select("asked", F.explode(F.slice("rare", 1, first)).alias("word")).join(terms, "word").select("asked", "words", "ids").distinct()
+        hits = met.select("asked", F.size(F.array_intersect("asked", "words")).alias("hit"), F.explode("ids").alias("id"))
+        top = written(top_per(hits, ["asked"], [F.desc("hit"), F.col("id")], 2, "place"), "tops")
+        sure = top.groupBy("asked").agg(F.max("hit").alias("one"), F.max(F.when(F.col("place") == 2, F.col("hit"))).alias("two"))
+        rest = F.size("asked") - first  # words that a title not met can have
+        done = sure.where((rest <= 0) | (F.col("one") > rest) & ((F.col("one") / F.size("asked") >= CLEAR) | F.coalesce(F.col("two") > rest, F.lit(False)))).select("asked")
+        part = top.join(done, "asked", "left_semi").select("asked", "id", "hit")
+        out = part if out is None else out.unionByName(part)
+        left = written(left.join(done, "asked", "left_anti").where(F.size("asked") > first), "rare")
+        if not left.limit(1).count():
+            return out
+        first *= 2
+
+
 def lifecycle_target(wanted: DataFrame, docs: DataFrame) -> DataFrame:
     """(wid, id, confident) for wanted(wid, text): an exact path, else the greatest share of title words.
 
     Confident: the best has .7 or more, or .2 more than the second.
     """
     exact = wanted.join(docs.select("id", "path"), wanted["text"] == docs["path"]).select("wid", "id", F.lit(1.0).alias("score"))
-    w = wanted.select("wid", F.explode(F.array_distinct(text.tokens("text"))).alias("t"))
-    n = w.groupBy("wid").agg(F.count("*").alias("n"))
-    t = docs.select("id", F.explode(F.array_distinct(text.tokens("title"))).alias("t"))
-    overlap = w.join(t, "t").groupBy("wid", "id").agg(F.count("*").alias("hit")).join(n, "wid").select("wid", "id", (F.col("hit") / F.col("n")).alias("score"))
+    words = lambda c: F.array_sort(F.array_distinct(text.tokens(c)))
+    asks = written(wanted.select("wid", words("text").alias("asked")).where(F.size("asked") > 0), "asks")
+    best = _most_words(asks.select("asked").distinct(), docs.select("id", words("title").alias("words")).where(F.size("words") > 0))
+    overlap = asks.join(best, "asked").select("wid", "id", (F.col("hit") / F.size("asked")).alias("score"))
     ranked = top_per(exact.unionByName(overlap).groupBy("wid", "id").agg(F.max("score").alias("score")), ["wid"], [F.desc(F.round("score", 9)), F.col("id")], 2)
     g = ranked.groupBy("wid").agg(F.max(F.when(F.col("rank") == 1, F.col("id"))).alias("id"), F.max(F.when(F.col("rank") == 1, F.col("score"))).alias("a"), F.coalesce(F.max(F.when(F.col("rank") == 2, F.col("score"))), F.lit(0.0)).alias("b"))
-    return g.select("wid", "id", ((F.col("a") >= 0.7) | (F.col("a") - F.col("b") >= 0.2)).alias("confident"))
+    return g.select("wid", "id", ((F.col("a") >= CLEAR) | (F.col("a") - F.col("b") >= 0.2)).alias("confident"))
