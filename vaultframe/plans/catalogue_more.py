@@ -253,8 +253,8 @@ def entity_idf_edges(spark, sf):
 @query("entity_neighbors", f"WITH {MENTION_SQL}, {_IDF}, own AS (SELECT DISTINCT entity_id FROM mentions WHERE doc_id IN (1, 2, 3)), p AS (SELECT a.entity_id AS a, b.entity_id AS b, count(*) AS n FROM mentions a JOIN mentions b ON a.doc_id = b.doc_id AND a.entity_id < b.entity_id GROUP BY ALL), nb AS (SELECT CASE WHEN a IN (SELECT entity_id FROM own) THEN b ELSE a END AS entity_id, max(n) AS n FROM p WHERE a IN (SELECT entity_id FROM own) OR b IN (SELECT entity_id FROM own) GROUP BY 1), sc AS (SELECT entity_id, least(1.0, ln(1 + n) / 5) * greatest(0, least(1.0, idf / 3)) AS score FROM nb JOIN idf USING (entity_id) ORDER BY round(least(1.0, ln(1 + n) / 5) * greatest(0, least(1.0, idf / 3)), 9) DESC, entity_id LIMIT 30), d AS (SELECT m.doc_id, sc.score, sc.entity_id, row_number() OVER (PARTITION BY sc.entity_id ORDER BY m.doc_id) AS r FROM mentions m JOIN sc USING (entity_id)), f AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY round(score, 9) DESC, entity_id) AS k FROM d WHERE r <= 10 AND doc_id NOT IN (1, 2, 3)) SELECT doc_id, round(score, 6)::DOUBLE AS score, entity_id AS via FROM f WHERE k = 1 ORDER BY round(score, 9) DESC, doc_id LIMIT 20")
 def entity_neighbors(spark, sf):
     m = adapter.mentions(spark, sf)
-    pairs = entities.co_occurrence(m, "doc_id", "entity_id")
-    return rounded(entities.neighbours(m, pairs, spark.createDataFrame([(1,), (2,), (3,)], "doc_id long"), _n_docs(spark, sf)), "score")
+    seeds = spark.createDataFrame([(1,), (2,), (3,)], "doc_id long")
+    return rounded(entities.neighbours(m, entities.pairs_near(m, seeds), seeds, _n_docs(spark, sf)), "score")
 
 
 _RATIO = "1 - levenshtein(lower(n.name), lower(e.name))::DOUBLE / greatest(length(n.name), length(e.name))"
