@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from vaultframe.functions import text
-from vaultframe.operators import consolidation, fts, lifecycle
+from vaultframe.operators import consolidation, fts, fusion, lifecycle
 
 
 def plan(df) -> str:
@@ -66,3 +66,16 @@ def test_names_that_start_alike_are_not_all_tried(spark):
     want = {(i, n) for i, s in enumerate(says) for n in names if re.search("(?<![a-z0-9])" + re.escape(n.lower()) + "(?![a-z0-9])", s)}
     assert {(r.draft_id, r.hit) for r in found.collect()} == want
     assert "slice(runs" in found._jdf.queryExecution().optimizedPlan().toString()  # keys of several words, not of the first alone
+
+
+@pytest.mark.parametrize("threshold", [0.4, 0.5, 0.8])
+def test_near_duplicates_lose_no_pair_to_their_bounds(spark, threshold):
+    rng = random.Random(5)
+    base = [[f"w{min(int(rng.paretovariate(0.5)), 400)}" for _ in range(40)] for _ in range(12)]
+    rows = [(i, sorted({w if rng.random() > share else f"w{rng.randrange(400)}" for w in rng.choice(base)} | set())) for i, share in enumerate(rng.choice([0.0, 0.1, 0.3, 0.5]) for _ in range(120))]
+    rows += [(200, ["x"]), (201, ["x"]), (202, ["x", "y"]), (203, [])]
+    found = fusion.near_duplicates(spark.createDataFrame(rows, "id long, grams array<string>"), threshold)
+    alike = lambda x, y: len(set(x) & set(y)) / len(set(x) | set(y)) if x and y else 0.0
+    want = {(i, j): round(s, 9) for i, x in rows for j, y in rows if i < j and (s := alike(x, y)) >= threshold}
+    assert {(r.a, r.b): round(r.similarity, 9) for r in found.collect()} == want and len(want) > 20
+    assert "array_except(marks_a" in found._jdf.queryExecution().optimizedPlan().toString()  # whole grams went along with every pair before
