@@ -52,18 +52,17 @@ def surface(prompts: DataFrame, docs: DataFrame, meta: DataFrame, now: Column, m
         ok = ok.where(F.coalesce(F.col("snoozed_until") <= now, F.lit(True)))
     for part in PRIVATE_PARTS:
         ok = ok.where(~F.col("path").contains(part))
-    index = fts.postings(docs)
     words = lambda df, lane: df.select("pid", F.lit(lane).alias("lane"), F.explode(F.filter(F.array_distinct(text.tokens("prompt")), lambda w: F.length(w) > 2)).alias("word"))
-    all_words = words(asked, "current").unionByName(words(prior_prompts(asked, prompts), "prior"))
+    all_words = written(words(asked, "current").unionByName(words(prior_prompts(asked, prompts), "prior")), "words")
     # a word's list is the same for all prompts that have it
-    hits = fts.bm25(index, all_words.select(F.col("word").alias("qid"), F.col("word").alias("query")).distinct(), 10, ok).withColumnRenamed("qid", "word")
-    lanes = hits.join(all_words.select("word", "pid", "lane"), "word").select(F.col("pid").alias("qid"), "lane", F.when(F.col("lane") == "current", LANES["current"]).otherwise(LANES["prior"]).alias("weight"), (F.col("lane") == "current").alias("is_current"), "id", "rank", "score")
+    hits = fts.search(docs, all_words.select(F.col("word").alias("qid"), F.col("word").alias("query")).distinct(), 10, ok)
+    lists = written(hits.groupBy(F.col("qid").alias("word")).agg(F.collect_list(F.struct("id", "rank", "score")).alias("list")), "lists")
+    lanes = lists.join(all_words, "word").select("pid", "lane", F.explode("list").alias("hit")).select("pid", "lane", "hit.*").select(F.col("pid").alias("qid"), "lane", F.when(F.col("lane") == "current", LANES["current"]).otherwise(LANES["prior"]).alias("weight"), (F.col("lane") == "current").alias("is_current"), "id", "rank", "score")
     pool = fusion.select_pool(lanes, max_results)
-    best = lanes.groupBy("qid", "id").agg(F.max("score").alias("score"))
-    scored = composite(pool.join(best, ["qid", "id"]).join(ok, "id").withColumn("quality_score", F.lit(0.5)), now)
+    scored = composite(pool.join(ok, "id").withColumn("quality_score", F.lit(0.5)), now)
     admitted = fusion.admission(scored).where("admitted")
     ranked = top_per(admitted, ["qid"], [F.col("band"), F.desc(F.round("mass", 12)), F.desc(F.round("composite", 9)), F.col("id")], max_results)
-    bodies = docs.select("id", "title", "body").where(~text.retrieved_noise("body"))
+    bodies = docs.where(~text.retrieved_noise("body")).select("id", "title", F.substring("body", 1, max(TIER_CHARS.values())).alias("body"))
     lined = ranked.join(bodies, "id").withColumn("tier", fusion.tier(F.col("composite")))
     size = F.element_at(F.create_map(*(F.lit(x) for kv in TIER_CHARS.items() for x in kv)), F.col("tier"))
     line = F.concat(F.lit("- "), F.coalesce("title", F.lit("")), F.lit(": "), guards.sanitized(F.expr("body").substr(F.lit(1), size)))
