@@ -43,3 +43,25 @@ def test_a_pool_keeps_the_best_score_of_each_document(spark):
     assert "Join" not in pool._jdf.queryExecution().optimizedPlan().toString()  # lanes were made twice and joined
     assert "score" not in fusion.select_pool(lanes.drop("score"), 5).columns
     assert fusion.select_pool(lanes.where(F.lit(False)), 5).count() == 0
+
+
+@pytest.mark.parametrize("limits", [{}, {"BUCKETS": 64, "FULLEST": 3, "HELD": 20}])
+def test_themes_count_phrases_of_full_buckets_alone(spark, monkeypatch, limits):
+    from collections import Counter
+
+    from vaultframe.operators import stats
+
+    rng = random.Random(9)
+    texts = [" ".join(rng.choice(["alpha", "Beta", "gamma", "delta", "of", "épsilon", "x1y2"]) + rng.choice(["", ",", "_"]) for _ in range(rng.randrange(40))) for _ in range(60)] + ["", None, "solo"]
+    n = Counter()
+    for t in texts:
+        w = [x for x in (t or "").lower().replace(",", " ").replace("_", " ").split() if len(x) > 3]
+        n.update(" ".join(w[i : i + k]) for k in (2, 3) for i in range(len(w) - k + 1))
+    want = sorted(((p, c) for p, c in n.items() if c >= 3), key=lambda x: (-x[1], -len(x[0]), x[0]))
+    for k, v in limits.items():
+        monkeypatch.setattr(stats, k, v)
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    for top in (20, 1000):
+        found = stats.phrase_themes(df, "text", top=top)
+        assert [(r.phrase, r.n) for r in found.collect()] == want[:top]
+    assert "Generate" not in found._jdf.queryExecution().optimizedPlan().toString()  # all phrases of all texts were grouped

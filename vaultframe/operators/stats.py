@@ -2,11 +2,18 @@
 
 from __future__ import annotations
 
+import zlib
+from collections import Counter
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from vaultframe.functions.text import tokens
+from vaultframe.functions.text import spaced
 from vaultframe.functions.temporal import days_between
+from vaultframe.sources.scratch import written
 
 
 def recall_stats(events: DataFrame) -> DataFrame:
@@ -93,14 +100,82 @@ def recent_rate(events: DataFrame, at: str, now: Column, minutes: int) -> DataFr
     return events.where((F.col(at) <= now) & (F.col(at) > now - F.make_dt_interval(mins=F.lit(minutes)))).agg(F.count("*").alias("n"))
 
 
+#: Buckets that phrases are counted in first, the fullest ones whose phrases are then counted, and phrases that a task holds.
+BUCKETS, FULLEST, HELD = 1 << 20, 2000, 400_000
+
+
+class _Codes(dict):
+    """A number of each word, the same in all tasks; those of the first HELD words are kept."""
+
+    def __missing__(self, word: str) -> int:
+        code = zlib.crc32(word.encode())
+        if len(self) < HELD:
+            self[word] = code
+        return code
+
+
+def _phrases(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[tuple[list[str], list[tuple[int, np.ndarray]]]]:
+    """Of each text its words and, for two and three words, the buckets of the phrases in order."""
+    codes = _Codes()
+    for b in batches:
+        for t in b.column(0):
+            words = [w for w in (t.as_py() or "").split() if len(w) > 3]
+            h = np.array([codes[w] for w in words], dtype=np.uint64)
+            two = (h[:-1] * np.uint64(0x9E3779B97F4A7C15)) ^ (h[1:] * np.uint64(0xC2B2AE3D27D4EB4F))
+            three = (two[:-1] * np.uint64(0xD6E8FEB86659FD93)) ^ (h[2:] * np.uint64(0x165667B19E3779F9))
+            yield words, [(n, ((x * np.uint64(0xFF51AFD7ED558CCD)) >> np.uint64(40)).astype(np.int64) % buckets) for n, x in ((2, two), (3, three))]
+
+
 def phrase_themes(df: DataFrame, text: str, least: int = 3, top: int = 20) -> DataFrame:
-    """(phrase, n): two- and three-word phrases of words longer than three letters; longer first on ties."""
-    words = F.filter(tokens(text), lambda w: F.length(w) > 3)
-    w = df.select(words.alias("w")).where(F.size("w") > 1)
-    two = F.transform(F.sequence(F.lit(0), F.size("w") - 2), lambda i: F.concat_ws(" ", F.get("w", i), F.get("w", i + 1)))
-    three = F.when(F.size("w") > 2, F.transform(F.sequence(F.lit(0), F.size("w") - 3), lambda i: F.concat_ws(" ", F.get("w", i), F.get("w", i + 1), F.get("w", i + 2)))).otherwise(F.array().cast("array<string>"))
-    counted = w.select(F.explode(F.concat(two, three)).alias("phrase")).groupBy("phrase").agg(F.count("*").alias("n"))
-    return counted.where(F.col("n") >= least).orderBy(F.desc("n"), F.desc(F.length("phrase")), "phrase").limit(top)
+    """(phrase, n): two- and three-word phrases of words longer than three letters; longer first on ties.
+
+    Phrases are first counted in buckets: none has more than its bucket. Those of the fullest buckets are then counted themselves;
+    should the ``top`` of them not have more than any other bucket, so are those of all buckets with as many.
+    """
+    texts = df.select(spaced(text).alias("t"))
+
+    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts, waiting, size = np.zeros(BUCKETS, dtype=np.int64), [], 0
+        for _, found in _phrases(batches, BUCKETS):
+            waiting += [b for _, b in found]
+            size += sum(len(b) for _, b in found)
+            if size >= HELD:
+                counts += np.bincount(np.concatenate(waiting), minlength=BUCKETS)
+                waiting, size = [], 0
+        if waiting:
+            counts += np.bincount(np.concatenate(waiting), minlength=BUCKETS)
+        full = np.flatnonzero(counts)
+        for k in range(0, len(full), 100_000):
+            part = full[k : k + 100_000]
+            yield pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.array(counts[part], pa.int64())], ["bucket", "n"])
+
+    filled = written(texts.mapInArrow(fill, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).where(F.col("n") >= least), "buckets")
+
+    def counted(buckets: DataFrame) -> DataFrame:
+        chosen = df.sparkSession.sparkContext.broadcast(np.array([r[0] for r in buckets.select("bucket").collect()], dtype=np.int64))  # BUCKETS at most
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            wanted, n = np.zeros(BUCKETS, dtype=bool), Counter()
+            wanted[chosen.value] = True
+            give = lambda: pa.RecordBatch.from_pydict({"phrase": pa.array(n.keys(), pa.string()), "n": pa.array(n.values(), pa.int64())})
+            for words, found in _phrases(batches, BUCKETS):
+                for size, b in found:
+                    n.update(" ".join(words[i : i + size]) for i in np.flatnonzero(wanted[b]).tolist())
+                if len(n) >= HELD:
+                    yield give()
+                    n.clear()
+            yield give()
+
+        return written(texts.mapInArrow(run, "phrase string, n long").groupBy("phrase").agg(F.sum("n").alias("n")).where(F.col("n") >= least), "phrases")
+
+    best = lambda found: found.orderBy(F.desc("n"), F.desc(F.length("phrase")), "phrase").limit(top)
+    fullest = filled.orderBy(F.desc("n"), "bucket").limit(FULLEST)
+    found = counted(fullest)
+    have = best(found).agg(F.count("*").alias("rows"), F.min("n").alias("n")).first()
+    enough = have["n"] if have["rows"] == top else least
+    if filled.where(F.col("n") >= enough).count() > FULLEST:
+        found = counted(filled.where(F.col("n") >= enough))
+    return best(found)
 
 
 def weekly_histogram(df: DataFrame, at: str, now: Column, weeks: int = 10) -> DataFrame:
