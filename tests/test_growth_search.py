@@ -65,3 +65,22 @@ def test_themes_count_phrases_of_full_buckets_alone(spark, monkeypatch, limits):
         found = stats.phrase_themes(df, "text", top=top)
         assert [(r.phrase, r.n) for r in found.collect()] == want[:top]
     assert "Generate" not in found._jdf.queryExecution().optimizedPlan().toString()  # all phrases of all texts were grouped
+
+
+def test_names_of_facts_look_at_the_front_of_texts_alone(spark, tmp_path):
+    from vaultframe.plans import catalogue_store
+
+    texts = ["One two three", "  ¿Uno—dos", "solo", "solo 12 !", "", None, "a\nB c", "Él l'a x", "x" * 5000 + "  y z"]
+    rows = [(i, t, "en") for i, t in enumerate(texts * 6)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string").write.parquet(str(tmp_path / "documents.parquet"))
+    import re
+
+    want = {}
+    for i, t, _ in rows:
+        w = re.findall("[A-Za-z]+", t or "")
+        for name in ([w[0 if i % 2 == 0 else 1]] + ([f"{w[0]} {w[1]}"] if i % 3 == 0 else [])) if len(w) > 1 else []:
+            key = f"default:{'tool' if i % 5 == 0 else 'concept'}:{name.lower().replace(' ', '_')}"
+            want[key] = (min(name, want[key][0]), min(i, want[key][1])) if key in want else (name, i)
+    found = catalogue_store.named_nodes(spark, str(tmp_path))
+    assert {r.entity_id: (r.name, r.first_doc) for r in found.collect()} == want
+    assert "regexp_extract_all" not in found._jdf.queryExecution().optimizedPlan().toString()  # all words of all texts were cut

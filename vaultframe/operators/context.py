@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from vaultframe.functions.text import let, tokens
 from vaultframe.operators.windows import top_per
+from vaultframe.sources.scratch import written
 
 
 def inherited_context(docs: DataFrame, contexts: DataFrame) -> DataFrame:
@@ -124,7 +125,7 @@ def vault_facts(prompts: DataFrame, nodes: DataFrame, triples: DataFrame, now: C
     Facts come in order of the prompt's entities, each line once, as many as fit the budget of estimated tokens with the
     block's own ends; a prompt whose first fact does not fit has no block.
     """
-    found = prompt_entities(prompts, nodes)
+    found = written(prompt_entities(prompts, nodes), "named")
     lines = found.join(fact_lines(triples, nodes, now, per_entity), "entity_id").groupBy("pid", "line").agg(F.min(F.struct("place", "nth")).alias("turn"))
     by = Window.partitionBy("pid").orderBy("turn", "line").rowsBetween(Window.unboundedPreceding, 0)
     ends = -(-len(FACTS_OPEN + FACTS_CLOSE) // 4)
