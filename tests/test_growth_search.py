@@ -84,3 +84,16 @@ def test_names_of_facts_look_at_the_front_of_texts_alone(spark, tmp_path):
     found = catalogue_store.named_nodes(spark, str(tmp_path))
     assert {r.entity_id: (r.name, r.first_doc) for r in found.collect()} == want
     assert "regexp_extract_all" not in found._jdf.queryExecution().optimizedPlan().toString()  # all words of all texts were cut
+
+
+def test_lines_of_traces_are_grouped_once(spark, tmp_path):
+    from datetime import datetime
+
+    from vaultframe.plans import catalogue_store
+
+    spark.createDataFrame([(k,) for k in range(1, 40)], "o_orderkey long").write.parquet(str(tmp_path / "orders.parquet"))
+    lines = [(k, k * n, k + n, n, datetime(2024, 1, 1)) for k in range(1, 40) for n in range(1, 8)]
+    spark.createDataFrame(lines, "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_shipdate timestamp_ntz").write.parquet(str(tmp_path / "lineitem.parquet"))
+    found = catalogue_store.trace_violations(spark, str(tmp_path))
+    assert found.count() > 50
+    assert "lineitem.parquet" not in "".join(found.inputFiles())  # each rule read and grouped the lines anew
