@@ -171,3 +171,21 @@ def test_token_chunks(spark):
             assert c.pos <= len(whole)
             whole = whole[: c.pos] + c.chunk
         assert whole == text and (len(mine) == 1) == (len(offsets) <= 200)
+
+
+def test_token_starts_are_the_library_s():
+    import pyarrow as pa
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    r = random.Random(2)
+    piece = lambda: r.choice(["und", "Straße", "日本", "😀👍🏽", "é", "x" * 40, "1.5", "l'été", "<|endoftext|>", "a<|endoftext|>b", "don't", "“q”", "\u00a0", "\u3000", "\x0b", "", "_", "#!", "\u0301"]) + r.choice([" ", "  ", "\n", "\r\n", "\t", "", " \n "])
+    texts = [None, "", " ", "\n\n", *("".join(piece() for _ in range(r.randrange(80))) for _ in range(200))]
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    tokenizer = Tokenizer.from_file(path)
+    want = [[s for s, _ in tokenizer.encode(t or "", add_special_tokens=False).offsets] for t in texts]
+    starts = token_chunks.token_starts(path)
+    assert token_chunks._byte_level(path) and list(starts(pa.array(texts))) == want and list(starts(pa.array(texts, pa.large_string()).slice(3, 50))) == want[3:53]
+    other = public_tokenizers.path("word_bpe_49k.json")  # not byte-level: the library's own offsets
+    tokenizer = Tokenizer.from_file(other)
+    assert not token_chunks._byte_level(other) and list(token_chunks.token_starts(other)(pa.array(texts))) == [[s for s, _ in tokenizer.encode(t or "", add_special_tokens=False).offsets] for t in texts]

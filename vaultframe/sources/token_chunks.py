@@ -12,8 +12,11 @@ Null texts count as empty, and an empty text is one chunk without tokens.
 from __future__ import annotations
 
 import bisect
-from collections.abc import Iterator
+import importlib.util
+import json
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -58,14 +61,64 @@ def spans(text: str, starts: list[int], most: int = MOST_TOKENS, overlap: int =
         at = following if following > at else bisect.bisect_right(starts, starts[at])
 
 
+def _byte_level(vocabulary: str) -> bool:
+    """Whether the file's tokens are the text's own bytes, split as ``TextEncoder`` knows it."""
+    with open(vocabulary, encoding="utf-8") as f:
+        spec = json.load(f)
+    pre, model = spec.get("pre_tokenizer") or {}, spec.get("model") or {}
+    unset = [spec.get(k) for k in ("normalizer", "post_processor", "truncation", "padding")] + [model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix")]
+    split = pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True)
+    plain = not any(a["single_word"] or a["lstrip"] or a["rstrip"] or len(a["content"].split()) != 1 or a["content"] != a["content"].strip() for a in spec.get("added_tokens") or [])
+    return bool(split and plain and model.get("type") == "BPE" and not any(unset))
+
+
+def token_starts(vocabulary: str) -> Callable[[pa.Array], Iterator[list[int]]]:
+    """A function from a column of texts to the characters where each text's tokens begin, as the library's offsets have them.
+
+    Tokens of a byte-level file are bytes of the text, so that ids, which ``TextEncoder`` has by a table of pieces, tell where
+    they begin. Other files, and texts whose ids are not all their bytes, are given to the library.
+    """
+    from tokenizers import Tokenizer
+
+    def direct(texts: list[str | None]) -> Iterator[list[int]]:
+        for t in texts:
+            yield [s for s, _ in tokenizer.encode(t or "", add_special_tokens=False).offsets]
+
+    if not (importlib.util.find_spec("vaultframe.llm") and _byte_level(vocabulary)):
+        tokenizer = Tokenizer.from_file(vocabulary)
+        return lambda column: direct(column.to_pylist())
+    from vaultframe.llm.common import text_parts, utf8_buffers
+    from vaultframe.llm.tokenizers_cached import encoder
+
+    known = encoder(vocabulary, True)
+    tokenizer = known.tokenizer
+    sizes = np.zeros(len(known.edge), np.int64)
+    for token, i in tokenizer.get_vocab(with_added_tokens=True).items():
+        sizes[i] = len(token)  # a character of a token stands for a byte
+    for i, token in tokenizer.get_added_tokens_decoder().items():
+        sizes[i] = len(token.content.encode())
+
+    def cached(column: pa.Array) -> Iterator[list[int]]:
+        data, offsets = utf8_buffers(column)
+        for first, part, bounds in text_parts(data, offsets):
+            ids, of = known.encode(part, bounds)
+            at = np.concatenate([[0], np.cumsum(sizes[ids])])
+            if not np.array_equal(at[of], bounds):
+                yield from direct(column.slice(first, len(bounds) - 1).to_pylist())
+                continue
+            place = np.cumsum((part & 0xC0) != 0x80) - 1
+            for a, b, start in zip(of[:-1].tolist(), of[1:].tolist(), bounds[:-1].tolist(), strict=True):
+                yield (place[at[a:b]] - place[start]).tolist() if a < b else []
+
+    return cached
+
+
 def chunks(docs: DataFrame, key: str, text: str, vocabulary: str, most: int = MOST_TOKENS, overlap: int = OVERLAP) -> DataFrame:
     """(key, seq, pos, byte_pos, tokens, chunk) of every text. vocabulary: a tokenizer file that all executors have."""
     kind = docs.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from tokenizers import Tokenizer
-
-        tokenizer, rows, schema = Tokenizer.from_file(vocabulary), [], None
+        starts_of, rows, schema = token_starts(vocabulary), [], None
 
         def give() -> pa.RecordBatch:
             columns = [pa.array(c, k) for c, k in zip(zip(*rows, strict=True), [schema, pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.string()], strict=True)]
@@ -74,9 +127,8 @@ def chunks(docs: DataFrame, key: str, text: str, vocabulary: str, most: int = MO
 
         for b in batches:
             schema = b.schema.field(0).type
-            for k, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            for k, t, starts in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), starts_of(b.column(1)), strict=True):
                 t = t or ""
-                starts = [s for s, _ in tokenizer.encode(t, add_special_tokens=False).offsets]
                 before, bytes_before = 0, 0
                 for n, (s, e, tokens) in enumerate(spans(t, starts, most, overlap)):
                     # chunks overlap, so that a start may lie before the last one's end, never before its start
