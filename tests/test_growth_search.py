@@ -36,6 +36,14 @@ def test_search_in_tasks_equals_ranks_over_postings(spark, monkeypatch, limits,
     assert "Generate" not in plan and "Aggregate" not in plan
 
 
+def test_diversity_sends_ranked_rows_to_the_texts(spark):
+    from vaultframe.plans import catalogue
+
+    found = catalogue.QUERIES["mmr_diversity"](spark, "/root/testdata/sf0.001")
+    assert "strategy=broadcast" in found._jdf.queryExecution().optimizedPlan().toString()  # all texts were shuffled to meet a few rows
+    assert sorted(found.groupBy("qid").count().collect()) == sorted(catalogue._scored(spark, "/root/testdata/sf0.001").groupBy("qid").count().collect())
+
+
 def test_a_pool_keeps_the_best_score_of_each_document(spark):
     lanes = spark.createDataFrame([(1, "current", 1.0, True, 5, 1, 0.2), (1, "prior", 0.5, False, 5, 1, 0.9), (1, "prior", 0.5, False, 6, 2, 0.4)], "qid int, lane string, weight double, is_current boolean, id long, rank int, score double")
     pool = fusion.select_pool(lanes, 5)
