@@ -7,7 +7,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from vaultframe.operators import fts, fusion
+from vaultframe.operators import fts, fusion, posting_store
 
 
 def _vault(spark):
@@ -44,6 +44,25 @@ def test_diversity_sends_ranked_rows_to_the_texts(spark):
     assert sorted(found.groupBy("qid").count().collect()) == sorted(catalogue._scored(spark, "/root/testdata/sf0.001").groupBy("qid").count().collect())
 
 
+@pytest.mark.parametrize("part", [1 << 24, 500])
+def test_an_index_counts_words_where_texts_are_read(spark, tmp_path, monkeypatch, part):
+    monkeypatch.setattr(posting_store, "PART_BYTES", part)
+    docs, asks = _vault(spark)
+    plan = posting_store.counted(docs)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate" not in plan and "Aggregate" not in plan  # before, every word of every text was grouped by a shuffle
+    state = posting_store.apply(spark, f"file://{tmp_path}/index", posting_store.empty(), docs, None)
+    kept = posting_store.postings(spark, state)
+    rows = lambda df: sorted((r.term, r.id, r.wtf) for r in df.collect())
+    assert rows(kept) == rows(fts.postings(docs)) and state["segments"][0]["rows"] == kept.count()
+    assert sorted(map(tuple, posting_store.lengths(spark, state).collect())) == sorted(map(tuple, fts.lengths(fts.postings(docs)).collect()))
+    # a segment of an earlier version holds rows
+    old = {k: v for k, v in state["segments"][0].items() if k != "blocks"} | {"path": f"file://{tmp_path}/old"}
+    kept.write.parquet(f"{old['path']}/postings")
+    shape = lambda df: sorted((r.qid, r.id, round(r.bm25, 8), r["rank"]) for r in df.collect())
+    want = shape(fts.bm25(fts.postings(docs), asks, 5))
+    assert shape(posting_store.search(spark, state, asks, 5)) == shape(posting_store.search(spark, state | {"segments": [old]}, asks, 5)) == want
+
+
 def test_a_pool_keeps_the_best_score_of_each_document(spark):
     lanes = spark.createDataFrame([(1, "current", 1.0, True, 5, 1, 0.2), (1, "prior", 0.5, False, 5, 1, 0.9), (1, "prior", 0.5, False, 6, 2, 0.4)], "qid int, lane string, weight double, is_current boolean, id long, rank int, score double")
     pool = fusion.select_pool(lanes, 5)
