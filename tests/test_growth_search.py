@@ -36,6 +36,20 @@ def test_search_in_tasks_equals_ranks_over_postings(spark, monkeypatch, limits,
     assert "Generate" not in plan and "Aggregate" not in plan
 
 
+def test_few_words_send_only_what_starts_with_them_to_python(spark, monkeypatch):
+    docs, _ = _vault(spark)
+    asks = spark.createDataFrame([(1, "th re"), (2, "tha"), (3, "É9"), (4, "thater 9")], "qid int, query string")
+    real, seen = fts._kept, []
+    monkeypatch.setattr(fts, "_kept", lambda cut, known: seen.append(cut) or real(cut, known))
+    shape = lambda df: sorted((r.qid, r.id, round(r.bm25, 8), r["rank"]) for r in df.collect())
+    assert shape(fts.search(docs, asks, 5)) == shape(fts.bm25(fts.postings(docs), asks, 5)) != []
+    rows = {r.id: r for r in seen[0].collect()}
+    terms = {t for r in rows.values() for f in fts.WEIGHTS for t in (r[f] or "").split()}
+    assert terms and all(t.startswith(("th", "re", "é9", "9")) for t in terms)  # whole texts were sent
+    assert {i: r.n for i, r in rows.items() if r.n} == {r.id: r.dl for r in fts.lengths(fts.postings(docs)).collect()}
+    assert fts.search(docs, asks.where("qid < 0"), 5).count() == 0
+
+
 def test_diversity_sends_ranked_rows_to_the_texts(spark):
     from vaultframe.plans import catalogue
 
