@@ -26,3 +26,19 @@ def test_metadata_of_some_documents(spark):
     ids = spark.createDataFrame([(i,) for i in (3, 3, 40, 41, 199, 10**9)], "id long")
     rows = lambda df: sorted(map(str, df.collect()))
     assert rows(adapter.metadata(spark, SF, ids)) == rows(meta.where(F.col("id").isin(3, 40, 41, 199))) != []
+
+
+def test_edges_of_some_nodes_are_those_of_all(spark):
+    from vaultframe.operators import graph
+
+    rel, ok = adapter.relations(spark, SF), hybrid.eligible(adapter.metadata(spark, SF))
+    starts = spark.createDataFrame([(i,) for i in (2, 2, 19, 57, 120)], "node long")
+    rows = lambda df: sorted((r.node, r.next, r.weight, r.share) for r in df.collect())
+    for kind in ("entity", "semantic"):
+        few = graph.typed_edges(rel, kind, ok, 3, nodes=starts)
+        assert rows(few) == rows(graph.typed_edges(rel, kind, ok, 3).where(F.col("node").isin(2, 19, 57, 120))) != []
+        assert "Generate" not in _plan(few)  # the edges of all nodes were shuffled and ranked
+
+
+def test_hybrid_makes_its_lists_once(spark):
+    assert "MapInArrow" not in _plan(catalogue.QUERIES["hybrid_with_temporal_entity"](spark, SF))
