@@ -42,3 +42,8 @@ def test_edges_of_some_nodes_are_those_of_all(spark):
 
 def test_hybrid_makes_its_lists_once(spark):
     assert "MapInArrow" not in _plan(catalogue.QUERIES["hybrid_with_temporal_entity"](spark, SF))
+
+
+def test_proximity_reads_what_was_found_once(spark):
+    found = catalogue.QUERIES["proximity_rerank"](spark, SF)
+    assert "MapInArrow" not in _plan(found) and found.count() > 20  # the search was in the plan for each of its uses

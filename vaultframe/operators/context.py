@@ -59,12 +59,13 @@ def _proximity_class(words: Column, wanted: Column) -> Column:
 
 def proximity_rank(found: DataFrame, docs: DataFrame, queries: DataFrame) -> DataFrame:
     """found(qid, id, rank) with class, field and place: for queries(qid, query) rows of class 0 come first, then 1, then 2,
-    each in the order of rank.
+    each in the order of rank. What was found is written, since it is read several times and few rows are sent to the texts.
 
     A class is the best of the fields path, title and body of docs(id, path, title, body); field is the first that has it, null for
     class 2. A word stands for all words that start with it. Queries of one word (of those that no other word of it
     starts with) and lists of one row keep their order, with null as class. Only texts that were found are read.
     """
+    found = written(found, "found")
     listed = found.groupBy("qid").agg(F.count("*").alias("n")).where("n > 1")
     asked = queries.select("qid", _constraints(F.col("query")).alias("wanted")).where(F.size("wanted") > 1).join(listed.select("qid"), "qid", "left_semi")
     cut = docs.join(found.select("id").distinct(), "id", "left_semi").select("id", *(tokens(c).alias(c) for c in ("path", "title", "body")))
