@@ -47,3 +47,8 @@ def test_hybrid_makes_its_lists_once(spark):
 def test_proximity_reads_what_was_found_once(spark):
     found = catalogue.QUERIES["proximity_rerank"](spark, SF)
     assert "MapInArrow" not in _plan(found) and found.count() > 20  # the search was in the plan for each of its uses
+
+
+def test_a_provider_gets_texts_that_few_rows_met(spark):
+    found = catalogue.QUERIES["rerank_provider"](spark, SF)
+    assert not any("documents.parquet" in f for f in found.inputFiles()) and found.count() > 20  # the openings of all texts were shuffled
