@@ -52,3 +52,8 @@ def test_proximity_reads_what_was_found_once(spark):
 def test_a_provider_gets_texts_that_few_rows_met(spark):
     found = catalogue.QUERIES["rerank_provider"](spark, SF)
     assert not any("documents.parquet" in f for f in found.inputFiles()) and found.count() > 20  # the openings of all texts were shuffled
+
+
+def test_a_budget_is_of_found_rows(spark):
+    found = catalogue.QUERIES["context_budget"](spark, SF)
+    assert "MapInArrow" not in _plan(found) and found.count() > 4  # of unknown size, so that all documents were shuffled

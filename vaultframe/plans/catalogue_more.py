@@ -11,6 +11,7 @@ from vaultframe.plans import hybrid
 from vaultframe.plans.catalogue import _CAND_FTS, INDEX_SQL, PROMPT_TABLE, fields, prompts, query, rounded, searches
 from vaultframe.sources import adapter, conversations
 from vaultframe.sources.adapter import MENTION_SQL, META_SQL, NOW, RECALL_SQL, RELATION_SQL, SESSION_SQL, TRIPLE_SQL, now, table
+from vaultframe.sources.scratch import written
 
 # statistics
 
@@ -159,8 +160,9 @@ def pair_unique_both_ways(spark, sf):
 @query("context_budget", f"WITH {META_SQL}, {INDEX_SQL}, {_CAND_FTS}, r AS (SELECT c.qid, c.id, row_number() OVER w AS rn, sum(ceil(m.body_length / 4.0)) OVER (PARTITION BY c.qid ORDER BY round(c.score, 9) DESC, c.id ROWS UNBOUNDED PRECEDING)::BIGINT AS spent FROM cand c JOIN meta m ON m.id = c.id WINDOW w AS (PARTITION BY c.qid ORDER BY round(c.score, 9) DESC, c.id)) SELECT qid, id, spent FROM r WHERE spent <= 3000 OR rn = 1")
 def context_budget(spark, sf):
     meta = adapter.metadata(spark, sf)
-    found = fts.search(fields(spark, sf), searches(spark), 20, hybrid.eligible(meta)).select("qid", "id", "score").join(meta.select("id", "body_length"), "id")
-    return windows.within_budget(found, ["qid"], [F.desc(F.round("score", 9)), F.col("id")], F.ceil(F.col("body_length") / 4), 3000).select("qid", "id", "spent")
+    found = written(fts.search(fields(spark, sf), searches(spark), 20, hybrid.eligible(meta)).select("qid", "id", "score"), "found")
+    sized = found.join(adapter.metadata(spark, sf, found).select("id", "body_length"), "id")
+    return windows.within_budget(sized, ["qid"], [F.desc(F.round("score", 9)), F.col("id")], F.ceil(F.col("body_length") / 4), 3000).select("qid", "id", "spent")
 
 
 # graph
