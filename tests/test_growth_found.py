@@ -57,3 +57,31 @@ def test_a_provider_gets_texts_that_few_rows_met(spark):
 def test_a_budget_is_of_found_rows(spark):
     found = catalogue.QUERIES["context_budget"](spark, SF)
     assert "MapInArrow" not in _plan(found) and found.count() > 4  # of unknown size, so that all documents were shuffled
+
+
+def test_hybrid_lists_are_filled_after_the_filters(spark, monkeypatch):
+    import numpy as np
+
+    taken = []
+    fuse = hybrid.fuse
+    monkeypatch.setattr(hybrid, "fuse", lambda lists, top=30: taken.extend(lists) or fuse(lists, top))
+    assert catalogue.QUERIES["hybrid_with_temporal_entity"](spark, SF).count() > 0
+    _, (vector, _), _, (via, _) = taken
+    ok = {r.id for r in hybrid.eligible(adapter.metadata(spark, SF)).select("id").collect()}
+    v = {r.id: np.array(r.embedding) for r in catalogue.embedded(spark, SF).collect()}
+    unit = {i: x / np.linalg.norm(x) for i, x in v.items()}
+    want = {q: [i for _, i in sorted((-round(float(unit[q] @ unit[i]), 9), i) for i in ok & v.keys() if i != q)][:20] for q in range(1, 6)}
+    got = {q: [r.id for r in vector.where(f"qid = {q}").orderBy("rank").collect()] for q in range(1, 6)}
+    assert got == want  # the 20 were taken of all vectors, and those not in use dropped after
+    for rows in (via.where(f"qid = {q}").collect() for q in range(1, 6)):
+        assert sorted(r["rank"] for r in rows) == list(range(1, len({r.id for r in rows}) + 1))  # one that two nodes lead to took two places
+
+
+def test_vectors_without_a_direction_take_no_place(spark):
+    from vaultframe.operators import vectors
+
+    odd = [[float("nan"), 1.0], [None, 1.0], [float("inf"), 0.0], None]
+    rows = [(i, [1.0, i / 10]) for i in range(6)] + [(100 + i, e) for i, e in enumerate(odd)]
+    v = spark.createDataFrame(rows, "id long, embedding array<double>")
+    found = [(r.qid, r.id) for r in vectors.nearest(v, v.where("id in (0, 100)"), 3).orderBy("qid", "rank").collect()]
+    assert found == [(0, 1), (0, 2), (0, 3)]  # each took a place among the three or failed
