@@ -15,6 +15,7 @@ from pyspark.sql.types import DoubleType
 
 from vaultframe.functions.temporal import days_between
 from vaultframe.functions.text import anchors, contradiction, gram_text, normalized_hash
+from vaultframe.operators.alike import alike
 from vaultframe.operators.windows import fixed_windows, top_per
 
 # Days without change and access before a type is archived; types not listed are exempt.
@@ -154,15 +155,12 @@ def apply_contradictions(meta: DataFrame, outcomes: DataFrame) -> DataFrame:
 def similar_observation(new: DataFrame, old: DataFrame, shortlist: float = 0.5) -> DataFrame:
     """(new_id, old_id, similarity): the best other old observation in the collection by word overlap above the shortlist.
 
-    Only pairs that share one of their rarest words meet (the prefix filter of ``near_duplicates``); a word counts
-    within its collection. Ids tell observations apart in both tables.
+    Pairs meet as in ``alike``. Ids tell observations apart in both tables.
     """
-    from vaultframe.operators.fusion import near_duplicates
-
     words = F.array_distinct(F.filter(F.split(F.lower("text"), r"\s+"), lambda w: F.length(w) > 2))
-    sets = lambda d: d.select("id", F.transform(words, lambda w: F.concat_ws("\n", "collection", w)).alias("grams"))
+    sets = lambda d: d.select("id", "collection", words.alias("grams"))
     both = sets(new) if new is old else sets(new).unionByName(sets(old).join(new.select("id"), "id", "left_anti"))
-    pairs = near_duplicates(both, shortlist).where(F.col("similarity") > shortlist)
+    pairs = alike(both, shortlist, "collection").where(F.col("similarity") > shortlist)
     ways = pairs.select(F.explode(F.array(F.struct(F.col("a").alias("new_id"), F.col("b").alias("old_id")), F.struct(F.col("b").alias("new_id"), F.col("a").alias("old_id")))).alias("p"), "similarity").select("p.*", "similarity")
     if new is not old:
         ways = ways.join(new.select(F.col("id").alias("new_id")), "new_id", "left_semi").join(old.select(F.col("id").alias("old_id")), "old_id", "left_semi")
