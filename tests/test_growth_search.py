@@ -138,3 +138,33 @@ def test_lines_of_traces_are_grouped_once(spark, tmp_path):
     found = catalogue_store.trace_violations(spark, str(tmp_path))
     assert found.count() > 50
     assert "lineitem.parquet" not in "".join(found.inputFiles())  # each rule read and grouped the lines anew
+
+
+def test_texts_are_cut_once_whatever_the_words(spark, monkeypatch):
+    docs, asks = _vault(spark)
+    monkeypatch.setattr(fts, "FEW_WORDS", 1)
+    found = fts.search(docs, asks, 5)
+    assert "regexp_replace" not in found._jdf.queryExecution().optimizedPlan().toString()  # a second pass cut them again
+    shape = lambda df: sorted((r.qid, r.id, round(r.bm25, 8), r["rank"]) for r in df.collect())
+    assert shape(found) == shape(fts.bm25(fts.postings(docs), asks, 5)) != []
+
+
+@pytest.mark.parametrize("top", [1, 3, None])
+def test_queries_of_one_word_keep_the_best_of_each(top):
+    import random
+    from decimal import ROUND_HALF_UP, Decimal
+
+    import numpy as np
+
+    rng, rows = random.Random(3), []
+    tops = fts._Tops(4, top)
+    for _ in range(6):
+        part = [(rng.randrange(4), -rng.choice([0.5e-9, 1.5e-9, 2.49e-9, 2.51e-9, 0.1234567885, 7.0]), rng.randrange(10**6)) for _ in range(20)]
+        rows += part
+        w, s, i = map(np.array, zip(*part, strict=True))
+        tops.add(w, s, i)
+        tops.cut()
+    place = lambda s: Decimal(repr(s)).quantize(Decimal("1e-9"), ROUND_HALF_UP)
+    want = [(w, i, s) for word in range(4) for _, i, s, w in sorted((place(s), i, s, w) for w, s, i in rows if w == word)[:top]]
+    word, ids, score = tops.take()
+    assert list(zip(word.tolist(), ids.tolist(), score.tolist(), strict=True)) == want and tops.held == 0
