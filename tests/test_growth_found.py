@@ -5,7 +5,7 @@ from __future__ import annotations
 import pytest
 from pyspark.sql import functions as F
 
-from vaultframe.plans import catalogue, catalogue_depth, catalogue_more, catalogue_store, hybrid  # noqa: F401
+from vaultframe.plans import catalogue, catalogue_depth, catalogue_extra, catalogue_more, catalogue_store, hybrid  # noqa: F401
 from vaultframe.sources import adapter
 
 SF = "/root/testdata/sf0.001"
@@ -85,3 +85,10 @@ def test_vectors_without_a_direction_take_no_place(spark):
     v = spark.createDataFrame(rows, "id long, embedding array<double>")
     found = [(r.qid, r.id) for r in vectors.nearest(v, v.where("id in (0, 100)"), 3).orderBy("qid", "rank").collect()]
     assert found == [(0, 1), (0, 2), (0, 3)]  # each took a place among the three or failed
+
+
+def test_a_line_is_made_once_for_all_its_prompts(spark):
+    found = catalogue.QUERIES["surfacing"](spark, SF)
+    assert any("/ranked-" in f for f in found.inputFiles())  # each prompt's line went through the guard
+    rows = found.collect()
+    assert len({(r.id, r.tier) for r in rows}) < len(rows) and len({(r.id, r.tier, r.line) for r in rows}) == len({(r.id, r.tier) for r in rows})

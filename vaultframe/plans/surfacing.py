@@ -63,10 +63,12 @@ def surface(prompts: DataFrame, docs: DataFrame, meta: DataFrame, now: Column, m
     admitted = fusion.admission(scored).where("admitted")
     ranked = top_per(admitted, ["qid"], [F.col("band"), F.desc(F.round("mass", 12)), F.desc(F.round("composite", 9)), F.col("id")], max_results)
     bodies = docs.where(~text.retrieved_noise("body")).select("id", "title", F.substring("body", 1, max(TIER_CHARS.values())).alias("body"))
-    lined = ranked.join(bodies, "id").withColumn("tier", fusion.tier(F.col("composite")))
+    # a document has one line of each tier, whatever the prompts that get it
+    ranked = written(ranked.select("qid", "rank", "id", fusion.tier(F.col("composite")).alias("tier")), "ranked")
     size = F.element_at(F.create_map(*(F.lit(x) for kv in TIER_CHARS.items() for x in kv)), F.col("tier"))
     line = F.concat(F.lit("- "), F.coalesce("title", F.lit("")), F.lit(": "), guards.sanitized(F.expr("body").substr(F.lit(1), size)))
-    lined = lined.withColumn("line", line).withColumn("tokens", text.estimate_tokens("line"))
+    lines = ranked.select("id", "tier").distinct().join(bodies, "id").select("id", "tier", line.alias("line"))
+    lined = ranked.join(lines, ["id", "tier"]).withColumn("tokens", text.estimate_tokens("line"))
     return within_budget(lined, ["qid"], [F.col("rank")], F.col("tokens"), budget).select(F.col("qid").alias("pid"), "rank", "id", "tier", "tokens", "line")
 
 
